@@ -63,9 +63,9 @@ FROM {events}
 REQUESTS = "SELECT {fmt}('A%d', user_id % 3) AS account_id, {fmt}('Q%d', event_id) AS request_id, {fmt}('T%d', event_id % 50) AS return_token, CAST(round(value * 100) AS BIGINT) AS expected_cents, {fmt}('%04d', user_id % 3) AS card_last4, ts AS refund_issued_at FROM {events} WHERE event_type = 'error'"
 TRANSACTIONS = "SELECT {fmt}('A%d', user_id % 3) AS account_id, event_id AS txn_id, ts AS posted_at, CASE WHEN event_id % 10 = 0 THEN 'pending' ELSE 'posted' END AS txn_state, CAST(round(value * 100) AS BIGINT) AS amount_cents, {fmt}('%04d', event_id % 3) AS txn_last4, event_id % 2 = 0 AS merchant_match FROM {events} WHERE event_type = 'purchase'"
 
-_NUMBERED = f"SELECT {_ID} AS order_id, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS n, o_orderdate AS at FROM {{orders}}"
+_NUMBERED = f"SELECT {_ID} AS order_id, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS n, o_orderdate AS placed_at FROM {{orders}}"
 #: Session 1 lists each year's orders ten a page, session 2 the same list shifted by three.
-HISTORY_ROWS = f"SELECT 'main' AS account_id, CAST(1 AS INTEGER) AS session_id, year, CAST(floor((n - 1) / 10) + 1 AS INTEGER) AS page, order_id, o_orderkey, at FROM ({_NUMBERED}) a UNION ALL SELECT 'main', CAST(2 AS INTEGER), year, CAST(floor((n + 2) / 10) + 1 AS INTEGER), order_id, o_orderkey, at FROM ({_NUMBERED}) b"
+HISTORY_ROWS = f"SELECT 'main' AS account_id, CAST(1 AS INTEGER) AS session_id, year, CAST(floor((n - 1) / 10) + 1 AS INTEGER) AS page, order_id, o_orderkey, placed_at FROM ({_NUMBERED}) a UNION ALL SELECT 'main', CAST(2 AS INTEGER), year, CAST(floor((n + 2) / 10) + 1 AS INTEGER), order_id, o_orderkey, placed_at FROM ({_NUMBERED}) b"
 EVENT_LOG = "SELECT {fmt}('U%d', user_id) AS account_id, event_id, ts AS at, event_type AS type FROM {events}"
 
 PAGE_TEXT = f"""
