@@ -92,10 +92,17 @@ def text_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def gram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """bucket int, n long over all rows. Counts are summed in each task before BUCKETS rows a task are shuffled."""
+    """bucket int, n long over all rows. Counts are summed in each task before BUCKETS rows a task are shuffled.
+
+    Only the words' hashes are exploded; a word's pair is formed from the array that stays beside it.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    grams = bound(word_hashes(words(text)), lambda h: F.concat(h, whole_pairs(doubled(h, 1))))
-    return df.select(F.explode(grams).alias("gram")).select(bucket(F.col("gram")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    hashed = df.select(word_hashes(words(text)).alias("h"))
+    each = hashed.select("h", F.posexplode("h").alias("i", "g"))
+    behind = F.get("h", F.col("i") + 1)
+    grams = each.select("g", F.when(behind.isNotNull(), F.xxhash64("g", behind)).alias("p"))
+    two = grams.select(F.explode(F.array("g", "p")).alias("gram")).where("gram IS NOT NULL")
+    return two.select(bucket(F.col("gram")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def ratio_weights(raw: DataFrame, trusted: DataFrame, text_col: str = "text") -> Column:
