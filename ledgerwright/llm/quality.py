@@ -106,17 +106,18 @@ def gram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ratio_weights(raw: DataFrame, trusted: DataFrame, text_col: str = "text") -> Column:
-    """A constant array<double>[BUCKETS]: log p_trusted - log p_raw by bucket, both with one added count, to 4 digits.
+    """A constant array<double>[BUCKETS]: log p_trusted - log p_raw by bucket, to 4 digits.
 
-    The BUCKETS numbers pass through the driver; nothing else does, whatever the corpus size.
+    p_raw has one added count a bucket. p_trusted has BUCKETS added counts shared out by p_raw, so little trusted text
+    moves the ratio little. The BUCKETS numbers pass through the driver; nothing else does, whatever the corpus size.
     """
     both = gram_counts(raw, text_col).select("bucket", "n", F.lit(0).cast("long").alias("t")).unionByName(
         gram_counts(trusted, text_col).select("bucket", F.lit(0).cast("long").alias("n"), F.col("n").alias("t")))
-    slots = raw.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
-    by = both.unionByName(slots).groupBy("bucket").agg((F.sum("n") + 1).alias("n"), (F.sum("t") + 1).alias("t"))
+    slots = raw.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
+    by = both.unionByName(slots).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     # BUCKETS rows, whatever the corpus size
     one = by.agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "t"))).alias("a"), F.sum("n").alias("sn"), F.sum("t").alias("st"))
-    ratio = F.transform("a", lambda x: F.round(F.log(x["t"] / F.col("st")) - F.log(x["n"] / F.col("sn")), 4))
+    ratio = F.transform("a", lambda x: F.round(F.log((x["t"] * F.col("sn") / x["n"] + BUCKETS) / (F.col("st") + BUCKETS)), 4))
     # a folded constant: a subquery is not allowed inside higher-order functions, and a joined array would be copied to each row
     return F.from_json(F.lit(one.select(F.to_json(ratio)).first()[0]), "array<double>")
 
