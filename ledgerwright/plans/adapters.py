@@ -66,7 +66,7 @@ TRANSACTIONS = "SELECT {fmt}('A%d', user_id % 3) AS account_id, event_id AS txn_
 _NUMBERED = f"SELECT {_ID} AS order_id, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS n, o_orderdate AS placed_at FROM {{orders}}"
 #: Session 1 lists each year's orders ten a page, session 2 the same list shifted by three.
 HISTORY_ROWS = f"SELECT 'main' AS account_id, CAST(1 AS INTEGER) AS session_id, year, CAST(floor((n - 1) / 10) + 1 AS INTEGER) AS page, order_id, o_orderkey, placed_at FROM ({_NUMBERED}) a UNION ALL SELECT 'main', CAST(2 AS INTEGER), year, CAST(floor((n + 2) / 10) + 1 AS INTEGER), order_id, o_orderkey, placed_at FROM ({_NUMBERED}) b"
-EVENT_LOG = "SELECT {fmt}('U%d', user_id) AS account_id, event_id, ts AS at, event_type AS type FROM {events}"
+EVENT_LOG = "SELECT {fmt}('U%d', user_id) AS account_id, event_id, ts AS logged_at, event_type AS type FROM {events}"
 
 PAGE_TEXT = f"""
 SELECT 'main' AS account_id, o_orderkey AS page_id, 'https://shop.example.com/your-orders/order-details?orderID=' || {_ID} || '&ref=x' AS url, o_orderdate AS captured_at, {_ID} AS true_order_id,

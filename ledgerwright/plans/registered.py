@@ -580,14 +580,16 @@ def pending_seed(s, d):
 _LOG = f"WITH {duck_ctes('v_event_log')}"
 
 
-@query(_LOG + " SELECT account_id, event_id, at FROM v_event_log QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY at DESC, event_id DESC) <= 5")
+@query(_LOG + " SELECT account_id, event_id, logged_at FROM v_event_log QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY logged_at DESC, event_id DESC) <= 5")
 def latest_events(s, d):
-    return io.latest_events(spark_view(s, d, "v_event_log"), 5).select("account_id", "event_id", "at")
+    log = spark_view(s, d, "v_event_log").withColumnRenamed("logged_at", "at")
+    return io.latest_events(log, 5).select("account_id", "event_id", F.col("at").alias("logged_at"))
 
 
-@query(_LOG + " SELECT account_id, 'K' || CAST(event_id AS VARCHAR) AS job_key FROM v_event_log QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY at DESC, 'K' || CAST(event_id AS VARCHAR)) <= 3")
+@query(_LOG + " SELECT account_id, 'K' || CAST(event_id AS VARCHAR) AS job_key FROM v_event_log QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY logged_at DESC, 'K' || CAST(event_id AS VARCHAR)) <= 3")
 def recent_keys(s, d):
-    return coverage.recent_keys(spark_view(s, d, "v_event_log").withColumn("job_key", F.concat(F.lit("K"), F.col("event_id").cast("string"))), 3).select("account_id", "job_key")
+    log = spark_view(s, d, "v_event_log").withColumnRenamed("logged_at", "at")
+    return coverage.recent_keys(log.withColumn("job_key", F.concat(F.lit("K"), F.col("event_id").cast("string"))), 3).select("account_id", "job_key")
 
 
 # --- pages and text ---------------------------------------------------------------------------------------------------

@@ -47,6 +47,7 @@ class _Reader(HTMLParser):
         elif tag == "a":
             self.link = None
         elif tag in BLOCK_TAGS and any(self.blocks[i]["tag"] == tag for i in self.open):
+            self.put("\n")
             while self.blocks[self.open.pop()]["tag"] != tag:
                 pass
 
