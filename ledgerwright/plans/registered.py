@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import returns as R, schema, text as X
 from ..functions.arrays import array_union_ci
@@ -240,16 +240,10 @@ def view_errors(s, d):
     return short(Q.view(Views(s, d).rows, "errors"))
 
 
-@query(chain(f"SELECT {_KEYS} FROM orows WHERE order_id IN (SELECT order_id FROM grp WHERE rank = 3)", "ded"))
+@query(chain(f"SELECT {_KEYS} FROM orows WHERE order_id IN (SELECT order_id FROM (SELECT order_id, return_token, max(rank) AS r FROM ded GROUP BY order_id, return_token) q WHERE r = 3)"))
 def filter_status(s, d):
     v = Views(s, d)
-    # rows and groups come from the same deduplicated returns
-    strict = B.order_rows(v.orders, v.returns.withColumn("authoritative", F.col("authoritative")), v.items, NOW)
-    return short(Q.filter_status(strict, v.groups, "received"))
-
-
-del SQL["filter_status"]
-SQL["filter_status"] = chain(f"SELECT {_KEYS} FROM orows WHERE order_id IN (SELECT order_id FROM (SELECT order_id, return_token, max(rank) AS r FROM ded GROUP BY order_id, return_token) q WHERE r = 3)")
+    return short(Q.filter_status(v.rows, v.groups, "received"))
 
 
 @query(chain(f"SELECT {_KEYS} FROM orows WHERE order_year = 1998 AND card_last4 = '0770'"))
@@ -416,9 +410,6 @@ def patch_records(s, d):
     return merge.patch_records(r, patches).select("record_id", "bank_status", "manual_state")
 
 
-_TRIES = "SELECT *, o_orderkey % 5 AS n_tries FROM cur"
-
-
 @query(chain(f"SELECT order_id, CASE WHEN order_data_complete AND 0 >= expected_returns THEN 'complete' WHEN o_orderkey % 5 >= 3 OR (o_orderkey % 5 = 2 AND o_orderkey % 7 = 0) THEN 'error' WHEN o_orderkey % 5 > 0 THEN 'retrying' ELSE 'pending' END AS processing_state, CAST(o_orderkey % 5 AS BIGINT) AS n_failed FROM cur"))
 def processing_state(s, d):
     o = B.current_orders(Views(s, d).orders)
