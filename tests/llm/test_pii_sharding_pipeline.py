@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import packing, pii, quality, sharding, tokens
+from ledgerwright.llm import pii, sharding, tokens
 
 TEXTS = {
     1: "mail an.34@mail4.example.com, call +1 (017) 555-7713 or 4952935900253052.", 2: "card 4111 1111 1111 1111 bad 4111111111111112 ssn 123-45-6789 000-12-3456", 3: "2021-03-04 and 4.3.2021 or 03/04/2021, 31/12/1999; 2021-02-30 1799-01-01",

@@ -4,7 +4,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerwright.llm import packing, tokens, wordbpe
