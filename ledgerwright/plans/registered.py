@@ -54,12 +54,12 @@ strict AS (SELECT order_id FROM known WHERE data_complete AND expected_returns >
 used AS (SELECT * FROM ded WHERE authoritative OR order_id NOT IN (SELECT order_id FROM strict)),
 {{groups}}
 matched AS (SELECT order_id, group_key, item_key, score FROM (
-  SELECT *, count(*) OVER (PARTITION BY order_id, group_key) AS n_best FROM (
+  SELECT *, count(*) OVER (PARTITION BY order_id, group_key) AS n_best FROM (SELECT * FROM (
     SELECT i.order_id, g.group_key, i.item_key,
       CASE WHEN list_contains(g.asins, i.asin) THEN 100 WHEN len(list_filter(g.item_names, lambda n: {_NORM.replace("{c}", "n")} = {_NORM.replace("{c}", "i.item_name")})) > 0 THEN 80
         WHEN len(list_filter(g.item_names, lambda n: {_NEAR.replace("{a}", _NORM.replace("{c}", "n")).replace("{b}", _NORM.replace("{c}", "i.item_name"))})) > 0 THEN 70 ELSE 0 END AS score
     FROM v_items i JOIN grp g USING (order_id)) s
-  WHERE score >= 70 QUALIFY score = max(score) OVER (PARTITION BY order_id, group_key)) b WHERE n_best = 1),
+  WHERE score >= 70 QUALIFY score = max(score) OVER (PARTITION BY order_id, group_key)) t) b WHERE n_best = 1),
 unmatched AS (SELECT order_id, group_key, len(asins) > 0 AS strong_identity FROM grp WHERE (order_id, group_key) NOT IN (SELECT (order_id, group_key) FROM matched)),
 repl AS (SELECT order_id, count(*) AS n_replacements, arg_min(replacement_stage, CASE replacement_stage WHEN 'requested' THEN 2 WHEN 'shipped' THEN 3 ELSE 4 END) AS replacement_stage FROM v_items WHERE replacement_stage IS NOT NULL GROUP BY order_id),
 states AS (SELECT i.*, coalesce(m.n_groups, 0) AS n_groups, m.best_rank, count(m.n_groups) OVER (PARTITION BY i.order_id) AS returned_products FROM v_items i
