@@ -23,6 +23,7 @@ RECEIVED = r"we (?:have )?received your return|your return (?:has been|was) rece
 SHIPPED = r"your return (?:has been|was) dropped off|you (?:have )?dropped off your return|drop-?off complete|return (?:is|has been) in transit|on the way back|return (?:has been|was) shipped|shipped back|carrier (?:has )?received (?:your )?return|dropped off\s+(?:on|at)\b"
 SHIPPED_LATER = r"drop.off your return by|please drop off|once you drop off|when you drop off|time you have dropped off|after you drop off|before you drop off"
 STARTED = r"return request (?:is )?(?:confirmed|accepted)|return initiated|return started|accepted your return|drop.off your return by|return code|return summary|refund will be issued|estimated refund|refund method|refund subtotal|^initiated$"
+STARTED_SAID = r"return request (?:is )?(?:confirmed|accepted)|return initiated|return started|accepted your return"
 REFUND_WORDS = r"(?i)refund will be issued|estimated refund|refund method|refund subtotal"
 BARE_LABELS = r"(?i)^(?:refund issued|refund credited|return received|drop off|dropped off|credited|initiated|credit pending)$"
 NO_RETURN = r"(?i)(?:there['’]s|there is) no need to return (?:your )?(?:item|product)|(?:you (?:do not|don['’]t) need to|no need to) return (?:the |your )?(?:original )?(?:item|product)|no return (?:is )?required"
@@ -253,6 +254,12 @@ def milestones(text: Column) -> Column:
     return F.transform(flagged, build)[0]
 
 
+def affirmed_stage(text: Column, stage: Column) -> Column:
+    """The stage as far as a sentence says it: 'started' only counts if the request itself is confirmed, not by page furniture."""
+    said = F.exists(lines(text), lambda x: x.rlike("(?i)" + STARTED_SAID))
+    return F.when((stage == "started") & ~said, "unknown").otherwise(stage)
+
+
 def record_status(stage: Column, text: Column, record_type: Column) -> Column:
     back = F.when(stage.isin("credited", "refund_issued"), "refunded").when(stage == "received", "returned_pending_refund").when(stage.isin("shipped", "started"), "return_in_progress").when(text.rlike(REFUND_WORDS), "refund_expected").otherwise("unknown")
     return F.when(record_type == "return", back).otherwise("purchase")

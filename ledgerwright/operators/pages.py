@@ -76,7 +76,7 @@ def return_facts(captures: DataFrame, checks: DataFrame | None = None) -> DataFr
     """One row a return page: milestones, stage, status, amounts and words; checkmarks are fused in where given."""
     t = F.col("text")
     out = captures.withColumn("m", X.milestones(t))
-    out = out.withColumns({"refund_cents": X.refund_cents(t), "refund_subtotal_cents": X.refund_subtotal_cents(t), "expected_credit_date": F.col("m.expected_credit_date"), "card_last4": X.card_last4(t), "text_stage": F.col("m.stage"), "strong": X.strong_return_evidence(t)})
+    out = out.withColumns({"refund_cents": X.refund_cents(t), "refund_subtotal_cents": X.refund_subtotal_cents(t), "expected_credit_date": F.col("m.expected_credit_date"), "card_last4": X.card_last4(t), "text_stage": F.col("m.stage"), "affirmed_stage": X.affirmed_stage(t, F.col("m.stage")), "strong": X.strong_return_evidence(t)})
     if checks is not None:
         out = fuse_checkmarks(out, checks)
     else:
@@ -87,14 +87,17 @@ def return_facts(captures: DataFrame, checks: DataFrame | None = None) -> DataFr
 def fuse_checkmarks(pages: DataFrame, checks: DataFrame) -> DataFrame:
     """Adds stage from text_stage and visible checkmarks.
 
-    A checkmark counts if it is bound to exactly one step label; it completes that step and those before. Where sentences
-    prove a step, they also cap what checkmarks may claim: pages draw all steps in advance.
+    A checkmark counts if it is bound to exactly one step label; it completes that step and those before. Where a sentence
+    proves a step (affirmed_stage, or text_stage without that column), it also caps what checkmarks may claim: pages draw
+    all steps in advance.
     """
     of_label = F.create_map(*[F.lit(v) for s, ls in X.STEP_LABELS.items() for l in ls for v in (l.lower(), schema.RETURN_STAGES[s])])
     known = F.filter(F.array_distinct(F.transform("labels", lambda x: F.try_element_at(of_label, F.lower(F.trim(x))))), lambda r: r.isNotNull())
     by = checks.where("NOT coalesce(hidden, false)").withColumn("k", known).where(F.size("k") == 1).groupBy("page_id").agg(F.max(F.get("k", F.lit(0))).alias("check_rank"))
     rank = schema.stage_rank(F.col("text_stage"))
-    fused = F.when(rank > 0, F.least(F.greatest(rank, F.coalesce("check_rank", F.lit(0))), rank)).otherwise(F.coalesce("check_rank", F.lit(0)))
+    cap = schema.stage_rank(F.col("affirmed_stage")) if "affirmed_stage" in pages.columns else rank
+    most = F.greatest(rank, F.coalesce("check_rank", F.lit(0)))
+    fused = F.when(cap > 0, F.least(most, cap)).otherwise(most)
     return pages.join(by, "page_id", "left").withColumn("stage", schema.stage_name(fused)).drop("check_rank")
 
 

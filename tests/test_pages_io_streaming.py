@@ -57,6 +57,8 @@ def test_checkmarks_without_words(spark):
     marks = [(1, 0, ["Initiated"], False), (1, 1, ["Dropped off"], False), (1, 2, ["Return received"], True), (1, 3, ["Refund issued", "Initiated"], False)] + [(2, i, [x], False) for i, x in enumerate(["Initiated", "Dropped off", "Return received", "Refund issued", "Refund credited"])]
     c = spark.createDataFrame(marks, "page_id long, check_id int, labels array<string>, hidden boolean")
     assert {r.page_id: r.stage for r in pages.fuse_checkmarks(p, c).collect()} == {1: "shipped", 2: "received", 3: "unknown"}
+    weak = spark.createDataFrame([(2, "u", "t", "Return summary\nRefund method"), (1, "u", "t", "Return started")], "page_id long, url string, title string, text string")
+    assert {r.page_id: r.stage for r in pages.return_facts(weak, c).collect()} == {2: "credited", 1: "started"}
 
 
 def test_files(spark, tmp_path):
