@@ -13,13 +13,13 @@ follows from the wanted recall at the threshold, so buckets stay of bounded expe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import components
+from .grouped import runs
 from .scratch import staged
 
 #: Chance that a pair exactly at the threshold shares no table.
@@ -97,23 +97,6 @@ def linked(one: np.ndarray, two: np.ndarray, turn: np.ndarray, threshold: float)
     return i[keep], j[keep]
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of rows with equal first column, of a stream sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            if at == to:
-                continue
-            if held and held[-1].column(0)[0].as_py() != key[at]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(at, to - at))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def bucket_links(cells: DataFrame, threshold: float, seed: int) -> DataFrame:
     """cid, n long (vectors linked, found here first), low long (smallest cid reached here) for each block pair of a bucket.
 

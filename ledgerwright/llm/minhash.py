@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .components import components
+from .grouped import runs
 from .scratch import staged
 from .shingles import mix, shingle_sets
 
@@ -17,6 +18,8 @@ from .shingles import mix, shingle_sets
 COORDINATES, BAND_ROWS = 128, 4
 #: Of a pair's 128 lowest coordinate bits so many may differ: at 0.8 about 13 do, over 34 with probability 1e-8.
 MOST_BITS = 34
+#: Documents of a leader that are held against each other at once.
+BLOCK = 512
 #: Text bytes handled at once in a task.
 SLICE_BYTES = 1 << 20
 
@@ -100,24 +103,96 @@ def may_reach(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(one("n"), two("n")) >= percent * F.greatest(one("n"), two("n"))) & (apart <= most)
 
 
-def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs a, b whose full shingle sets have 100 * intersection >= percent * union, computed from the whole texts."""
+def with_texts(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs a, b with the whole texts ta, tb."""
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     one = pairs.join(texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
-    two = one.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta"), "a").select("a", "b", "ta", "tb")
+    return one.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta"), "a").select("a", "b", "ta", "tb")
+
+
+def set_pairs(part: pa.RecordBatch, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two shingle sets of each row of a, b, ta, tb."""
+    sets = [shingle_sets(part.column(k), words) for k in (2, 3)]
+    ends = [np.cumsum(x[1]) for x in sets]
+    for i in range(part.num_rows):
+        yield tuple(x[0][e[i] - x[1][i] : e[i]] for x, e in zip(sets, ends))
+
 
+def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """The pairs a, b whose full shingle sets have 100 * intersection >= percent * union, computed from the whole texts."""
     def run(batches):
         for part in by_bytes(batches, 2, 3):
-            sets = [shingle_sets(part.column(k), words) for k in (2, 3)]
-            ends = [np.cumsum(s[1]) for s in sets]
             keep = []
-            for i in range(part.num_rows):
-                x, y = (s[0][e[i] - s[1][i] : e[i]] for s, e in zip(sets, ends))
+            for x, y in set_pairs(part, words):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(bool(100 * both >= percent * (len(x) + len(y) - both)) and both > 0)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return two.mapInArrow(run, T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")]))
+    kinds = T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")])
+    return with_texts(pairs, df, id_col, text_col).mapInArrow(run, kinds)
+
+
+def edits(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """a, b, n long (size of b's set), e binary: the shingles that only one of both sets has (b's edits of a)."""
+    def run(batches):
+        for part in by_bytes(batches, 2, 3):
+            n, out = [], []
+            for x, y in set_pairs(part, words):
+                n.append(len(y))
+                out.append(np.setxor1d(x, y, assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["a", "b", "n", "e"])
+
+    kinds = [(c, pairs.schema[c].dataType) for c in ("a", "b")] + [("n", T.LongType()), ("e", T.BinaryType())]
+    return with_texts(pairs, df, id_col, text_col).mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
+
+
+def common_edits(one: list[np.ndarray], two: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Matrix of the numbers of common elements of two lists of sets."""
+    value, place = np.unique(np.concatenate([*one, *two]) if one or two else np.empty(0, np.uint64), return_inverse=True)
+    shared = np.bincount(place, minlength=len(value)) > 1
+    slot = np.where(shared, np.cumsum(shared) - 1, -1)[place]
+    row = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in [*one, *two]])
+    row, slot = row[slot >= 0], slot[slot >= 0]
+    order = np.argsort(slot, kind="stable")
+    row, slot = row[order], slot[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, int(shared.sum()), columns):
+        lo, hi = np.searchsorted(slot, [at, at + columns])
+        m = np.zeros((len(one) + len(two), columns), np.float32)
+        m[row[lo:hi], slot[lo:hi] - at] = 1
+        out += m[: len(one)] @ m[len(one) :].T
+    return out
+
+
+def links_by_edits(cells: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between documents of a cell that are in different components, as a forest.
+
+    Documents x, y of one leader differ in exactly the shingles in which their edits differ: |e_x| + |e_y| - 2 |common|.
+    So a cell decides all its pairs from short lists, and lists none of them.
+    """
+    def run(batches):
+        for own in runs(batches):
+            left, right = own.column("lo")[0].as_py(), own.column("hi")[0].as_py()
+            block, cid, root, n = (own.column(c).to_numpy() for c in ("block", "b", "root", "n"))
+            e = [np.frombuffer(x, np.uint64) for x in own.column("e").to_pylist()]
+            x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
+            size = np.array([len(v) for v in e])
+            apart = size[x][:, None] + size[y][None, :] - 2 * common_edits([e[i] for i in x], [e[i] for i in y])
+            close = (100 - percent) * (n[x][:, None] + n[y][None, :]) >= (100 + percent) * apart
+            i, j = np.nonzero(close & (root[x][:, None] != root[y][None, :]))
+            i, j = x[i], y[j]
+            low = root.copy()
+            while len(i):  # smallest root along the links of this cell
+                was = low.copy()
+                np.minimum.at(low, i, low[j])
+                np.minimum.at(low, j, low[i])
+                if np.array_equal(was, low):
+                    break
+            hit = low != root
+            yield pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(low[hit])], ["a", "b"])
+
+    kind = cells.schema["b"].dataType
+    return cells.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -125,9 +200,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts link if their sets of `words`-word shingles have 100 * intersection >= percent * union. Equal sets form
     one class, shown by its smallest id; only classes go further. In each band's bucket the document that
-    shares most buckets leads and is compared with all others of the bucket; after joining what is confirmed, only
-    pairs of different components in a bucket are left, and all of them that sizes and signature bits allow are
-    compared too. No pair of one bucket is skipped for its size, and pairs inside a component are never listed.
+    shares most buckets leads and is compared with all others of the bucket that sizes and signature bits allow.
+    Documents of one leader that this leaves in different components are decided from their edits of the leader, block
+    against block, without listing pairs; pairs of a bucket with a document that could not reach the leader are
+    compared one by one. No pair of a bucket is skipped for its size, and pairs inside a component are never listed.
 
     Empty and null texts have no set and link with nothing. A null id has component null and stays. Rows that repeat an id
     are one document: each row is compared with its own text, and they share their component.
@@ -145,23 +221,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leads = staged(ranked.groupBy("band").agg(F.max("lead").alias("lead")).select("band", *[F.col(f"lead.{c}").alias(f"l_{c}") for c in ("low", "n", "s0", "s1")]).withColumn("l_cid", -F.col("l_low")).drop("l_low"))
     named = members.select("band", *[F.col(c).alias(f"m_{c}") for c in ("cid", "n", "s0", "s1")])
     led = named.join(leads, "band")
-    ordered = [F.least("l_cid", "m_cid").alias("a"), F.greatest("l_cid", "m_cid").alias("b")]
-    pairs = staged(led.where((F.col("l_cid") != F.col("m_cid")) & may_reach("l_", "m_", percent)).select(*ordered).distinct())
-    links = staged(verified(pairs, df, id_col, text_col, words, percent).distinct())
+    compared = staged(led.where((F.col("l_cid") != F.col("m_cid")) & may_reach("l_", "m_", percent)).select(F.col("l_cid").alias("a"), F.col("m_cid").alias("b")).distinct())
+    links = staged(verified(compared, df, id_col, text_col, words, percent).distinct())
     roots = components(links)
 
-    # what is left: pairs of a bucket that are still in different components
-    labelled = named.join(roots, F.col("m_cid") == F.col("node"), "left").withColumn("m_root", F.coalesce("root", "m_cid")).drop("node", "root")
-    labelled = staged(labelled.join(leads.select("band", "l_cid"), "band"))
-    state = labelled.groupBy("band").agg(F.min("m_root").alias("lo"), F.max("m_root").alias("hi"), F.max(F.when(F.col("m_cid") == F.col("l_cid"), F.col("m_root"))).alias("main")).where("lo <> hi")
-    state = staged(state.select("band", "main"))
+    # documents compared with the same leader, but still in different components: decided from their edits of the leader
+    rooted = lambda x, c: x.join(roots, F.col(c) == F.col("node"), "left").withColumn("root", F.coalesce("root", c)).drop("node")
+    of_lead = staged(rooted(compared, "b"))
+    sizes = staged(of_lead.groupBy("a").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("a", "c"))
+    if not sizes.isEmpty():
+        mixed = staged(of_lead.join(sizes, "a"))
+        listed = edits(mixed.select("a", "b"), df, id_col, text_col, words).dropDuplicates(["a", "b"])
+        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+        placed = listed.join(mixed, ["a", "b"]).withColumn("block", F.pmod(F.xxhash64("b"), blocks).cast("int"))
+        others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
+        cells = placed.withColumn("o", F.explode(others)).select("a", "o.lo", "o.hi", "block", "b", "root", "n", "e")
+        cells = cells.select(F.xxhash64("a", "lo", "hi").alias("cell"), "*").drop("a").repartition("cell").sortWithinPartitions("cell")
+        links = staged(links.unionByName(links_by_edits(cells, percent)))
+        roots = components(links)
+
+    # what is left: pairs of a bucket in different components, of which at least one could not reach the leader
+    labelled = rooted(named, "m_cid").withColumnRenamed("root", "m_root").join(leads, "band")
+    labelled = staged(labelled.select("band", *[f"m_{c}" for c in ("cid", "n", "s0", "s1", "root")], ((F.col("m_cid") == F.col("l_cid")) | may_reach("l_", "m_", percent)).alias("near")))
+    state = staged(labelled.groupBy("band").agg(F.min("m_root").alias("lo"), F.max("m_root").alias("hi"), F.bool_and("near").alias("all_near")).where("lo <> hi AND NOT all_near").select("band"))
     if not state.isEmpty():
-        mixed = staged(labelled.join(state, "band").drop("l_cid"))
-        other = mixed.where("m_root <> main").select("band", *[F.col(f"m_{c}").alias(f"l_{c}") for c in ("cid", "n", "s0", "s1", "root")])
-        # pairs with a member of the leading component once; pairs of two others once, by their order
-        once = (F.col("m_root") == F.col("main")) | (F.col("m_cid") < F.col("l_cid"))
-        rest = other.join(mixed, "band").where((F.col("m_root") != F.col("l_root")) & once & may_reach("l_", "m_", percent)).select(*ordered).distinct()
-        rest = staged(rest.join(pairs, ["a", "b"], "left_anti"))
+        mixed = staged(labelled.join(state, "band"))
+        other = mixed.where("NOT near").select("band", *[F.col(f"m_{c}").alias(f"l_{c}") for c in ("cid", "n", "s0", "s1", "root")])
+        once = F.col("near") | (F.col("m_cid") < F.col("l_cid"))
+        ordered = [F.least("l_cid", "m_cid").alias("a"), F.greatest("l_cid", "m_cid").alias("b")]
+        rest = staged(other.join(mixed, "band").where((F.col("m_root") != F.col("l_root")) & once & may_reach("l_", "m_", percent)).select(*ordered).distinct())
         if not rest.isEmpty():
             links = staged(links.unionByName(verified(rest, df, id_col, text_col, words, percent).distinct()))
             roots = components(links)
