@@ -61,7 +61,7 @@ def assign_shards(df: DataFrame, bits_col: str, bytes_col: str, limit: int) -> D
         depth = to
     buckets = staged(reduce(DataFrame.unionByName, directory))
     # the smallest key of a bucket finds it: of all buckets, the one with the largest first key not over a row's key
-    used = [r[0] for r in buckets.select("d").distinct().collect()]  # depths, at most 65
+    used = [r[0] for r in buckets.select("d").distinct().collect()] or [0]  # depths, at most 65; any for an empty table
     found = F.array(*[F.struct(F.lit(d).alias("d"), prefix(F.col(bits_col), d).alias("p")) for d in sorted(used)])
     probes = rows.withColumn("__x", F.explode(found)).withColumns({"d": F.col("__x.d"), "p": F.col("__x.p")}).drop("__x")
     joined = probes.join(buckets.withColumnRenamed("b", "shard_bytes"), ["d", "p"])
