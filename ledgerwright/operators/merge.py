@@ -40,9 +40,13 @@ def merge_latest(captures: DataFrame, ledger: DataFrame | None = None) -> DataFr
     for c in rows.columns:
         if c in (*ID, "batch_id", "seq"):
             continue
+        if c == "authoritative":  # once authoritative, always: a later provisional capture must not hide the return
+            made.append(F.bool_or(F.coalesce(c, F.lit(False))).alias(c))
+            continue
         take = filled(c, kinds[c]) & (F.col("accepted") if c in STAGE_COLUMNS else F.lit(True))
         made.append(F.max_by(c, F.when(take, at)).alias(c))
-    return marked.groupBy(*ID).agg(*made)
+    out = marked.groupBy(*ID).agg(*made)
+    return out.withColumn("provisional", ~F.col("authoritative")) if {"authoritative", "provisional"} <= set(out.columns) else out
 
 
 def merge_milestones(captures: DataFrame, milestones: str = "return_milestones") -> DataFrame:

@@ -22,6 +22,12 @@ def test_stage_never_falls_and_blanks_never_overwrite(spark):
     assert (got.return_stage, got.status, got.status_text, got.refund_cents, got.card_last4) == ("received", "s2", "x", 5, "1234")
 
 
+def test_authoritative_stays(spark):
+    c = caps(spark, [("received", "s", "x", 5, None), ("received", "s", "y", 5, None)]).withColumn("authoritative", F.col("seq") == 0).withColumn("provisional", F.col("seq") == 1)
+    got = merge.merge_latest(c).first()
+    assert got.authoritative and not got.provisional and got.status_text == "y"
+
+
 def test_any_permutation_ends_at_the_furthest_stage(spark):
     stages = ["started", "refund_issued", "shipped", "unknown"]
     for order in list(itertools.permutations(stages))[::5]:
