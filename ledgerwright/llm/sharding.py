@@ -76,6 +76,13 @@ def shard_documents(df: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     return assign_shards(staged(light), "__bits", "n_bytes", limit).drop("__bits")
 
 
-def write_shards(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", format: str = "parquet") -> None:
-    """Writes df with one folder a shard; rows go to their shard's task by the shard's name."""
-    df.join(assigned.select(id_col, "shard"), id_col).repartition("shard").write.partitionBy("shard").format(format).save(path)
+def write_shards(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", format: str = "parquet") -> None:
+    """Shards every row of df as shard_documents does and writes df with one folder a shard; rows go to their shard's task by the shard's name.
+
+    Rows are staged with a number of their own and meet their shards by it, so null and repeated ids are written once
+    each. Columns of df named shard or __row are replaced.
+    """
+    rows = staged(df.drop("shard", "__row").withColumn("__row", F.monotonically_increasing_id()))
+    light = rows.select("__row", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("__bytes"), row_bits(id_col, text_col).alias("__bits"))
+    assigned = assign_shards(staged(light), "__bits", "__bytes", limit).select("__row", "shard")
+    rows.join(assigned, "__row").drop("__row").repartition("shard").write.partitionBy("shard").format(format).save(path)
