@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
-#: Buckets of hashed n-grams; the two count vectors and the weights have this fixed size.
+#: Buckets of hashed n-grams unless the caller passes another number; the two count vectors and the weights have this size.
 BUCKETS = 16_384
-#: Rows of the trusted sample at most (the smallest hashes of trusted ids); raw-corpus counts cover all documents.
-TRUSTED_ROWS = 20_000
 #: Lowest length-normalised ratio (nats for one n-gram) that is kept.
 MIN_RATIO = -0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -68,8 +66,8 @@ def whole_pairs(pairs: Column) -> Column:
     return F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0)))
 
 
-def bucket(gram_hash: Column) -> Column:
-    return F.pmod(gram_hash, F.lit(BUCKETS)).cast("int")
+def bucket(gram_hash: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(gram_hash, F.lit(buckets)).cast("int")
 
 
 def text_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -91,8 +89,8 @@ def text_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def gram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """bucket int, n long over all rows. Counts are summed in each task before BUCKETS rows a task are shuffled.
+def gram_counts(df: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """bucket int, n long over all rows. Counts are summed in each task before at most `buckets` rows a task are shuffled.
 
     Only the words' hashes are exploded; a word's pair is formed from the array that stays beside it.
     """
@@ -102,37 +100,36 @@ def gram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     behind = F.get("h", F.col("i") + 1)
     grams = each.select("g", F.when(behind.isNotNull(), F.xxhash64("g", behind)).alias("p"))
     two = grams.select(F.explode(F.array("g", "p")).alias("gram")).where("gram IS NOT NULL")
-    return two.select(bucket(F.col("gram")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    return two.select(bucket(F.col("gram"), buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def ratio_weights(raw: DataFrame, trusted: DataFrame, text_col: str = "text") -> Column:
-    """A constant array<double>[BUCKETS]: log p_trusted - log p_raw by bucket, to 4 digits.
+def ratio_weights(raw: DataFrame, trusted: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> Column:
+    """A constant array<double>[buckets]: log p_trusted - log p_raw by bucket, to 4 digits.
 
-    p_raw has one added count a bucket. p_trusted has BUCKETS added counts shared out by p_raw, so little trusted text
-    moves the ratio little. The BUCKETS numbers pass through the driver; nothing else does, whatever the corpus size.
+    p_raw has one added count a bucket. p_trusted has `buckets` added counts shared out by p_raw, so little trusted text
+    moves the ratio little. The `buckets` numbers pass through the driver; nothing else does, whatever the corpus size.
     """
-    both = gram_counts(raw, text_col).select("bucket", "n", F.lit(0).cast("long").alias("t")).unionByName(
-        gram_counts(trusted, text_col).select("bucket", F.lit(0).cast("long").alias("n"), F.col("n").alias("t")))
-    slots = raw.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
+    both = gram_counts(raw, text_col, buckets).select("bucket", "n", F.lit(0).cast("long").alias("t")).unionByName(
+        gram_counts(trusted, text_col, buckets).select("bucket", F.lit(0).cast("long").alias("n"), F.col("n").alias("t")))
+    slots = raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
     by = both.unionByName(slots).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    # BUCKETS rows, whatever the corpus size
+    # `buckets` rows, whatever the corpus size
     one = by.agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "t"))).alias("a"), F.sum("n").alias("sn"), F.sum("t").alias("st"))
-    ratio = F.transform("a", lambda x: F.round(F.log((x["t"] * F.col("sn") / x["n"] + BUCKETS) / (F.col("st") + BUCKETS)), 4))
+    ratio = F.transform("a", lambda x: F.round(F.log((x["t"] * F.col("sn") / x["n"] + buckets) / (F.col("st") + buckets)), 4))
     # a folded constant: a subquery is not allowed inside higher-order functions, and a joined array would be copied to each row
     return F.from_json(F.lit(one.select(F.to_json(ratio)).first()[0]), "array<double>")
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most `rows` distinct ids of rows with quality 1, those with the smallest hashes."""
-    good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("__trusted")).where(F.col("__trusted").isNotNull()).distinct()
-    return good.orderBy(F.xxhash64("__trusted"), "__trusted").limit(rows)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """Ids of all rows with quality 1; an id stands as often as it is labelled."""
+    return labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("__trusted")).where(F.col("__trusted").isNotNull())
 
 
-def score_documents(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_ratio: float = MIN_RATIO) -> DataFrame:
+def score_documents(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_ratio: float = MIN_RATIO, buckets: int = BUCKETS) -> DataFrame:
     """All columns of df plus the base statistics, ratio double and kept boolean.
 
     ratio is the mean, over a document's single words and word pairs, of the log-likelihood ratio of their hashed
-    bucket between the trusted sample and all documents. kept is false if base_failed, else ratio >= min_ratio.
+    bucket between all documents labelled with quality 1 and all documents. kept is false if base_failed, else ratio >= min_ratio.
     Null and empty texts have ratio 0 and fail the base rules. Without any trusted row (no labels, or none that
     meets a document) both models would be empty, so ratio is 0 and only the base rules decide. Repeated
     rows are scored alike. Columns of df named like an added one are replaced.
@@ -140,12 +137,12 @@ def score_documents(df: DataFrame, labels: DataFrame, text_col: str = "text", id
     own = ["__h1", "__h2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
     df = df.drop(*own)
     ids = trusted_ids(labels)
-    # TRUSTED_ROWS ids bound the broadcast
-    trusted = df.select(F.col(id_col).alias("__id"), F.col(text_col)).join(F.broadcast(ids), F.col("__id") == F.col("__trusted"), "left_semi")
-    weights = ratio_weights(df.select(text_col), trusted.select(text_col), text_col)
+    # the labels grow with the corpus, so they are never broadcast
+    trusted = df.select(F.col(id_col).alias("__id"), F.col(text_col)).join(ids.hint("merge"), F.col("__id") == F.col("__trusted"), "left_semi")
+    weights = ratio_weights(df.select(text_col), trusted.select(text_col), text_col, buckets)
     ruled = text_rules(df, text_col)
     n_grams = F.greatest(2 * F.size("__h1") - 1, F.lit(1))
-    summed = lambda hashes, first: F.aggregate(hashes, first, lambda acc, h: acc + F.get(weights, bucket(h)))
+    summed = lambda hashes, first: F.aggregate(hashes, first, lambda acc, h: acc + F.get(weights, bucket(h, buckets)))
     total = summed(whole_pairs(F.col("__h2")), summed(F.col("__h1"), F.lit(0.0))) / n_grams
     scored = ruled.withColumn("ratio", F.coalesce(F.round(total, 9), F.lit(0.0)))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= min_ratio)).drop("__h1", "__h2")
