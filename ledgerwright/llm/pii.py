@@ -16,11 +16,14 @@ WRITTEN_DATE = r"(?<![\d./])\d{1,2}([./])\d{1,2}\1\d{4}(?![\d/]|\.\d)"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<=[\d) .-])\d{3}[ .-]|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{10,15}(?!\d)"
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
-SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
-_NUMBERS = "|".join((ISO_DATE, WRITTEN_DATE.replace(r"\1", "[./]"), IPV4, SSN, PHONE, CARD))
+SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
+_OTHERS = "|".join((ISO_DATE, WRITTEN_DATE.replace(r"\1", "[./]"), IPV4, SSN, PHONE))
+#: Blocks of at most 19 digits joined by single separators, 13 digits in all, up to where another kind begins; cards are looked for within.
+_BLOCK = r"\d{1,19}+(?!\d)"
+CARDS = rf"(?<!\d)(?<!\d\.)(?=\d(?:(?:[ -](?!{_OTHERS}|{SECRET}))?\d){{12}})(?!{SECRET}){_BLOCK}(?:[ -](?!{_OTHERS}|{SECRET}){_BLOCK})*+"
+_NUMBERS = f"{_OTHERS}|{CARDS}"
 #: Numbers are only tried where a digit, "+" or "(" stands.
-ANY = rf"{EMAIL}|(?=[\d+(])(?:{_NUMBERS})|(?=[0-9a-f]{{32}}){SECRET}"
+ANY = rf"{EMAIL}|(?=[\d+(])(?:{_NUMBERS})|(?=[0-9A-Fa-f]{{32}}){SECRET}"
 #: Days from 1800-01-01 to 2199-12-31: 400 years of the calendar are 189 * 773 days.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 
@@ -45,9 +48,13 @@ def feistel_number(value: Column, a: int, b: int, key: str, kind: str) -> Column
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda acc: acc["x"] * b + acc["y"])
 
 
-def shifted(text: Column, by: Column, base16: bool) -> Column:
-    """Each character moved within its own alphabet (digits, small letters, capitals; or 0-9a-f) by 4 digits of `by`."""
-    hexa, small, big = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Alphabets within which characters are moved.
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+BASE16, MIXED16 = ("0123456789abcdef",), ("0123456789", "abcdef", "ABCDEF")
+
+
+def shifted(text: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
+    """Each character moved within its own one of the alphabets by 4 digits of `by`."""
 
     def move(alphabet: str, c: Column, n: Column) -> Column:
         size = len(alphabet)
@@ -55,18 +62,19 @@ def shifted(text: Column, by: Column, base16: bool) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         n = hex_number(F.substring(F.sha2(F.concat_ws("\x1f", by, (i - i % 16).cast("string")), 256), (i % 16) * 4 + 1, F.lit(4)))
-        if base16:
-            return move(hexa, c, n)
-        return F.when(c.between("0", "9"), move(hexa[:10], c, n)).when(c.between("a", "z"), move(small, c, n)).when(c.between("A", "Z"), move(big, c, n)).otherwise(c)
+        moved = F
+        for a in alphabets:
+            moved = moved.when(F.position(c, F.lit(a)) > 0, move(a, c, n))
+        return moved.otherwise(c)
 
     return F.when(text == "", "").otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
 
-def feistel_text(text: Column, key: str, kind: str, base16: bool = False) -> Column:
+def feistel_text(text: Column, key: str, kind: str, alphabets: tuple[str, ...] = CLASSES) -> Column:
     """A permutation of the strings with the same character classes; halves are shifted in turn by a keyed function of the other."""
     half = (F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("x"), F.substring(text, half + 1, F.length(text)).alias("y"))
-    turn = lambda acc, r: F.struct(acc["y"].alias("x"), shifted(acc["x"], digest(key, kind, r, acc["y"]), base16).alias("y"))
+    turn = lambda acc, r: F.struct(acc["y"].alias("x"), shifted(acc["x"], digest(key, kind, r, acc["y"]), alphabets).alias("y"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda acc: F.concat(acc["x"], acc["y"]))
 
 
@@ -102,6 +110,36 @@ def card_pseudonym(value: Column, key: str) -> Column:
     return into_format(value, F.concat(payload, check.cast("string")))
 
 
+def cards_pseudonym(value: Column, key: str) -> Column:
+    """Cards within blocks of digits replaced: at each block the longest run of 13 to 19 digits that ends with a block and passes Luhn.
+
+    Runs do not overlap and the leftmost wins, so a chance pass that ends inside a card takes only the card's first blocks.
+    """
+    def replaced(blocks: Column) -> Column:
+        n = F.size(blocks)
+
+        def step(acc: Column, i: Column) -> Column:
+            run = lambda j: F.array_join(F.slice(blocks, i, j - i + 1), "")
+            valid = lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
+            ends = F.filter(F.sequence(F.least(n, i + 18), i, F.lit(-1)), lambda j: F.exists(F.array(digits_of(run(j))), valid))
+            put = lambda j: F.struct(
+                F.concat(acc["out"], F.when(j.isNull(), F.get(blocks, i - 1)).otherwise(card_pseudonym(run(j), key))).alias("out"), F.coalesce(j, i).alias("done"))
+            return F.when(i <= acc["done"], acc).otherwise(F.transform(F.array(F.get(ends, F.lit(0))), put)[0])
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit("").alias("out"), F.lit(0).alias("done")), step, lambda acc: acc["out"])
+
+    return F.transform(F.array(F.regexp_extract_all(value, F.lit(r"\d+[ -]?"), F.lit(0))), replaced)[0]
+
+
+def secret_pseudonym(value: Column, key: str) -> Column:
+    """Permuted as a number in base 16 where all letters have one case; where cases are mixed, each place keeps its class."""
+    lower = F.lower(value)
+    return (
+        F.when(value == lower, feistel_text(value, key, "secret", BASE16))
+        .when(value == F.upper(value), F.upper(feistel_text(lower, key, "secret", BASE16)))
+        .otherwise(feistel_text(value, key, "secret", MIXED16)))
+
+
 def phone_pseudonym(value: Column, key: str) -> Column:
     """The last ten digits permuted; a country code before them stays."""
     digits = digits_of(value)
@@ -174,8 +212,8 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(whole(IPV4), F.when(F.exists(F.split(value, r"\."), lambda p: p.cast("int") > 255), value).otherwise(ip_pseudonym(value, key)))
         .when(whole(SSN), F.when(value.rlike(r"^(?:000|666|9)|-00-|-0000$"), value).otherwise(ssn_pseudonym(value, key)))
         .when(whole(PHONE), phone_pseudonym(value, key))
-        .when(whole(CARD), F.when(luhn_sum(digits_of(value)) % 10 != 0, value).otherwise(card_pseudonym(value, key)))
-        .when(whole(SECRET), feistel_text(value, key, "secret", base16=True))
+        .when(whole(SECRET), secret_pseudonym(value, key))
+        .when(whole(r"\d[\d -]*"), cards_pseudonym(value, key))
         .otherwise(value)
     )
 
@@ -184,7 +222,8 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns with pseudonyms in `text_col`, plus n_found and n_changed int.
 
     Kinds: e-mail addresses (the local part), IPv4 addresses, phone numbers, social security numbers, payment
-    cards (Luhn), dates of 1800 to 2199, hexadecimal secrets of 32 to 64 digits. Values that fail validation
+    cards (Luhn), dates of 1800 to 2199, hexadecimal secrets of 32 to 64 digits in either case. Numbers joined by
+    single spaces or hyphens are one found value, in which every run of whole blocks may be a card. Values that fail validation
     (octets over 255, a wrong check digit, 30 February) stay. Null texts stay null, empty ones empty (0 found).
     Equal dates stay equal whatever format they're written in. Needs no shuffle. Columns named n_found or
     n_changed are replaced.
