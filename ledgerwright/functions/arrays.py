@@ -1,10 +1,17 @@
 """Array columns with set semantics."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import schema
 
 
+def bound(column: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x) with x = column computed once a row, however often `then` uses it."""
+    return F.transform(F.array(column), then)[0]
+
+
 def clean_strings(col: Column) -> Column:
     """Trimmed, non-empty elements; null array -> empty."""
     return F.filter(F.transform(F.coalesce(col, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
@@ -12,8 +19,8 @@ def clean_strings(col: Column) -> Column:
 
 def distinct_ci(col: Column) -> Column:
     """Case-insensitive distinct; first spelling and order stay."""
-    both = F.transform(F.array(clean_strings(col)), lambda xs: F.struct(xs.alias("xs"), F.transform(xs, lambda x: F.lower(x)).alias("low")))[0]
-    return F.transform(F.array(both), lambda b: F.filter(b["xs"], lambda x, i: F.array_position(b["low"], F.lower(x)) == i + 1))[0]
+    first = lambda xs: bound(F.transform(xs, F.lower), lambda low: F.filter(xs, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+    return bound(clean_strings(col), lambda xs: F.when(F.size(xs) < 2, xs).otherwise(first(xs)))
 
 
 def array_union_ci(a: Column, b: Column) -> Column:

@@ -10,12 +10,15 @@ REF_TIME = "23:59:59"
 
 
 def stage_column(stage: Column, status: Column, status_text: Column) -> Column:
-    """Stage of a record: its own (old spelling unified), else by status, else by the words of its status text."""
-    own = F.when(F.lower(stage) == "refunded", "refund_issued").otherwise(F.lower(stage))
-    own = F.when(own.isin(schema.STAGE_NAMES[1:]), own)
-    by_status = F.when(status == "refunded", "refund_issued").when(status == "returned_pending_refund", "received").when(status.isin("return_in_progress", "refund_expected"), "started")
-    words = F.coalesce(status_text, F.lit(""))
-    by_text = F.when(words.rlike("(?i)" + text.CREDITED), "credited").when(words.rlike("(?i)" + text.ISSUED), "refund_issued").when(words.rlike("(?i)" + text.RECEIVED), "received").when(words.rlike("(?i)" + text.SHIPPED) & ~words.rlike("(?i)" + text.SHIPPED_LATER), "shipped").when(words.rlike("(?i)" + text.STARTED), "started")
+    """Stage of a record: its own if it is a known name (old spelling unified), else by status, else by the words of its status text."""
+    named = F.lower(stage)
+    own = F.when(named == "refunded", "refund_issued").when(named.isin(schema.STAGE_NAMES), named)
+    by_status = F.when(status == "refunded", "refund_issued").when(status == "returned_pending_refund", "received")
+    words = F.concat_ws("\n", status_text, status)
+    said = lambda p: words.rlike("(?im)" + p)
+    by_text = (
+        F.when(said(text.CREDITED), "credited").when(said(text.ISSUED), "refund_issued").when(said(text.RECEIVED), "received")
+        .when(said(text.SHIPPED) & ~said(text.SHIPPED_LATER), "shipped").when(said(text.STARTED), "started"))
     return F.coalesce(own, by_status, by_text, F.lit("unknown"))
 
 
@@ -39,30 +42,36 @@ def parse_loose_date(value: Column, ref_year: int) -> Column:
 
 
 def bank_columns(df: DataFrame) -> DataFrame:
-    """Adds bank_confirmed, credit_confirmed, bank_conflict from rank, bank_status, manual_state."""
-    confirmed = (F.coalesce(F.col("manual_state") == "reconciled", F.lit(False))) | F.coalesce(F.col("bank_status") == "confirmed", F.lit(False))
-    proven = F.coalesce(F.col("bank_status") == "confirmed", F.lit(False))
-    return df.withColumns({"bank_confirmed": confirmed, "credit_confirmed": confirmed | (F.col("rank") >= 5), "bank_conflict": proven & (F.col("rank") < 4)})
+    """Adds bank_confirmed, credit_confirmed, bank_conflict from rank, bank_status, manual_state.
+
+    Reconciled by hand counts as confirmed; a confirmation before the shop has issued the refund is a conflict.
+    """
+    confirmed = F.coalesce(F.col("manual_state") == "reconciled", F.lit(False)) | F.coalesce(F.col("bank_status") == "confirmed", F.lit(False))
+    return df.withColumns({"bank_confirmed": confirmed, "credit_confirmed": confirmed | (F.col("rank") >= 5), "bank_conflict": confirmed & (F.col("rank") < 4)})
 
 
 def needs_credit_review(df: DataFrame, now: str) -> DataFrame:
     """Adds credit_review: whether a return waits for its credit without an explanation, as of the literal `now`.
 
-    Rules in order: identity conflict yes; reconciled by hand no; bank conflict yes; credited no; refund not issued yes;
-    bank ambiguous or to be reviewed yes; no expected date no; else whether a day has passed since the expected date.
-    Needs rank, manual_state, bank_status, bank_conflict, identity_conflict, expected_credit_at.
+    Rules in order: identity conflict yes; reconciled by hand no; bank conflict yes; credited or confirmed by the bank no;
+    refund not issued yes; bank ambiguous or to be reviewed yes; no expected date no; else whether a day has passed
+    since the expected date. Needs the columns of bank_columns(), bank_status, manual_state, identity_conflict, expected_credit_at.
     """
     late = F.lit(now).cast("timestamp") > F.col("expected_credit_at") + F.expr("INTERVAL 24 HOURS")
     rule = (
         F.when(F.coalesce("identity_conflict", F.lit(False)), True).when(F.col("manual_state") == "reconciled", False)
-        .when(F.col("bank_conflict"), True).when(F.col("rank") >= 5, False).when(F.col("rank") < 4, True)
+        .when(F.col("bank_conflict"), True).when(F.col("credit_confirmed"), False).when(F.col("rank") < 4, True)
         .when(F.col("bank_status").isin("ambiguous", "needs_review"), True).when(F.col("expected_credit_at").isNull(), False).otherwise(late))
     return df.withColumn("credit_review", rule)
 
 
 def effective_state(df: DataFrame) -> DataFrame:
     """Adds effective_state: reconciled, credited, needs_review, refunded or purchase."""
-    rule = F.when(F.col("manual_state") == "reconciled", "reconciled").when(F.col("credit_confirmed"), "credited").when(F.col("credit_review"), "needs_review").when(F.col("rank") >= 4, "refunded").otherwise("purchase")
+    rule = (
+        F.when(F.col("manual_state") == "reconciled", "reconciled").when(F.col("credit_confirmed"), "credited")
+        .when(F.col("credit_review"), "needs_review").when(F.col("rank") >= 4, "refunded").otherwise("needs_review"))
+    if "record_type" in df.columns:
+        rule = F.when((F.col("record_type") == "order") & ~F.coalesce(F.col("manual_state") == "reconciled", F.lit(False)), "purchase").otherwise(rule)
     return df.withColumn("effective_state", rule)
 
 

@@ -1,8 +1,15 @@
-"""Facts from captured page text and URLs, as column expressions. All take and give columns; no Python runs on rows."""
+"""Facts from captured page text and URLs, as column expressions. All take and give columns; no Python runs on rows.
+
+Functions of a page's text take a text column, or a Page: the normalised text and its lines as columns of their own
+(with_page), so that many facts of one page share them.
+"""
 
 from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, functions as F
+from .arrays import bound
 
 # Formats and phrases that pages use.
 ORDER_ID = r"\b\d{3}-\d{7}-\d{7}\b"
@@ -32,7 +39,7 @@ REPLACEMENT_RULES = [
     ("delivered", r"replacement (?:has been |was |is )?delivered"),
     ("shipped", r"replacement (?:has been |was |is )?shipped|replacement is on the way"),
     ("ordered", r"replacement (?:has been |was |is )?ordered|replacement order (?:has been|was) placed|replacement approved"),
-    ("requested", r"replacement (?:has been |was |is )?requested|replacement request (?:is )?(?:confirmed|approved)|we(?:['’]ll| will) send (?:you )?a replacement|replacement (?:is )?being prepared"),
+    ("requested", r"replacement (?:has been |was |is )?requested|replacement request (?:is )?(?:confirmed|approved)|we(?:['’]ll| will) send (?:you )?a replacement|replacement (?:is )?being prepared|replacement arriving"),
 ]
 STEP_LABELS = {
     "started": ["Initiated", "Return initiated", "Return started"], "shipped": ["Dropped off", "Drop off", "Return shipped", "Shipped"],
@@ -41,6 +48,7 @@ DETAIL_ROUTE = r"(?i)order-?details?|/gp/css/summary/edit\.html(?:[/?#]|$)"
 HISTORY_ROUTE = r"(?i)/gp/your-account/order-history|/gp/css/order-history|/your-orders/orders(?:[/?#]|$)"
 RETURN_ROUTE = r"(?i)/spr/returns/(?:prep|label|cart)|/returns?/(?:status|details)|return-status|/refund(?:/|\?|$)"
 SUMMARY_WORDS = r"(?i)Order Summary|Grand Total|Item\(s\) Subtotal|Total before tax|Order total"
+CHECK_STATUS = r"(?i)check return (?:&|and) refund status"
 LIFECYCLE_WORDS = r"(?i)Initiated|Return request|Drop off|Dropped off|Return received|Refund issued|Refund credited|Replacement"
 
 
@@ -58,12 +66,32 @@ def normalize(text: Column) -> Column:
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """The first match's group, or null."""
-    got = F.regexp_extract(text, pattern, group)
-    return F.when(got != "", got)
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
+def split_lines(normalised: Column) -> Column:
+    return F.filter(F.transform(F.split(normalised, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+class Page(NamedTuple):
+    """Normalised text and its non-empty lines."""
 
+    text: Column
+    lines: Column
 
-def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(normalize(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+def page(text: "Column | Page") -> Page:
+    return text if isinstance(text, Page) else Page(normalize(text), split_lines(normalize(text)))
+
+
+def with_page(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, Page]:
+    """df with the columns __text and __lines, and the Page that they make up."""
+    out = df.withColumn("__text", normalize(F.col(text_col))).withColumn("__lines", split_lines(F.col("__text")))
+    return out, Page(F.col("__text"), F.col("__lines"))
+
+
+def any_label(labels: list[str]) -> str:
+    return "(?i)" + "|".join(quoted(label) for label in labels)
 
 
 def first_line(ls: Column, *patterns: str, but: str | None = None) -> Column:
@@ -106,11 +134,11 @@ def page_ready(job: Column, url: Column, text: Column, order_id: Column, has_pro
     right = order_id.isNull() | (order_id == "") | text.contains(order_id) | url.contains(order_id)
     detail = url.rlike(DETAIL_ROUTE) & right & text.rlike(SUMMARY_WORDS) & (has_product | text.rlike(r"(?i)cancell?ed"))
     back = url.rlike(RETURN_ROUTE) & right & text.rlike(LIFECYCLE_WORDS)
-    return F.when(job.isin("history", "advance"), text.rlike(ORDER_ID)).when(job == "detail", detail).when(job == "return", back).otherwise(F.length(normalize(text)) >= 80)
+    return F.when(job.isin("history", "advance"), text.rlike(ORDER_ID)).when(job == "detail", detail).when(job == "return", back).otherwise(F.length(page(text).text) >= 80)
 
 
-def order_ids(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(normalize(text), F.lit(ORDER_ID), F.lit(0)))
+def order_ids(text: "Column | Page") -> Column:
+    return F.array_distinct(F.regexp_extract_all(page(text).text, F.lit(ORDER_ID), F.lit(0)))
 
 
 def url_param(url: Column, *names: str) -> Column:
@@ -155,57 +183,65 @@ def sanitized_url(url: Column, keep: str = r"(?i)^(?:order_?id|page|startIndex|t
 # --- money, dates, cards ------------------------------------------------------------------------------------------
 
 
-def labelled_money(text: Column, labels: list[str]) -> Column:
-    t = normalize(text)
-    return F.coalesce(*[cents(found(t, rf"(?i){quoted(label)}\s*:?\s*{MONEY}")) for label in labels])
+def labelled_money(text: "Column | Page", labels: list[str]) -> Column:
+    """The amount behind the first of the labels, in order of the list, that has one."""
+    t = page(text).text
+    each = F.coalesce(*[cents(found(t, rf"(?i){quoted(label)}\s*:?\s*{MONEY}")) for label in labels])
+    return F.when(t.rlike(any_label(labels)), each)
 
 
-def purchase_cents(text: Column) -> Column:
-    scoped = found(normalize(text), rf"(?is)(?:order summary|payment information).{{0,1400}}?(?:^|\n)\s*Total\s*:?\s*{MONEY}")
+def purchase_cents(text: "Column | Page") -> Column:
+    t = page(text).text
+    scoped = found(t, rf"(?is)(?:order summary|payment information).{{0,1400}}?(?:^|\n)\s*Total\s*:?\s*{MONEY}")
     return F.coalesce(labelled_money(text, PURCHASE_LABELS), cents(scoped))
 
 
-def history_total_cents(text: Column) -> Column:
-    return cents(found(normalize(text), rf"(?i)(?:^|\n) ?Total\s*{MONEY} ?(?:\n|$)"))
+def history_total_cents(text: "Column | Page") -> Column:
+    return cents(found(page(text).text, rf"(?i)(?:^|\n) ?Total\s*{MONEY} ?(?:\n|$)"))
 
 
-def canonical_refund_cents(text: Column) -> Column:
+def canonical_refund_cents(text: "Column | Page") -> Column:
     """Only a line of its own, "Refund Total: $..."; refund prose is refund_cents()."""
-    return cents(found(normalize(text), rf"(?i)(?:^|\n) ?Refund Total ?:? ?{MONEY} ?(?:\n|$)"))
+    return cents(found(page(text).text, rf"(?i)(?:^|\n) ?Refund Total ?:? ?{MONEY} ?(?:\n|$)"))
 
 
-def refund_cents(text: Column) -> Column:
-    t = normalize(text)
+def refund_cents(text: "Column | Page") -> Column:
+    t = page(text).text
     issued = r"refund (?:has been |was )?issued"
     prose = [rf"(?i){MONEY}\s+{issued}", rf"(?i){issued}[^$]{{0,100}}{MONEY}", rf"(?i){MONEY}\s+(?:will be|was|has been)\s+credited"]
     return F.coalesce(labelled_money(text, REFUND_LABELS), *[cents(found(t, p)) for p in prose])
 
 
-def refund_subtotal_cents(text: Column) -> Column:
+def refund_subtotal_cents(text: "Column | Page") -> Column:
     return labelled_money(text, ["Refund subtotal"])
 
 
-def labelled_date(text: Column, labels: list[str]) -> Column:
-    t = normalize(text)
-    return F.coalesce(*[found(t, rf"(?i){quoted(label)}\s*:?\s*({DATE})") for label in labels])
+def labelled_date(text: "Column | Page", labels: list[str]) -> Column:
+    t = page(text).text
+    return F.when(t.rlike(any_label(labels)), F.coalesce(*[found(t, rf"(?i){quoted(label)}\s*:?\s*({DATE})") for label in labels]))
 
 
-def milestone_date(text: Column, labels: list[str]) -> Column:
+def milestone_date(text: "Column | Page", labels: list[str]) -> Column:
     """A date right before or right after a label; labels in order."""
-    t = normalize(text)
-    return F.coalesce(*[found(t, p) for label in labels for p in (rf"(?i)({DATE})\s*{quoted(label)}", rf"(?i){quoted(label)}\s*({DATE})")])
+    t = page(text).text
+    each = [found(t, p) for label in labels for p in (rf"(?i)({DATE})\s*{quoted(label)}", rf"(?i){quoted(label)}\s*({DATE})")]
+    return F.when(t.rlike(any_label(labels)), F.coalesce(*each))
 
 
-def expected_credit_date(text: Column) -> Column:
-    t = normalize(text)
-    said = [rf"(?i)(?:will|should|expected to)\s+be\s+credited[^\n]{{0,160}}?\bby\s+({DATE})", rf"(?i)(?:refund|credit)[^\n]{{0,100}}?(?:expected|estimated)[^\n]{{0,80}}?({DATE})", rf"(?i)credit(?:ed)?[^\n]{{0,100}}?\bby\s+({DATE})"]
-    return F.coalesce(*[found(t, p) for p in said], milestone_date(text, STEP_LABELS["credited"]))
+def expected_credit_date(text: "Column | Page") -> Column:
+    t = page(text).text
+    said = [
+        rf"(?i)(?:will|should|expected to)\s+be\s+credited[^\n]{{0,160}}?\bby\s+({DATE})",
+        rf"(?i)(?:refund|credit)[^\n]{{0,100}}?(?:expected|estimated)[^\n]{{0,80}}?({DATE})",
+        rf"(?i)credit(?:ed)?[^\n]{{0,100}}?\bby\s+({DATE})"]
+    return F.when(t.rlike("(?i)credit|refund"), F.coalesce(*[found(t, p) for p in said], milestone_date(text, STEP_LABELS["credited"])))
 
 
-def card_last4(text: Column) -> Column:
+def card_last4(text: "Column | Page") -> Column:
     """Last four digits next to a card brand within three lines, or a mask right under a payment heading; gift cards never count."""
     def windows(ls: Column) -> Column:
-        each = F.transform(ls, lambda x, i: F.array(x, F.when(i + 1 < F.size(ls), F.array_join(F.slice(ls, i + 1, 2), "\n")), F.when(i + 2 < F.size(ls), F.array_join(F.slice(ls, i + 1, 3), "\n"))))
+        span = lambda i, n: F.when(i + n - 1 < F.size(ls), F.array_join(F.slice(ls, i + 1, n), "\n"))
+        each = F.transform(ls, lambda x, i: F.array(x, span(i, 2), span(i, 3)))
         return F.filter(F.flatten(each), lambda w: w.isNotNull() & ~w.rlike(GIFT))
 
     def first(ws: Column, pattern: str) -> Column:
@@ -213,30 +249,40 @@ def card_last4(text: Column) -> Column:
 
     branded = rf"(?i){CARD_BRANDS}[^\d]{{0,100}}?{CARD_MARKS}\s*[:#-]?\s*(\d{{4}})\b"
     masked = r"(?i)(?:payment\s+(?:method|information)|refund method)\s*[:#-]?\s*(?:\*{2,}|[•·xX]{2,})\s*[:#-]?\s*(\d{4})\b"
-    ws = F.transform(F.array(lines(text)), windows)[0]
-    return F.transform(F.array(ws), lambda w: F.coalesce(first(w, branded), first(w, masked)))[0]
+    p = page(text)
+    # one window holds a whole match, so a page without a match has no window with one
+    named, hidden = p.text.rlike(branded), p.text.rlike(masked)
+    got = bound(windows(p.lines), lambda ws: F.coalesce(F.when(named, first(ws, branded)), F.when(hidden, first(ws, masked))))
+    return F.when(named | hidden, got)
 
 
-def payment_evidence(text: Column, blocks: Column | None = None) -> Column:
+def payment_evidence(text: "Column | Page", blocks: Column | None = None) -> Column:
     """Lines that may name the payment instrument: a payment heading and three lines after it, or instrument lines of payment blocks."""
-    heading = r"(?i)payment\s+(?:method|information)|refund method"
-    around = lambda ls: F.array_distinct(F.flatten(F.transform(ls, lambda x, i: F.when(x.rlike(heading), F.slice(ls, i + 1, 4)).otherwise(F.slice(ls, 1, 0)))))
-    whole = F.transform(F.array(lines(text)), around)[0]
+    heading = r"payment\s+(?:method|information)|refund method"
+    none = F.array().cast("array<string>")
+    p = page(text)
+    around = lambda ls: F.array_distinct(F.flatten(F.transform(ls, lambda x, i: F.when(x.rlike("(?i)" + heading), F.slice(ls, i + 1, 4)).otherwise(none))))
+    whole = F.when(p.text.rlike("(?i)" + heading), bound(p.lines, around)).otherwise(none)
     if blocks is None:
         return whole
-    own = F.flatten(F.transform(blocks, lambda b: F.filter(lines(b), lambda x: x.rlike(rf"(?i){heading[4:]}|{CARD_BRANDS}"))))
+    own = F.flatten(F.transform(blocks, lambda b: F.filter(split_lines(normalize(b)), lambda x: x.rlike(rf"(?i){heading}|{CARD_BRANDS}"))))
     return F.when(F.size(own) > 0, F.array_distinct(own)).otherwise(whole)
 
 
 # --- return lifecycle ---------------------------------------------------------------------------------------------
 
 
-def milestones(text: Column) -> Column:
+def milestones(text: "Column | Page") -> Column:
     """struct<stage, expected_credit_date, started, shipped, received, refund_issued, credited: struct<done, date>>.
 
     Only sentences that say an event has happened count, line by line; a later step implies the earlier ones.
     """
-    said = lambda ls, p, but=None: F.exists(ls, lambda x: x.rlike("(?i)" + p) & (~x.rlike("(?i)" + but) if but else F.lit(True)))
+    p = page(text)
+
+    def said(ls: Column, pattern: str, but: str | None = None) -> Column:
+        hit = F.exists(ls, lambda x: x.rlike("(?i)" + pattern) & (~x.rlike("(?i)" + but) if but else F.lit(True)))
+        # a line is part of the text, so a text without the pattern needs no look at its lines
+        return F.when(p.text.rlike("(?im)" + pattern), hit).otherwise(False)
 
     def flags(ls: Column) -> Column:
         return F.struct(said(ls, CREDITED).alias("c"), said(ls, ISSUED).alias("i"), said(ls, RECEIVED).alias("r"), said(ls, SHIPPED, SHIPPED_LATER).alias("s"), said(ls, STARTED).alias("t"))
@@ -246,40 +292,47 @@ def milestones(text: Column) -> Column:
         for step, flag in (("credited", "c"), ("refund_issued", "i"), ("received", "r"), ("shipped", "s"), ("started", "t")):
             so_far = so_far | f[flag]
             done[step] = so_far
-        stage = F.when(done["credited"], "credited").when(done["refund_issued"], "refund_issued").when(done["received"], "received").when(done["shipped"], "shipped").when(done["started"], "started").otherwise("unknown")
-        steps = [F.struct(done[s].alias("done"), F.when(done[s], milestone_date(text, STEP_LABELS[s])).alias("date")).alias(s) for s in ("started", "shipped", "received", "refund_issued", "credited")]
-        return F.struct(stage.alias("stage"), F.when(~done["credited"], expected_credit_date(text)).alias("expected_credit_date"), *steps)
+        stage = (
+            F.when(done["credited"], "credited").when(done["refund_issued"], "refund_issued").when(done["received"], "received")
+            .when(done["shipped"], "shipped").when(done["started"], "started").otherwise("unknown"))
+        dated = p.text.rlike("(?i)" + DATE)
+        steps = [F.struct(done[s].alias("done"), F.when(done[s] & dated, milestone_date(p, STEP_LABELS[s])).alias("date")).alias(s) for s in ("started", "shipped", "received", "refund_issued", "credited")]
+        return F.struct(stage.alias("stage"), F.when(~done["credited"] & dated, expected_credit_date(p)).alias("expected_credit_date"), *steps)
 
-    flagged = F.transform(F.array(lines(text)), flags)
-    return F.transform(flagged, build)[0]
+    return bound(flags(p.lines), build)
 
 
-def affirmed_stage(text: Column, stage: Column) -> Column:
+def affirmed_stage(text: "Column | Page", stage: Column) -> Column:
     """The stage as far as a sentence says it: 'started' only counts if the request itself is confirmed, not by page furniture."""
-    said = F.exists(lines(text), lambda x: x.rlike("(?i)" + STARTED_SAID))
+    said = F.exists(page(text).lines, lambda x: x.rlike("(?i)" + STARTED_SAID))
     return F.when((stage == "started") & ~said, "unknown").otherwise(stage)
 
 
-def record_status(stage: Column, text: Column, record_type: Column) -> Column:
-    back = F.when(stage.isin("credited", "refund_issued"), "refunded").when(stage == "received", "returned_pending_refund").when(stage.isin("shipped", "started"), "return_in_progress").when(text.rlike(REFUND_WORDS), "refund_expected").otherwise("unknown")
+def record_status(stage: Column, text: "Column | Page", record_type: Column) -> Column:
+    back = (
+        F.when(stage.isin("credited", "refund_issued"), "refunded").when(stage == "received", "returned_pending_refund")
+        .when(stage.isin("shipped", "started"), "return_in_progress").when(page(text).text.rlike(REFUND_WORDS), "refund_expected").otherwise("unknown"))
     return F.when(record_type == "return", back).otherwise("purchase")
 
 
-def status_text(stage: Column, text: Column) -> Column:
-    ls = lines(text)
-    proof = F.when(stage == "credited", first_line(ls, CREDITED)).when(stage == "refund_issued", first_line(ls, ISSUED)).when(stage == "received", first_line(ls, RECEIVED)).when(stage == "shipped", first_line(ls, SHIPPED, but="(?i)" + SHIPPED_LATER)).when(stage == "started", first_line(ls, STARTED))
+def status_text(stage: Column, text: "Column | Page") -> Column:
+    ls = page(text).lines
+    proof = (
+        F.when(stage == "credited", first_line(ls, CREDITED)).when(stage == "refund_issued", first_line(ls, ISSUED)).when(stage == "received", first_line(ls, RECEIVED))
+        .when(stage == "shipped", first_line(ls, SHIPPED, but="(?i)" + SHIPPED_LATER)).when(stage == "started", first_line(ls, STARTED)))
     other = F.get(F.filter(ls, lambda x: x.rlike(r"(?i)delivered|arriving|shipped") & ~x.rlike(BARE_LABELS) & ~x.rlike(r"(?i)refund issued|refund credited")), F.lit(0))
     return F.substring(F.coalesce(proof, other), 1, 500)
 
 
-def replacement(text: Column) -> Column:
+def replacement(text: "Column | Page") -> Column:
     """struct<stage, status_text, no_return_required> by the strongest rule with a line; 'detected' needs a no-return sentence."""
-    ls = lines(text)
-    hits = [F.struct(F.lit(stage).alias("stage"), F.substring(first_line(ls, rule), 1, 220).alias("line")) for stage, rule in REPLACEMENT_RULES]
-    free = F.exists(ls, lambda x: x.rlike(NO_RETURN))
-    weak = F.struct(F.lit("detected").alias("stage"), F.substring(F.when(free, first_line(ls, "replacement")), 1, 220).alias("line"))
+    p = page(text)
+    hits = [F.struct(F.lit(stage).alias("stage"), F.substring(first_line(p.lines, rule), 1, 220).alias("line")) for stage, rule in REPLACEMENT_RULES]
+    free = F.exists(p.lines, lambda x: x.rlike(NO_RETURN))
+    weak = F.struct(F.lit("detected").alias("stage"), F.substring(F.when(free, first_line(p.lines, "replacement")), 1, 220).alias("line"))
     best = F.get(F.filter(F.array(*hits, weak), lambda h: h["line"].isNotNull()), F.lit(0))
-    return F.struct(best["stage"].alias("stage"), best["line"].alias("status_text"), (best.isNotNull() & free).alias("no_return_required"))
+    named = p.text.rlike("(?i)replacement")
+    return bound(F.when(named, best), lambda b: F.struct(b["stage"].alias("stage"), b["line"].alias("status_text"), (b.isNotNull() & free).alias("no_return_required")))
 
 
 def record_id(record_type: Column, order_id: Column, token: Column, item_id: Column, asins: Column, names: Column, provisional: Column, refund: Column) -> Column:
@@ -291,8 +344,8 @@ def record_id(record_type: Column, order_id: Column, token: Column, item_id: Col
 
 def terminal_cancelled(text: Column, order_id: Column, has_detail_link: Column) -> Column:
     """Exactly this order id, a line that only says cancelled, a history total of exactly 0, and no detail link."""
-    ids = order_ids(text)
-    return (F.size(ids) == 1) & (F.get(ids, F.lit(0)) == order_id) & F.exists(lines(text), lambda x: x.rlike(r"(?i)^cancell?ed$")) & F.coalesce(history_total_cents(text) == 0, F.lit(False)) & ~has_detail_link
+    ids, said = order_ids(text), F.exists(page(text).lines, lambda x: x.rlike(r"(?i)^cancell?ed$"))
+    return (F.size(ids) == 1) & (F.get(ids, F.lit(0)) == order_id) & said & F.coalesce(history_total_cents(text) == 0, F.lit(False)) & ~has_detail_link
 
 
 def detail_complete(url: Column, order_id: Column, order_date: Column, total_cents: Column, n_items: Column) -> Column:
@@ -300,10 +353,10 @@ def detail_complete(url: Column, order_id: Column, order_date: Column, total_cen
 
 
 def strong_return_evidence(text: Column) -> Column:
-    return (milestones(text)["stage"] != "unknown") | text.rlike(r"(?i)check return (?:&|and) refund status")
+    return (milestones(text)["stage"] != "unknown") | page(text).text.rlike(CHECK_STATUS)
 
 
 def page_signature(text: Column) -> Column:
     """Hash of the lines that matter to the ledger, 450 at most."""
-    worth = F.filter(lines(text), lambda x: x.rlike(rf"(?i){ORDER_ID}|return|refund|replacement|deliver|total|cancel|credit"))
+    worth = F.filter(page(text).lines, lambda x: x.rlike(rf"(?i){ORDER_ID}|return|refund|replacement|deliver|total|cancel|credit"))
     return F.sha2(F.array_join(F.slice(worth, 1, 450), "\n"), 256)

@@ -5,45 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import schema
+from ..functions.arrays import array_union_ci
+from .rows import KEY, filled
 
 STATUSES = ["confirmed", "pending", "not_found", "ambiguous", "needs_review"]
 
 
-def bank_request(returns: DataFrame, complete_orders: DataFrame) -> DataFrame:
-    """Returns of complete orders whose refund is issued and not confirmed by the bank, one row a record; unknown amounts stay null."""
-    due = returns.where((F.col("rank") >= 4) & ~F.col("bank_confirmed")).join(complete_orders.select("account_id", "order_id"), ["account_id", "order_id"], "left_semi")
-    return due.select("account_id", F.col("record_id").alias("return_record_id"), "order_id", "return_token", F.col("refund_cents").alias("expected_cents"), "card_last4", "refund_issued_at", "expected_credit_at", "stage").dropDuplicates(["account_id", "return_record_id"])
+def bank_request(returns: DataFrame, rows: DataFrame) -> DataFrame:
+    """What to look for at the bank, one row a record: the returns of complete orders whose refund is issued and not confirmed yet.
+
+    returns are those that count (rows.used_returns), rows the order rows. Unknown amounts stay null, a refund falls
+    back to its subtotal; names are those of the record, then of the order; the card is the record's, else the order's.
+    """
+    own = rows.where("data_complete").select(*KEY, F.col("item_names").alias("__names"), F.col("card_last4").alias("__card"))
+    due = returns.where((F.col("rank") >= 4) & ~F.col("bank_confirmed")).join(own, KEY)
+    optional = {"refund_issued_at": "timestamp"}
+    due = due.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in due.columns})
+    out = due.select(
+        "account_id", F.col("record_id").alias("return_record_id"), "order_id", "return_token", array_union_ci(F.col("item_names"), F.col("__names")).alias("item_names"),
+        F.coalesce("refund_cents", "refund_subtotal_cents").alias("expected_cents"), F.coalesce(filled(F.col("card_last4")), F.col("__card")).alias("card_last4"),
+        "refund_issued_at", "expected_credit_at", "stage", F.coalesce(filled(F.col("status_text")), filled(F.col("status"))).alias("shop_status"))
+    return out.dropDuplicates(["account_id", "return_record_id"])
 
 
 def validate_bank_results(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects): status from status or outcome, one of five; finite amount; last four digits; texts cut at fixed lengths."""
-    status = F.lower(F.coalesce("status", "outcome"))
-    amount = F.col("matched_amount")
-    out = matches.select(
-        "return_record_id", F.when(status.isin(STATUSES), status).alias("status"),
-        F.when(~F.isnan(amount) & (F.abs(amount) < 1e13), F.round(amount * 100).cast("long")).alias("matched_cents"),
-        F.try_to_date("posted_date", "yyyy-MM-dd").alias("posted_date"), F.when(F.col("account_last4").rlike(r"^\d{4}$"), F.col("account_last4")).alias("account_last4"),
-        F.substring("account_name", 1, 120).alias("account_name"), F.substring("merchant_name", 1, 160).alias("merchant_name"), F.substring("reason", 1, 500).alias("reason"))
-    bad = F.col("status").isNull() | F.col("return_record_id").isNull() | (F.col("return_record_id") == "")
-    return out.where(~bad), out.where(bad).withColumn("problem", F.lit("unknown status or no record id"))
+    """(good, rejects): status from status or outcome, one of five, in any case; a finite amount or none; a record id.
+
+    The last four characters of the account, and texts cut at fixed lengths, are kept. Columns that matches lacks
+    (account_id among them) are null.
+    """
+    texts = ["account_id", "return_record_id", "status", "outcome", "posted_date", "account_last4", "account_name", "merchant_name", "confidence", "reason"]
+    full = schema.completed(matches, {c: "string" for c in texts} | {"matched_amount": "double", "checked_at": "timestamp"})
+    status, amount = F.lower(F.coalesce(filled(F.col("status")), F.col("outcome"))), F.col("matched_amount")
+    problem = (
+        F.when(~F.coalesce(status.isin(STATUSES), F.lit(False)), "status").when(amount.isNotNull() & (F.isnan(amount) | (F.abs(amount) >= 1e13)), "amount is no number")
+        .when(filled(F.col("return_record_id")).isNull(), "no record id"))
+    out = full.select(
+        "account_id", "return_record_id", status.alias("status"), F.when(~F.isnan(amount) & (F.abs(amount) < 1e13), F.round(amount * 100).cast("long")).alias("matched_cents"),
+        F.try_to_date("posted_date", "yyyy-MM-dd").alias("posted_date"), F.right(filled(F.col("account_last4")), F.lit(4)).alias("account_last4"),
+        *[F.substring(c, 1, n).alias(c) for c, n in (("account_name", 120), ("merchant_name", 160), ("confidence", 40), ("reason", 500))], "checked_at", problem.alias("problem"))
+    return out.where("problem IS NULL").drop("problem"), out.where("problem IS NOT NULL")
 
 
 def apply_bank_results(returns: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(returns with bank columns, rejects). All rows are checked first, then the good ones applied together.
 
-    Rejected: a record that the ledger lacks, and a confirmed amount further than the tolerance from the expected one
-    (an unknown expected amount is not checked). Several results of a record: the newest checked_at, then status.
+    A result belongs to the record of its account and record id. Rejected: a record that the ledger lacks, and a confirmed
+    amount further than the tolerance from the expected one (refund, else subtotal; an unknown one is not checked). Of
+    several results of a record counts the one with the newest checked_at, then the first by status and amount.
     """
-    w = W.partitionBy("return_record_id").orderBy(F.col("checked_at").desc_nulls_last(), "status", "matched_cents")
+    key = ["account_id", "return_record_id"]
+    w = W.partitionBy(*key).orderBy(F.col("checked_at").desc_nulls_last(), "status", "matched_cents")
     one = results.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    known = returns.select(F.col("record_id").alias("return_record_id"), F.col("refund_cents").alias("__expected"), F.lit(True).alias("__known"))
-    seen = one.join(known, "return_record_id", "left")
+    full = schema.completed(returns, {"refund_cents": "bigint", "refund_subtotal_cents": "bigint"})
+    known = full.select("account_id", F.col("record_id").alias("return_record_id"), F.coalesce("refund_cents", "refund_subtotal_cents").alias("__expected"), F.lit(True).alias("__known"))
+    seen = one.join(known, key, "left")
     off = F.coalesce((F.col("status") == "confirmed") & (F.abs(F.col("matched_cents") - F.col("__expected")) > schema.TOLERANCE_CENTS), F.lit(False))
-    reason = F.when(F.col("__known").isNull(), "missing").when(off, "amount")
-    judged = seen.withColumn("problem", reason)
-    good = judged.where("problem IS NULL").select(F.col("return_record_id").alias("record_id"), F.col("status").alias("__status"), F.col("matched_cents").alias("__cents"), F.when(F.col("status") == "confirmed", F.col("checked_at")).alias("__at"))
-    applied = returns.join(good, "record_id", "left").withColumns({"bank_status": F.coalesce("__status", "bank_status"), "bank_cents": F.col("__cents"), "bank_verified_at": F.col("__at")}).drop("__status", "__cents", "__at")
-    return applied, judged.where("problem IS NOT NULL").select("return_record_id", "status", "matched_cents", "problem")
+    judged = seen.withColumn("problem", F.when(F.col("__known").isNull(), "missing").when(off, "amount"))
+    good = judged.where("problem IS NULL").select(
+        "account_id", F.col("return_record_id").alias("record_id"), F.col("status").alias("__status"), F.col("matched_cents").alias("__cents"), F.when(F.col("status") == "confirmed", F.col("checked_at")).alias("__at"))
+    laid = {"bank_status": F.coalesce("__status", "bank_status"), "bank_cents": F.col("__cents"), "bank_verified_at": F.col("__at")}
+    applied = returns.join(good, ["account_id", "record_id"], "left").withColumns(laid).drop("__status", "__cents", "__at")
+    return applied, judged.where("problem IS NOT NULL").select(*key, "status", "matched_cents", "problem")
 
 
 def import_counters(results: DataFrame, rejects: DataFrame) -> DataFrame:

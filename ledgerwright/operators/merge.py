@@ -29,7 +29,8 @@ def filled(c: str, kind: str) -> Column:
 def merge_latest(captures: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """One row a record: per column the last non-empty value, in order of (batch_id, seq).
 
-    Stage columns only take values of captures whose stage didn't fall. A given ledger (same columns) counts as
+    Stage columns only take values of captures whose stage didn't fall, and a status only gives way to one of at least
+    its own rank. A given ledger (same columns) counts as
     the oldest capture. No list of captures is gathered: every column is a max_by, combined in each task first.
     """
     rows = captures if ledger is None else captures.unionByName(ledger.withColumns({"batch_id": F.lit(-1).cast("long"), "seq": F.lit(0).cast("long")}), allowMissingColumns=True)
@@ -44,7 +45,8 @@ def merge_latest(captures: DataFrame, ledger: DataFrame | None = None) -> DataFr
             made.append(F.bool_or(F.coalesce(c, F.lit(False))).alias(c))
             continue
         take = filled(c, kinds[c]) & (F.col("accepted") if c in STAGE_COLUMNS else F.lit(True))
-        made.append(F.max_by(c, F.when(take, at)).alias(c))
+        order = F.struct(schema.ranked(F.col(c), schema.STATUS_RANKS), at) if c == "status" else at
+        made.append(F.max_by(c, F.when(take, order)).alias(c))
     out = marked.groupBy(*ID).agg(*made)
     return out.withColumn("provisional", ~F.col("authoritative")) if {"authoritative", "provisional"} <= set(out.columns) else out
 
@@ -73,30 +75,42 @@ def merge_items(captures: DataFrame) -> DataFrame:
 def trusted_identity(captures: DataFrame) -> DataFrame:
     """Names, ASINs and conflict flag of each record from its captures in order of (batch_id, seq).
 
-    A capture that came by an order's own return link is trusted; the first trusted one with the record's latest
-    return_item_id fixes the names and, if it has any, the ASINs. Otherwise the last authoritative capture is a
-    reset point and later captures add to it. A conflict is a strongly bound ASIN list that shares nothing with the fixed one.
-    The lists gathered are those since the reset point of one record.
+    Each capture adds its names and ASINs; an authoritative one (that has the list) replaces what was there. The first capture
+    that came by an order's own return link, with the record's latest return_item_id, ends this for names, and for
+    ASINs once there are any. A later capture of the same item whose ASIN is bound strongly, by such a link or by STRONG_EVIDENCE,
+    and shares nothing with the fixed ASINs is a conflict.
+
+    What is gathered for a record are its distinct values with their first places, not its captures.
     """
     w = W.partitionBy(*ID)
     order = w.orderBy("batch_id", "seq")
-    trusted = (F.col("item_identity_source") == schema.TRUSTED_SOURCE) & (F.size(clean_strings(F.col("item_names"))) > 0)
-    strong = F.coalesce(F.col("item_asin_evidence_source") == "strong", F.lit(False)) & (F.size(clean_strings(F.col("asins"))) > 0)
-    numbered = captures.withColumn("__n", F.row_number().over(order)).withColumn("__item", F.last("return_item_id", True).over(w.orderBy("batch_id", "seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    same = F.col("return_item_id").eqNullSafe(F.col("__item"))
-    numbered = numbered.withColumn("__fix", F.min(F.when(trusted & same, F.col("__n"))).over(w)).withColumn("__reset", F.max(F.when(F.coalesce("authoritative", F.lit(False)), F.col("__n"))).over(w))
-    since = F.col("__n") >= F.coalesce("__reset", F.lit(1))
-    is_fix = F.col("__n") == F.col("__fix")
-    g = numbered.groupBy(*ID).agg(
-        F.max(F.when(is_fix, F.struct("item_names", "asins"))).alias("fix"),
-        F.array_sort(F.collect_list(F.when(since, F.struct("__n", "item_names", "asins")))).alias("open"),
-        F.collect_set(F.when((F.col("__n") > F.col("__fix")) & strong, F.col("asins"))).alias("later"))
-    flat = lambda c: distinct_ci(F.flatten(F.transform("open", lambda x: clean_strings(x[c]))))
-    fixed = clean_strings(F.col("fix.asins"))
-    names = F.when(F.col("fix").isNotNull(), distinct_ci(F.col("fix.item_names"))).otherwise(flat("item_names"))
-    asins = F.when(F.col("fix").isNotNull() & (F.size(fixed) > 0), distinct_ci(fixed)).otherwise(flat("asins"))
-    conflict = (F.size(fixed) > 0) & F.exists("later", lambda x: ~F.arrays_overlap(x, fixed))
-    return g.select(*ID, names.alias("item_names"), asins.alias("asins"), F.coalesce(conflict, F.lit(False)).alias("identity_conflict"))
+    linked = F.coalesce(F.col("item_identity_source") == schema.TRUSTED_SOURCE, F.lit(False))
+    rows = captures.withColumn("__n", F.row_number().over(order)).withColumn("__item", F.last("return_item_id", True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    same = F.col("return_item_id").isNotNull() & (F.col("return_item_id") == F.col("__item"))
+    rows = rows.withColumns({"__same": same, "__fix": F.min(F.when(linked & same, F.col("__n"))).over(w)})
+    until = F.coalesce("__fix", F.lit(1 << 30))
+    full = F.coalesce("authoritative", F.lit(False))
+    reset = lambda c, last: F.coalesce(F.max(F.when(full & F.col(c).isNotNull() & (F.col("__n") <= last), F.col("__n"))).over(w), F.lit(1))
+    rows = rows.withColumns({"__names_from": reset("item_names", until), "__asins_from": reset("asins", until), "__last_from": reset("asins", F.lit(1 << 30))})
+    between = lambda first, last: (F.col("__n") >= F.col(first)) & (F.col("__n") <= last)
+    kinds = {"names": ("item_names", between("__names_from", until)), "asins": ("asins", between("__asins_from", until)), "open": ("asins", between("__last_from", F.lit(1 << 30)))}
+
+    def placed(kind: str, values: Column) -> Column:
+        return F.transform(clean_strings(values), lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("x"), F.col("__n").alias("n"), i.alias("i")))
+
+    listed = [placed(k, F.when(rule, F.col(c))) for k, (c, rule) in kinds.items()]
+    each = rows.select(*ID, "__fix", F.explode_outer(F.concat(*listed)).alias("e"))
+    distinct = each.groupBy(*ID, "__fix", "e.kind", F.lower("e.x").alias("low")).agg(F.min(F.struct("e.n", "e.i", "e.x")).alias("first"))
+    held = distinct.groupBy(*ID, "__fix").agg(F.array_sort(F.collect_list(F.struct("first", "kind"))).alias("all"))
+    pick = lambda k: F.transform(F.filter("all", lambda e: e["kind"] == k), lambda e: e["first"]["x"])
+    named = held.select(*ID, "__fix", pick("names").alias("item_names"), pick("asins").alias("__fixed"), pick("open").alias("__open"))
+    named = named.withColumn("asins", F.when(F.col("__fix").isNotNull() & (F.size("__fixed") > 0), F.col("__fixed")).otherwise(F.col("__open")))
+    # the captures after the fixed one, held against its ASINs
+    upper = lambda c: F.transform(clean_strings(F.col(c)), F.upper)
+    strong = (linked | F.coalesce(F.col("item_asin_evidence_source").isin(*schema.STRONG_EVIDENCE), F.lit(False))) & (F.col("__n") > F.col("__fix")) & F.col("__same") & (F.size(clean_strings(F.col("asins"))) > 0)
+    later = rows.where(strong).select(*ID, upper("asins").alias("__asins")).join(named.where(F.size("__fixed") > 0).select(*ID, upper("__fixed").alias("__known")), ID)
+    odd = later.where(~F.arrays_overlap("__asins", "__known")).select(*ID).distinct().withColumn("__odd", F.lit(True))
+    return named.join(odd, ID, "left").select(*ID, "item_names", "asins", F.coalesce("__odd", F.lit(False)).alias("identity_conflict"))
 
 
 def supersede_provisional(ledger: DataFrame, batch: DataFrame) -> DataFrame:

@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import schema, text as X
 
-AD_BLOCK = r"(?i)recommend|footer|carousel|sponsored|similarit"
-ACTION_LABEL = r"(?i)^(?:buy it again|view (?:your )?item|track package|return or replace(?: items)?|write a (?:product )?review|get (?:product )?support|order details|view order details|invoice)$"
+# Marks of recommendation blocks (in class or id, and in text), labels that name no product, and routes and words of links.
+AD_MARK = r"(?i)recommend"
+AD_CLASS = r"(?i)carousel|sponsored|similarit"
+AD_TEXT = r"(?i)products related to your return|customers who viewed|sponsored products"
+AD_TEXT_CHARS, AD_TEXT_LEVELS = 4500, 5
+ACTION_LABEL = (
+    r"(?i)^(?:buy it again|view (?:your )?item|track package|return or replace(?: items)?|write a (?:product )?review"
+    r"|get (?:product )?support|order details|view order details|invoice)$")
 ASIN_HREF = r"(?i)/(?:dp|gp/product|product)/([A-Z0-9]{10})(?:[/?#]|$)"
 RETURN_HREF = r"(?i)/spr/returns/(?:prep|label|cart)|/returns?/(?:status|details)|return-status"
 RETURN_WORDS = r"(?i)(?:view|check|track).{0,20}(?:return|refund)|return(?:/| and |\s)refund status|return status"
@@ -63,25 +69,26 @@ def sanitize_events(events: DataFrame, relevant: str = r"(?i)order|return|refund
 
 def order_facts(captures: DataFrame) -> DataFrame:
     """One row a page: the order that its URL or its only id names, with money, date, card and completeness facts."""
-    t, u = F.col("text"), F.col("url")
-    ids = X.order_ids(t)
-    order = F.coalesce(X.url_order_id(u), F.when(F.size(ids) == 1, F.get(ids, F.lit(0))))
-    out = captures.withColumns({
-        "order_id": order, "purchase_cents": X.purchase_cents(t), "history_total_cents": X.history_total_cents(t), "canonical_refund_cents": X.canonical_refund_cents(t),
-        "order_date_text": X.labelled_date(t, ["Order placed", "Ordered on", "Order date"]), "card_last4": X.card_last4(t), "payment_lines": X.payment_evidence(t)})
-    return out.withColumn("terminal_cancelled", F.coalesce(X.terminal_cancelled(t, F.col("order_id"), F.lit(False)), F.lit(False))).drop("text", "title")
+    shared, p = X.with_page(captures)
+    shared = shared.withColumn("__ids", X.order_ids(p))
+    order = F.coalesce(X.url_order_id(F.col("url")), F.when(F.size("__ids") == 1, F.get("__ids", F.lit(0))))
+    out = shared.withColumns({
+        "order_id": order, "purchase_cents": X.purchase_cents(p), "history_total_cents": X.history_total_cents(p), "canonical_refund_cents": X.canonical_refund_cents(p),
+        "order_date_text": X.labelled_date(p, ["Order placed", "Ordered on", "Order date"]), "card_last4": X.card_last4(p), "payment_lines": X.payment_evidence(p)})
+    cancelled = F.coalesce(X.terminal_cancelled(p, F.col("order_id"), F.lit(False)), F.lit(False))
+    return out.withColumn("terminal_cancelled", cancelled).drop("text", "title", "__text", "__lines", "__ids")
 
 
 def return_facts(captures: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """One row a return page: milestones, stage, status, amounts and words; checkmarks are fused in where given."""
-    t = F.col("text")
-    out = captures.withColumn("m", X.milestones(t))
-    out = out.withColumns({"refund_cents": X.refund_cents(t), "refund_subtotal_cents": X.refund_subtotal_cents(t), "expected_credit_date": F.col("m.expected_credit_date"), "card_last4": X.card_last4(t), "text_stage": F.col("m.stage"), "affirmed_stage": X.affirmed_stage(t, F.col("m.stage")), "strong": X.strong_return_evidence(t)})
-    if checks is not None:
-        out = fuse_checkmarks(out, checks)
-    else:
-        out = out.withColumn("stage", F.col("text_stage"))
-    return out.withColumns({"status": X.record_status(F.col("stage"), t, F.lit("return")), "status_text": X.status_text(F.col("text_stage"), t)})
+    out, p = X.with_page(captures)
+    out = out.withColumn("m", X.milestones(p))
+    out = out.withColumns({
+        "refund_cents": X.refund_cents(p), "refund_subtotal_cents": X.refund_subtotal_cents(p), "expected_credit_date": F.col("m.expected_credit_date"), "card_last4": X.card_last4(p),
+        "text_stage": F.col("m.stage"), "affirmed_stage": X.affirmed_stage(p, F.col("m.stage")),
+        "strong": (F.col("m.stage") != "unknown") | p.text.rlike(X.CHECK_STATUS)})
+    out = fuse_checkmarks(out, checks) if checks is not None else out.withColumn("stage", F.col("text_stage"))
+    return out.withColumns({"status": X.record_status(F.col("stage"), p, F.lit("return")), "status_text": X.status_text(F.col("text_stage"), p)}).drop("__text", "__lines")
 
 
 def fuse_checkmarks(pages: DataFrame, checks: DataFrame) -> DataFrame:
@@ -135,10 +142,21 @@ def scope_order_cards(blocks: DataFrame, anchors: DataFrame, longest: int = 12_0
 
 
 def exclude_recommendation_anchors(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Anchors that aren't inside a recommendation, footer, aside or carousel block."""
-    ads = blocks.where(F.col("css_class").rlike(AD_BLOCK) | F.col("tag").isin("footer", "aside")).select("page_id", F.col("block_id").alias("ad"))
-    inside = blocks.select("page_id", "block_id", F.explode(F.array_union(F.col("ancestors"), F.array("block_id"))).alias("ad")).join(ads, ["page_id", "ad"], "left_semi").select("page_id", "block_id").distinct()
-    return anchors.join(inside, ["page_id", "block_id"], "left_anti")
+    """Anchors outside of advertisements.
+
+    Those inside a footer, an aside, a block whose class or id speaks of recommendations or whose attributes mark a carousel
+    go, at any depth. So do those with a block of at most 4,500 characters, among the five nearest, whose text says that
+    it advertises.
+    """
+    attr = lambda name: F.try_element_at("attrs", F.lit(name))
+    marked = F.coalesce(F.col("css_class").rlike(AD_MARK) | F.col("css_class").rlike(AD_CLASS), F.lit(False)) | F.coalesce(attr("id").rlike(AD_MARK) | (attr("id") == "rhf"), F.lit(False))
+    marked = marked | F.col("tag").isin("footer", "aside") | F.exists(F.map_keys("attrs"), lambda k: k.contains("carousel"))
+    said = (F.length("text") <= AD_TEXT_CHARS) & F.col("text").rlike(AD_TEXT)
+    ads = blocks.select("page_id", F.col("block_id").alias("ad"), F.coalesce(marked, F.lit(False)).alias("marked"), F.coalesce(said, F.lit(False)).alias("said")).where("marked OR said")
+    # the line of blocks above an anchor, the nearest first
+    above = F.posexplode(F.reverse(F.array_union(F.col("ancestors"), F.array("block_id"))))
+    inside = blocks.select("page_id", "block_id", above.alias("level", "ad")).join(ads, ["page_id", "ad"]).where(F.col("marked") | (F.col("level") < AD_TEXT_LEVELS))
+    return anchors.join(inside.select("page_id", "block_id").distinct(), ["page_id", "block_id"], "left_anti")
 
 
 def anchor_name() -> Column:
@@ -162,7 +180,7 @@ def order_line_items(cards: DataFrame, blocks: DataFrame, products: DataFrame, m
     j = products.join(own, ["page_id", "block_id"])
     prices = F.array_distinct(F.regexp_extract_all("text", F.lit(X.MONEY), F.lit(1)))
     amount = F.coalesce(X.labelled_money(F.col("text"), ["Item price", "Price"]), F.when(F.size(prices) == 1, X.cents(F.get(prices, F.lit(0)))))
-    x = j.withColumns({"quantity": X.found(F.col("text"), r"(?i)\b(?:qty|quantity)\s*:?\s*(\d{1,3})\b").cast("int"), "item_amount_cents": amount, "fulfillment_status": F.substring(X.first_line(X.lines(F.col("text")), r"^(?:delivered|arriving|shipped|out for delivery|not yet shipped|cancell?ed)\b"), 1, 180)})
+    x = j.withColumns({"quantity": X.found(F.col("text"), r"(?i)\b(?:qty|quantity)\s*:?\s*(\d{1,3})\b").cast("int"), "item_amount_cents": amount, "fulfillment_status": F.substring(X.first_line(X.split_lines(X.normalize(F.col("text"))), r"^(?:delivered|arriving|shipped|out for delivery|not yet shipped|cancell?ed)\b"), 1, 180)})
     g = x.groupBy("page_id", "order_id", "asin").agg(
         F.max_by("item_name", F.struct(F.length("item_name"), (-F.col("pos")).alias("p"))).alias("item_name"), F.min_by("quantity", F.when(F.col("quantity").isNotNull(), F.col("pos"))).alias("quantity"),
         F.min_by("item_amount_cents", F.when(F.col("item_amount_cents").isNotNull(), F.col("pos"))).alias("item_amount_cents"), F.min_by("fulfillment_status", F.when(F.col("fulfillment_status").isNotNull(), F.col("pos"))).alias("fulfillment_status"), F.min("pos").alias("pos"))

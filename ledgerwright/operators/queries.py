@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import schema
-from .rows import KEY
+from .rows import KEY, replacement_label, stage_label
 
 SORTS = {
-    "newest": [F.desc_nulls_last, "sort_at"], "oldest": [F.asc_nulls_first, "sort_at"], "order_high": [F.desc_nulls_last, "purchase_cents"], "order_low": [F.asc_nulls_first, "purchase_cents"],
+    "newest": [F.desc_nulls_last, "sort_at"], "oldest": [F.asc_nulls_first, "sort_at"],
+    "order_high": [F.desc_nulls_last, "purchase_cents"], "order_low": [F.asc_nulls_first, "purchase_cents"],
     "refund_high": [F.desc_nulls_last, "refund_cents"], "refund_low": [F.asc_nulls_first, "refund_cents"], "order_id": [F.asc, "order_id"]}
 
 
@@ -18,15 +19,20 @@ def view(rows: DataFrame, name: str) -> DataFrame:
     return {"all": done, "returns": done.where("n_groups > 0"), "needs_review": done.where("needs_review"), "errors": rows.where("processing_error IS NOT NULL")}[name]
 
 
-def filter_status(rows: DataFrame, groups: DataFrame, value: str) -> DataFrame:
-    """no_return, needs_review, replacement, cancelled, or orders with a return group at a stage (a semi join)."""
-    if value == "no_return":
-        return rows.where("n_groups = 0")
-    if value in ("needs_review", "cancelled"):
-        return rows.where(F.col(value))
-    if value == "replacement":
-        return rows.where("n_replacements > 0")
-    return rows.join(groups.where(F.col("rank") == schema.RETURN_STAGES[value]).select(*KEY), KEY, "left_semi")
+def status_condition(value: str) -> Column:
+    """all, no_return, needs_review, replacement, cancelled, or any return at the stage that a value of STATUS_FILTERS names.
+
+    no_return means complete orders that are not cancelled; the others hold for incomplete orders too.
+    """
+    plain = {
+        "all": F.lit(True), "no_return": F.col("data_complete") & (F.col("n_groups") == 0) & ~F.col("cancelled"), "needs_review": F.col("needs_review"),
+        "replacement": F.col("n_replacements") > 0, "cancelled": F.col("cancelled")}
+    return plain[value] if value in plain else F.array_contains("ranks", schema.RETURN_STAGES[schema.STATUS_FILTERS[value]])
+
+
+def filter_status(rows: DataFrame, value: str) -> DataFrame:
+    """Order rows by one of the ten status filters of status_condition()."""
+    return rows.where(status_condition(value))
 
 
 def filter_year_card(rows: DataFrame, year: int | None = None, card: str | None = None) -> DataFrame:
@@ -43,12 +49,14 @@ def card_options(rows: DataFrame) -> DataFrame:
 
 
 def money_text(c: Column) -> Column:
-    return F.format_string("%.2f", c / 100)
+    """Cents as the shortest number of units: 12, 12.5, 12.05; null stays null."""
+    return F.when(c.isNotNull(), F.regexp_replace(F.format_string("%d.%02d", (c / 100).cast("long"), c % 100), r"\.?0+$", ""))
 
 
 def search(rows: DataFrame, query: str) -> DataFrame:
-    """Rows that contain the text, in any case, in their id, card, label, error or amounts."""
-    hay = F.lower(F.concat_ws(" ", "order_id", "card_last4", "label", "processing_error", money_text(F.col("purchase_cents")), money_text(F.col("refund_cents"))))
+    """Rows that contain the text, in any case: in id, names, ASINs, card, label, shop status, error or amounts."""
+    lists = [F.array_join(c, " ") for c in ("search_names", "asins")]
+    hay = F.lower(F.concat_ws(" ", "order_id", *lists, "card_last4", "label", "shop_status", "processing_error", money_text(F.col("purchase_cents")), money_text(F.col("refund_cents"))))
     return rows.where(hay.contains(query.strip().lower()))
 
 
@@ -65,27 +73,28 @@ def sort_rows(rows: DataFrame, mode: str, limit: int | None = None) -> DataFrame
 def dashboard_stats(rows: DataFrame) -> DataFrame:
     """Complete orders and their total, returns and expected refunds, reviews and their money, errors: one row."""
     done = F.col("data_complete")
+    back = done & (F.col("n_groups") > 0)
     total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long")
     return rows.agg(
-        F.count_if(done).alias("n_orders"), total("purchase_cents", done).alias("order_cents"), F.count_if(done & (F.col("n_groups") > 0)).alias("n_return_orders"),
-        total("refund_cents", done & (F.col("n_groups") > 0)).alias("expected_cents"), F.count_if("needs_review").alias("n_review"), total("refund_cents", F.col("needs_review")).alias("review_cents"),
-        F.count_if(F.col("processing_error").isNotNull()).alias("n_errors"))
+        F.count_if(done).alias("n_orders"), total("purchase_cents", done).alias("order_cents"), F.count_if(back).alias("n_return_orders"),
+        total("refund_cents", back).alias("expected_cents"), F.count_if("needs_review").alias("n_review"), total("review_cents", F.lit(True)).alias("review_cents"),
+        F.count_if(F.col("processing_error").isNotNull()).alias("n_errors"), F.count_if(back & F.col("all_issued")).alias("n_issued"), F.count_if(back & F.col("all_bank_confirmed")).alias("n_bank_credited"))
 
 
-def review_expected(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Money under review per order: its flagged groups' amounts, or the row's refund where integrity failed."""
-    flagged = groups.where("credit_review").groupBy(*KEY).agg(F.sum("amount_cents").alias("flagged_cents"))
-    broken = F.col("amount_mismatch") | F.col("amount_conflict") | F.col("identity_conflict")
-    joined = rows.where("needs_review").join(flagged, KEY, "left")
-    return joined.select(*KEY, F.when(broken, F.col("refund_cents")).otherwise(F.col("flagged_cents")).cast("long").alias("review_cents"))
+def review_expected(rows: DataFrame) -> DataFrame:
+    """Money under review per order under review."""
+    return rows.where("needs_review").select(*KEY, "review_cents")
 
 
 def ledger_summary(orders: DataFrame, returns: DataFrame) -> DataFrame:
     """Distinct order counts over all records: lifetime, detailed, returned, confirmed, refunded, credited, unresolved; record counts."""
-    o = orders.select(*KEY, F.coalesce("detail_scan_complete", F.lit(False)).alias("d"), F.lit(None).cast("int").alias("rank"), F.lit(False).alias("credit"))
+    detailed = F.coalesce("detail_scan_complete", F.lit(False))
+    o = orders.select(*KEY, detailed.alias("d"), F.lit(None).cast("int").alias("rank"), F.lit(False).alias("credit"))
     r = returns.select(*KEY, F.lit(False).alias("d"), "rank", F.col("credit_confirmed").alias("credit"))
     # one partial aggregate by order first, so that the distinct counts are plain counts
-    by = o.unionByName(r).groupBy(*KEY).agg(F.max("d").alias("d"), F.max("rank").alias("rank"), F.max("credit").alias("credit"), F.count("rank").alias("nr"), F.count("*").alias("n"), F.min(F.when(F.col("rank").isNotNull(), F.col("credit"))).alias("all_credit"))
+    by = o.unionByName(r).groupBy(*KEY).agg(
+        F.max("d").alias("d"), F.max("rank").alias("rank"), F.max("credit").alias("credit"), F.count("rank").alias("nr"), F.count("*").alias("n"),
+        F.min(F.when(F.col("rank").isNotNull(), F.col("credit"))).alias("all_credit"))
     return by.agg(
         F.count("*").alias("lifetime"), F.count_if("d").alias("detailed"), F.count_if(F.col("nr") > 0).alias("returned"), F.count_if(F.col("rank") >= 3).alias("confirmed"),
         F.count_if(F.col("rank") >= 4).alias("refunded"), F.count_if("credit").alias("credited"), F.count_if((F.col("nr") > 0) & ~F.col("all_credit")).alias("unresolved"),
@@ -102,17 +111,21 @@ def compact_summary(orders: DataFrame, returns: DataFrame) -> DataFrame:
     """Counts and money over all orders, complete or not; refunds once a token, else once an (amount, item)."""
     o = orders.groupBy(*KEY).agg(F.max("purchase_cents").alias("purchase_cents"))
     once = F.coalesce(F.col("return_token"), F.concat_ws(":", F.col("refund_cents").cast("string"), "asin", "item_name"))
+    # an amount with its items is one refund
     r = returns.groupBy(*KEY, once.alias("k")).agg(F.max("refund_cents").alias("refund_cents"), F.bool_or("credit_review").alias("review"))
     by = r.groupBy(*KEY).agg(F.sum("refund_cents").alias("refund_cents"), F.bool_or("review").alias("review"))
     j = o.join(by.withColumn("has_return", F.lit(True)), KEY, "full_outer")
     total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long")
     has, rev = F.coalesce("has_return", F.lit(False)), F.coalesce("review", F.lit(False))
-    return j.agg(F.count("*").alias("n_all"), total("purchase_cents", F.lit(True)).alias("all_cents"), F.count_if(has).alias("n_returns"), total("refund_cents", has).alias("return_cents"), F.count_if(rev).alias("n_review"), total("refund_cents", rev).alias("review_cents"))
+    return j.agg(
+        F.count("*").alias("n_all"), total("purchase_cents", F.lit(True)).alias("all_cents"), F.count_if(has).alias("n_returns"),
+        total("refund_cents", has).alias("return_cents"), F.count_if(rev).alias("n_review"), total("refund_cents", rev).alias("review_cents"))
 
 
 def product_status_table(states: DataFrame) -> DataFrame:
     """Per purchased item: what became of it, in words."""
-    back = F.concat(F.col("n_groups").cast("string"), F.when(F.col("n_groups") == 1, " return · ").otherwise(" returns · "), F.get(F.array(*map(F.lit, schema.STAGE_LABELS)), F.col("best_rank")))
-    swap = F.when(F.col("replacement_stage").isNotNull(), F.concat(F.lit("Replacement "), F.col("replacement_stage")))
-    label = F.concat_ws(" · ", swap, F.when(F.col("n_groups") > 0, back))
+    many = F.when(F.col("n_groups") > 1, F.concat(F.col("n_groups").cast("string"), F.lit(" returns · "))).otherwise("")
+    back = F.when(F.col("n_groups") > 0, F.concat(many, stage_label(F.col("best_rank"))))
+    swap = F.when(F.col("replacement_stage").isNotNull(), replacement_label(F.col("replacement_stage")))
+    label = F.concat_ws(" · ", swap, back)
     return states.select(*KEY, "item_key", "item_name", F.when(label == "", "Not returned").otherwise(label).alias("workflow"))

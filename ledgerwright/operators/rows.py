@@ -1,7 +1,7 @@
 """From ledger records to one row an order: deduplication, grouping, item matching, roll-ups, flags.
 
-All windows and groups are keyed by (account_id, order_id), so one exchange can serve them; every window ends in a
-unique column. Order keys hold a bounded number of records each, so no group grows with the table.
+All windows, groups and joins are keyed by (account_id, order_id), so orders, returns and items are each shuffled once; every
+window ends in a unique column. Order keys hold a bounded number of records each, so no group grows with the table.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import returns as R, schema
-from ..functions.arrays import distinct_ci
+from ..functions.arrays import bound, clean_strings, distinct_ci
+from ..functions.text import DETAIL_ROUTE
 
 KEY = ["account_id", "order_id"]
+STRINGS = "array<string>"
 
 
 def current_orders(ledger: DataFrame) -> DataFrame:
@@ -20,81 +22,131 @@ def current_orders(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def filled(c: Column) -> Column:
+    """The text, or null if it is blank."""
+    return F.when(F.trim(c) != "", c)
+
+
 def group_key() -> Column:
-    return F.coalesce("return_token", "return_status_url", "record_id")
+    return F.coalesce(filled(F.col("return_token")), filled(F.col("return_status_url")), F.col("record_id"))
 
 
 def identity_key() -> Column:
-    item = F.coalesce("return_item_id", "asin", "item_name", "record_id")
-    return F.lower(F.concat_ws(":", group_key(), item))
+    first = lambda c: filled(F.get(F.col(c), F.lit(0)))
+    return F.lower(F.concat_ws(":", group_key(), F.coalesce(filled(F.col("return_item_id")), first("asins"), first("item_names"), F.col("record_id"))))
+
+
+def prepared_returns(returns: DataFrame, now: str) -> DataFrame:
+    """Returns with all columns of a return record, stage, rank, bank columns and the review rule as of `now`."""
+    return R.needs_credit_review(R.bank_columns(R.with_stage(schema.completed(returns, schema.RETURN_COLUMNS))), now)
 
 
 def dedupe_returns(returns: DataFrame) -> DataFrame:
     """One record a return identity: the furthest stage, then the newest, then the smallest record id. Adds group_key, identity."""
-    keyed = returns.withColumns({"group_key": group_key(), "identity": identity_key()})
+    keyed = schema.completed(returns, schema.RETURN_COLUMNS).withColumns({"group_key": group_key(), "identity": identity_key()})
     w = W.partitionBy(*KEY, "identity").orderBy(F.col("rank").desc(), F.col("last_scanned_at").desc_nulls_last(), "record_id")
     return keyed.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def group_returns(deduped: DataFrame) -> DataFrame:
-    """One row a return group with its amount.
+def group_returns(deduped: DataFrame, *carry: str) -> DataFrame:
+    """One row a return group of an order, from prepared and deduplicated returns; `carry` names columns that an order's rows share.
 
-    Names and ASINs come from trusted records if the group has any. The representative has the furthest stage, then
-    is newest. Amount: the newest explicit group amount (conflict if there is more than one value), else the sum of
-    item amounts, else the newest amount without scope, else null.
+    Names and ASINs come from trusted records if the group has any. The representative has the furthest stage, then is
+    newest. amount_cents: the newest group amount (its own column, or the refund of a record that covers the whole return;
+    amount_conflict if there are several), else the sum of the items' amounts, else the newest amount, else null; a
+    refund falls back to its subtotal. flagged_cents is the same over the records that need a credit review.
     """
-    trusted = F.col("item_identity_source") == schema.TRUSTED_SOURCE
-    order = F.struct("last_scanned_at", "record_id")
-    scoped = lambda scope: F.when(F.col("refund_scope").eqNullSafe(scope) & F.col("refund_cents").isNotNull(), F.col("refund_cents"))
-    newest = lambda value: F.max_by(value, F.when(value.isNotNull(), order))
-    any_list = lambda c, only: F.sort_array(F.collect_set(F.when(only, F.col(c))))
-    lead = F.max(F.struct("rank", "last_scanned_at", "record_id", "stage", "return_status_url", "bank_status", "manual_state", "expected_credit_at")).alias("rep")
+    trusted = F.coalesce(F.col("item_identity_source") == schema.TRUSTED_SOURCE, F.lit(False)) & ((F.size("item_names") > 0) | (F.size("asins") > 0))
+    when = F.struct("last_scanned_at", "record_id")
+    refund = F.coalesce("refund_cents", "refund_subtotal_cents")
+    explicit = F.coalesce("group_refund_cents", F.when(F.col("refund_scope") == "return", refund))
+    of_item = F.when(F.col("refund_scope") == "item", refund)
+
+    def amount(only: Column) -> Column:
+        newest = lambda v: F.max_by(v, F.when(only & v.isNotNull(), when))
+        return F.coalesce(newest(explicit), F.sum(F.when(only, of_item)), newest(refund)).cast("long")
+
+    lead = F.struct("rank", "last_scanned_at", "record_id", "stage", "bank_status", "manual_state", "expected_credit_at")
+    held = F.struct("record_id", "item_names", "asins", trusted.alias("trusted"), "status_text", "card_last4")
     g = deduped.groupBy(*KEY, "group_key").agg(
-        F.count("*").alias("n_records"), lead,
-        any_list("item_name", trusted).alias("tn"), any_list("asin", trusted).alias("ta"), F.sort_array(F.collect_set("item_name")).alias("an"), F.sort_array(F.collect_set("asin")).alias("aa"),
-        F.max(F.coalesce(trusted, F.lit(False))).alias("has_trusted"),
-        newest(scoped("return")).alias("group_cents"), F.count_distinct(scoped("return")).alias("n_group_cents"),
-        F.sum(scoped("item")).alias("item_cents"), newest(scoped(None)).alias("loose_cents"),
-        F.bool_or(F.coalesce("identity_conflict", F.lit(False))).alias("identity_conflict"), F.bool_or("bank_conflict").alias("bank_conflict"),
-        F.bool_or("credit_review").alias("credit_review"), F.bool_and("credit_confirmed").alias("all_confirmed"), F.bool_or("authoritative").alias("authoritative"),
-        F.max("last_scanned_at").alias("last_scanned_at"))
+        F.count("record_id").alias("n_records"), F.max(lead).alias("lead"), F.array_sort(F.collect_list(held)).alias("held"),
+        amount(F.lit(True)).alias("amount_cents"), (F.count_distinct(explicit) > 1).alias("amount_conflict"), amount(F.col("credit_review")).alias("flagged_cents"),
+        F.min("rank").alias("low_rank"), F.sort_array(F.collect_set("rank")).alias("ranks"), F.max("last_scanned_at").alias("last_scanned_at"),
+        *[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in ("identity_conflict", "bank_conflict", "credit_review", "authoritative")],
+        F.bool_or(F.coalesce(F.col("manual_state") == "reconciled", F.lit(False))).alias("reconciled"),
+        F.bool_and("credit_confirmed").alias("all_confirmed"), F.bool_and("bank_confirmed").alias("all_bank_confirmed"),
+        *[F.first(c).alias(c) for c in carry])
+    use = F.when(F.exists("held", lambda x: x["trusted"]), F.filter("held", lambda x: x["trusted"])).otherwise(F.col("held"))
+    listed = lambda c: distinct_ci(F.flatten(F.transform(use, lambda x: F.coalesce(x[c], F.array().cast(STRINGS)))))
     return g.select(
-        *KEY, "group_key", "n_records", F.col("rep.record_id").alias("record_id"), F.col("rep.stage").alias("stage"), F.col("rep.rank").alias("rank"),
-        F.col("rep.bank_status").alias("bank_status"), F.col("rep.manual_state").alias("manual_state"), F.col("rep.expected_credit_at").alias("expected_credit_at"),
-        F.when(F.col("has_trusted"), F.col("tn")).otherwise(F.col("an")).alias("item_names"), F.when(F.col("has_trusted") & (F.size("ta") > 0), F.col("ta")).otherwise(F.col("aa")).alias("asins"),
-        F.coalesce("group_cents", "item_cents", "loose_cents").cast("long").alias("amount_cents"), (F.col("n_group_cents") > 1).alias("amount_conflict"),
-        "identity_conflict", "bank_conflict", "credit_review", "all_confirmed", "authoritative", "last_scanned_at")
+        *KEY, "group_key", "n_records", *[F.col(f"lead.{c}").alias(c) for c in ("record_id", "stage", "rank", "bank_status", "manual_state", "expected_credit_at")],
+        listed("item_names").alias("item_names"), listed("asins").alias("asins"), "amount_cents", "amount_conflict", "flagged_cents",
+        "identity_conflict", "bank_conflict", "credit_review", "reconciled", "all_confirmed", "all_bank_confirmed", "authoritative", "low_rank", "ranks", "last_scanned_at",
+        F.transform("held", lambda x: x["status_text"]).alias("status_texts"), F.get(F.filter(F.transform("held", lambda x: x["card_last4"]), lambda c: filled(c).isNotNull()), F.lit(0)).alias("card_last4"), *carry)
+
+
+# --- purchased items against return groups ------------------------------------------------------------------------------
 
 
 def norm_title(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " "))
+    """Letters and digits in lower case with single blanks, order ids left out."""
+    plain = F.regexp_replace(F.coalesce(name, F.lit("")), r"\d{3}-\d{7}-\d{7}", " ")
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
+
 
+def item_struct(pos: Column, **given: Column) -> Column:
+    """An item as the row operators hold it: the columns of an item, its position, title and upper-case ASIN."""
+    get = lambda c: given.get(c, F.lit(None)).cast(schema.ITEM_COLUMNS[c]).alias(c)
+    asin = F.upper(filled(F.trim(get("asin"))))
+    return F.struct(pos.cast("int").alias("pos"), get("item_key"), asin.alias("asin"), get("item_name"), get("replacement_stage"), get("replacement_status_text"), norm_title(get("item_name")).alias("title"))
 
-def match_score(asin: Column, name: Column, asins: Column, names: Column) -> Column:
+
+def items_of_orders(items: DataFrame) -> DataFrame:
+    """One row an order: items, the list of its purchased items, in order of position and key."""
+    full = schema.completed(items, schema.ITEM_COLUMNS)
+    each = item_struct(F.coalesce("pos", F.lit(0)), **{c: F.col(c) for c in schema.ITEM_COLUMNS if c != "pos"})
+    return full.select(*KEY, each.alias("i")).groupBy(*KEY).agg(F.sort_array(F.collect_list("i")).alias("items"))
+
+
+def legacy_items(names: Column, asins: Column) -> Column:
+    """Items of an order record that only holds names and ASINs: paired if both lists are equally long, names alone otherwise."""
+    def build(n: Column) -> Column:
+        upper = distinct_ci(F.transform(clean_strings(asins), F.upper))
+        asin = lambda i: F.when(F.size(upper) == F.size(n), F.get(upper, i))
+        key = lambda x, i: F.coalesce(F.concat(F.lit("asin:"), asin(i)), F.concat(F.lit("title:"), F.substring(norm_title(x), 1, 100)))
+        return F.transform(n, lambda x, i: item_struct(i, item_key=key(x, i), asin=asin(i), item_name=x))
+
+    return bound(distinct_ci(names), build)
+
+
+def match_score(item: Column, asins: Column, titles: Column) -> Column:
     """100 for a shared ASIN, 80 for an equal title, 70 if one title (24 characters and 4 words at least) starts the other, else 0."""
-    own = norm_title(name)
+    own = item["title"]
 
     def near(other: Column) -> Column:
-        o = norm_title(other)
-        short = F.when(F.length(o) < F.length(own), o).otherwise(own)
-        long = F.when(F.length(o) < F.length(own), own).otherwise(o)
+        short, long = F.when(F.length(own) <= F.length(other), own).otherwise(other), F.when(F.length(own) > F.length(other), own).otherwise(other)
         return (F.length(short) >= 24) & (F.size(F.split(short, " ")) >= 4) & long.startswith(short)
 
-    return F.when(asin.isNotNull() & F.array_contains(asins, asin), 100).when(F.exists(names, lambda n: (norm_title(n) == own) & (own != "")), 80).when(F.exists(names, near), 70).otherwise(0)
+    titled = F.when(own == "", 0).when(F.array_contains(titles, own), 80).when(F.exists(titles, near), 70).otherwise(0)
+    return F.when(item["asin"].isNotNull() & F.array_contains(asins, F.coalesce(item["asin"], F.lit(""))), 100).otherwise(titled)
+
+
+def best_item(items: Column, asins: Column, names: Column) -> Column:
+    """struct<item_key, score> of the only item that scores best against a group and at least 70; key null if there is none."""
+    evidence = F.struct(F.transform(clean_strings(asins), F.upper).alias("a"), F.filter(F.transform(clean_strings(names), norm_title), lambda t: t != "").alias("t"))
 
+    def pick(scored: Column) -> Column:
+        best = F.array_max(F.transform(scored, lambda x: x["score"]))
+        return bound(F.filter(scored, lambda x: (x["score"] == best) & (best >= 70)), lambda top: F.struct(F.when(F.size(top) == 1, top[0]["item_key"]).alias("item_key"), best.alias("score")))
 
-def score_items(items: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every item of an order against every group of it, joined on the order key, with a score."""
-    g = groups.select(*KEY, "group_key", F.col("asins").alias("g_asins"), F.col("item_names").alias("g_names"))
-    return items.join(g, KEY).withColumn("score", match_score(F.col("asin"), F.col("item_name"), F.col("g_asins"), F.col("g_names")))
+    scored = bound(evidence, lambda e: F.transform(items, lambda i: F.struct(match_score(i, e["a"], e["t"]).alias("score"), i["item_key"].alias("item_key"))))
+    return bound(scored, pick)
 
 
 def match_items_to_groups(items: DataFrame, groups: DataFrame) -> DataFrame:
-    """account_id, order_id, group_key, item_key, score: each group with the only item that scores best and at least 70."""
-    w = W.partitionBy(*KEY, "group_key")
-    scored = score_items(items, groups).where("score >= 70").withColumn("best", F.max("score").over(w)).where("score = best")
-    alone = scored.withColumn("n_best", F.count("*").over(w)).where("n_best = 1")
-    return alone.select(*KEY, "group_key", "item_key", "score")
+    """account_id, order_id, group_key, item_key, score: each group with the only item of its order that scores best and at least 70."""
+    best = groups.join(items_of_orders(items), KEY).select(*KEY, "group_key", best_item(F.col("items"), F.col("asins"), F.col("item_names")).alias("m"))
+    return best.where("m.item_key IS NOT NULL").select(*KEY, "group_key", "m.item_key", "m.score")
 
 
 def unmatched_groups(groups: DataFrame, matches: DataFrame) -> DataFrame:
@@ -104,7 +156,7 @@ def unmatched_groups(groups: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def item_states(items: DataFrame, groups: DataFrame, matches: DataFrame) -> DataFrame:
-    """Every purchased item with the number, furthest stage and newest scan of its return groups, and how the order's items returned."""
+    """Every purchased item with the number and furthest stage of its return groups, and how many of the order's items returned."""
     g = groups.select(*KEY, "group_key", "rank", "stage")
     attached = matches.join(g, [*KEY, "group_key"]).groupBy(*KEY, "item_key").agg(F.count("*").alias("n_groups"), F.max("rank").alias("best_rank"))
     out = items.join(attached, [*KEY, "item_key"], "left").withColumn("n_groups", F.coalesce("n_groups", F.lit(0)))
@@ -113,55 +165,108 @@ def item_states(items: DataFrame, groups: DataFrame, matches: DataFrame) -> Data
 
 
 def replacement_rollup(items: DataFrame) -> DataFrame:
-    """Per order: items with a replacement, and the stage of the least advanced one."""
-    has = items.where("replacement_stage IS NOT NULL")
-    return has.groupBy(*KEY).agg(F.count("*").alias("n_replacements"), F.min(F.struct(schema.ranked(F.col("replacement_stage"), schema.REPLACEMENT_RANKS).alias("r"), "replacement_stage")).alias("m")).select(
-        *KEY, "n_replacements", F.col("m.replacement_stage").alias("replacement_stage"))
+    """Per order: items with a replacement, and the stage of the least advanced one (the first of equally advanced ones)."""
+    has = schema.completed(items, schema.ITEM_COLUMNS).where("replacement_stage IS NOT NULL")
+    least = F.struct(schema.ranked(F.col("replacement_stage"), schema.REPLACEMENT_RANKS), F.coalesce("pos", F.lit(0)), "item_key", "replacement_stage")
+    return has.groupBy(*KEY).agg(F.count("*").alias("n_replacements"), F.min(least)["replacement_stage"].alias("replacement_stage"))
 
 
-def data_complete() -> Column:
-    return F.coalesce("terminal_cancelled", F.lit(False)) | (F.coalesce("order_data_complete", F.lit(False)) & (F.coalesce("n_authoritative", F.lit(0)) >= F.coalesce("expected_returns", F.lit(0))))
+def replacement_label(stage: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in schema.REPLACEMENT_LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(stage)), F.lit("Replacement"))
 
 
-def prepared_returns(returns: DataFrame, now: str) -> DataFrame:
-    """Returns with stage, rank, bank columns and the review rule."""
-    return R.needs_credit_review(R.bank_columns(R.with_stage(returns)), now)
+def stage_label(rank: Column) -> Column:
+    return F.get(F.array(*map(F.lit, schema.STAGE_LABELS)), rank)
+
+
+# --- the order row ------------------------------------------------------------------------------------------------------
+
+
+def data_complete(n_authoritative: Column, order: str = "") -> Column:
+    """Whether an order is known whole: cancelled for good, or its details are complete and so many returns authoritative as expected."""
+    o = lambda c, default: F.coalesce(F.col(f"{order}{c}"), F.lit(default))
+    return o("terminal_cancelled", False) | (o("order_data_complete", False) & (F.coalesce(n_authoritative, F.lit(0)) >= o("expected_returns", 0)))
+
+
+def order_records(orders: DataFrame, returns: DataFrame, now: str) -> DataFrame:
+    """The deduplicated returns that count, each beside its order `o` (struct) with data_complete; an order without any has one row.
+
+    Once an order is complete and expects returns, only authoritative ones count.
+    """
+    current = current_orders(schema.completed(orders, schema.ORDER_COLUMNS)).select(*KEY, F.struct(*schema.ORDER_COLUMNS).alias("o"))
+    # hash partitions of the order key also serve the window over return identities
+    known = dedupe_returns(prepared_returns(returns.repartition(*KEY), now))
+    added = ["group_key", "identity", "stage", "rank", "bank_confirmed", "credit_confirmed", "bank_conflict", "credit_review"]
+    known = known.select(*KEY, F.struct(*schema.RETURN_COLUMNS, *added).alias("r"))
+    both = current.join(known, KEY, "full_outer")
+    both = both.withColumn("data_complete", data_complete(F.count_if("r.authoritative").over(W.partitionBy(*KEY)), "o."))
+    strict = F.col("data_complete") & (F.coalesce("o.expected_returns", F.lit(0)) > 0)
+    return both.withColumn("r", F.when(~strict | F.coalesce("r.authoritative", F.lit(False)), F.col("r"))).select(*KEY, "o", "data_complete", "r.*")
+
+
+def used_returns(orders: DataFrame, returns: DataFrame, now: str) -> DataFrame:
+    """The returns that count in order_rows(), prepared and deduplicated, with data_complete of their order."""
+    return order_records(orders, returns, now).where("record_id IS NOT NULL").drop("o")
 
 
 def order_rows(orders: DataFrame, returns: DataFrame, items: DataFrame, now: str) -> DataFrame:
     """The flagship: one row an order that has an order record or a return.
 
-    Joins current orders, return groups (only authoritative returns once an order is complete and expects any), item
-    matches and replacements; adds completeness, refund roll-up, flags, state and label.
+    Joins current orders, the return groups that count, and purchased items (those of the order record's own lists
+    where no items are given). Adds completeness, refund roll-up, flags, state, label, the money under review and descriptors.
+    ranks lists the stages that any return is at; returns_cents sums the groups' known amounts.
     """
-    cur = current_orders(orders)
-    prepared = dedupe_returns(prepared_returns(returns, now))
-    counted = prepared.groupBy(*KEY).agg(F.count_if("authoritative").alias("n_authoritative"))
-    known = cur.join(counted, KEY, "left").withColumn("data_complete", data_complete())
-    strict = known.where(F.col("data_complete") & (F.coalesce("expected_returns", F.lit(0)) > 0)).select(*KEY, F.lit(True).alias("__strict"))
-    used = prepared.join(strict, KEY, "left").where(F.col("__strict").isNull() | F.col("authoritative")).drop("__strict")
-    groups = group_returns(used)
-    matches = match_items_to_groups(items, groups)
-    strong = unmatched_groups(groups, matches).groupBy(*KEY).agg(F.count("*").alias("n_unmatched"), F.bool_or("strong_identity").alias("strong_unmatched"))
-    rolled = groups.groupBy(*KEY).agg(
-        F.count("*").alias("n_groups"), F.sum("amount_cents").alias("returns_cents"), F.min("rank").alias("low_rank"), F.max("rank").alias("high_rank"),
-        F.bool_or("identity_conflict").alias("identity_conflict"), F.bool_or("amount_conflict").alias("amount_conflict"), F.bool_or("bank_conflict").alias("bank_conflict"),
-        F.bool_or("credit_review").alias("any_review"), F.bool_and("all_confirmed").alias("all_credited"), F.bool_and(F.col("rank") >= 4).alias("all_issued"),
-        F.bool_and(F.coalesce(F.col("manual_state") == "reconciled", F.lit(False))).alias("reconciled"), F.max("last_scanned_at").alias("returns_scanned_at"))
-    bought = items.groupBy(*KEY).agg(F.count("*").alias("n_items"))
-    returned = matches.groupBy(*KEY).agg(F.count_distinct("item_key").alias("n_returned_items"))
-    base = known.join(rolled, KEY, "full_outer").join(strong, KEY, "left").join(bought, KEY, "left").join(returned, KEY, "left").join(replacement_rollup(items), KEY, "left")
-    no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    refund = F.coalesce("canonical_refund_cents", "returns_cents")
-    mismatch = F.coalesce(F.col("returns_cents") > F.col("canonical_refund_cents") + schema.TOLERANCE_CENTS, F.lit(False))
-    rows = base.select(
-        *KEY, no("data_complete").alias("data_complete"), no("terminal_cancelled").alias("cancelled"), "processing_error", "purchase_cents", "card_last4",
-        zero("n_groups").alias("n_groups"), zero("n_unmatched").alias("n_unmatched"), zero("n_items").alias("n_items"), zero("n_returned_items").alias("n_returned_items"), zero("n_replacements").alias("n_replacements"), "replacement_stage",
-        refund.cast("long").alias("refund_cents"), mismatch.alias("amount_mismatch"), no("identity_conflict").alias("identity_conflict"), no("amount_conflict").alias("amount_conflict"), no("bank_conflict").alias("bank_conflict"),
-        no("strong_unmatched").alias("strong_unmatched"), no("any_review").alias("any_review"), no("all_issued").alias("all_issued"), no("all_credited").alias("all_credited"), no("reconciled").alias("reconciled"),
-        "low_rank", "high_rank", F.year("order_date").alias("order_year"), F.coalesce(F.col("order_date").cast("timestamp"), F.greatest("last_scanned_at", "returns_scanned_at")).alias("sort_at"))
-    return state_and_label(needs_review(rows))
+    groups = group_returns(order_records(orders, returns, now), "o", "data_complete")
+    listed = F.when(F.size("items") > 0, F.col("items")).otherwise(legacy_items(F.col("o.item_names"), F.col("o.asins")))
+    placed = groups.join(items_of_orders(items), KEY, "left").withColumn("items", listed)
+    real = F.col("n_records") > 0
+    placed = placed.withColumn("m", F.when(real, best_item(F.col("items"), F.col("asins"), F.col("item_names"))))
+    only = lambda c: F.when(real, F.col(c))
+    lost = real & F.col("m.item_key").isNull()
+    each = F.struct("group_key", "item_names", "asins", "status_texts", "card_last4", F.col("m.item_key").alias("item_key"), "rank")
+    some = lambda c: F.coalesce(F.bool_or(only(c)), F.lit(False)).alias(c)
+    all_ = lambda c: F.coalesce(F.bool_and(F.when(real, c)), F.lit(False))
+    rolled = placed.groupBy(*KEY).agg(
+        F.first("o").alias("o"), F.first("items").alias("items"), F.coalesce(F.bool_or("data_complete"), F.lit(False)).alias("data_complete"),
+        F.count_if(real).alias("n_groups"), F.count_if(lost).alias("n_unmatched"), F.coalesce(F.bool_or(lost & (F.size("asins") > 0)), F.lit(False)).alias("strong_unmatched"),
+        F.sum(only("amount_cents")).alias("returns_cents"), F.sum(only("flagged_cents")).alias("flagged_cents"),
+        F.min(only("low_rank")).alias("low_rank"), F.max(only("rank")).alias("high_rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(only("ranks"))))).alias("ranks"),
+        *[some(c) for c in ("identity_conflict", "amount_conflict", "bank_conflict", "reconciled")], F.coalesce(F.bool_or(only("credit_review")), F.lit(False)).alias("any_review"),
+        all_(F.col("low_rank") >= 5).alias("all_credited"), all_(F.col("low_rank") >= 4).alias("all_issued"), all_(F.col("all_bank_confirmed")).alias("all_bank_confirmed"),
+        F.max(only("last_scanned_at")).alias("returns_scanned_at"), F.array_sort(F.collect_list(F.when(real, each))).alias("gs"))
+    return review_money(state_and_label(needs_review(described(rolled))))
+
+
+def described(rolled: DataFrame) -> DataFrame:
+    """Plain columns of an order row from its order `o`, items and groups `gs`, with names, ASINs, status words and links."""
+    o = lambda c: F.col(f"o.{c}")
+    gathered = lambda c: F.flatten(F.transform("gs", lambda g: F.coalesce(g[c], F.array().cast(STRINGS))))
+    replaced = F.filter("items", lambda i: i["replacement_stage"].isNotNull())
+    least = F.array_min(F.transform("replaced", lambda i: F.struct(schema.ranked(i["replacement_stage"], schema.REPLACEMENT_RANKS), i["pos"], i["item_key"], i["replacement_stage"].alias("stage"))))
+    hits = lambda i: F.filter("gs", lambda g: g["item_key"] == i["item_key"])
+    best = lambda i: F.array_max(F.transform(hits(i), lambda g: g["rank"]))
+    said = F.concat(F.transform("replaced", lambda i: F.coalesce(filled(i["replacement_status_text"]), replacement_label(i["replacement_stage"]))), gathered("status_texts"))
+    bought = distinct_ci(F.transform("items", lambda i: i["item_name"]))
+    url = o("order_details_url")
+    x = rolled.withColumns({"replaced": replaced, "bought": bought, "returned_names": distinct_ci(gathered("item_names"))})
+    x = x.withColumns({"order_names": F.when(F.size("bought") > 0, F.col("bought")).otherwise(distinct_ci(o("item_names"))), "said": F.array_join(distinct_ci(said), " · "), "least": least})
+    returns_cents, refund = F.col("returns_cents"), o("canonical_refund_cents")
+    scanned = F.greatest(o("last_scanned_at"), F.col("returns_scanned_at"))
+    return x.select(
+        *KEY, "data_complete", F.coalesce(o("terminal_cancelled"), F.lit(False)).alias("cancelled"), filled(o("processing_error")).alias("processing_error"), o("processing_state").alias("processing_state"),
+        o("purchase_cents").alias("purchase_cents"), F.coalesce(filled(o("card_last4")), F.get(F.filter(F.transform("gs", lambda g: g["card_last4"]), lambda c: c.isNotNull()), F.lit(0))).alias("card_last4"),
+        "n_groups", "n_unmatched", F.size("items").cast("long").alias("n_items"), F.size(F.filter("items", lambda i: F.size(hits(i)) > 0)).cast("long").alias("n_returned_items"),
+        F.size("replaced").cast("long").alias("n_replacements"), F.col("least.stage").alias("replacement_stage"),
+        F.coalesce(refund, returns_cents).cast("long").alias("refund_cents"), returns_cents.cast("long").alias("returns_cents"), F.coalesce("flagged_cents", F.lit(0)).cast("long").alias("flagged_cents"),
+        F.coalesce(returns_cents > refund + schema.TOLERANCE_CENTS, F.lit(False)).alias("amount_mismatch"), "identity_conflict", "amount_conflict", "bank_conflict", "strong_unmatched",
+        "any_review", "all_issued", "all_credited", "all_bank_confirmed", "reconciled", "low_rank", "high_rank", "ranks",
+        F.year(o("order_date")).alias("order_year"), F.coalesce(o("order_date").cast("timestamp"), scanned).alias("sort_at"), scanned.alias("last_scanned_at"),
+        F.when(F.size("order_names") > 0, F.col("order_names")).otherwise(F.col("returned_names")).alias("item_names"), "returned_names", distinct_ci(F.concat("order_names", "returned_names")).alias("search_names"),
+        distinct_ci(F.concat(F.coalesce(o("asins"), F.array().cast(STRINGS)), F.transform("items", lambda i: i["asin"]), gathered("asins"))).alias("asins"),
+        F.coalesce(filled(F.col("said")), filled(o("status_text")), filled(o("status")), F.lit("—")).alias("shop_status"), o("status_text").alias("order_status_text"),
+        F.coalesce(o("detail_scan_complete"), F.lit(False)).alias("detail_complete"), F.when(url.rlike(DETAIL_ROUTE), url).otherwise("").alias("open_url"),
+        F.transform("items", lambda i: F.concat(i["item_name"], F.lit(" => "), F.coalesce(stage_label(best(i)), F.lit("Not returned")))).alias("product_statuses"))
 
 
 def needs_review(rows: DataFrame) -> DataFrame:
@@ -171,33 +276,47 @@ def needs_review(rows: DataFrame) -> DataFrame:
 
 
 def state_and_label(rows: DataFrame) -> DataFrame:
-    """Adds state and label by precedence; the label of a return is that of its least advanced group."""
+    """Adds state and label by precedence; a return's label is that of its least advanced record."""
+    has = F.col("n_groups") > 0
     state = (
-        F.when(F.col("processing_error").isNotNull(), "error").when(~F.col("data_complete"), "processing").when(F.col("cancelled"), "cancelled").when(F.col("reconciled") & (F.col("n_groups") > 0), "reconciled")
-        .when(F.col("needs_review"), "needs_review").when((F.col("n_groups") > 0) & F.col("all_credited"), "credited").when((F.col("n_groups") > 0) & F.col("all_issued"), "refund_issued")
-        .when(F.col("n_groups") > 0, "return").when(F.col("n_replacements") > 0, "replacement").otherwise("purchase"))
-    reason = F.when(F.col("identity_conflict"), "Item identity conflict").when(F.col("bank_conflict"), "Bank and shop disagree").when(F.col("amount_conflict"), "Group amounts differ").when(F.col("amount_mismatch"), "Refunds exceed order total").when(F.col("strong_unmatched"), "Returned item not in order").otherwise("Credit not confirmed")
-    stage = F.get(F.array(*map(F.lit, schema.STAGE_LABELS)), F.col("low_rank"))
+        F.when(~F.col("data_complete") & F.col("processing_error").isNotNull(), "error").when(~F.col("data_complete"), "processing")
+        .when(F.col("cancelled") & ~has, "cancelled").when(F.col("reconciled"), "reconciled").when(F.col("needs_review"), "needs_review")
+        .when(F.col("all_credited"), "credited").when(F.col("all_issued"), "refund_issued").when(has, "return").when(F.col("n_replacements") > 0, "replacement").otherwise("purchase"))
+    lowest = stage_label(F.col("low_rank"))
+    reason = (
+        F.when(F.col("amount_mismatch"), "Refund amount mismatch").when(F.col("identity_conflict"), "Item needs review").when(F.col("amount_conflict"), "Return refund needs review")
+        .when(F.col("strong_unmatched"), "Returned item needs matching").when(F.col("bank_conflict"), "Bank/shop status conflict").otherwise(lowest))
+    s = F.col("state")
     label = (
-        F.when(F.col("state") == "error", F.col("processing_error")).when(F.col("state") == "processing", "Processing").when(F.col("state") == "cancelled", "Cancelled").when(F.col("state") == "reconciled", "Reconciled")
-        .when(F.col("state") == "needs_review", reason).when(F.col("n_groups") > 0, stage).when(F.col("state") == "replacement", F.concat(F.lit("Replacement "), F.col("replacement_stage"))).otherwise("No return"))
+        F.when(s == "error", "Processing error").when((s == "processing") & (F.col("processing_state") == "retrying"), "Retrying").when(s == "processing", "Processing")
+        .when(s == "cancelled", "Cancelled").when(s == "reconciled", "Reconciled").when(s == "needs_review", reason).when(s == "credited", "Shop credited")
+        .when(s == "refund_issued", "Refund issued").when(s == "return", lowest).when(s == "replacement", replacement_label(F.col("replacement_stage")))
+        .otherwise(F.coalesce(filled(F.col("order_status_text")), F.when(F.col("detail_complete"), "Order details captured").otherwise("Order discovered"))))
     return rows.withColumn("state", state).withColumn("label", label)
 
 
-def row_descriptors(orders: DataFrame, returns: DataFrame) -> DataFrame:
-    """Per order: distinct status texts, latest scan, names and ASINs of all its records, its first card."""
-    cols = [*KEY, "record_id", "status_text", "last_scanned_at", "item_name", "asin", "card_last4"]
-    has = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in cols])
-    both = has(orders).unionByName(has(returns))
-    g = both.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("record_id", "status_text", "item_name", "asin"))).alias("r"), F.max("last_scanned_at").alias("latest_scan_at"), F.min_by("card_last4", F.when(F.col("card_last4").isNotNull(), F.col("record_id"))).alias("card_last4"))
-    pick = lambda c: distinct_ci(F.transform("r", lambda x: x[c]))
-    return g.select(*KEY, F.array_join(pick("status_text"), " · ").alias("status_texts"), "latest_scan_at", pick("item_name").alias("item_names"), pick("asin").alias("asins"), "card_last4")
+def review_money(rows: DataFrame) -> DataFrame:
+    """Adds review_cents of rows under review: the amounts of their flagged returns, or the row's refund where amounts or identities disagree."""
+    broken = F.col("amount_mismatch") | F.col("amount_conflict") | F.col("identity_conflict") | F.col("strong_unmatched")
+    money = F.coalesce(F.when(broken, F.col("refund_cents")), F.col("flagged_cents"))
+    return rows.withColumn("review_cents", F.when(F.col("needs_review"), money)).drop("flagged_cents", "order_status_text")
+
+
+ROW_DESCRIPTORS = ["shop_status", "last_scanned_at", "order_year", "sort_at", "item_names", "returned_names", "asins", "card_last4", "detail_complete", "open_url"]
+
+
+def row_descriptors(rows: DataFrame) -> DataFrame:
+    """The descriptive columns of order rows."""
+    return rows.select(*KEY, *ROW_DESCRIPTORS)
 
 
 def lifecycle_steps(groups: DataFrame) -> DataFrame:
     """Five rows a group: step number, name, label, whether done; the expected date on the last one while it's open."""
-    steps = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(n).alias("name"), F.lit(schema.STAGE_LABELS[k]).alias("label")) for k, n in enumerate(schema.STAGE_NAMES) if k])
+    # Names of the steps.
+    names = ["Initiated", "Dropped off", "Return received", "Refund issued", "Refund credited"]
+    steps = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(n).alias("name"), F.lit(names[k - 1]).alias("label")) for k, n in enumerate(schema.STAGE_NAMES) if k])
     x = groups.select(*KEY, "group_key", "rank", "expected_credit_at", "bank_status", F.explode(steps).alias("s"))
     open_last = (F.col("s.step") == 5) & (F.col("rank") < 5)
-    return x.select(*KEY, "group_key", F.col("s.step").alias("step"), F.col("s.name").alias("name"), F.col("s.label").alias("label"), (F.col("s.step") <= F.col("rank")).alias("done"),
-                    F.when(open_last, F.col("expected_credit_at")).alias("expected_at"), F.when(F.col("s.step") == 5, F.col("bank_status")).alias("bank_status"))
+    return x.select(
+        *KEY, "group_key", F.col("s.step").alias("step"), F.col("s.name").alias("name"), F.col("s.label").alias("label"), (F.col("s.step") <= F.col("rank")).alias("done"),
+        F.when(open_last, F.col("expected_credit_at")).alias("expected_at"), F.when(F.col("s.step") == 5, F.col("bank_status")).alias("bank_status"))

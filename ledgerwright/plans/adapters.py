@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _ID = "{fmt}('%03d-%07d-%07d', o_custkey % 1000, o_orderkey, (o_orderkey * 7) % 10000000)"
+#: Ten customers share an account, so the number of accounts grows with the tables.
+_ACCOUNT = "{fmt}('A%d', CAST(floor(o_custkey / 10) AS INTEGER))"
 
 ORDERS_ONCE = f"""
-SELECT 'main' AS account_id, o_orderkey, {_ID} AS order_id, 'order:' || {_ID} AS record_id,
-  CAST(round(o_totalprice * 100) AS BIGINT) AS purchase_cents, {{fmt}}('%04d', o_custkey % 10000) AS card_last4, o_orderpriority <> '5-LOW' AS order_data_complete,
-  CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 2 = 0 THEN 'Detail page incomplete' END AS processing_error, o_orderkey % 50 = 0 AS terminal_cancelled,
-  CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(round(o_totalprice * 100) / 4) AS BIGINT) END AS canonical_refund_cents, CAST(o_orderdate AS DATE) AS order_date, CAST(o_orderdate AS TIMESTAMP) AS last_scanned_at,
+SELECT {_ACCOUNT} AS account_id, o_orderkey, {_ID} AS order_id, 'order:' || {_ID} AS record_id,
+  CAST(round(o_totalprice * 100) AS BIGINT) AS purchase_cents,
+  CASE WHEN o_orderkey % 8 <> 0 THEN {{fmt}}('%04d', o_custkey % 10000) END AS card_last4,
+  o_orderpriority <> '5-LOW' AS order_data_complete,
+  CASE WHEN (o_orderpriority = '5-LOW' AND o_orderkey % 2 = 0) OR o_orderkey % 40 = 0 THEN 'Detail page incomplete' END AS processing_error,
+  CASE WHEN o_orderkey % 3 = 1 THEN 'retrying' END AS processing_state,
+  o_orderkey % 50 = 0 AS terminal_cancelled,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(round(o_totalprice * 100) / 4) AS BIGINT) END AS canonical_refund_cents,
+  CAST(o_orderdate AS DATE) AS order_date, CAST(o_orderdate AS TIMESTAMP) AS last_scanned_at,
   o_orderpriority <> '5-LOW' AS detail_scan_complete, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS expected_returns,
-  CASE WHEN o_orderkey % 9 <> 0 THEN 'https://shop.example.com/your-orders/order-details?orderID=' || {_ID} END AS order_details_url
+  CASE WHEN o_orderkey % 9 <> 0 THEN 'https://shop.example.com/your-orders/order-details?orderID=' || {_ID} END AS order_details_url,
+  'purchase' AS status, CASE WHEN o_orderkey % 7 = 0 THEN 'Delivered to the door' END AS status_text
 FROM {{orders}}
 """
 
@@ -20,37 +28,62 @@ FROM {{orders}}
 ORDERS = f"""
 SELECT * FROM ({ORDERS_ONCE}) a
 UNION ALL
-SELECT account_id, o_orderkey, order_id, record_id || ':again', CAST(NULL AS BIGINT), card_last4, order_data_complete, processing_error, terminal_cancelled, canonical_refund_cents, order_date,
-  last_scanned_at + INTERVAL 1 DAY, FALSE, expected_returns, order_details_url
+SELECT account_id, o_orderkey, order_id, record_id || ':again', CAST(NULL AS BIGINT), card_last4, order_data_complete, processing_error, processing_state,
+  terminal_cancelled, canonical_refund_cents, order_date, last_scanned_at + INTERVAL 1 DAY, FALSE, expected_returns, order_details_url, status, status_text
 FROM ({ORDERS_ONCE}) b WHERE o_orderkey % 10 = 0
 """
 
+#: Some ASINs are in lower case: they must match those of the returns all the same.
 ITEMS = f"""
-SELECT 'main' AS account_id, {_ID} AS order_id, {{fmt}}('P%d', l_partkey) AS item_key, {{fmt}}('B%09d', l_partkey) AS asin, p_name || ' ' || p_brand || ' ' || p_type AS item_name,
-  CAST(sum(l_quantity) AS INTEGER) AS quantity, CAST(sum(round(l_extendedprice * (1 - l_discount) * 100)) AS BIGINT) AS item_amount_cents,
-  CASE WHEN l_partkey % 17 = 0 THEN CASE l_partkey % 3 WHEN 0 THEN 'requested' WHEN 1 THEN 'shipped' ELSE 'delivered' END END AS replacement_stage
+SELECT {_ACCOUNT} AS account_id, {_ID} AS order_id, {{fmt}}('P%d', l_partkey) AS item_key,
+  CASE WHEN l_partkey % 4 = 1 THEN {{fmt}}('b%09d', l_partkey) ELSE {{fmt}}('B%09d', l_partkey) END AS asin,
+  p_name || ' ' || p_brand || ' ' || p_type AS item_name, CAST(sum(l_quantity) AS INTEGER) AS quantity,
+  CAST(sum(round(l_extendedprice * (1 - l_discount) * 100)) AS BIGINT) AS item_amount_cents,
+  CASE WHEN l_partkey % 17 = 0 THEN CASE l_partkey % 3 WHEN 0 THEN 'requested' WHEN 1 THEN 'shipped' ELSE 'delivered' END END AS replacement_stage,
+  CASE WHEN l_partkey % 34 = 0 THEN 'A replacement is under way' END AS replacement_status_text
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey
 GROUP BY o_custkey, o_orderkey, l_partkey, p_name, p_brand, p_type
 """
 
 _RETURNS_ONCE = f"""
-SELECT 'main' AS account_id, o_orderkey, l_partkey, {_ID} AS order_id, {{fmt}}('RMA%07d', l_suppkey % 4) AS return_token, 'return:' || {_ID} || {{fmt}}(':RMA%07d:%d', l_suppkey % 4, l_partkey) AS record_id,
-  CAST((o_orderkey + l_partkey) % 6 AS INTEGER) AS k, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(sum(round(l_extendedprice * (1 - l_discount) * 100)) AS BIGINT) END AS refund_cents,
-  CASE l_partkey % 3 WHEN 0 THEN 'item' WHEN 1 THEN 'return' END AS refund_scope, {{fmt}}('B%09d', CASE WHEN l_partkey % 5 = 0 THEN l_partkey + 1 ELSE l_partkey END) AS asin,
-  CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE p_name || ' ' || p_brand || ' ' || p_type END AS item_name, max(l_linestatus) = 'F' AS authoritative, CAST(max(l_shipdate) AS TIMESTAMP) AS last_scanned_at,
-  CASE l_partkey % 7 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'needs_review' END AS bank_status, CASE WHEN l_partkey % 29 = 0 THEN 'reconciled' END AS manual_state, l_partkey % 37 = 0 AS identity_conflict,
-  CASE WHEN l_partkey % 2 = 0 THEN CAST(max(l_shipdate) AS TIMESTAMP) + INTERVAL 30 DAY END AS expected_credit_at, CASE WHEN l_partkey % 13 = 0 THEN 'order-detail-return-link' END AS item_identity_source
+SELECT {_ACCOUNT} AS account_id, o_orderkey, l_partkey, {_ID} AS order_id, {{fmt}}('RMA%07d', l_suppkey % 4) AS return_token,
+  'return:' || {_ID} || {{fmt}}(':RMA%07d:%d', l_suppkey % 4, l_partkey) AS record_id, CAST((o_orderkey + l_partkey) % 6 AS INTEGER) AS k,
+  CASE WHEN l_partkey % 11 <> 0 AND l_partkey % 10 <> 3 THEN CAST(sum(round(l_extendedprice * (1 - l_discount) * 100)) AS BIGINT) END AS refund_cents,
+  CASE WHEN l_partkey % 22 = 0 THEN CAST(777 AS BIGINT) END AS refund_subtotal_cents,
+  CASE WHEN l_partkey % 10 = 3 THEN CAST(5000 + l_partkey % 4 AS BIGINT) END AS group_refund_cents,
+  CASE l_partkey % 3 WHEN 0 THEN 'item' WHEN 1 THEN 'return' END AS refund_scope,
+  {{fmt}}('B%09d', CASE WHEN l_partkey % 5 = 0 THEN l_partkey + 1 ELSE l_partkey END) AS asin,
+  CASE WHEN l_partkey % 5 <> 0 THEN p_name || ' ' || p_brand || ' ' || p_type END AS item_name,
+  max(l_linestatus) = 'F' AS authoritative, CAST(max(l_shipdate) AS TIMESTAMP) AS last_scanned_at,
+  CASE l_partkey % 7 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'needs_review' END AS bank_status,
+  CASE WHEN l_partkey % 29 = 0 THEN 'reconciled' END AS manual_state, l_partkey % 37 = 0 AS identity_conflict,
+  CASE WHEN l_partkey % 2 = 0 THEN CAST(max(l_shipdate) AS TIMESTAMP) + INTERVAL 30 DAY END AS expected_credit_at,
+  CASE WHEN l_partkey % 13 = 0 THEN 'order-detail-return-link' END AS item_identity_source,
+  CASE l_partkey % 3 WHEN 0 THEN 'refunded' WHEN 1 THEN 'returned_pending_refund' ELSE 'return_in_progress' END AS status,
+  CASE WHEN l_partkey % 9 = 0 THEN 'Return number ' || CAST(l_partkey % 2 AS VARCHAR(9)) WHEN l_partkey % 2 = 0 THEN 'We have received your return' END AS status_text,
+  CASE WHEN l_partkey % 6 = 0 THEN {{fmt}}('%04d', l_partkey % 10000) END AS card_last4
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey WHERE l_returnflag = 'R'
 GROUP BY o_custkey, o_orderkey, l_partkey, l_suppkey % 4, p_name, p_brand, p_type
 """
 
-_NAMES = "CASE {k} WHEN 0 THEN 'unknown' WHEN 1 THEN 'started' WHEN 2 THEN 'shipped' WHEN 3 THEN 'received' WHEN 4 THEN 'refund_issued' ELSE 'credited' END"
-_RETURN_COLUMNS = "account_id, o_orderkey, l_partkey, order_id, return_token, {record}, {stage} AS return_stage, refund_cents, refund_scope, asin, item_name, authoritative, NOT authoritative AS provisional, {at}, bank_status, manual_state, identity_conflict, expected_credit_at, item_identity_source, CAST(NULL AS VARCHAR(10)) AS return_item_id, CAST(NULL AS VARCHAR(10)) AS return_status_url, CAST(NULL AS VARCHAR(10)) AS status, CAST(NULL AS VARCHAR(10)) AS status_text, card"
+#: Parts divisible by 19 have no stage of their own, so it follows from status and status text.
+_STAGE = (
+    "CASE WHEN l_partkey % 19 = 0 THEN NULL WHEN {k} = 0 THEN 'unknown' WHEN {k} = 1 THEN 'started' WHEN {k} = 2 THEN 'shipped' "
+    "WHEN {k} = 3 THEN 'received' WHEN {k} = 4 THEN 'refund_issued' ELSE 'credited' END AS return_stage")
+_RETURN_COLUMNS = """SELECT account_id, o_orderkey, l_partkey, order_id, return_token, {record} AS record_id, {stage}, refund_cents, refund_subtotal_cents,
+  group_refund_cents, refund_scope, asin, item_name, authoritative, NOT authoritative AS provisional, {at} AS last_scanned_at, bank_status, manual_state,
+  identity_conflict, expected_credit_at, item_identity_source, status, status_text, card_last4"""
+
+
+def _returns(record: str, k: str, at: str) -> str:
+    return _RETURN_COLUMNS.replace("{record}", record).replace("{stage}", _STAGE.replace("{k}", k)).replace("{at}", at)
+
 
 #: Every eighth part's returns have a second, newer capture one stage behind.
-RETURNS = (
-    "SELECT " + _RETURN_COLUMNS.replace("{record}", "record_id").replace("{stage}", _NAMES.replace("{k}", "k")).replace("{at}", "last_scanned_at").replace(", card", "") + f" FROM ({_RETURNS_ONCE}) a\nUNION ALL\n"
-    "SELECT " + _RETURN_COLUMNS.replace("{record}", "record_id || ':again' AS record_id").replace("{stage}", _NAMES.replace("{k}", "greatest(k - 1, 0)")).replace("{at}", "last_scanned_at + INTERVAL 1 DAY AS last_scanned_at").replace(", card", "") + f" FROM ({_RETURNS_ONCE}) b WHERE l_partkey % 8 = 0")
+RETURNS = f"""{_returns("record_id", "k", "last_scanned_at")} FROM ({_RETURNS_ONCE}) a
+UNION ALL
+{_returns("record_id || ':again'", "greatest(k - 1, 0)", "last_scanned_at + INTERVAL 1 DAY")} FROM ({_RETURNS_ONCE}) b WHERE l_partkey % 8 = 0
+"""
 
 CAPTURES = """
 SELECT 'main' AS account_id, {fmt}('R%d', user_id * 10 + event_id % 7) AS record_id, event_id % 5 AS batch_id, event_id AS seq, ts AS captured_at,
@@ -60,24 +93,47 @@ SELECT 'main' AS account_id, {fmt}('R%d', user_id * 10 + event_id % 7) AS record
 FROM {events}
 """
 
-REQUESTS = "SELECT {fmt}('A%d', user_id % 3) AS account_id, {fmt}('Q%d', event_id) AS request_id, {fmt}('T%d', event_id % 50) AS return_token, CAST(round(value * 100) AS BIGINT) AS expected_cents, {fmt}('%04d', user_id % 3) AS card_last4, ts AS refund_issued_at FROM {events} WHERE event_type = 'error'"
-TRANSACTIONS = "SELECT {fmt}('A%d', user_id % 3) AS account_id, event_id AS txn_id, ts AS posted_at, CASE WHEN event_id % 10 = 0 THEN 'pending' ELSE 'posted' END AS txn_state, CAST(round(value * 100) AS BIGINT) AS amount_cents, {fmt}('%04d', event_id % 3) AS txn_last4, event_id % 2 = 0 AS merchant_match FROM {events} WHERE event_type = 'purchase'"
+REQUESTS = """
+SELECT {fmt}('A%d', user_id % 3) AS account_id, {fmt}('Q%d', event_id) AS request_id, {fmt}('T%d', event_id % 50) AS return_token,
+  CAST(round(value * 100) AS BIGINT) AS expected_cents, {fmt}('%04d', user_id % 3) AS card_last4, ts AS refund_issued_at
+FROM {events} WHERE event_type = 'error'
+"""
+TRANSACTIONS = """
+SELECT {fmt}('A%d', user_id % 3) AS account_id, event_id AS txn_id, ts AS posted_at, CASE WHEN event_id % 10 = 0 THEN 'pending' ELSE 'posted' END AS txn_state,
+  CAST(round(value * 100) AS BIGINT) AS amount_cents, {fmt}('%04d', event_id % 3) AS txn_last4, event_id % 2 = 0 AS merchant_match
+FROM {events} WHERE event_type = 'purchase'
+"""
 
-_NUMBERED = f"SELECT {_ID} AS order_id, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS n, o_orderdate AS placed_at FROM {{orders}}"
-#: Session 1 lists each year's orders ten a page, session 2 the same list shifted by three.
-HISTORY_ROWS = f"SELECT 'main' AS account_id, CAST(1 AS INTEGER) AS session_id, year, CAST(floor((n - 1) / 10) + 1 AS INTEGER) AS page, order_id, o_orderkey, placed_at FROM ({_NUMBERED}) a UNION ALL SELECT 'main', CAST(2 AS INTEGER), year, CAST(floor((n + 2) / 10) + 1 AS INTEGER), order_id, o_orderkey, placed_at FROM ({_NUMBERED}) b"
+_NUMBERED = f"""
+SELECT {_ACCOUNT} AS account_id, {_ID} AS order_id, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderdate AS placed_at,
+  CAST(row_number() OVER (PARTITION BY floor(o_custkey / 10), year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS n
+FROM {{orders}}
+"""
+#: Session 1 lists each account's orders of a year ten a page, session 2 the same list shifted by three.
+HISTORY_ROWS = f"""
+SELECT account_id, CAST(1 AS INTEGER) AS session_id, year, CAST(floor((n - 1) / 10) + 1 AS INTEGER) AS page, order_id, o_orderkey, placed_at FROM ({_NUMBERED}) a
+UNION ALL
+SELECT account_id, CAST(2 AS INTEGER), year, CAST(floor((n + 2) / 10) + 1 AS INTEGER), order_id, o_orderkey, placed_at FROM ({_NUMBERED}) b
+"""
 EVENT_LOG = "SELECT {fmt}('U%d', user_id) AS account_id, event_id, ts AS logged_at, event_type AS type FROM {events}"
 
 PAGE_TEXT = f"""
-SELECT 'main' AS account_id, o_orderkey AS page_id, 'https://shop.example.com/your-orders/order-details?orderID=' || {_ID} || '&ref=x' AS url, o_orderdate AS captured_at, {_ID} AS true_order_id,
-  CAST(round(o_totalprice * 100) AS BIGINT) AS true_cents, {{fmt}}('%04d', o_custkey % 10000) AS true_card,
-  'Order placed ' || CASE WHEN o_orderkey % 2 = 0 THEN 'June' ELSE 'Sep' END || {{fmt}}(' %d, 2026', o_orderkey % 28 + 1) || {{nl}} || 'Order # ' || {_ID} || {{nl}} || 'Order Total: $' || {{fmt}}('%.2f', o_totalprice) || {{nl}} || 'Payment method' || {{nl}} || 'Visa ending in ' || {{fmt}}('%04d', o_custkey % 10000) || {{nl}}
-  || CASE o_orderkey % 6 WHEN 0 THEN 'Your return was dropped off' WHEN 1 THEN 'We have received your return' WHEN 2 THEN 'Your refund has been issued' WHEN 3 THEN 'Your refund was credited to your card' WHEN 4 THEN 'Please drop off your return by Friday' ELSE 'Delivered Monday' END || {{nl}}
-  || CASE WHEN o_orderkey % 5 = 0 THEN 'Refund Total $12.50' ELSE 'Thanks' END || {{nl}} || CASE o_orderkey % 7 WHEN 0 THEN 'Replacement ordered' WHEN 1 THEN 'Your replacement has been delivered' ELSE '-' END AS text
+SELECT 'main' AS account_id, o_orderkey AS page_id, 'https://shop.example.com/your-orders/order-details?orderID=' || {_ID} || '&ref=x' AS url,
+  o_orderdate AS captured_at, {_ID} AS true_order_id, CAST(round(o_totalprice * 100) AS BIGINT) AS true_cents, {{fmt}}('%04d', o_custkey % 10000) AS true_card,
+  'Order placed ' || CASE WHEN o_orderkey % 2 = 0 THEN 'June' ELSE 'Sep' END || {{fmt}}(' %d, 2026', o_orderkey % 28 + 1)
+  || {{nl}} || 'Order # ' || {_ID} || {{nl}} || 'Order Total: $' || {{fmt}}('%.2f', o_totalprice)
+  || {{nl}} || 'Payment method' || {{nl}} || 'Visa ending in ' || {{fmt}}('%04d', o_custkey % 10000)
+  || {{nl}} || CASE o_orderkey % 6 WHEN 0 THEN 'Your return was dropped off' WHEN 1 THEN 'We have received your return' WHEN 2 THEN 'Your refund has been issued'
+    WHEN 3 THEN 'Your refund was credited to your card' WHEN 4 THEN 'Please drop off your return by Friday' ELSE 'Delivered Monday' END
+  || {{nl}} || CASE WHEN o_orderkey % 5 = 0 THEN 'Refund Total $12.50' ELSE 'Thanks' END
+  || {{nl}} || CASE o_orderkey % 7 WHEN 0 THEN 'Replacement ordered' WHEN 1 THEN 'Your replacement has been delivered' WHEN 2 THEN 'Replacement arriving Tuesday' ELSE '-' END
+  || {{nl}} || CASE o_orderkey % 11 WHEN 0 THEN {{fmt}}('Return received Aug %d', o_orderkey % 28 + 1) WHEN 1 THEN {{fmt}}('It will be credited to you by Oct %d, 2026', o_orderkey % 28 + 1) ELSE 'Bye' END AS text
 FROM {{orders}}
 """
 
-VIEWS = {"v_orders_once": ORDERS_ONCE, "v_orders": ORDERS, "v_items": ITEMS, "v_returns": RETURNS, "v_captures": CAPTURES, "v_requests": REQUESTS, "v_transactions": TRANSACTIONS, "v_history_rows": HISTORY_ROWS, "v_event_log": EVENT_LOG, "v_page_text": PAGE_TEXT}
+VIEWS = {
+    "v_orders_once": ORDERS_ONCE, "v_orders": ORDERS, "v_items": ITEMS, "v_returns": RETURNS, "v_captures": CAPTURES, "v_requests": REQUESTS,
+    "v_transactions": TRANSACTIONS, "v_history_rows": HISTORY_ROWS, "v_event_log": EVENT_LOG, "v_page_text": PAGE_TEXT}
 TABLES = ("orders", "lineitem", "part", "events", "pages")
 
 

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import returns as R, schema, text as X
+from ..functions import returns as R, schema
 from ..functions.arrays import array_union_ci
-from ..operators import bank, coverage, merge, pages, queries as Q, rows as B
-from ..sources import html, io
-from .adapters import duck_ctes, spark_view
+from ..operators import bank, coverage, merge, queries as Q, rows as B
+from ..sources import io
+from .adapters import spark_view
+from .oracle import NOW, chain, label, rank as rank_sql, replacement_label
 
-NOW = "2002-01-01 00:00:00"
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -32,70 +32,7 @@ def joined(df: DataFrame, *lists: str) -> DataFrame:
     return df.withColumns({c: F.array_join(c, "|") for c in lists})
 
 
-# --- the SQL side: one chain of views that each oracle selects from --------------------------------------------------
-
-_RANK = "CASE {c} WHEN 'started' THEN 1 WHEN 'shipped' THEN 2 WHEN 'received' THEN 3 WHEN 'refund_issued' THEN 4 WHEN 'refunded' THEN 4 WHEN 'credited' THEN 5 ELSE 0 END"
-_LABEL = "CASE {c} WHEN 0 THEN 'Return status unknown' WHEN 1 THEN 'Return started' WHEN 2 THEN 'Return shipped' WHEN 3 THEN 'Return received' WHEN 4 THEN 'Refund issued' WHEN 5 THEN 'Refund credited' END"
-_NORM = "trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
-_NEAR = "(least(length({a}), length({b})) >= 24 AND len(string_split(CASE WHEN length({a}) < length({b}) THEN {a} ELSE {b} END, ' ')) >= 4 AND CASE WHEN length({a}) < length({b}) THEN starts_with({b}, {a}) ELSE starts_with({a}, {b}) END)"
-
-CHAIN = f"""WITH {duck_ctes("v_orders", "v_items", "v_returns")},
-cur AS (SELECT * FROM v_orders QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY detail_scan_complete DESC, last_scanned_at DESC NULLS LAST, record_id) = 1),
-staged AS (SELECT *, {_RANK.replace("{c}", "return_stage")} AS rank FROM v_returns),
-banked AS (SELECT *, coalesce(manual_state = 'reconciled', false) OR coalesce(bank_status = 'confirmed', false) AS bank_confirmed, coalesce(bank_status = 'confirmed', false) AND rank < 4 AS bank_conflict FROM staged),
-prep AS (SELECT *, bank_confirmed OR rank >= 5 AS credit_confirmed,
-  CASE WHEN identity_conflict THEN true WHEN coalesce(manual_state = 'reconciled', false) THEN false WHEN bank_conflict THEN true WHEN rank >= 5 THEN false WHEN rank < 4 THEN true
-    WHEN coalesce(bank_status IN ('ambiguous', 'needs_review'), false) THEN true WHEN expected_credit_at IS NULL THEN false ELSE TIMESTAMP '{NOW}' > expected_credit_at + INTERVAL 24 HOUR END AS credit_review FROM banked),
-ded AS (SELECT *, return_token AS group_key, lower(return_token || ':' || coalesce(asin, item_name, record_id)) AS identity FROM prep
-  QUALIFY row_number() OVER (PARTITION BY order_id, lower(return_token || ':' || coalesce(asin, item_name, record_id)) ORDER BY rank DESC, last_scanned_at DESC NULLS LAST, record_id) = 1),
-counted AS (SELECT order_id, count(*) FILTER (authoritative) AS n_authoritative FROM ded GROUP BY order_id),
-known AS (SELECT cur.*, n_authoritative, terminal_cancelled OR (order_data_complete AND coalesce(n_authoritative, 0) >= expected_returns) AS data_complete FROM cur LEFT JOIN counted USING (order_id)),
-strict AS (SELECT order_id FROM known WHERE data_complete AND expected_returns > 0),
-used AS (SELECT * FROM ded WHERE authoritative OR order_id NOT IN (SELECT order_id FROM strict)),
-{{groups}}
-matched AS (SELECT order_id, group_key, item_key, score FROM (
-  SELECT *, count(*) OVER (PARTITION BY order_id, group_key) AS n_best FROM (SELECT * FROM (
-    SELECT i.order_id, g.group_key, i.item_key,
-      CASE WHEN list_contains(g.asins, i.asin) THEN 100 WHEN len(list_filter(g.item_names, lambda n: {_NORM.replace("{c}", "n")} = {_NORM.replace("{c}", "i.item_name")})) > 0 THEN 80
-        WHEN len(list_filter(g.item_names, lambda n: {_NEAR.replace("{a}", _NORM.replace("{c}", "n")).replace("{b}", _NORM.replace("{c}", "i.item_name"))})) > 0 THEN 70 ELSE 0 END AS score
-    FROM v_items i JOIN grp g USING (order_id)) s
-  WHERE score >= 70 QUALIFY score = max(score) OVER (PARTITION BY order_id, group_key)) t) b WHERE n_best = 1),
-unmatched AS (SELECT order_id, group_key, len(asins) > 0 AS strong_identity FROM grp WHERE (order_id, group_key) NOT IN (SELECT (order_id, group_key) FROM matched)),
-repl AS (SELECT order_id, count(*) AS n_replacements, arg_min(replacement_stage, CASE replacement_stage WHEN 'requested' THEN 2 WHEN 'shipped' THEN 3 ELSE 4 END) AS replacement_stage FROM v_items WHERE replacement_stage IS NOT NULL GROUP BY order_id),
-states AS (SELECT i.*, coalesce(m.n_groups, 0) AS n_groups, m.best_rank, count(m.n_groups) OVER (PARTITION BY i.order_id) AS returned_products FROM v_items i
-  LEFT JOIN (SELECT order_id, item_key, count(*) AS n_groups, max(rank) AS best_rank FROM matched JOIN grp USING (order_id, group_key) GROUP BY order_id, item_key) m USING (order_id, item_key)),
-rolled AS (SELECT order_id, count(*) AS n_groups, sum(amount_cents) AS returns_cents, min(rank) AS low_rank, max(rank) AS high_rank, bool_or(identity_conflict) AS identity_conflict, bool_or(amount_conflict) AS amount_conflict,
-  bool_or(bank_conflict) AS bank_conflict, bool_or(credit_review) AS any_review, bool_and(all_confirmed) AS all_credited, bool_and(rank >= 4) AS all_issued, bool_and(coalesce(manual_state = 'reconciled', false)) AS reconciled, max(last_scanned_at) AS returns_scanned_at FROM grp GROUP BY order_id),
-base AS (SELECT 'main' AS account_id, order_id, coalesce(data_complete, false) AS data_complete, coalesce(terminal_cancelled, false) AS cancelled, processing_error, purchase_cents, card_last4, coalesce(n_groups, 0) AS n_groups,
-  coalesce((SELECT count(*) FROM unmatched u WHERE u.order_id = x.order_id), 0) AS n_unmatched, coalesce((SELECT count(*) FROM v_items i WHERE i.order_id = x.order_id), 0) AS n_items,
-  coalesce((SELECT count(DISTINCT item_key) FROM matched m WHERE m.order_id = x.order_id), 0) AS n_returned_items, coalesce(n_replacements, 0) AS n_replacements, replacement_stage,
-  CAST(coalesce(canonical_refund_cents, returns_cents) AS BIGINT) AS refund_cents, coalesce(returns_cents > canonical_refund_cents + 1, false) AS amount_mismatch, coalesce(identity_conflict, false) AS identity_conflict,
-  coalesce(amount_conflict, false) AS amount_conflict, coalesce(bank_conflict, false) AS bank_conflict, coalesce((SELECT bool_or(strong_identity) FROM unmatched u WHERE u.order_id = x.order_id), false) AS strong_unmatched,
-  coalesce(any_review, false) AS any_review, coalesce(all_issued, false) AS all_issued, coalesce(all_credited, false) AS all_credited, coalesce(reconciled, false) AS reconciled, low_rank, high_rank,
-  CAST(year(order_date) AS INTEGER) AS order_year, coalesce(CAST(order_date AS TIMESTAMP), greatest(last_scanned_at, returns_scanned_at)) AS sort_at
-  FROM (SELECT * FROM known FULL OUTER JOIN rolled USING (order_id) LEFT JOIN repl USING (order_id)) x),
-reviewed AS (SELECT *, data_complete AND n_groups > 0 AND NOT reconciled AND (any_review OR amount_mismatch OR identity_conflict OR amount_conflict OR strong_unmatched OR bank_conflict) AS needs_review FROM base),
-stated AS (SELECT *, CASE WHEN processing_error IS NOT NULL THEN 'error' WHEN NOT data_complete THEN 'processing' WHEN cancelled THEN 'cancelled' WHEN reconciled AND n_groups > 0 THEN 'reconciled' WHEN needs_review THEN 'needs_review'
-  WHEN n_groups > 0 AND all_credited THEN 'credited' WHEN n_groups > 0 AND all_issued THEN 'refund_issued' WHEN n_groups > 0 THEN 'return' WHEN n_replacements > 0 THEN 'replacement' ELSE 'purchase' END AS state FROM reviewed),
-orows AS (SELECT *, CASE state WHEN 'error' THEN processing_error WHEN 'processing' THEN 'Processing' WHEN 'cancelled' THEN 'Cancelled' WHEN 'reconciled' THEN 'Reconciled' WHEN 'needs_review' THEN
-    CASE WHEN identity_conflict THEN 'Item identity conflict' WHEN bank_conflict THEN 'Bank and shop disagree' WHEN amount_conflict THEN 'Group amounts differ' WHEN amount_mismatch THEN 'Refunds exceed order total' WHEN strong_unmatched THEN 'Returned item not in order' ELSE 'Credit not confirmed' END
-    ELSE CASE WHEN n_groups > 0 THEN {_LABEL.replace("{c}", "low_rank")} WHEN state = 'replacement' THEN 'Replacement ' || replacement_stage ELSE 'No return' END END AS label FROM stated)
-"""
-_GROUPS = """grp AS (SELECT 'main' AS account_id, order_id, group_key, count(*) AS n_records, arg_max(record_id, front) AS record_id, arg_max(return_stage, front) AS stage, max(rank) AS rank, arg_max(bank_status, front) AS bank_status_any,
-  max(CASE WHEN front = foremost THEN bank_status END) AS bank_status, max(CASE WHEN front = foremost THEN manual_state END) AS manual_state, max(CASE WHEN front = foremost THEN expected_credit_at END) AS expected_credit_at,
-  CASE WHEN bool_or(trusted) THEN list(DISTINCT item_name ORDER BY item_name) FILTER (trusted AND item_name IS NOT NULL) ELSE list(DISTINCT item_name ORDER BY item_name) FILTER (item_name IS NOT NULL) END AS names0,
-  CASE WHEN bool_or(trusted) THEN list(DISTINCT asin ORDER BY asin) FILTER (trusted) ELSE list(DISTINCT asin ORDER BY asin) END AS asins,
-  CAST(coalesce(arg_max(refund_cents, tick) FILTER (refund_scope = 'return' AND refund_cents IS NOT NULL), sum(refund_cents) FILTER (refund_scope = 'item'), arg_max(refund_cents, tick) FILTER (refund_scope IS NULL AND refund_cents IS NOT NULL)) AS BIGINT) AS amount_cents,
-  count(DISTINCT refund_cents) FILTER (refund_scope = 'return') > 1 AS amount_conflict, bool_or(identity_conflict) AS identity_conflict, bool_or(bank_conflict) AS bank_conflict, bool_or(credit_review) AS credit_review, bool_and(credit_confirmed) AS all_confirmed,
-  bool_or(authoritative) AS authoritative, max(last_scanned_at) AS last_scanned_at, coalesce(names0, []) AS item_names
-  FROM (SELECT *, max(front) OVER (PARTITION BY order_id, group_key) AS foremost FROM (SELECT *, coalesce(item_identity_source = 'order-detail-return-link', false) AS trusted, CAST(last_scanned_at AS VARCHAR) || record_id AS tick, CAST(rank AS VARCHAR) || CAST(last_scanned_at AS VARCHAR) || record_id AS front FROM {from}) y) z GROUP BY order_id, group_key),"""
-
-
-def chain(select: str, source: str = "used") -> str:
-    return CHAIN.replace("{groups}", _GROUPS.replace("{from}", source)) + select
-
-
-# --- the Spark side ---------------------------------------------------------------------------------------------------
+# --- the order row ----------------------------------------------------------------------------------------------------
 
 
 class Views:
@@ -119,9 +56,15 @@ class Views:
     def rows(self) -> DataFrame:
         return B.order_rows(self.orders, self.returns, self.items, NOW)
 
+    @property
+    def used(self) -> DataFrame:
+        return B.used_returns(self.orders, self.returns, NOW)
+
 
-ROW_COLUMNS = ["account_id", "order_id", "data_complete", "cancelled", "processing_error", "purchase_cents", "card_last4", "n_groups", "n_unmatched", "n_items", "n_returned_items", "n_replacements", "replacement_stage", "refund_cents", "amount_mismatch", "identity_conflict",
-               "amount_conflict", "bank_conflict", "strong_unmatched", "any_review", "all_issued", "all_credited", "reconciled", "low_rank", "high_rank", "order_year", "sort_at", "needs_review", "state", "label"]
+ROW_COLUMNS = [
+    "account_id", "order_id", "data_complete", "cancelled", "processing_error", "purchase_cents", "card_last4", "n_groups", "n_unmatched", "n_items", "n_returned_items",
+    "n_replacements", "replacement_stage", "refund_cents", "returns_cents", "review_cents", "amount_mismatch", "identity_conflict", "amount_conflict", "bank_conflict",
+    "strong_unmatched", "any_review", "all_issued", "all_credited", "all_bank_confirmed", "reconciled", "low_rank", "high_rank", "order_year", "sort_at", "needs_review", "state", "label"]
 _ROWS = ", ".join(ROW_COLUMNS)
 _KEYS = "account_id, order_id, state, refund_cents"
 
@@ -145,28 +88,41 @@ def dedupe_returns(s, d):
     return Views(s, d).deduped.select("order_id", "record_id", "identity", "rank", "last_scanned_at")
 
 
-@query(chain("SELECT order_id, group_key, n_records, record_id, stage, rank, bank_status, manual_state, expected_credit_at, array_to_string(item_names, '|') AS item_names, array_to_string(asins, '|') AS asins, identity_conflict, bank_conflict, credit_review, all_confirmed, authoritative, last_scanned_at FROM grp", "ded"))
+_USED = ["account_id", "order_id", "record_id", "rank", "credit_review"]
+
+
+@query(chain(f"SELECT {', '.join(_USED)} FROM used"))
+def used_returns(s, d):
+    return Views(s, d).used.select(*_USED)
+
+
+_GROUP = [
+    "account_id", "order_id", "group_key", "n_records", "record_id", "stage", "rank", "bank_status", "manual_state", "expected_credit_at", "item_names", "asins", "identity_conflict",
+    "bank_conflict", "credit_review", "reconciled", "all_confirmed", "all_bank_confirmed", "authoritative", "low_rank", "last_scanned_at"]
+_LISTS = ("item_names", "asins")
+
+
+@query(chain(f"SELECT {', '.join(f'''array_to_string({c}, '|') AS {c}''' if c in _LISTS else c for c in _GROUP)} FROM dgrp"))
 def group_returns(s, d):
-    g = Views(s, d).groups.select("order_id", "group_key", "n_records", "record_id", "stage", "rank", "bank_status", "manual_state", "expected_credit_at", "item_names", "asins", "identity_conflict", "bank_conflict", "credit_review", "all_confirmed", "authoritative", "last_scanned_at")
-    return joined(g, "item_names", "asins")
+    return joined(Views(s, d).groups.select(*_GROUP), *_LISTS)
 
 
-@query(chain("SELECT order_id, group_key, amount_cents, amount_conflict FROM grp", "ded"))
+@query(chain("SELECT order_id, group_key, amount_cents, amount_conflict, flagged_cents FROM dgrp"))
 def group_refund_amount(s, d):
-    return Views(s, d).groups.select("order_id", "group_key", "amount_cents", "amount_conflict")
+    return Views(s, d).groups.select("order_id", "group_key", "amount_cents", "amount_conflict", "flagged_cents")
 
 
-@query(chain("SELECT order_id, group_key, record_id, rank FROM grp", "ded"))
+@query(chain("SELECT order_id, group_key, record_id, rank FROM dgrp"))
 def group_representative(s, d):
     return Views(s, d).groups.select("order_id", "group_key", "record_id", "rank")
 
 
-@query(chain("SELECT order_id, group_key, item_key, score FROM matched", "ded"))
+@query(chain("SELECT order_id, group_key, item_key, score FROM dmatched"))
 def match_items(s, d):
     return Views(s, d).matches.select("order_id", "group_key", "item_key", "score")
 
 
-@query(chain("SELECT order_id, group_key, strong_identity FROM unmatched", "ded"))
+@query(chain("SELECT order_id, group_key, strong_identity FROM dunmatched"))
 def unmatched_groups(s, d):
     v = Views(s, d)
     return B.unmatched_groups(v.groups, v.matches).select("order_id", "group_key", "strong_identity")
@@ -175,13 +131,16 @@ def unmatched_groups(s, d):
 _STATES = "order_id, item_key, n_groups, best_rank, returned_products"
 
 
-@query(chain(f"SELECT {_STATES} FROM states", "ded"))
+@query(chain(f"SELECT {_STATES} FROM dstates"))
 def item_states(s, d):
     v = Views(s, d)
     return B.item_states(v.items, v.groups, v.matches).select(*_STATES.split(", "))
 
 
-@query(chain(f"SELECT order_id, item_key, item_name, CASE WHEN w = '' THEN 'Not returned' ELSE w END AS workflow FROM (SELECT *, concat_ws(' · ', CASE WHEN replacement_stage IS NOT NULL THEN 'Replacement ' || replacement_stage END, CASE WHEN n_groups > 0 THEN CAST(n_groups AS VARCHAR) || CASE WHEN n_groups = 1 THEN ' return · ' ELSE ' returns · ' END || {_LABEL.replace('{c}', 'best_rank')} END) AS w FROM states) q", "ded"))
+@query(chain(f"""
+SELECT order_id, item_key, item_name, CASE WHEN w = '' THEN 'Not returned' ELSE w END AS workflow FROM (
+  SELECT *, concat_ws(' · ', {replacement_label('replacement_stage')},
+    CASE WHEN n_groups > 0 THEN CASE WHEN n_groups > 1 THEN n_groups || ' returns · ' ELSE '' END || {label('best_rank')} END) AS w FROM dstates) q"""))
 def product_status(s, d):
     v = Views(s, d)
     return Q.product_status_table(B.item_states(v.items, v.groups, v.matches)).drop("account_id")
@@ -212,17 +171,24 @@ def refund_rollup(s, d):
     return Views(s, d).rows.where("n_groups > 0 OR refund_cents IS NOT NULL").select("order_id", "refund_cents", "amount_mismatch")
 
 
-@query(chain(f"""SELECT order_id, group_key, step, CASE step WHEN 1 THEN 'started' WHEN 2 THEN 'shipped' WHEN 3 THEN 'received' WHEN 4 THEN 'refund_issued' ELSE 'credited' END AS name, {_LABEL.replace('{c}', 'step')} AS label, step <= rank AS done,
-  CASE WHEN step = 5 AND rank < 5 THEN expected_credit_at END AS expected_at, CASE WHEN step = 5 THEN bank_status END AS bank_status FROM grp, (VALUES (1), (2), (3), (4), (5)) AS t(step)""", "ded"))
+@query(chain("""
+SELECT order_id, group_key, step, CASE step WHEN 1 THEN 'started' WHEN 2 THEN 'shipped' WHEN 3 THEN 'received' WHEN 4 THEN 'refund_issued' ELSE 'credited' END AS name,
+  CASE step WHEN 1 THEN 'Initiated' WHEN 2 THEN 'Dropped off' WHEN 3 THEN 'Return received' WHEN 4 THEN 'Refund issued' ELSE 'Refund credited' END AS label, step <= rank AS done,
+  CASE WHEN step = 5 AND rank < 5 THEN expected_credit_at END AS expected_at, CASE WHEN step = 5 THEN bank_status END AS bank_status
+FROM dgrp, (VALUES (1), (2), (3), (4), (5)) AS t(step)"""))
 def lifecycle_steps(s, d):
     return B.lifecycle_steps(Views(s, d).groups).drop("account_id")
 
 
-@query(f"""WITH {duck_ctes("v_orders", "v_returns")}, b AS (SELECT order_id, record_id, last_scanned_at, NULL AS item_name, card_last4 FROM v_orders UNION ALL SELECT order_id, record_id, last_scanned_at, item_name, NULL FROM v_returns)
-SELECT order_id, max(last_scanned_at) AS latest_scan_at, arg_min(card_last4, record_id) FILTER (card_last4 IS NOT NULL) AS card_last4, CAST(count(DISTINCT lower(item_name)) AS INTEGER) AS n_names FROM b GROUP BY order_id""")
+_DESCRIBED = ["order_id", *B.ROW_DESCRIPTORS]
+
+
+@query(chain(f"SELECT {', '.join(_DESCRIBED)} FROM orows"))
 def row_descriptors(s, d):
-    v = Views(s, d)
-    return B.row_descriptors(v.orders, v.returns).select("order_id", "latest_scan_at", "card_last4", F.size("item_names").alias("n_names"))
+    return joined(B.row_descriptors(Views(s, d).rows).select(*_DESCRIBED), "item_names", "returned_names", "asins")
+
+
+# --- questions of order rows --------------------------------------------------------------------------------------------
 
 
 @query(chain(f"SELECT {_KEYS} FROM orows WHERE data_complete AND n_groups > 0"))
@@ -240,10 +206,19 @@ def view_errors(s, d):
     return short(Q.view(Views(s, d).rows, "errors"))
 
 
-@query(chain(f"SELECT {_KEYS} FROM orows WHERE order_id IN (SELECT order_id FROM (SELECT order_id, return_token, max(rank) AS r FROM ded GROUP BY order_id, return_token) q WHERE r = 3)"))
+_FILTERS = ["all", "no_return", "needs_review", "replacement", "cancelled", *schema.STATUS_FILTERS]
+
+
+@query(chain("""
+SELECT value, order_id FROM orows, (VALUES ('all'), ('no_return'), ('needs_review'), ('replacement'), ('cancelled'), ('return_started'), ('dropped_off'),
+  ('return_received'), ('refund_issued'), ('refund_credited')) AS f(value)
+WHERE CASE value WHEN 'all' THEN true WHEN 'no_return' THEN data_complete AND n_groups = 0 AND NOT cancelled WHEN 'needs_review' THEN needs_review
+  WHEN 'replacement' THEN n_replacements > 0 WHEN 'cancelled' THEN cancelled WHEN 'return_started' THEN list_contains(ranks, 1) WHEN 'dropped_off' THEN list_contains(ranks, 2)
+  WHEN 'return_received' THEN list_contains(ranks, 3) WHEN 'refund_issued' THEN list_contains(ranks, 4) ELSE list_contains(ranks, 5) END"""))
 def filter_status(s, d):
-    v = Views(s, d)
-    return short(Q.filter_status(v.rows, v.groups, "received"))
+    """All ten filters in one pass over the rows."""
+    held = F.array(*[F.when(Q.status_condition(v), v) for v in _FILTERS])
+    return Views(s, d).rows.select("order_id", F.explode(held).alias("value")).where("value IS NOT NULL").select("value", "order_id")
 
 
 @query(chain(f"SELECT {_KEYS} FROM orows WHERE order_year = 1998 AND card_last4 = '0770'"))
@@ -261,39 +236,108 @@ def card_options(s, d):
     return Q.card_options(Views(s, d).rows)
 
 
-@query(chain(f"SELECT {_KEYS} FROM orows WHERE contains(lower(concat_ws(' ', order_id, card_last4, label, processing_error, printf('%.2f', purchase_cents / 100), printf('%.2f', refund_cents / 100))), 'shipped')"))
+_HAY = r"""lower(concat_ws(' ', order_id, replace(search_names, '|', ' '), replace(asins, '|', ' '), card_last4, label, shop_status, processing_error,
+  regexp_replace(printf('%.2f', purchase_cents / 100), '\.?0+$', ''), regexp_replace(printf('%.2f', refund_cents / 100), '\.?0+$', '')))"""
+
+
+def _search(text: str) -> str:
+    return chain(f"SELECT {_KEYS} FROM orows WHERE contains({_HAY}, '{text}')")
+
+
+@query(_search("shipped"))
 def search(s, d):
     return short(Q.search(Views(s, d).rows, " SHIPPED "))
 
 
-@query(chain(f"SELECT {_KEYS} FROM orows ORDER BY refund_cents DESC NULLS LAST, order_id LIMIT 100"))
+@query(_search("red widget"))
+def search_names(s, d):
+    return short(Q.search(Views(s, d).rows, "Red Widget"))
+
+
+@query(_search("b0000001"))
+def search_asins(s, d):
+    return short(Q.search(Views(s, d).rows, "B0000001"))
+
+
+@query(_search("return number 1"))
+def search_status(s, d):
+    return short(Q.search(Views(s, d).rows, "Return number 1"))
+
+
+@query(_search("7.5"))
+def search_money(s, d):
+    return short(Q.search(Views(s, d).rows, "7.5"))
+
+
+def _sorted(order: str) -> str:
+    return chain(f"SELECT {_KEYS}, row_number() OVER (ORDER BY {order}) AS place FROM orows ORDER BY place LIMIT 100")
+
+
+def _top(s, d, mode: str) -> DataFrame:
+    """The first hundred rows of a sort, with their places."""
+    top = short(Q.sort_rows(Views(s, d).rows, mode, 100)).agg(F.collect_list(F.struct("account_id", "order_id", "state", "refund_cents")).alias("r"))
+    return top.select(F.posexplode("r").alias("k", "x")).select("x.*", (F.col("k") + 1).cast("long").alias("place"))
+
+
+@query(_sorted("sort_at DESC NULLS LAST, order_id"))
+def sort_newest_topk(s, d):
+    return _top(s, d, "newest")
+
+
+@query(_sorted("sort_at NULLS FIRST, order_id"))
+def sort_oldest_topk(s, d):
+    return _top(s, d, "oldest")
+
+
+@query(_sorted("purchase_cents DESC NULLS LAST, order_id"))
+def sort_order_high_topk(s, d):
+    return _top(s, d, "order_high")
+
+
+@query(_sorted("purchase_cents NULLS FIRST, order_id"))
+def sort_order_low_topk(s, d):
+    return _top(s, d, "order_low")
+
+
+@query(_sorted("refund_cents DESC NULLS LAST, order_id"))
 def sort_refund_high_topk(s, d):
-    return short(Q.sort_rows(Views(s, d).rows, "refund_high", 100))
+    return _top(s, d, "refund_high")
+
 
+@query(_sorted("refund_cents NULLS FIRST, order_id"))
+def sort_refund_low_topk(s, d):
+    return _top(s, d, "refund_low")
 
-@query(chain(f"SELECT {_KEYS} FROM orows ORDER BY lower(label), order_id LIMIT 100"))
+
+@query(_sorted("lower(label), order_id"))
 def sort_status_topk(s, d):
-    return short(Q.sort_rows(Views(s, d).rows, "status", 100))
+    return _top(s, d, "status")
+
+
+@query(_sorted("order_id"))
+def sort_order_id_topk(s, d):
+    return _top(s, d, "order_id")
 
 
-@query(chain("""SELECT count(*) FILTER (data_complete) AS n_orders, CAST(coalesce(sum(purchase_cents) FILTER (data_complete), 0) AS BIGINT) AS order_cents, count(*) FILTER (data_complete AND n_groups > 0) AS n_return_orders,
-  CAST(coalesce(sum(refund_cents) FILTER (data_complete AND n_groups > 0), 0) AS BIGINT) AS expected_cents, count(*) FILTER (needs_review) AS n_review, CAST(coalesce(sum(refund_cents) FILTER (needs_review), 0) AS BIGINT) AS review_cents, count(processing_error) AS n_errors FROM orows"""))
+@query(chain("""
+SELECT count(*) FILTER (data_complete) AS n_orders, CAST(coalesce(sum(purchase_cents) FILTER (data_complete), 0) AS BIGINT) AS order_cents,
+  count(*) FILTER (data_complete AND n_groups > 0) AS n_return_orders, CAST(coalesce(sum(refund_cents) FILTER (data_complete AND n_groups > 0), 0) AS BIGINT) AS expected_cents,
+  count(*) FILTER (needs_review) AS n_review, CAST(coalesce(sum(review_cents) FILTER (needs_review), 0) AS BIGINT) AS review_cents, count(processing_error) AS n_errors,
+  count(*) FILTER (data_complete AND n_groups > 0 AND all_issued) AS n_issued, count(*) FILTER (data_complete AND n_groups > 0 AND all_bank_confirmed) AS n_bank_credited
+FROM orows"""))
 def dashboard_stats(s, d):
     return Q.dashboard_stats(Views(s, d).rows)
 
 
-@query(chain("""SELECT o.order_id, CAST(CASE WHEN amount_mismatch OR amount_conflict OR identity_conflict THEN refund_cents ELSE f END AS BIGINT) AS review_cents FROM orows o
-  LEFT JOIN (SELECT order_id, sum(amount_cents) AS f FROM grp WHERE credit_review GROUP BY order_id) g USING (order_id) WHERE needs_review"""))
+@query(chain("SELECT order_id, review_cents FROM orows WHERE needs_review"))
 def review_expected(s, d):
-    v = Views(s, d)
-    cur = B.current_orders(v.orders).join(v.deduped.groupBy(*B.KEY).agg(F.count_if("authoritative").alias("n_authoritative")), B.KEY, "left").withColumn("data_complete", B.data_complete())
-    strict = cur.where("data_complete AND expected_returns > 0").select(*B.KEY, F.lit(True).alias("strict"))
-    used = v.deduped.join(strict, B.KEY, "left").where("strict IS NULL OR authoritative").drop("strict")
-    return Q.review_expected(v.rows, B.group_returns(used)).drop("account_id")
+    return Q.review_expected(Views(s, d).rows).drop("account_id")
 
 
-_SUMMARY = """SELECT (SELECT count(*) FROM (SELECT order_id FROM v_orders UNION SELECT order_id FROM prep) q) AS lifetime, (SELECT count(DISTINCT order_id) FROM v_orders WHERE detail_scan_complete) AS detailed, count(DISTINCT order_id) AS returned,
-  count(DISTINCT order_id) FILTER (rank >= 3) AS confirmed, count(DISTINCT order_id) FILTER (rank >= 4) AS refunded, count(DISTINCT order_id) FILTER (credit_confirmed) AS credited, count(DISTINCT order_id) FILTER (NOT credit_confirmed) AS unresolved,
+_SUMMARY = """SELECT (SELECT count(*) FROM (SELECT order_id FROM v_orders UNION SELECT order_id FROM prep) q) AS lifetime,
+  (SELECT count(DISTINCT order_id) FROM v_orders WHERE detail_scan_complete) AS detailed, count(DISTINCT order_id) AS returned,
+  count(DISTINCT order_id) FILTER (rank >= 3) AS confirmed, count(DISTINCT order_id) FILTER (rank >= 4) AS refunded,
+  count(DISTINCT order_id) FILTER (credit_confirmed) AS credited, count(DISTINCT order_id) FILTER (NOT credit_confirmed) AS unresolved,
   (SELECT count(*) FROM v_orders) AS order_records, count(*) AS return_records FROM prep"""
 
 
@@ -303,22 +347,33 @@ def ledger_summary(s, d):
     return Q.ledger_summary(v.orders, v.prepared)
 
 
-@query(chain("""SELECT CAST((SELECT count(*) FROM (SELECT order_id FROM v_orders UNION SELECT order_id FROM prep) q) - (SELECT count(*) FROM (SELECT order_id FROM v_orders UNION SELECT order_id FROM prep WHERE authoritative) q) AS BIGINT) AS lifetime_delta,
-  CAST(count(DISTINCT order_id) - count(DISTINCT order_id) FILTER (authoritative) AS BIGINT) AS returned_delta, CAST(count(DISTINCT order_id) FILTER (rank >= 4) - count(DISTINCT order_id) FILTER (rank >= 4 AND authoritative) AS BIGINT) AS refunded_delta,
-  CAST(count(DISTINCT order_id) FILTER (credit_confirmed) - count(DISTINCT order_id) FILTER (credit_confirmed AND authoritative) AS BIGINT) AS credited_delta FROM prep"""))
+@query(chain("""
+SELECT CAST((SELECT count(*) FROM (SELECT order_id FROM v_orders UNION SELECT order_id FROM prep) q)
+    - (SELECT count(*) FROM (SELECT order_id FROM v_orders UNION SELECT order_id FROM prep WHERE authoritative) q) AS BIGINT) AS lifetime_delta,
+  CAST(count(DISTINCT order_id) - count(DISTINCT order_id) FILTER (authoritative) AS BIGINT) AS returned_delta,
+  CAST(count(DISTINCT order_id) FILTER (rank >= 4) - count(DISTINCT order_id) FILTER (rank >= 4 AND authoritative) AS BIGINT) AS refunded_delta,
+  CAST(count(DISTINCT order_id) FILTER (credit_confirmed) - count(DISTINCT order_id) FILTER (credit_confirmed AND authoritative) AS BIGINT) AS credited_delta
+FROM prep"""))
 def summary_delta(s, d):
     v = Views(s, d)
     return Q.summary_delta(Q.ledger_summary(v.orders, v.prepared.where("authoritative")), Q.ledger_summary(v.orders, v.prepared))
 
 
-@query(chain("""SELECT count(*) AS n_all, CAST(coalesce(sum(purchase_cents), 0) AS BIGINT) AS all_cents, count(has) AS n_returns, CAST(coalesce(sum(c) FILTER (has), 0) AS BIGINT) AS return_cents, count(*) FILTER (review) AS n_review, CAST(coalesce(sum(c) FILTER (review), 0) AS BIGINT) AS review_cents
-  FROM (SELECT order_id, max(purchase_cents) AS purchase_cents FROM v_orders GROUP BY order_id) o FULL OUTER JOIN (SELECT order_id, true AS has, sum(c) AS c, bool_or(review) AS review FROM (SELECT order_id, return_token, max(refund_cents) AS c, bool_or(credit_review) AS review FROM prep GROUP BY order_id, return_token) q GROUP BY order_id) r USING (order_id)"""))
+@query(chain("""
+SELECT count(*) AS n_all, CAST(coalesce(sum(purchase_cents), 0) AS BIGINT) AS all_cents, count(has) AS n_returns,
+  CAST(coalesce(sum(c) FILTER (has), 0) AS BIGINT) AS return_cents, count(*) FILTER (review) AS n_review, CAST(coalesce(sum(c) FILTER (review), 0) AS BIGINT) AS review_cents
+FROM (SELECT order_id, max(purchase_cents) AS purchase_cents FROM v_orders GROUP BY order_id) o
+FULL OUTER JOIN (
+  SELECT order_id, true AS has, sum(c) AS c, bool_or(review) AS review FROM (
+    SELECT order_id, return_token, max(refund_cents) AS c, bool_or(credit_review) AS review FROM prep GROUP BY order_id, return_token) q GROUP BY order_id) r ON o.order_id = r.order_id"""))
 def compact_summary(s, d):
     v = Views(s, d)
     return Q.compact_summary(v.orders, v.prepared)
 
 
-@query(chain("SELECT record_id, rank, CAST(CASE rank WHEN 0 THEN 0 WHEN 1 THEN 20 WHEN 2 THEN 40 WHEN 3 THEN 60 WHEN 4 THEN 80 ELSE 100 END AS INTEGER) AS percent, rank >= 3 AS done_received, rank >= 5 AS done_credited FROM prep"))
+@query(chain("""
+SELECT record_id, rank, CAST(CASE rank WHEN 0 THEN 0 WHEN 1 THEN 20 WHEN 2 THEN 40 WHEN 3 THEN 60 WHEN 4 THEN 80 ELSE 100 END AS INTEGER) AS percent,
+  rank >= 3 AS done_received, rank >= 5 AS done_credited FROM prep"""))
 def return_progress(s, d):
     return R.return_progress(Views(s, d).prepared).select("record_id", "rank", "percent", "done_received", "done_credited")
 
@@ -328,7 +383,9 @@ def credit_review(s, d):
     return Views(s, d).prepared.select("record_id", "bank_confirmed", "credit_confirmed", "bank_conflict", "credit_review")
 
 
-@query(chain("SELECT record_id, CASE WHEN manual_state = 'reconciled' THEN 'reconciled' WHEN credit_confirmed THEN 'credited' WHEN credit_review THEN 'needs_review' WHEN rank >= 4 THEN 'refunded' ELSE 'purchase' END AS effective_state FROM prep"))
+@query(chain("""
+SELECT record_id, CASE WHEN manual_state = 'reconciled' THEN 'reconciled' WHEN credit_confirmed THEN 'credited' WHEN credit_review THEN 'needs_review'
+  WHEN rank >= 4 THEN 'refunded' ELSE 'needs_review' END AS effective_state FROM prep"""))
 def effective_state(s, d):
     return R.effective_state(Views(s, d).prepared).select("record_id", "effective_state")
 
@@ -340,41 +397,52 @@ def confirmed_returns(s, d):
 
 # --- merging ----------------------------------------------------------------------------------------------------------
 
-_CAP = f"WITH {duck_ctes('v_captures')}, ranked AS (SELECT *, {_RANK.replace('{c}', 'return_stage')} AS rank FROM v_captures), mono AS (SELECT *, coalesce(max(rank) OVER (PARTITION BY record_id ORDER BY batch_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best_before FROM ranked), acc AS (SELECT *, rank >= best_before AS accepted, batch_id * 1000000000 + seq AS tick FROM mono)"
+_CAP = {
+    "ranked": f"SELECT *, {rank_sql('return_stage')} AS rank, batch_id * 1000000000 + seq AS tick FROM v_captures",
+    "mono": "SELECT *, coalesce(max(rank) OVER (PARTITION BY record_id ORDER BY batch_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best_before FROM ranked",
+    "acc": "SELECT *, rank >= best_before AS accepted FROM mono"}
 
 
-@query(_CAP + " SELECT record_id, seq, rank, best_before, accepted FROM acc")
+@query(chain("SELECT record_id, seq, rank, best_before, accepted FROM acc", **_CAP))
 def monotonic_stage(s, d):
     return merge.monotonic_stage(spark_view(s, d, "v_captures")).select("record_id", "seq", "rank", "best_before", "accepted")
 
 
-_MERGED = "SELECT record_id, arg_max(return_stage, tick) FILTER (accepted) AS return_stage, arg_max(status, tick) FILTER (accepted) AS status, arg_max(status_text, tick) FILTER (accepted AND trim(status_text) <> '') AS status_text, arg_max(refund_cents, tick) FILTER (refund_cents IS NOT NULL) AS refund_cents, arg_max(card_last4, tick) FILTER (card_last4 IS NOT NULL) AS card_last4, arg_max(captured_at, tick) AS captured_at FROM acc GROUP BY record_id"
+# a status only gives way to one of at least its own rank
+_MERGED = """
+SELECT record_id, arg_max(return_stage, tick) FILTER (accepted) AS return_stage,
+  arg_max(status, CASE status WHEN 'return_in_progress' THEN 1 ELSE 0 END * 1000000000000000 + tick) FILTER (accepted) AS status,
+  arg_max(status_text, tick) FILTER (accepted AND trim(status_text) <> '') AS status_text, arg_max(refund_cents, tick) FILTER (refund_cents IS NOT NULL) AS refund_cents,
+  arg_max(card_last4, tick) FILTER (card_last4 IS NOT NULL) AS card_last4, arg_max(captured_at, tick) AS captured_at FROM acc GROUP BY record_id"""
 _MERGED_COLUMNS = ["record_id", "return_stage", "status", "status_text", "refund_cents", "card_last4", "captured_at"]
 
 
-@query(_CAP + " " + _MERGED)
+@query(chain(_MERGED, **_CAP))
 def merge_latest(s, d):
     return merge.merge_latest(spark_view(s, d, "v_captures")).select(*_MERGED_COLUMNS)
 
 
-@query(_CAP + " " + _MERGED)
+@query(chain(_MERGED, **_CAP))
 def merge_in_two_batches(s, d):
     """Merging batches 0-2 first and the others into the result gives what one merge gives."""
     c = spark_view(s, d, "v_captures")
     return merge.merge_latest(c.where("batch_id > 2"), merge.merge_latest(c.where("batch_id <= 2"))).select(*_MERGED_COLUMNS)
 
 
-@query(_CAP + ", m AS (SELECT record_id, max(rank) AS r, bool_or(rank >= 3) AS done, arg_max(status_text, tick) FILTER (rank >= 3 AND status_text <> '') AS said FROM acc GROUP BY record_id) SELECT record_id, CASE r WHEN 0 THEN 'unknown' WHEN 1 THEN 'started' WHEN 2 THEN 'shipped' WHEN 3 THEN 'received' ELSE 'refund_issued' END AS stage, done AS received_done, said AS received_date FROM m")
+@query(chain("""
+SELECT record_id, CASE max(rank) WHEN 0 THEN 'unknown' WHEN 1 THEN 'started' WHEN 2 THEN 'shipped' WHEN 3 THEN 'received' ELSE 'refund_issued' END AS stage,
+  bool_or(rank >= 3) AS received_done, arg_max(status_text, tick) FILTER (rank >= 3 AND status_text <> '') AS received_date FROM acc GROUP BY record_id""", **_CAP))
 def merge_milestones(s, d):
     c = spark_view(s, d, "v_captures").withColumn("rank", schema.stage_rank(F.col("return_stage")))
     step = lambda k, n: F.struct((F.col("rank") >= k).alias("done"), F.when(F.col("rank") >= k, F.col("status_text")).alias("date")).alias(n)
     m = F.struct(F.col("return_stage").alias("stage"), F.lit(None).cast("string").alias("expected_credit_date"), *[step(k, n) for k, n in enumerate(schema.STAGE_NAMES) if k])
     out = merge.merge_milestones(c.withColumn("return_milestones", m))
-    return out.select("record_id", F.col("return_milestones.stage").alias("stage"), F.col("return_milestones.received.done").alias("received_done"), F.col("return_milestones.received.date").alias("received_date"))
+    return out.select("record_id", *[F.col(f"return_milestones.{x}").alias(n) for x, n in (("stage", "stage"), ("received.done", "received_done"), ("received.date", "received_date"))])
 
 
 @query("""WITH w AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS x FROM events),
-f AS (SELECT user_id, lower(x) AS l, arg_min(x, event_id) AS x, min(event_id) AS pos FROM w GROUP BY user_id, lower(x)) SELECT user_id, string_agg(x, '|' ORDER BY pos) AS names FROM f GROUP BY user_id""")
+f AS (SELECT user_id, lower(x) AS l, arg_min(x, event_id) AS x, min(event_id) AS pos FROM w GROUP BY user_id, lower(x))
+SELECT user_id, string_agg(x, '|' ORDER BY pos) AS names FROM f GROUP BY user_id""")
 def array_union(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
     x = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
@@ -383,88 +451,118 @@ def array_union(s, d):
     return g.select("user_id", F.array_join(array_union_ci(F.slice(names, 1, 3), names), "|").alias("names"))
 
 
-@query(chain("""SELECT record_id FROM v_returns WHERE NOT (NOT (l_partkey % 4 = 0) AND (order_id, return_token) IN (SELECT (order_id, return_token) FROM v_returns WHERE l_partkey % 4 = 0 AND authoritative))"""))
+# a return goes if an authoritative capture of its order and token is in the batch, and it isn't in the batch itself
+@query(chain("""
+SELECT r.record_id FROM v_returns r LEFT JOIN (SELECT DISTINCT order_id, return_token FROM v_returns WHERE l_partkey % 4 = 0 AND authoritative) b
+  ON r.order_id = b.order_id AND r.return_token = b.return_token WHERE r.l_partkey % 4 = 0 OR b.order_id IS NULL"""))
 def supersede(s, d):
-    r = Views(s, d).returns.withColumn("record_type", F.lit("return"))
+    r = spark_view(s, d, "v_returns").withColumn("record_type", F.lit("return"))
     return merge.supersede_provisional(r, r.where("l_partkey % 4 = 0")).select("record_id")
 
 
-@query(chain("""SELECT record_id, CASE WHEN l_partkey % 5 = 1 THEN 'removed' WHEN l_partkey % 5 = 2 THEN 'inserted' WHEN l_partkey % 5 = 3 AND refund_cents IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS change FROM v_returns"""))
+@query(chain("""
+SELECT record_id, CASE WHEN l_partkey % 5 = 1 THEN 'removed' WHEN l_partkey % 5 = 2 THEN 'inserted' WHEN l_partkey % 5 = 3 AND refund_cents IS NOT NULL THEN 'updated'
+  ELSE 'unchanged' END AS change FROM v_returns"""))
 def ledger_diff(s, d):
-    r = Views(s, d).returns
-    after = r.where("l_partkey % 5 <> 1").withColumn("refund_cents", F.when(F.col("l_partkey") % 5 == 3, F.col("refund_cents") + 5).otherwise(F.col("refund_cents"))).withColumn("last_scanned_at", F.lit(NOW).cast("timestamp"))
+    r = spark_view(s, d, "v_returns")
+    raised = F.when(F.col("l_partkey") % 5 == 3, F.col("refund_cents") + 5).otherwise(F.col("refund_cents"))
+    after = r.where("l_partkey % 5 <> 1").withColumn("refund_cents", raised).withColumn("last_scanned_at", F.lit(NOW).cast("timestamp"))
     return merge.diff_ledger(r.where("l_partkey % 5 <> 2"), after).select("record_id", "change")
 
 
-@query(chain("SELECT order_id, record_id, purchase_cents, order_details_url FROM v_orders WHERE o_orderkey % 6 <> 0 OR order_details_url IS NULL UNION ALL SELECT DISTINCT order_id, 'order:' || order_id, NULL, order_details_url FROM v_orders WHERE o_orderkey % 6 = 0 AND order_details_url IS NOT NULL"))
+@query(chain("""
+SELECT order_id, record_id, purchase_cents, order_details_url FROM v_orders WHERE o_orderkey % 6 <> 0 OR order_details_url IS NULL
+UNION ALL SELECT DISTINCT order_id, 'order:' || order_id, NULL, order_details_url FROM v_orders WHERE o_orderkey % 6 = 0 AND order_details_url IS NOT NULL"""))
 def reset_orders(s, d):
-    o = Views(s, d).orders.withColumn("first_seen_at", F.col("last_scanned_at"))
+    o = spark_view(s, d, "v_orders").withColumn("first_seen_at", F.col("last_scanned_at"))
     out, _ = merge.reset_orders(o, o.where("o_orderkey % 6 = 0"))
     return out.select("order_id", "record_id", "purchase_cents", "order_details_url")
 
 
-@query(chain("SELECT record_id, CASE WHEN l_partkey % 4 = 0 THEN 'confirmed' ELSE bank_status END AS bank_status, CASE WHEN l_partkey % 4 = 0 AND l_partkey % 3 = 0 THEN 'reconciled' ELSE manual_state END AS manual_state FROM v_returns"))
+@query(chain("""
+SELECT record_id, CASE WHEN l_partkey % 4 = 0 THEN 'confirmed' ELSE bank_status END AS bank_status,
+  CASE WHEN l_partkey % 4 = 0 AND l_partkey % 3 = 0 THEN 'reconciled' ELSE manual_state END AS manual_state FROM v_returns"""))
 def patch_records(s, d):
-    r = Views(s, d).returns
-    patches = r.where("l_partkey % 4 = 0").select("account_id", "record_id", F.lit("confirmed").alias("bank_status"), F.when(F.col("l_partkey") % 3 == 0, "reconciled").alias("manual_state"))
+    r = spark_view(s, d, "v_returns")
+    manual = F.when(F.col("l_partkey") % 3 == 0, "reconciled").alias("manual_state")
+    patches = r.where("l_partkey % 4 = 0").select("account_id", "record_id", F.lit("confirmed").alias("bank_status"), manual)
     return merge.patch_records(r, patches).select("record_id", "bank_status", "manual_state")
 
 
-@query(chain(f"SELECT order_id, CASE WHEN order_data_complete AND 0 >= expected_returns THEN 'complete' WHEN o_orderkey % 5 >= 3 OR (o_orderkey % 5 = 2 AND o_orderkey % 7 = 0) THEN 'error' WHEN o_orderkey % 5 > 0 THEN 'retrying' ELSE 'pending' END AS processing_state, CAST(o_orderkey % 5 AS BIGINT) AS n_failed FROM cur"))
+@query(chain("""
+SELECT order_id, CASE WHEN order_data_complete AND 0 >= expected_returns THEN 'complete' WHEN o_orderkey % 5 >= 3 OR (o_orderkey % 5 = 2 AND o_orderkey % 7 = 0) THEN 'error'
+  WHEN o_orderkey % 5 > 0 THEN 'retrying' ELSE 'pending' END AS processing_state, CAST(o_orderkey % 5 AS BIGINT) AS n_failed FROM cur"""))
 def processing_state(s, d):
-    o = B.current_orders(Views(s, d).orders)
+    o = B.current_orders(spark_view(s, d, "v_orders"))
     tries = o.select("account_id", "order_id", "o_orderkey", F.explode(F.sequence(F.lit(0), (F.col("o_orderkey") % 5).cast("int"))).alias("seq")).where("seq > 0")
-    tries = tries.withColumn("ok", F.lit(False)).withColumn("outcome", F.when((F.col("o_orderkey") % 7 == 0) & (F.col("seq") == 2), "blocked").otherwise("error"))
+    blocked = (F.col("o_orderkey") % 7 == 0) & (F.col("seq") == 2)
+    tries = tries.withColumn("ok", F.lit(False)).withColumn("outcome", F.when(blocked, "blocked").otherwise("error"))
     return merge.order_processing_state(o.withColumn("n_authoritative", F.lit(0)), tries).select("order_id", "processing_state", "n_failed")
 
 
 # --- bank -------------------------------------------------------------------------------------------------------------
 
-_BANK = f"""WITH {duck_ctes("v_requests", "v_transactions")},
-c AS (SELECT r.account_id, request_id, txn_id, txn_state, 4 * CAST(card_last4 = txn_last4 AS INTEGER) + 2 * CAST(merchant_match AS INTEGER) + CAST(txn_state = 'posted' AS INTEGER) AS score FROM v_requests r JOIN v_transactions t ON r.account_id = t.account_id AND abs(expected_cents - amount_cents) <= 1 AND posted_at >= refund_issued_at),
-b AS (SELECT *, max(score) OVER (PARTITION BY account_id, request_id) AS rb, max(score) OVER (PARTITION BY account_id, txn_id) AS tb, count(*) OVER (PARTITION BY account_id, request_id) AS n FROM c),
-m AS (SELECT *, count(*) FILTER (score = rb) OVER (PARTITION BY account_id, request_id) AS rt, count(*) FILTER (score = tb) OVER (PARTITION BY account_id, txn_id) AS tt FROM b),
-h AS (SELECT account_id, request_id, max(n) AS n_candidates, max(txn_id) FILTER (score = rb AND rt = 1 AND score = tb AND tt = 1) AS txn_id, max(txn_state) FILTER (score = rb AND rt = 1 AND score = tb AND tt = 1) AS st FROM m GROUP BY account_id, request_id)
-"""
-
-
-@query(_BANK + "SELECT account_id, request_id, CASE WHEN n_candidates IS NULL THEN 'not_found' WHEN txn_id IS NULL THEN 'ambiguous' WHEN st = 'posted' THEN 'confirmed' ELSE 'pending' END AS status, txn_id, coalesce(n_candidates, 0) AS n_candidates FROM v_requests LEFT JOIN h USING (account_id, request_id)")
+_BANK = {
+    "c": """
+  SELECT r.account_id, request_id, txn_id, txn_state, 4 * CAST(card_last4 = txn_last4 AS INTEGER) + 2 * CAST(merchant_match AS INTEGER) + CAST(txn_state = 'posted' AS INTEGER) AS score
+  FROM v_requests r JOIN v_transactions t ON r.account_id = t.account_id AND abs(expected_cents - amount_cents) <= 1 AND posted_at >= refund_issued_at""",
+    "b": "SELECT *, max(score) OVER (PARTITION BY account_id, request_id) AS rb, max(score) OVER (PARTITION BY account_id, txn_id) AS tb, count(*) OVER (PARTITION BY account_id, request_id) AS n FROM c",
+    "m": "SELECT *, count(*) FILTER (score = rb) OVER (PARTITION BY account_id, request_id) AS rt, count(*) FILTER (score = tb) OVER (PARTITION BY account_id, txn_id) AS tt FROM b",
+    "h": """
+  SELECT account_id, request_id, max(n) AS n_candidates, max(txn_id) FILTER (score = rb AND rt = 1 AND score = tb AND tt = 1) AS txn_id,
+    max(txn_state) FILTER (score = rb AND rt = 1 AND score = tb AND tt = 1) AS st FROM m GROUP BY account_id, request_id""",
+    "first": """
+  SELECT r.account_id, r.request_id, CASE WHEN n_candidates IS NULL THEN 'not_found' WHEN txn_id IS NULL THEN 'ambiguous' WHEN st = 'posted' THEN 'confirmed' ELSE 'pending' END AS status,
+    txn_id, coalesce(n_candidates, 0) AS n_candidates FROM v_requests r LEFT JOIN h ON r.account_id = h.account_id AND r.request_id = h.request_id"""}
+
+
+@query(chain("SELECT * FROM first", **_BANK))
 def reconcile_credits(s, d):
     return bank.reconcile_credits(spark_view(s, d, "v_requests"), spark_view(s, d, "v_transactions"))
 
 
-@query(_BANK + "SELECT account_id, request_id, txn_id, score FROM c")
+@query(chain("SELECT account_id, request_id, txn_id, score FROM c", **_BANK))
 def candidate_credits(s, d):
     return bank.candidate_credits(spark_view(s, d, "v_requests"), spark_view(s, d, "v_transactions")).select("account_id", "request_id", "txn_id", "score")
 
 
-@query(chain("SELECT record_id AS return_record_id, order_id, refund_cents AS expected_cents, return_stage AS stage FROM prep WHERE rank >= 4 AND NOT bank_confirmed AND order_id IN (SELECT order_id FROM known WHERE data_complete)"))
+@query(chain("""
+SELECT u.account_id, record_id AS return_record_id, u.order_id, coalesce(u.refund_cents, refund_subtotal_cents) AS expected_cents, coalesce(u.card_last4, o.card_last4) AS card_last4,
+  stage, coalesce(u.status_text, u.status) AS shop_status, expected_credit_at
+FROM used u JOIN orows o ON u.order_id = o.order_id WHERE rank >= 4 AND NOT bank_confirmed AND o.data_complete"""))
 def bank_request(s, d):
     v = Views(s, d)
-    r = v.prepared.withColumn("refund_issued_at", F.col("last_scanned_at")).withColumn("card_last4", F.lit(None).cast("string"))
-    return bank.bank_request(r, v.rows.where("data_complete")).select("return_record_id", "order_id", "expected_cents", "stage")
+    r = bank.bank_request(v.used, v.rows)
+    return r.select("account_id", "return_record_id", "order_id", "expected_cents", "card_last4", "stage", "shop_status", "expected_credit_at")
 
 
-_RESULTS = "SELECT record_id AS return_record_id, CASE l_partkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'pending' WHEN 2 THEN 'maybe' ELSE 'ambiguous' END AS status, coalesce(refund_cents, 0) + l_partkey % 3 AS c FROM v_returns WHERE l_partkey % 2 = 0 OR l_partkey % 3 = 0"
+_RESULTS = """
+  SELECT account_id, record_id AS return_record_id, CASE l_partkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'pending' WHEN 2 THEN 'maybe' ELSE 'ambiguous' END AS status,
+    coalesce(refund_cents, refund_subtotal_cents, 0) + l_partkey % 3 AS c FROM v_returns WHERE l_partkey % 2 = 0 OR l_partkey % 3 = 0"""
 
 
 def bank_results(v: Views) -> DataFrame:
     k = F.col("l_partkey")
-    status = F.when(k % 4 == 0, "confirmed").when(k % 4 == 1, "pending").when(k % 4 == 2, "maybe").otherwise("ambiguous")
-    r = v.returns.where("l_partkey % 2 = 0 OR l_partkey % 3 = 0").select(F.col("record_id").alias("return_record_id"), F.lit(None).cast("string").alias("status"), status.alias("outcome"), ((F.coalesce("refund_cents", F.lit(0)) + k % 3) / 100).alias("matched_amount"), F.lit("2001-01-01").alias("posted_date"), F.lit("12345").alias("account_last4"), F.lit("Checking").alias("account_name"), F.lit("Shop").alias("merchant_name"), F.lit("ok").alias("reason"))
-    return r
+    status = F.when(k % 4 == 0, "Confirmed").when(k % 4 == 1, "pending").when(k % 4 == 2, "maybe").otherwise("ambiguous")
+    amount = (F.coalesce("refund_cents", "refund_subtotal_cents", F.lit(0)) + k % 3) / 100
+    texts = {"posted_date": "2001-01-01", "account_last4": "12345", "account_name": "Checking", "merchant_name": "Shop", "reason": "ok"}
+    return v.returns.where("l_partkey % 2 = 0 OR l_partkey % 3 = 0").select(
+        "account_id", F.col("record_id").alias("return_record_id"), F.lit(None).cast("string").alias("status"), status.alias("outcome"), amount.alias("matched_amount"),
+        *[F.lit(x).alias(c) for c, x in texts.items()])
 
 
-@query(chain(f"SELECT return_record_id, status, CAST(c AS BIGINT) AS matched_cents FROM ({_RESULTS}) q WHERE status <> 'maybe'"))
+@query(chain("SELECT account_id, return_record_id, status, CAST(c AS BIGINT) AS matched_cents, '2345' AS account_last4 FROM results WHERE status <> 'maybe'", results=_RESULTS))
 def validate_bank_results(s, d):
-    return bank.validate_bank_results(bank_results(Views(s, d)))[0].select("return_record_id", "status", "matched_cents")
+    return bank.validate_bank_results(bank_results(Views(s, d)))[0].select("account_id", "return_record_id", "status", "matched_cents", "account_last4")
 
 
-@query(chain(f"SELECT record_id, CASE WHEN q.status IN ('confirmed', 'pending', 'ambiguous') AND NOT coalesce(q.status = 'confirmed' AND abs(c - refund_cents) > 1, false) THEN q.status ELSE bank_status END AS bank_status FROM v_returns LEFT JOIN ({_RESULTS}) q ON record_id = return_record_id"))
+@query(chain("""
+SELECT r.account_id, record_id, CASE WHEN q.status IN ('confirmed', 'pending', 'ambiguous') AND NOT coalesce(q.status = 'confirmed' AND abs(c - coalesce(refund_cents, refund_subtotal_cents)) > 1, false)
+  THEN q.status ELSE bank_status END AS bank_status FROM v_returns r LEFT JOIN results q ON r.account_id = q.account_id AND record_id = return_record_id""", results=_RESULTS))
 def apply_bank_results(s, d):
     v = Views(s, d)
     good = bank.validate_bank_results(bank_results(v))[0].withColumn("checked_at", F.lit(NOW).cast("timestamp"))
-    return bank.apply_bank_results(v.returns, good)[0].select("record_id", "bank_status")
+    return bank.apply_bank_results(v.returns, good)[0].select("account_id", "record_id", "bank_status")
 
 
 # --- coverage ---------------------------------------------------------------------------------------------------------
@@ -474,28 +572,43 @@ def history_pages(s, d) -> DataFrame:
     h = spark_view(s, d, "v_history_rows")
     k = F.col("o_orderkey")
     ids = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("order_id"))))
-    return h.groupBy("account_id", "session_id", "year", "page").agg(ids(F.lit(True)).alias("order_ids"), ids(k % 9 != 0).alias("detail_link_ids"), ids(k % 50 == 0).alias("terminal_ids"), F.max("placed_at").alias("captured_at")).withColumn("seq", F.col("year") * 100000 + F.col("page"))
-
-
-_HIST = f"WITH {duck_ctes('v_history_rows', 'v_orders_once')}, pg AS (SELECT session_id, year, page, year * 100000 + page AS seq, string_agg(order_id, '|' ORDER BY order_id) AS fingerprint, max(placed_at) AS captured_at FROM v_history_rows GROUP BY session_id, year, page), done AS (SELECT DISTINCT order_id FROM v_history_rows WHERE o_orderkey % 50 = 0 UNION SELECT order_id FROM v_orders_once WHERE order_data_complete OR terminal_cancelled)"
-
-
-@query(_HIST + " SELECT session_id, year, page, fingerprint FROM pg")
+    pages = h.groupBy("account_id", "session_id", "year", "page").agg(
+        ids(F.lit(True)).alias("order_ids"), ids(k % 9 != 0).alias("detail_link_ids"), ids(k % 50 == 0).alias("terminal_ids"), F.max("placed_at").alias("captured_at"))
+    return pages.withColumn("seq", F.col("year") * 100000 + F.col("page"))
+
+
+_PAGE = "account_id, session_id, year, page"
+_HIST = {
+    "pg": f"""
+  SELECT {_PAGE}, year * 100000 + page AS seq, string_agg(order_id, '|' ORDER BY order_id) AS fingerprint, max(placed_at) AS captured_at FROM v_history_rows GROUP BY {_PAGE}""",
+    "done": """
+  SELECT DISTINCT order_id FROM v_history_rows WHERE o_orderkey % 50 = 0 UNION SELECT order_id FROM v_orders_once WHERE order_data_complete OR terminal_cancelled""",
+    "seen": "SELECT account_id, order_id, session_id, year * 100000 + page AS seq, session_id || ':' || year || ':' || page AS page_key FROM v_history_rows",
+    "firsts": "SELECT *, first_value(page_key) OVER (PARTITION BY account_id, order_id ORDER BY session_id, seq) AS first_page FROM seen",
+    "hits": """
+  SELECT *, count(*) OVER (PARTITION BY account_id) AS n_hits, row_number() OVER (PARTITION BY account_id ORDER BY session_id, seq, order_id) AS k FROM firsts WHERE page_key <> first_page""",
+    "years": """
+  SELECT account_id, h.year, count(*) = count(d.order_id) AS completed FROM v_history_rows h LEFT JOIN done d ON h.order_id = d.order_id GROUP BY account_id, h.year"""}
+
+
+@query(chain(f"SELECT {_PAGE}, fingerprint FROM pg", **_HIST))
 def page_fingerprint(s, d):
-    return coverage.page_fingerprint(history_pages(s, d)).select("session_id", "year", "page", "fingerprint")
+    return coverage.page_fingerprint(history_pages(s, d)).select(*_PAGE.split(", "), "fingerprint")
 
 
-@query(_HIST + " SELECT session_id, year, page, coalesce(fingerprint <> '' AND lag(fingerprint) OVER (PARTITION BY session_id ORDER BY seq) <> '' AND lag(fingerprint) OVER (PARTITION BY session_id ORDER BY seq) <> fingerprint, false) AS advanced FROM pg")
+@query(chain(f"""
+SELECT {_PAGE}, coalesce(fingerprint <> '' AND before <> '' AND before <> fingerprint, false) AS advanced
+FROM (SELECT *, lag(fingerprint) OVER (PARTITION BY account_id, session_id ORDER BY seq) AS before FROM pg) q""", **_HIST))
 def page_progress(s, d):
-    return coverage.page_progress(history_pages(s, d)).select("session_id", "year", "page", "advanced")
+    return coverage.page_progress(history_pages(s, d)).select(*_PAGE.split(", "), "advanced")
 
 
-@query(_HIST + ", seen AS (SELECT order_id, session_id, year * 100000 + page AS seq, session_id || ':' || year || ':' || page AS page_key FROM v_history_rows), f AS (SELECT *, first_value(page_key) OVER (PARTITION BY order_id ORDER BY session_id, seq) AS first_page FROM seen), h AS (SELECT *, count(*) OVER () AS n_hits, row_number() OVER (ORDER BY session_id, seq, order_id) AS k FROM f WHERE page_key <> first_page) SELECT order_id, first_page, page_key AS again_page, n_hits FROM h WHERE k <= 50")
+@query(chain("SELECT account_id, order_id, first_page, page_key AS again_page, n_hits FROM hits WHERE k <= 50", **_HIST))
 def overlap_hits(s, d):
-    return coverage.overlap_hits(history_pages(s, d)).select("order_id", "first_page", "again_page", "n_hits")
+    return coverage.overlap_hits(history_pages(s, d)).select("account_id", "order_id", "first_page", "again_page", "n_hits")
 
 
-@query(_HIST + " SELECT order_id FROM v_orders_once WHERE o_orderkey % 9 = 0 AND o_orderkey % 50 <> 0 AND o_orderkey % 4 <> 0")
+@query(chain("SELECT order_id FROM v_orders_once WHERE o_orderkey % 9 = 0 AND o_orderkey % 50 <> 0 AND o_orderkey % 4 <> 0"))
 def missing_links(s, d):
     stored = spark_view(s, d, "v_orders_once").where("o_orderkey % 4 = 0").withColumn("order_details_url", F.lit("x"))
     return coverage.missing_detail_links(history_pages(s, d), stored).select("order_id")
@@ -506,157 +619,97 @@ def _completed(s, d) -> DataFrame:
     return coverage.completed_orders(o.select("account_id", "order_id", F.lit(False).alias("complete")), history_pages(s, d), o)
 
 
-@query(_HIST + " SELECT order_id FROM done")
+@query(chain("SELECT order_id FROM done", **_HIST))
 def completed_orders(s, d):
     return _completed(s, d).select("order_id")
 
 
-@query(_HIST + " SELECT session_id, year, page, count(*) AS n_orders, count(d.order_id) AS n_done, count(*) = count(d.order_id) AS page_done FROM v_history_rows h LEFT JOIN done d ON h.order_id = d.order_id GROUP BY session_id, year, page")
+@query(chain(f"""
+SELECT {_PAGE}, count(*) AS n_orders, count(d.order_id) AS n_done, count(*) = count(d.order_id) AS page_done
+FROM v_history_rows h LEFT JOIN done d ON h.order_id = d.order_id GROUP BY {_PAGE}""", **_HIST))
 def page_completion(s, d):
-    return coverage.page_completion(history_pages(s, d), _completed(s, d)).drop("account_id")
+    return coverage.page_completion(history_pages(s, d), _completed(s, d))
 
 
-@query(_HIST + " SELECT DISTINCT session_id, h.order_id FROM v_history_rows h JOIN done d ON h.order_id = d.order_id")
+@query(chain("SELECT DISTINCT account_id, session_id, h.order_id FROM v_history_rows h JOIN done d ON h.order_id = d.order_id", **_HIST))
 def session_refresh(s, d):
-    return coverage.session_refresh_set(history_pages(s, d), _completed(s, d)).drop("account_id")
+    return coverage.session_refresh_set(history_pages(s, d), _completed(s, d))
 
 
-@query(f"WITH {duck_ctes('v_orders_once', 'v_returns')}, b AS (SELECT DISTINCT order_id FROM v_returns) SELECT o.order_id, b.order_id IS NOT NULL AS has_return, CASE WHEN NOT order_data_complete THEN 'incomplete' ELSE 'stale' END AS reason FROM v_orders_once o LEFT JOIN b ON o.order_id = b.order_id WHERE NOT order_data_complete OR last_scanned_at + CASE WHEN b.order_id IS NOT NULL THEN INTERVAL 24 HOUR ELSE INTERVAL 168 HOUR END <= TIMESTAMP '1999-01-01'")
+@query(chain("""
+SELECT o.order_id, b.order_id IS NOT NULL AS has_return, CASE WHEN NOT order_data_complete THEN 'incomplete' ELSE 'stale' END AS reason
+FROM v_orders_once o LEFT JOIN (SELECT DISTINCT order_id FROM v_returns) b ON o.order_id = b.order_id
+WHERE NOT order_data_complete OR last_scanned_at + CASE WHEN b.order_id IS NOT NULL THEN INTERVAL 24 HOUR ELSE INTERVAL 168 HOUR END <= TIMESTAMP '1999-01-01'"""))
 def refresh_due(s, d):
     return coverage.refresh_due(spark_view(s, d, "v_orders_once"), spark_view(s, d, "v_returns"), "1999-01-01 00:00:00").drop("account_id")
 
 
-@query(_HIST + " SELECT year, page, max(captured_at) AS captured_at FROM pg GROUP BY year, page HAVING max(captured_at) + INTERVAL 24 HOUR <= TIMESTAMP '1996-01-01'")
+@query(chain("SELECT account_id, year, page, max(captured_at) AS captured_at FROM pg GROUP BY account_id, year, page HAVING max(captured_at) + INTERVAL 24 HOUR <= TIMESTAMP '1996-01-01'", **_HIST))
 def pages_due(s, d):
-    return coverage.pages_due(history_pages(s, d), "1996-01-01 00:00:00").drop("account_id")
+    return coverage.pages_due(history_pages(s, d), "1996-01-01 00:00:00")
 
 
-_JOBS = "SELECT 'U' || CAST(user_id AS VARCHAR) AS account_id, event_type AS type, 'O' || CAST(event_id % 40 AS VARCHAR) AS order_id, event_id % 3 AS priority, ts AS queued_at, event_id FROM events"
+_JOBS = {
+    "jobs": "SELECT 'U' || CAST(user_id AS VARCHAR) AS account_id, event_type || ':O' || CAST(event_id % 40 AS VARCHAR) AS job_key, event_id % 3 AS priority, ts AS queued_at, event_id FROM events",
+    "busy": "SELECT DISTINCT account_id, job_key FROM jobs WHERE event_id % 5 = 0",
+    "once": "SELECT *, row_number() OVER (PARTITION BY account_id, job_key ORDER BY priority, queued_at) AS n FROM jobs WHERE event_id % 5 <> 0"}
 
 
-@query(f"WITH j AS (SELECT *, type || ':' || order_id AS job_key FROM ({_JOBS}) q WHERE event_id % 5 <> 0), busy AS (SELECT account_id, type || ':' || order_id AS job_key FROM ({_JOBS}) q WHERE event_id % 5 = 0) SELECT account_id, job_key, priority, queued_at FROM (SELECT *, row_number() OVER (PARTITION BY account_id, job_key ORDER BY priority, queued_at, order_id) AS n FROM j) k WHERE n = 1 AND (account_id, job_key) NOT IN (SELECT (account_id, job_key) FROM busy)")
+@query(chain("""
+SELECT o.account_id, o.job_key, priority, queued_at FROM once o LEFT JOIN busy b ON o.account_id = b.account_id AND o.job_key = b.job_key WHERE n = 1 AND b.job_key IS NULL""", **_JOBS))
 def work_list(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
-    j = e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("account_id"), F.col("event_type").alias("type"), F.concat(F.lit("O"), (F.col("event_id") % 40).cast("string")).alias("order_id"), F.lit(None).cast("string").alias("url"), (F.col("event_id") % 3).alias("priority"), F.col("ts").alias("queued_at"), "event_id")
+    j = e.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("account_id"), F.col("event_type").alias("type"), F.concat(F.lit("O"), (F.col("event_id") % 40).cast("string")).alias("order_id"),
+        F.lit(None).cast("string").alias("url"), (F.col("event_id") % 3).alias("priority"), F.col("ts").alias("queued_at"), "event_id")
     busy = j.where("event_id % 5 = 0").withColumn("job_key", F.concat_ws(":", "type", "order_id"))
     return coverage.work_list(j.where("event_id % 5 <> 0"), busy.where("event_id % 10 = 0"), busy.where("event_id % 10 = 5")).select("account_id", "job_key", "priority", "queued_at")
 
 
-@query(_HIST + ", y AS (SELECT h.year, count(*) = count(d.order_id) AS completed FROM v_history_rows h LEFT JOIN done d ON h.order_id = d.order_id GROUP BY h.year) SELECT max(year) FILTER (year < 1998 AND NOT completed) AS next_year, count(*) AS n_years, count(*) FILTER (completed) AS n_completed, max(year) FILTER (year < 1998 AND NOT completed) IS NULL AS done FROM y")
+@query(chain("""
+SELECT account_id, max(year) FILTER (year < 1998 AND NOT completed) AS next_year, count(*) AS n_years, count(*) FILTER (completed) AS n_completed,
+  max(year) FILTER (year < 1998 AND NOT completed) IS NULL AS done FROM years GROUP BY account_id""", **_HIST))
 def year_status(s, d):
     done = coverage.page_completion(history_pages(s, d), _completed(s, d))
     years = done.groupBy("account_id", "year").agg(F.bool_and("page_done").alias("completed"))
-    return coverage.year_status(years, F.lit(1998)).drop("account_id")
+    return coverage.year_status(years, F.lit(1998))
 
 
-@query(_HIST + " SELECT year, max(page) AS page FROM pg WHERE year = (SELECT min(year) FROM pg) GROUP BY year")
+@query(chain("SELECT p.account_id, year, max(page) AS page FROM pg p JOIN (SELECT account_id, min(year) AS least FROM pg GROUP BY account_id) l ON p.account_id = l.account_id AND year = least GROUP BY p.account_id, year", **_HIST))
 def deepest_frontier(s, d):
-    return coverage.deepest_frontier(history_pages(s, d)).drop("account_id")
+    return coverage.deepest_frontier(history_pages(s, d))
 
 
-@query("SELECT 'U' || CAST(user_id AS VARCHAR) AS account_id, CAST(event_id % 4 AS INTEGER) AS year, count(*) FILTER (event_type = 'view') AS n_history, count(*) FILTER (event_type = 'click') AS n_detail, count(*) FILTER (event_type = 'purchase') AS n_return, count(*) FILTER (value < 5) AS n_errors, count(*) FILTER (value > 300) AS n_rate_limited FROM events GROUP BY user_id, event_id % 4")
+@query("""
+SELECT 'U' || CAST(user_id AS VARCHAR) AS account_id, CAST(event_id % 4 AS INTEGER) AS year, count(*) FILTER (event_type = 'view') AS n_history,
+  count(*) FILTER (event_type = 'click') AS n_detail, count(*) FILTER (event_type = 'purchase') AS n_return, count(*) FILTER (value < 5) AS n_errors,
+  count(*) FILTER (value > 300) AS n_rate_limited FROM events GROUP BY user_id, event_id % 4""")
 def crawl_counters(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
     kind = F.when(F.col("event_type") == "view", "history").when(F.col("event_type") == "click", "detail").when(F.col("event_type") == "purchase", "return").otherwise("other")
-    a = e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("account_id"), (F.col("event_id") % 4).cast("int").alias("year"), kind.alias("type"), F.when(F.col("value") < 5, "error").when(F.col("value") > 300, "rate_limited").otherwise("ok").alias("outcome"))
-    return coverage.crawl_counters(a)
+    outcome = F.when(F.col("value") < 5, "error").when(F.col("value") > 300, "rate_limited").otherwise("ok")
+    return coverage.crawl_counters(e.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("account_id"), (F.col("event_id") % 4).cast("int").alias("year"), kind.alias("type"), outcome.alias("outcome")))
 
 
-@query(f"WITH {duck_ctes('v_orders_once', 'v_returns')} SELECT 'detail' AS type, order_id, order_details_url AS url FROM v_orders_once WHERE NOT order_data_complete AND order_details_url IS NOT NULL UNION SELECT 'return', order_id, 'https://shop.example.com/returns/status?rmaId=' || return_token FROM v_returns")
+@query(chain("""
+SELECT 'detail' AS type, order_id, order_details_url AS url FROM v_orders_once WHERE NOT order_data_complete AND order_details_url IS NOT NULL
+UNION SELECT 'return', order_id, 'https://shop.example.com/returns/status?rmaId=' || return_token FROM v_returns"""))
 def pending_seed(s, d):
     r = spark_view(s, d, "v_returns").withColumn("return_status_url", F.concat(F.lit("https://shop.example.com/returns/status?rmaId="), F.col("return_token")))
     return coverage.pending_seed(spark_view(s, d, "v_orders_once"), r).drop("account_id")
 
 
-_LOG = f"WITH {duck_ctes('v_event_log')}"
-
-
-@query(_LOG + " SELECT account_id, event_id, logged_at FROM v_event_log QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY logged_at DESC, event_id DESC) <= 5")
+@query(chain("SELECT account_id, event_id, logged_at FROM v_event_log QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY logged_at DESC, event_id DESC) <= 5"))
 def latest_events(s, d):
     log = spark_view(s, d, "v_event_log").withColumnRenamed("logged_at", "at")
     return io.latest_events(log, 5).select("account_id", "event_id", F.col("at").alias("logged_at"))
 
 
-@query(_LOG + " SELECT account_id, 'K' || CAST(event_id AS VARCHAR) AS job_key FROM v_event_log QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY logged_at DESC, 'K' || CAST(event_id AS VARCHAR)) <= 3")
+@query(chain("""
+SELECT account_id, 'K' || CAST(event_id AS VARCHAR) AS job_key FROM v_event_log
+QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY logged_at DESC, 'K' || CAST(event_id AS VARCHAR)) <= 3"""))
 def recent_keys(s, d):
     log = spark_view(s, d, "v_event_log").withColumnRenamed("logged_at", "at")
     return coverage.recent_keys(log.withColumn("job_key", F.concat(F.lit("K"), F.col("event_id").cast("string"))), 3).select("account_id", "job_key")
 
-
-# --- pages and text ---------------------------------------------------------------------------------------------------
-
-_TEXT = f"WITH {duck_ctes('v_page_text')}"
-
-
-def _captures(s, d) -> DataFrame:
-    return spark_view(s, d, "v_page_text").withColumn("title", F.lit(""))
-
-
-@query(_TEXT + " SELECT page_id, true_order_id AS order_id, true_cents AS purchase_cents, CASE WHEN page_id % 5 = 0 THEN 1250 END AS canonical_refund_cents, true_card AS card_last4, CASE WHEN page_id % 2 = 0 THEN 'June' ELSE 'Sep' END || printf(' %d, 2026', page_id % 28 + 1) AS order_date_text FROM v_page_text")
-def extract_money(s, d):
-    return pages.order_facts(_captures(s, d)).select("page_id", "order_id", "purchase_cents", F.col("canonical_refund_cents").cast("int").alias("canonical_refund_cents"), "card_last4", "order_date_text")
-
-
-@query(_TEXT + " SELECT page_id, true_card AS card_last4 FROM v_page_text")
-def card_last4(s, d):
-    return _captures(s, d).select("page_id", X.card_last4(F.col("text")).alias("card_last4"))
-
-
-@query(_TEXT + " SELECT page_id, true_order_id AS order_id FROM v_page_text")
-def extract_order_ids(s, d):
-    return _captures(s, d).select("page_id", F.explode(X.order_ids(F.col("text"))).alias("order_id"))
-
-
-@query(_TEXT + " SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'shipped' WHEN 1 THEN 'received' WHEN 2 THEN 'refund_issued' WHEN 3 THEN 'credited' WHEN 4 THEN 'started' ELSE 'unknown' END AS stage, page_id % 6 IN (1, 2, 3) AS received_done, CASE page_id % 6 WHEN 0 THEN 'return_in_progress' WHEN 1 THEN 'returned_pending_refund' WHEN 2 THEN 'refunded' WHEN 3 THEN 'refunded' WHEN 4 THEN 'return_in_progress' ELSE 'unknown' END AS status FROM v_page_text")
-def milestones(s, d):
-    out = _captures(s, d).withColumn("m", X.milestones(F.col("text")))
-    return out.select("page_id", F.col("m.stage").alias("stage"), F.col("m.received.done").alias("received_done"), X.record_status(F.col("m.stage"), F.col("text"), F.lit("return")).alias("status"))
-
-
-@query(_TEXT + " SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'ordered' WHEN 1 THEN 'delivered' END AS stage, CASE page_id % 7 WHEN 0 THEN 'Replacement ordered' WHEN 1 THEN 'Your replacement has been delivered' END AS status_text FROM v_page_text")
-def replacement_evidence(s, d):
-    return _captures(s, d).withColumn("r", X.replacement(F.col("text"))).select("page_id", F.col("r.stage").alias("stage"), F.col("r.status_text").alias("status_text"))
-
-
-@query(_TEXT + " SELECT page_id, 'ok' AS gate, 'order_detail' AS page_type, 'https://shop.example.com/your-orders/order-details?orderID=' || true_order_id AS place FROM v_page_text")
-def classify_pages(s, d):
-    c = pages.classify_pages(_captures(s, d))
-    return c.select("page_id", "gate", "page_type", X.location_key(F.col("url")).alias("place"))
-
-
-@query(chain("SELECT record_id, 'return:' || order_id || ':' || lower(return_token) || ':' || asin AS made FROM v_returns"))
-def record_id(s, d):
-    none = F.lit(None).cast("string")
-    made = X.record_id(F.lit("return"), F.col("order_id"), F.col("return_token"), none, F.array("asin"), F.array("item_name"), F.lit(False), F.col("refund_cents"))
-    return Views(s, d).returns.select("record_id", made.alias("made"))
-
-
-@query("SELECT page_id, CAST(coalesce(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), ''), '1') AS INTEGER) AS page, regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN k <> '' THEN '?' || k ELSE '' END AS place FROM (SELECT *, array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(ref|ref_|tag)(=|$)')), '&') AS k FROM pages) q")
-def location_key(s, d):
-    p = s.read.parquet(f"{d}/pages.parquet")
-    return pages.history_route(p).select("page_id", "page", X.location_key(F.col("url")).alias("place"))
-
-
-@query(f"WITH {duck_ctes('v_orders_once')} SELECT o_orderkey, order_id AS url_order_id, printf('RMA-%07d', o_orderkey) AS return_token, printf('it%d', o_orderkey % 7) AS return_item_id FROM v_orders_once")
-def url_facts(s, d):
-    o = spark_view(s, d, "v_orders_once").withColumn("url", F.concat(F.lit("https://shop.example.com/returns/status?orderId="), F.col("order_id"), F.lit("&rmaId="), F.format_string("RMA-%07d", F.col("o_orderkey")), F.lit("&itemId="), F.format_string("it%d", F.col("o_orderkey") % 7)))
-    return pages.url_facts(o).select("o_orderkey", "url_order_id", "return_token", "return_item_id")
-
-
-@query(f"WITH {duck_ctes('v_orders_once')} SELECT o_orderkey, CAST(year(order_date) AS INTEGER) AS year, CAST(o_orderkey % 30 + 1 AS INTEGER) AS page, 'hash' AS mode FROM v_orders_once")
-def history_route(s, d):
-    o = spark_view(s, d, "v_orders_once").withColumn("url", F.concat(F.lit("https://shop.example.com/your-orders/orders#time/"), F.year("order_date").cast("string"), F.lit("/pagination/"), (F.col("o_orderkey") % 30 + 1).cast("string")))
-    return pages.history_route(o).select("o_orderkey", "year", "page", "mode")
-
-
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_anchors FROM pages")
-def page_anchors(s, d):
-    raw = s.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
-    a = html.page_anchors(html.page_nodes(raw)).groupBy("page_id").agg(F.count("*").alias("n"))
-    return raw.select("page_id").join(a, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_anchors"))
-
-
-@query()
-def page_blocks(s, d):
-    n = html.page_nodes(s.read.parquet(f"{d}/pages.parquet").select("page_id", "html"))
-    return html.page_blocks(n).select("page_id", "block_id", "parent_id", "depth", "tag", "hidden", F.length("text").alias("text_chars"))

@@ -3,98 +3,136 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BLOCK_TAGS = {"div", "section", "article", "li", "td", "tr", "table", "ul", "ol", "p", "main", "nav", "footer", "aside", "header", "body", "h1", "h2", "h3"}
-VOID_TAGS = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
+BLOCK_TAGS = {
+    "div", "section", "article", "li", "td", "tr", "table", "ul", "ol", "p", "main", "nav", "footer", "aside", "header", "body", "h1", "h2", "h3"}
 SILENT_TAGS = {"script", "style", "noscript", "template", "title"}
-NODE = "struct<kind:string, block_id:int, pos:int, parent_id:int, depth:int, ancestors:array<int>, tag:string, css_class:string, attrs:map<string,string>, hidden:boolean, text:string, href:string, title:string, aria_label:string, img_alt:string>"
+NODE = (
+    "struct<kind:string, block_id:int, pos:int, parent_id:int, depth:int, ancestors:array<int>, tag:string, css_class:string, "
+    "attrs:map<string,string>, hidden:boolean, text:string, href:string, title:string, aria_label:string, img_alt:string>")
+FIELDS = (
+    "kind", "block_id", "pos", "parent_id", "depth", "ancestors", "tag", "css_class", "attrs", "hidden", "text", "href", "title", "aria_label", "img_alt")
+#: Characters of node texts in one output slice.
+SLICE_CHARS = 4_000_000
 
 
 class _Reader(HTMLParser):
-    """Collects blocks and anchors of one page; unclosed and stray tags are tolerated."""
+    """Collects blocks and anchors of one page; unclosed and stray tags are tolerated.
+
+    The page's words are held once; a block or anchor knows where its own begin and end.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks, self.anchors, self.open, self.silent, self.link = [], [], [], 0, None
+        self.words, self.blocks, self.anchors, self.open, self.silent, self.link = [], [], [], [], 0, None
 
     def handle_starttag(self, tag, attrs):
         got = {k: v or "" for k, v in attrs}
         if tag in SILENT_TAGS:
             self.silent += 1
         elif tag in BLOCK_TAGS:
-            if tag == "p" and self.open and self.blocks[self.open[-1]]["tag"] == "p":
-                self.open.pop()
-            hidden = "hidden" in got or "display:none" in got.get("style", "").replace(" ", "") or got.get("aria-hidden") == "true"
-            hidden = hidden or any(self.blocks[i]["hidden"] for i in self.open[-1:])
-            self.blocks.append({"kind": "block", "block_id": len(self.blocks), "parent_id": self.open[-1] if self.open else None, "depth": len(self.open), "ancestors": list(self.open), "tag": tag, "css_class": got.get("class", ""), "attrs": got, "hidden": hidden, "words": []})
-            self.open.append(len(self.blocks) - 1)
-            self.put("\n")
+            self.open_block(tag, got)
         elif tag == "a" and "href" in got:
-            self.link = {"kind": "anchor", "pos": len(self.anchors), "block_id": self.open[-1] if self.open else None, "href": got["href"], "title": got.get("title"), "aria_label": got.get("aria-label"), "img_alt": None, "words": []}
+            self.close_link()
+            self.link = {
+                "kind": "anchor", "pos": len(self.anchors), "block_id": self.open[-1] if self.open else None, "href": got["href"],
+                "title": got.get("title"), "aria_label": got.get("aria-label"), "img_alt": None, "span": [len(self.words), None]}
             self.anchors.append(self.link)
         elif tag == "img" and self.link is not None and got.get("alt"):
             self.link["img_alt"] = got["alt"]
         elif tag == "br":
-            self.put("\n")
+            self.words.append("\n")
+
+    def open_block(self, tag, got):
+        if tag == "p" and self.open and self.blocks[self.open[-1]]["tag"] == "p":
+            self.close_block()
+        hidden = "hidden" in got or "display:none" in got.get("style", "").replace(" ", "") or got.get("aria-hidden") == "true"
+        hidden = hidden or any(self.blocks[i]["hidden"] for i in self.open[-1:])
+        self.blocks.append({
+            "kind": "block", "block_id": len(self.blocks), "parent_id": self.open[-1] if self.open else None, "depth": len(self.open), "ancestors": list(self.open),
+            "tag": tag, "css_class": got.get("class", ""), "attrs": got, "hidden": hidden, "span": [len(self.words), None]})
+        self.open.append(len(self.blocks) - 1)
+        self.words.append("\n")
+
+    def close_block(self):
+        block = self.blocks[self.open.pop()]
+        block["span"][1] = len(self.words)
+        return block["tag"]
+
+    def close_link(self):
+        if self.link is not None:
+            self.link["span"][1] = len(self.words)
+        self.link = None
 
     def handle_endtag(self, tag):
         if tag in SILENT_TAGS:
             self.silent = max(0, self.silent - 1)
         elif tag == "a":
-            self.link = None
+            self.close_link()
         elif tag in BLOCK_TAGS and any(self.blocks[i]["tag"] == tag for i in self.open):
-            self.put("\n")
-            while self.blocks[self.open.pop()]["tag"] != tag:
+            self.words.append("\n")
+            while self.close_block() != tag:
                 pass
 
-    def put(self, data):
-        for i in self.open:
-            self.blocks[i]["words"].append(data)
-        if self.link is not None:
-            self.link["words"].append(data)
-
     def handle_data(self, data):
         if not self.silent and data.strip():
-            self.put(data)
+            self.words.append(data)
 
 
-def _nodes(html: str | None) -> list[dict]:
+def _nodes(html: str | None) -> Iterator[dict]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    found = [*reader.blocks, *reader.anchors]
-    for node in found:
-        node["text"] = re.sub(r" ?\n\s*", "\n", re.sub(r"[ \t\r\f]+", " ", "".join(node.pop("words")))).strip()
-    return found
+    for node in [*reader.blocks, *reader.anchors]:
+        start, end = node.pop("span")
+        words = re.sub(r"[ \t\r\f]+", " ", "".join(reader.words[start:end]))
+        yield node | {"text": re.sub(r" ?\n\s*", "\n", words).strip()}
 
 
 def page_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """All columns but the HTML, plus one row a block or anchor in `node`; pages without any give no row."""
+    """All columns but the HTML, plus one row a block or anchor in `node`; pages without any give no row.
+
+    A block's text is all text inside it, so nested blocks repeat it. Nodes leave the task in slices of about SLICE_CHARS
+    characters; memory follows the largest page.
+    """
     keep = [c for c in pages.columns if c != html_col]
     schema = ", ".join(f"`{c}` {t}" for c, t in pages.select(*keep).dtypes) + f", node {NODE}"
-    fields = [f.split(":")[0] for f in NODE[7:-1].replace("map<string,string>", "map").split(", ")]
+
+    def slice_of(batch: pd.DataFrame, rows: list) -> pd.DataFrame:
+        out = batch[keep].iloc[[i for i, _ in rows]].reset_index(drop=True)
+        return out.assign(node=pd.Series([n for _, n in rows], dtype=object))
 
     def run(batches):
         for batch in batches:
-            rows = [(i, {f: n.get(f) for f in fields}) for i, html in enumerate(batch[html_col]) for n in _nodes(html)]
-            out = batch[keep].iloc[[i for i, _ in rows]].reset_index(drop=True)
-            yield out.assign(node=pd.Series([n for _, n in rows], dtype=object))
+            rows, size = [], 0
+            for i, html in enumerate(batch[html_col]):
+                for n in _nodes(html):
+                    rows.append((i, {f: n.get(f) for f in FIELDS}))
+                    size += len(n["text"]) + 200
+                    if size >= SLICE_CHARS:
+                        yield slice_of(batch, rows)
+                        rows, size = [], 0
+            yield slice_of(batch, rows)
 
     return pages.mapInPandas(run, schema)
 
 
+def _columns(nodes: DataFrame, kind: str, *fields: str) -> DataFrame:
+    own = [c for c in nodes.columns if c != "node"]
+    return nodes.where(F.col("node.kind") == kind).select(*own, *[F.col(f"node.{c}").alias(c) for c in fields])
+
+
 def page_anchors(nodes: DataFrame) -> DataFrame:
-    x = nodes.where("node.kind = 'anchor'")
-    return x.select(*[c for c in nodes.columns if c != "node"], *[F.col(f"node.{c}").alias(c) for c in ("pos", "block_id", "href", "text", "title", "aria_label", "img_alt")])
+    return _columns(nodes, "anchor", "pos", "block_id", "href", "text", "title", "aria_label", "img_alt")
 
 
 def page_blocks(nodes: DataFrame) -> DataFrame:
-    x = nodes.where("node.kind = 'block'")
-    return x.select(*[c for c in nodes.columns if c != "node"], *[F.col(f"node.{c}").alias(c) for c in ("block_id", "parent_id", "depth", "ancestors", "tag", "css_class", "attrs", "hidden", "text")])
+    return _columns(nodes, "block", "block_id", "parent_id", "depth", "ancestors", "tag", "css_class", "attrs", "hidden", "text")
 
 
 def page_text(nodes: DataFrame) -> DataFrame:

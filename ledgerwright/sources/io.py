@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import schema
 from ..operators.coverage import newest_keys
 from ..operators.merge import diff_ledger
+from ..operators.queries import money_text
 
 
 def read_page_captures(spark: SparkSession, path: str, streaming: bool = False, format: str = "parquet") -> DataFrame:
@@ -17,18 +19,84 @@ def read_page_captures(spark: SparkSession, path: str, streaming: bool = False,
     return reader.schema(schema.PAGE_CAPTURE).format(format).load(path)
 
 
-def write_ledger(df: DataFrame, path: str, before: DataFrame | None = None, buckets: int = 64) -> bool:
-    """Writes a new version of the ledger, partitioned by a bucket of the account; skipped if nothing changed from `before`.
+def bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df with the bucket of its (account, order)."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64("account_id", "order_id"), F.lit(buckets)).cast("int"))
 
-    Versions are folders `v=<millis>`; readers take the largest complete one, so a failed write is never seen.
+
+def write_ledger(df: DataFrame, path: str, before: DataFrame | None = None, buckets: int = 64, tasks: int | None = None) -> bool:
+    """Writes a new whole version of the ledger, partitioned by a bucket of (account, order); skipped if nothing changed from `before`.
+
+    Versions are folders `v=<millis>`; readers take the newest complete one, so a failed write is never seen. `tasks`
+    (all shuffle partitions by default) spread over the buckets, so a bucket may have several files and the number of
+    buckets bounds nothing. A ledger keeps its number of buckets: update_buckets() needs it. drop_old_versions() removes old ones.
     """
     if before is not None and diff_ledger(before, df).where("change <> 'unchanged'").isEmpty():
         return False
-    bucket = F.pmod(F.xxhash64("account_id", "order_id"), F.lit(buckets))
-    df.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{path.rstrip('/')}/v={int(time.time() * 1000)}")
+    tasks = tasks or max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = F.pmod(F.xxhash64("record_id"), F.lit(-(-tasks // buckets)))
+    bucketed(df, buckets).repartition(tasks, "bucket", spread).write.partitionBy("bucket").parquet(f"{path.rstrip('/')}/v={int(time.time() * 1000)}")
     return True
 
 
+def update_buckets(spark: SparkSession, path: str, captures: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], epoch: int, buckets: int = 64) -> None:
+    """Merges a batch into the buckets it touches and writes these alone; every other bucket's files stay as they are.
+
+    Each bucket has versions of its own, `bucket=<k>/v=<epoch>-<millis>`; readers take its newest. A version becomes visible
+    whole, when its folder is renamed into place, and only then the older ones go; so a batch that breaks off loses
+    nothing, and when it is repeated it merges the same captures again, which changes nothing. There is one writer.
+    Only the numbers of the touched buckets (at most `buckets`) reach the driver.
+    """
+    fs, root = _hadoop(spark, path)
+    at = lambda *parts: spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([str(root), *map(str, parts)]))
+    placed = bucketed(captures, buckets)
+    touched = sorted(r[0] for r in placed.select("bucket").distinct().collect())
+    if not touched:
+        return
+    held = read_buckets(spark, path, touched)
+    made = bucketed(merge(placed.drop("bucket"), held), buckets)
+    version = f"{epoch:012d}-{int(time.time() * 1000)}"
+    new = f"_writing-{version}"
+    made.repartition("bucket").write.partitionBy("bucket").parquet(str(at(new)))
+    for k in touched:
+        target = at(f"bucket={k}", f"v={version}")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(at(new, f"bucket={k}"), target):
+            raise OSError(f"bucket {k} could not be put in place")
+        for old in fs.listStatus(target.getParent()):
+            if old.getPath().getName() != target.getName():
+                fs.delete(old.getPath(), True)
+    fs.delete(at(new), True)
+
+
+def read_buckets(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame | None:
+    """The ledger that update_buckets() keeps, or those buckets of it; None if there is nothing yet."""
+    fs, root = _hadoop(spark, path)
+    if not fs.exists(root):
+        return None
+    found = []
+    for bucket in fs.listStatus(root):
+        name = bucket.getPath().getName()
+        if name.startswith("bucket=") and (only is None or int(name[7:]) in only):
+            found += [max(str(v.getPath()) for v in fs.listStatus(bucket.getPath()))]
+    return spark.read.parquet(*found) if found else None
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Removes all but the newest `keep` complete versions of a ledger, and failed writes older than these; how many went.
+
+    Readers of an older version must have ended.
+    """
+    fs, p = _hadoop(spark, path)
+    jvm = spark.sparkContext._jvm
+    versions = sorted((s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")), key=str, reverse=True)
+    done = [v for v in versions if fs.exists(jvm.org.apache.hadoop.fs.Path(v, "_SUCCESS"))][:keep]
+    gone = [v for v in versions if done and str(v) < str(done[-1])]
+    for v in gone:
+        fs.delete(v, True)
+    return len(gone)
+
+
 def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -46,36 +114,55 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(max(done)).drop("bucket")
 
 
-def read_bank_results(spark: SparkSession, path: str, request_id: str, tag: str = "bank-reconciliation-result/1") -> tuple[DataFrame, DataFrame]:
-    """(matches, rejects) of JSON documents; documents that are malformed, of another schema or request, or without an array are rejected."""
+def read_bank_results(spark: SparkSession, path: str, request_id: str, tag: str = "bank-reconciliation-result/1", account_id: str = "main") -> tuple[DataFrame, DataFrame]:
+    """(matches, rejects) of JSON documents; documents that are malformed, of another schema or request, or without an array are rejected.
+
+    A document names its account in accountId, as the request does; one that names none belongs to `account_id`.
+    """
     docs = spark.read.schema(schema.BANK_RESULTS).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    problem = F.when(F.col("_corrupt_record").isNotNull(), "malformed").when(~F.col("schema").eqNullSafe(tag), "schema").when(~F.col("requestId").eqNullSafe(request_id), "request").when(F.col("matches").isNull(), "matches")
+    problem = (
+        F.when(F.col("_corrupt_record").isNotNull(), "malformed").when(~F.col("schema").eqNullSafe(tag), "schema")
+        .when(~F.col("requestId").eqNullSafe(request_id), "request").when(F.col("matches").isNull(), "matches"))
     judged = docs.withColumn("problem", problem)
-    m = judged.where("problem IS NULL").select("requestId", F.explode("matches").alias("m"))
+    m = judged.where("problem IS NULL").select("requestId", F.coalesce("accountId", F.lit(account_id)).alias("account_id"), F.explode("matches").alias("m"))
     matches = m.select(
-        F.col("requestId").alias("request_id"), F.col("m.returnRecordId").alias("return_record_id"), "m.status", "m.outcome", F.col("m.matchedAmount").alias("matched_amount"), F.col("m.postedDate").alias("posted_date"),
+        "account_id", F.col("requestId").alias("request_id"), F.col("m.returnRecordId").alias("return_record_id"), "m.status", "m.outcome", F.col("m.matchedAmount").alias("matched_amount"), F.col("m.postedDate").alias("posted_date"),
         F.col("m.accountLast4").alias("account_last4"), F.col("m.accountName").alias("account_name"), F.col("m.merchantName").alias("merchant_name"), "m.confidence", "m.reason", F.to_timestamp("m.checkedAt").alias("checked_at"))
     return matches, judged.where("problem IS NOT NULL").select("schema", "requestId", "problem")
 
 
-def write_bank_requests(requests: DataFrame, path: str, request_id: str, tag: str = "bank-reconciliation-request/1") -> None:
-    """One JSON document an account: policy and the list of returns to look for."""
+def write_bank_requests(requests: DataFrame, path: str, request_id: str, tag: str = "bank-reconciliation-request/1", most: int = 10_000) -> None:
+    """JSON documents of policy and returns to look for: one an account, more where an account has over `most` returns.
+
+    So no document, and no row that a task holds, grows with an account; all of an account's documents share the request id.
+    """
     policy = F.struct(F.lit(schema.TOLERANCE_CENTS).alias("toleranceCents"), F.lit(True).alias("postedOnlyConfirms"), F.lit(True).alias("oneCreditOneRefund"))
     own = F.struct(*[c for c in requests.columns if c != "account_id"])
-    doc = requests.groupBy("account_id").agg(F.array_sort(F.collect_list(own)).alias("returns"))
-    doc.select(F.lit(tag).alias("schema"), F.lit(request_id).alias("requestId"), policy.alias("policy"), "account_id", "returns").write.json(path)
+    parts = F.ceil(F.count("*").over(W.partitionBy("account_id")) / most)
+    dealt = requests.withColumn("__part", F.pmod(F.xxhash64("return_record_id"), parts))
+    doc = dealt.groupBy("account_id", "__part").agg(F.array_sort(F.collect_list(own)).alias("returns"))
+    doc.select(F.lit(tag).alias("schema"), F.lit(request_id).alias("requestId"), policy.alias("policy"), F.col("account_id").alias("accountId"), "returns").write.json(path)
+
+
+# Columns of the export, in order.
+EXPORT_COLUMNS = (
+    "status", "order_id", "product_count", "returned_product_count", "items", "product_statuses", "order_total", "expected_refund",
+    "card_last4", "shop_status", "detail_complete", "order_details_url", "last_scanned_at")
 
 
 def ledger_export(rows: DataFrame) -> DataFrame:
-    """Complete rows with lists joined by ' | ' and money in units, all as text."""
-    money = lambda c: F.format_string("%.2f", F.col(c) / 100)
-    joined = {c: F.array_join(c, " | ") for c, t in rows.dtypes if t == "array<string>"}
-    amounts = {c: money(c) for c in rows.columns if c.endswith("_cents")}
-    return rows.where("data_complete").select(*[(joined | amounts).get(c, F.col(c).cast("string")).alias(c.replace("_cents", "")) for c in rows.columns])
+    """Complete order rows in the 13 columns of the export, all as text: lists joined by ' | ', money in units, unknown values empty."""
+    money = lambda c: F.coalesce(money_text(F.col(c)), F.lit(""))
+    values = [
+        F.col("label"), F.col("order_id"), F.when(F.col("n_items") > 0, F.col("n_items")).otherwise(F.size("item_names")).cast("string"), F.col("n_returned_items").cast("string"),
+        F.array_join("item_names", " | "), F.array_join("product_statuses", " | "), money("purchase_cents"), money("refund_cents"), F.coalesce("card_last4", F.lit("")), F.col("shop_status"),
+        F.col("detail_complete").cast("string"), F.col("open_url"), F.coalesce(F.date_format("last_scanned_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(""))]
+    return rows.where("data_complete").select(*[v.alias(c) for v, c in zip(values, EXPORT_COLUMNS)])
 
 
 def export_ledger_csv(rows: DataFrame, path: str) -> None:
-    ledger_export(rows).write.csv(path, header=True, quoteAll=True, escape='"')
+    """ledger_export() as CSV with a header a file: every cell quoted, quotes doubled. Needs a UTC session for last_scanned_at."""
+    ledger_export(rows).write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def export_ledger_json(rows: DataFrame, ledger: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -11,17 +11,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import schema
 from ..operators.merge import merge_latest
+from ..sources import io
 
 
-def stream_ledger(captures: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Upserts each micro-batch of a capture stream by merge_latest.
+def stream_ledger(captures: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
+    """Upserts each micro-batch of a capture stream by merge_latest into the ledger at `path`, bucket by bucket.
 
-    read() gives the current ledger or None, write(ledger, epoch) replaces it; a repeated epoch merges the same
-    captures again, which changes nothing. Late captures with a lower stage never move a return back.
+    Only the buckets that a batch touches are read, merged and written (io.update_buckets), so a batch costs what its
+    orders cost and not what the ledger does. A repeated epoch merges the same captures again, which changes nothing.
+    Late captures with a lower stage never move a return back. io.read_buckets() gives the ledger.
     """
     def upsert(batch: DataFrame, epoch: int) -> None:
-        ledger = read()
-        write(merge_latest(batch, ledger), epoch)
+        io.update_buckets(batch.sparkSession, path, batch, merge_latest, epoch, buckets)
 
     return captures.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

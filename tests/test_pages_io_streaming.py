@@ -1,8 +1,10 @@
 """HTML structure, assembly, files and streams."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from ledgerwright.functions import schema
+from ledgerwright.functions import schema, text
 from ledgerwright.operators import merge, pages
 from ledgerwright.plans import adapters
 from ledgerwright.sources import html, io
@@ -23,7 +25,7 @@ def tables(spark):
 
 
 def test_structure(spark):
-    blocks, anchors, text = tables(spark)
+    blocks, anchors, words = tables(spark)
     got = pages.page_structure(blocks, anchors)
     assert {(r.asin, r.item_name) for r in got["products"].collect()} == {("B000000001", "Blue Bottle"), ("B000000002", "Desk Lamp with Shade")}
     assert {r.order_id for r in got["cards"].collect()} == {O1, O2}
@@ -32,7 +34,7 @@ def test_structure(spark):
     assert {(r.order_id, r.url.split("/")[2]) for r in got["detail_links"].collect()} == {(O1, "shop.example.com")}
     assert [(r.order_id, r.return_token, r.return_item_id, r.asin) for r in got["return_links"].collect()] == [(O1, "RMA-1234567", "i1", "B000000001")]
     assert any(r.asin == "B000000001" and r.strong for r in got["return_items"].collect())
-    assert "Order placed" in text.where("page_id = 1").first().text and "var a" not in text.where("page_id = 1").first().text
+    assert "Order placed" in words.where("page_id = 1").first().text and "var a" not in words.where("page_id = 1").first().text
 
 
 def test_assembly(spark):
@@ -62,21 +64,30 @@ def test_checkmarks_without_words(spark):
 
 
 def test_files(spark, tmp_path):
-    rows = spark.createDataFrame([("a", O1, True, 12345, ["x", 'y "z"']), ("a", O2, False, None, [])], "account_id string, order_id string, data_complete boolean, purchase_cents long, item_names array<string>")
-    io.export_ledger_csv(rows, f"{tmp_path}/csv")
+    kind = "account_id string, order_id string, data_complete boolean, label string, n_items long, n_returned_items long, item_names array<string>, product_statuses array<string>, purchase_cents long, refund_cents long, card_last4 string, shop_status string, detail_complete boolean, open_url string, last_scanned_at timestamp"
+    seen = dt.datetime(2026, 1, 2, 3, 4, 5, tzinfo=dt.timezone.utc)
+    rows = spark.createDataFrame([
+        ("a", O1, True, "Refund issued", 2, 1, ["x", 'y "z"'], ["x => Refund issued", 'y "z" => Not returned'], 12345, 1200, "1234", "Return received", True, "https://u", seen),
+        ("a", O2, True, "Cancelled", 0, 0, ["only"], [], None, 50, None, "—", False, "", None), ("a", "hidden", False, "Processing", 0, 0, [], [], 1, 1, None, "—", False, "", None)], kind)
+    io.export_ledger_csv(rows.coalesce(1), f"{tmp_path}/csv")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/csv").collect()]
-    assert f'"a","{O1}","true","123.45","x | y ""z"""' in lines and len(set(lines)) == 2
+    assert lines == [
+        '"status","order_id","product_count","returned_product_count","items","product_statuses","order_total","expected_refund","card_last4","shop_status","detail_complete","order_details_url","last_scanned_at"',
+        f'"Refund issued","{O1}","2","1","x | y ""z""","x => Refund issued | y ""z"" => Not returned","123.45","12","1234","Return received","true","https://u","2026-01-02T03:04:05.000Z"',
+        f'"Cancelled","{O2}","1","0","only","","","0.5","","—","false","",""']
     io.export_ledger_json(rows, rows, f"{tmp_path}/json")
-    assert spark.read.json(f"{tmp_path}/json/rows").count() == 2
+    assert spark.read.json(f"{tmp_path}/json/rows").count() == 3
     led = rows.select("account_id", "order_id", F.col("order_id").alias("record_id"), "purchase_cents")
     assert io.write_ledger(led, f"{tmp_path}/led") and not io.write_ledger(led, f"{tmp_path}/led", before=led)
     assert io.write_ledger(led.limit(1), f"{tmp_path}/led") and io.read_ledger(spark, f"{tmp_path}/led").count() == 1
+    assert io.drop_old_versions(spark, f"{tmp_path}/led", 1) == 1 and io.read_ledger(spark, f"{tmp_path}/led").count() == 1
     tag = "bank-reconciliation-result/1"
     (tmp_path / "in").mkdir()
     for k, doc in enumerate([f'{{"schema": "{tag}", "requestId": "q", "matches": [{{"returnRecordId": "r", "status": "confirmed", "matchedAmount": 1.5}}]}}', '{"schema": "other", "requestId": "q", "matches": []}', f'{{"schema": "{tag}", "requestId": "old", "matches": []}}', "{broken", f'{{"schema": "{tag}", "requestId": "q"}}']):
         (tmp_path / "in" / f"{k}.json").write_text(doc)
     good, bad = io.read_bank_results(spark, f"{tmp_path}/in", "q")
     assert good.count() == 1 and sorted(r.problem for r in bad.collect()) == ["malformed", "matches", "request", "schema"]
+    assert good.first().account_id == "main"
     io.write_bank_requests(spark.createDataFrame([("a", "r1", 5), ("a", "r2", None)], "account_id string, return_record_id string, expected_cents long"), f"{tmp_path}/req", "q1")
     doc = spark.read.json(f"{tmp_path}/req").first()
     assert doc.requestId == "q1" and len(doc.returns) == 2
@@ -89,24 +100,46 @@ def test_files(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    c = adapters.spark_view(spark, "/root/testdata/sf0.001", "v_captures").withColumn("batch_id", F.lit(0).cast("long"))
+    c = adapters.spark_view(spark, "/root/testdata/sf0.001", "v_captures").withColumns({"batch_id": F.lit(0).cast("long"), "order_id": F.col("record_id")})
     for k in range(3):  # files arrive out of order
         c.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    out = {"n": 0}
-
-    def read():
-        return spark.read.parquet(f"{tmp_path}/v{out['n']}") if out["n"] else None
-
-    def write(df, epoch):
-        df.write.parquet(f"{tmp_path}/v{out['n'] + 1}")
-        out["n"] += 1
-
-    streaming.stream_ledger(source, read, write, f"{tmp_path}/cp").awaitTermination(120)
-    got, want = read(), merge.merge_latest(c)
+    streaming.stream_ledger(source, f"{tmp_path}/led", f"{tmp_path}/cp", buckets=5).awaitTermination(120)
+    got, want = io.read_buckets(spark, f"{tmp_path}/led"), merge.merge_latest(c)
     rank = lambda df: {(r.record_id, r.k) for r in df.select("record_id", schema.stage_rank(F.col("return_stage")).alias("k")).collect()}
-    assert out["n"] == 3 and rank(got) == rank(want)
+    assert rank(got) == rank(want) and got.count() == want.count()
     q = streaming.stage_stream(source).writeStream.format("memory").queryName("stages").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     q.awaitTermination(180)
     kept = spark.table("stages").groupBy("record_id").agg(F.max("stage_rank").alias("k"), F.max("n_captures").alias("n"))
     assert {(r.record_id, r.k) for r in kept.collect()} == rank(want) and kept.agg(F.sum("n")).first()[0] == c.count()
+
+
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    kind = "account_id string, order_id string, record_id string, batch_id long, seq long, return_stage string, status string, status_text string, note string"
+    rows = lambda n, stage, seq: spark.createDataFrame([("a", f"o{k}", f"r{k}", 0, seq, stage, None, None, f"n{seq}") for k in range(n)], kind)
+    path = f"{tmp_path}/led"
+    files = lambda: {str(p.parent.relative_to(path)) for p in (tmp_path / "led").rglob("*.parquet")}
+    io.update_buckets(spark, path, rows(40, "received", 1), merge.merge_latest, 0, 8)
+    before = files()
+    io.update_buckets(spark, path, rows(1, "started", 2), merge.merge_latest, 1, 8)
+    after = files()
+    assert len(before) == len(after) == 8 and len(before - after) == 1
+    io.update_buckets(spark, path, rows(1, "started", 2), merge.merge_latest, 1, 8)  # the batch again
+    got = {r.record_id: (r.return_stage, r.note) for r in io.read_buckets(spark, path).collect()}
+    assert len(got) == 40 and got["r0"] == ("received", "n2") and got["r5"] == ("received", "n1")
+    io.update_buckets(spark, path, rows(0, "started", 3), merge.merge_latest, 2, 8)
+    assert len(files()) == 8 and io.read_buckets(spark, f"{tmp_path}/none") is None
+
+
+def test_advertisements(spark):
+    page = """<body><div id="rhf"><a href="/dp/B000000001">In the foot</a></div><div><div><div><div><div><a href="/dp/B000000002">Far from the words</a></div></div></div></div></div>
+    <div><p>Products related to your return</p><div><a href="/dp/B000000003">Near the words</a></div></div><section data-a-carousel-options="{}"><a href="/dp/B000000004">Turning</a></section>
+    <div class="My-RECOMMENDations"><p><a href="/dp/B000000005">Advised</a></p></div><aside><a href="/dp/B000000006">Aside</a></aside></body>"""
+    nodes = html.page_nodes(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    kept = pages.exclude_recommendation_anchors(html.page_anchors(nodes), html.page_blocks(nodes))
+    assert {r.href[-1] for r in kept.collect()} == {"2"}
+
+
+def test_replacement_arriving(spark):
+    df = spark.createDataFrame([("Replacement arriving Tuesday",), ("Replacement complete",), ("arriving Tuesday",)], "text string")
+    assert [r.s for r in df.select(text.replacement(F.col("text"))["stage"].alias("s")).collect()] == ["requested", "complete", None]
