@@ -145,4 +145,6 @@ def score_documents(df: DataFrame, labels: DataFrame, text_col: str = "text", id
     summed = lambda hashes, first: F.aggregate(hashes, first, lambda acc, h: acc + F.get(weights, bucket(h, buckets)))
     total = summed(whole_pairs(F.col("__h2")), summed(F.col("__h1"), F.lit(0.0))) / n_grams
     scored = ruled.withColumn("ratio", F.coalesce(F.round(total, 9), F.lit(0.0)))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= min_ratio)).drop("__h1", "__h2")
+    # a generator of one row: a later filter on `kept` stays above it, instead of computing all scores a second time
+    verdict = F.struct(F.col("ratio"), (~F.col("base_failed") & (F.col("ratio") >= min_ratio)).alias("kept"))
+    return scored.select(*[F.col(f"`{c}`") for c in ruled.columns if not c.startswith("__h")], F.inline(F.array(verdict)))
