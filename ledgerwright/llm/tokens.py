@@ -70,16 +70,26 @@ def bpe_encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return id_and_text(df, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+#: Characters whose class no tokenizer or Unicode version disputes, as parts of a character class.
+_LETTERS = r"A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+#: No apostrophe (it may start a contraction) and no bar (special strings hold bars beside letters).
+_SIGNS = r"!-&(-/:-@\[-`{}~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u300c-\u3011"
+#: Places that end a word whatever stands around: behind white space, and between two of digit, letter and sign, or two digits.
+BOUNDARY = re.compile(rf"(?<=[\t\n\v\f\r ])|(?<=[{_LETTERS}])(?=[0-9{_SIGNS}])|(?<=[0-9])(?=[0-9{_LETTERS}{_SIGNS}])|(?<=[{_SIGNS}])(?=[0-9{_LETTERS}])")
+
+
 class Resync:
-    """Counts the tokens of a huge text from overlapping windows.
+    """Encodes a huge text in overlapping windows.
 
-    Two windows are spliced at a place in their overlap where both have a token start, white space stands
-    before it, and the tokens up to the window's last safe place agree. White space ends words and no special
-    string holds any, so what follows such a place is encoded alike whatever precedes it: the splice is exact.
-    Without such a place the overlap is doubled, in the end up to the whole rest of the text.
-    """
+    Two windows are spliced at a proven boundary in their overlap: a place where the file's word pattern ends a word
+    whatever precedes or follows, where Unicode normalization joins nothing, and which lies in no special string. From the
+    first such place the right window is as if it began there, up to the last one the left window is as if it went on;
+    the tokens between must agree, so the splice is exact.
 
-    SPACE = re.compile(r"[\t\n\v\f\r ]")
+    Where an overlap holds no such place (one endless word), the left window is encoded anew from the last splice with
+    twice its length, and the overlap is doubled too. Lengths grow geometrically, so the characters encoded stay
+    within a small multiple of the text's, and an endless word costs what encoding it whole costs.
+    """
 
     def __init__(self, path: str, window: int, overlap: int):
         from tokenizers import Tokenizer
@@ -90,55 +100,53 @@ class Resync:
         self.library.no_truncation()
         self.library.no_padding()
         self.window, self.overlap = window, overlap
-        self.widened = 0
+        self.windows = self.widened = self.encoded_chars = 0
 
     def encode(self, text: str, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.windows += 1
+        self.encoded_chars += end - begin
         got = self.library.encode(text[begin:end], add_special_tokens=False)
         starts = np.array([o[0] for o in got.offsets], dtype=np.int64) + begin
         return np.array(got.ids, dtype=np.int64), starts
 
     def splice(self, text: str, left: tuple, right: tuple, begin: int, end: int) -> tuple[int, int] | None:
         """(tokens of left before the splice, first token of right after it) for the overlap text[begin:end]."""
-        spaces = [m.start() for m in self.SPACE.finditer(text, begin, end)]
-        if len(spaces) < 2:
+        # a place needs the characters on both sides, so both ends of the overlap are left out
+        safe = [m.start() for m in BOUNDARY.finditer(text, begin + 1, end - 1)]
+        if len(safe) < 2:
             return None
-        first, last = spaces[0] + 1, spaces[-1]  # from `first` right is as if it began there; up to `last` left is as if it went on
         (li, lo), (ri, ro) = left, right
-        a0, a1 = np.searchsorted(lo, [first, last])
-        b0, b1 = np.searchsorted(ro, [first, last])
+        a0, a1 = np.searchsorted(lo, [safe[0], safe[-1]])
+        b0, b1 = np.searchsorted(ro, [safe[0], safe[-1]])
         if a1 == a0 or a1 - a0 != b1 - b0 or not (np.array_equal(lo[a0:a1], ro[b0:b1]) and np.array_equal(li[a0:a1], ri[b0:b1])):
             return None
         return int(a0), int(b0)
 
     def encode_whole(self, text: str) -> np.ndarray:
         n, parts = len(text), []
-        begin, end = 0, min(len(text), self.window)
+        begin, end, overlap = 0, min(len(text), self.window), self.overlap
         held = self.encode(text, begin, end)
         while end < n:
-            overlap = self.overlap
-            while True:
-                start = max(begin, end - overlap)
-                to = min(n, max(start + self.window, end + self.overlap))
-                nxt = self.encode(text, start, to)
-                cut = self.splice(text, held, nxt, start, end)
-                if cut:
-                    parts.append(held[0][: cut[0]])
-                    held = nxt[0][cut[1] :], nxt[1][cut[1] :]
-                    begin = int(held[1][0]) if len(held[1]) else start
-                    break
-                self.widened += 1
-                if start == begin:  # nothing left to widen to the left: go on from the last splice with a longer window
-                    held = self.encode(text, begin, to)
-                    break
-                overlap *= 2
-            end = to
+            start = max(begin, end - overlap)
+            to = min(n, start + max(self.window, 2 * overlap))
+            right = self.encode(text, start, to)
+            if cut := self.splice(text, held, right, start, end):
+                parts.append(held[0][: cut[0]])
+                held = right[0][cut[1] :], right[1][cut[1] :]
+                begin, end, overlap = int(held[1][0]), to, self.overlap
+                continue
+            self.widened += 1
+            overlap *= 2
+            end = min(n, begin + 2 * (end - begin))
+            held = self.encode(text, begin, end)
         return np.concatenate([*parts, held[0]])
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = 65_536, overlap: int = 2_048) -> DataFrame:
     """Token counts of whole texts; texts over `window` characters go through overlapping windows.
 
-    Returns id_col, n_bytes long (UTF-8), n_tokens long, n_windows long. Empty text: 0 bytes, 0 tokens.
+    Returns id_col, n_bytes long (UTF-8), n_tokens long, n_windows long (windows really encoded, those tried again
+    with a wider overlap included). Empty and null text: 0 bytes, 0 tokens, 1 window. An empty table gives none.
     """
     path = tokenizer or default_path()
 
@@ -147,8 +155,11 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         own, wide = encoder(path, "library"), Resync(path, window, overlap)
         for ids, texts, size in slices(batches):
-            n = [len(own.encode(t)) // 4 if len(t) <= window else len(wide.encode_whole(t)) for t in texts]
-            windows = [1 if len(t) <= window else -(-(len(t) - overlap) // (window - overlap)) for t in texts]
+            n, windows = [], []
+            for t in texts:
+                before = wide.windows
+                n.append(len(own.encode(t)) // 4 if len(t) <= window else len(wide.encode_whole(t)))
+                windows.append(max(1, wide.windows - before))
             yield pa.RecordBatch.from_arrays([ids, size.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(windows, pa.int64())], ["id", "n_bytes", "n_tokens", "n_windows"])
 
     kinds = [("id", df.schema[id_col].dataType), ("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("n_windows", T.LongType())]

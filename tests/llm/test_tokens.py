@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -63,6 +64,30 @@ def test_windows_resynchronise(window, overlap):
         assert wide.encode_whole(text).tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_unbroken_texts_take_linear_time():
+    lib, rnd = library(), random.Random(4)
+    cjk = "".join(chr(rnd.randint(0x4E00, 0x9FA5)) for _ in range(150_000))
+    base64 = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400_000))
+    for text, most in (("abcdefghij" * 100_000, 4), (cjk, 4), (base64, 1.2), ("x" * 150_000 + " one two" * 30_000, 4), ("<|endoftext|>" * 12_000, 4), ("e\u0301" * 60_000, 4)):
+        wide = tokens.Resync(PATH, 65_536, 2_048)
+        began = time.time()
+        got = wide.encode_whole(text)
+        took, began = time.time() - began, time.time()
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert got.tolist() == want and wide.encoded_chars <= most * len(text)
+        assert took < 10 * (time.time() - began) + 2
+
+
+def test_counts_of_windowed_texts(spark):
+    rnd = random.Random(6)
+    texts = [None, "", "short", "a" * 900, "x1" * 400, " ".join(rnd.choice(["alpha", "be,ta", "g4mma", "don't", "\u65e5\u672c\u3002", "<|endoftext|>"]) for _ in range(700)), "\u00e9" * 500 + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in tokens.count_tokens(df, window=120, overlap=16).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].n_tokens == len(library().encode(t or "", add_special_tokens=False).ids)
+        assert got[k].n_bytes == len((t or "").encode()) and (got[k].n_windows == 1) == (len(t or "") <= 120)
+
+
 def test_packing_is_whole_and_gapless(spark):
     rnd = random.Random(3)
     rows = [(k, " ".join(rnd.choice(["alpha", "beta", "gamma", "12"]) for _ in range(rnd.choice([0, 3, 40, 400, 3000])))) for k in range(120)] + [(7, "twice"), (7, "twice"), (None, None)]
