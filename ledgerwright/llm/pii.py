@@ -6,11 +6,14 @@ put back; the permutation depends on the value and the key alone, so equal value
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
 #: Formats that are looked for. Kinds earlier in the list win at the same place.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 WRITTEN_DATE = r"(?<![\d./])\d{1,2}([./])\d{1,2}\1\d{4}(?![\d/]|\.\d)"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
@@ -26,6 +29,8 @@ _NUMBERS = f"{_OTHERS}|{CARDS}"
 ANY = rf"{EMAIL}|(?=[\d+(])(?:{_NUMBERS})|(?=[0-9A-Fa-f]{{32}}){SECRET}"
 #: Days from 1800-01-01 to 2199-12-31: 400 years of the calendar are 189 * 773 days.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
+#: Most steps of a walk through the days; each step ends it with probability 0.39 at least, so 128 leave 1e-27.
+WALK = 128
 
 
 def digest(key: str, kind: str, turn: Column, other: Column) -> Column:
@@ -53,6 +58,15 @@ CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
 BASE16, MIXED16 = ("0123456789abcdef",), ("0123456789", "abcdef", "ABCDEF")
 
 
+def letters_between(first: int, last: int, kind: str) -> str:
+    """The letters of one category (Ll or Lu) in a range of code points."""
+    return "".join(chr(c) for c in range(first, last + 1) if unicodedata.category(chr(c)) == kind)
+
+
+#: Lower and upper case letters of Latin-1 with Latin Extended-A, Greek, and Cyrillic: blocks that never gain letters.
+WIDE = (*CLASSES, *(letters_between(a, b, kind) for a, b in ((0xC0, 0x17F), (0x386, 0x3CE), (0x400, 0x45F)) for kind in ("Ll", "Lu")))
+
+
 def shifted(text: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
     """Each character moved within its own one of the alphabets by 4 digits of `by`."""
 
@@ -167,8 +181,33 @@ def ip_pseudonym(value: Column, key: str) -> Column:
 
 
 def day_pseudonym(day: Column, key: str) -> Column:
-    moved = feistel_number(F.datediff(day, F.lit(FIRST_DAY).cast("date")), DAYS_A, DAYS_B, key, "date")
-    return F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int"))
+    """A permutation of the days of 1800 to 2199 that moves days up to the 12th among themselves, and later ones too.
+
+    So a written date keeps its reading: 31/12/1999 can only be day first, and its pseudonym can only be day first as well.
+    The keyed permutation is repeated until it meets a day of the right kind.
+    """
+    at = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+    late = F.dayofmonth(day) > 12
+
+    def walk(acc: Column, _: Column) -> Column:
+        moved = F.transform(F.array(feistel_number(acc["n"], DAYS_A, DAYS_B, key, "date")), lambda m: F.struct(m.alias("n"), ((F.dayofmonth(at(m)) > 12) == late).alias("done")))[0]
+        return F.when(acc["done"], acc).otherwise(moved)
+
+    start = F.struct(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long").alias("n"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, walk, lambda acc: at(acc["n"]))
+
+
+def local_pseudonym(local: Column, key: str) -> Column:
+    """The local part of an address, permuted within its character classes.
+
+    Letters beyond ASCII move within the small or capital letters of their block (WIDE). A local part with a letter or
+    digit of any other script is replaced wholly, by 16 hexadecimal digits of its keyed hash.
+    """
+    known = "".join(re.escape(c) for a in WIDE[len(CLASSES):] for c in a)
+    return (
+        F.when(local.rlike(r"^[\x00-\x7F]*$"), feistel_text(local, key, "email"))
+        .when(local.rlike(rf"^[\x00-\x7F{known}]*$"), feistel_text(local, key, "email", WIDE))
+        .otherwise(F.substring(digest(key, "email", F.lit("whole"), local), 1, 16)))
 
 
 def calendar_day(year: Column, month: Column, day: Column) -> Column:
@@ -191,7 +230,6 @@ def written_pseudonym(value: Column, key: str) -> Column:
     wide = value.rlike(r"^0|\D0")
 
     def spell(d: Column) -> Column:
-        # an order that only fits one reading stays readable: month first unless the value can only be day first
         first = date_parts(value)[1]
         style = lambda n: F.when(wide | (F.length(value) == 10), F.format_string("%02d", n)).otherwise(n.cast("string"))
         m, n = F.month(d), F.dayofmonth(d)
@@ -204,9 +242,9 @@ def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one found value; a value that fails its kind's validation stays as it is."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     iso = F.transform(F.array(value), lambda v: calendar_day(*[F.split_part(v, F.lit("-"), F.lit(k)).cast("int") for k in (1, 2, 3)]))[0]
-    local = F.substring_index(value, "@", 1)
+    local = F.substring_index(value, "@", 1)  # an address holds one @
     return (
-        F.when(whole(EMAIL), F.concat(feistel_text(local, key, "email"), F.substring(value, F.length(local) + 1, F.length(value))))
+        F.when(whole(EMAIL), F.concat(local_pseudonym(local, key), F.substring(value, F.length(local) + 1, F.length(value))))
         .when(whole(ISO_DATE), F.when(iso.isNull(), value).otherwise(F.date_format(day_pseudonym(iso, key), "yyyy-MM-dd")))
         .when(whole(WRITTEN_DATE), F.when(date_parts(value)[0].isNull(), value).otherwise(written_pseudonym(value, key)))
         .when(whole(IPV4), F.when(F.exists(F.split(value, r"\."), lambda p: p.cast("int") > 255), value).otherwise(ip_pseudonym(value, key)))
@@ -225,7 +263,7 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     cards (Luhn), dates of 1800 to 2199, hexadecimal secrets of 32 to 64 digits in either case. Numbers joined by
     single spaces or hyphens are one found value, in which every run of whole blocks may be a card. Values that fail validation
     (octets over 255, a wrong check digit, 30 February) stay. Null texts stay null, empty ones empty (0 found).
-    Equal dates stay equal whatever format they're written in. Needs no shuffle. Columns named n_found or
+    Equal dates stay equal whatever format they're written in, and stay readable in one way only. Needs no shuffle. Columns named n_found or
     n_changed are replaced.
     """
     df = df.drop("n_found", "n_changed")
