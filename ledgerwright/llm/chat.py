@@ -32,6 +32,7 @@ def format_prefix_targets(df: DataFrame, conv_col: str = "conv_id", turn_col: st
     doesn't end with a target turn gives one more example with all its turns, loss_chars 0 and target_no null,
     so no turn is lost. Turns are ordered by (turn, role, text), nulls first; null roles and texts are empty; rows
     with a null conversation id form a conversation. Repeated rows are repeated turns. An empty table gives none.
+    Only the four named columns are read, so other columns may be called anything.
     A conversation is one value by nature: each of its examples holds all that precedes. Its rows meet in one group.
     """
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -43,7 +44,7 @@ def format_prefix_targets(df: DataFrame, conv_col: str = "conv_id", turn_col: st
     )
     whole = turns.groupBy("__conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     n = F.size("ts")
-    picked = F.expr(f"filter(transform(ts, (t, i) -> struct(i + 1 AS k, t.role AS role)), x -> x.role = '{target}')")
+    picked = F.filter(F.transform("ts", lambda t, i: F.struct((i + 1).alias("k"), t["role"].alias("role"))), lambda x: x["role"] == target)
     listed = whole.select("__conv", "ts", F.transform(picked, lambda x, i: F.struct((i + 1).alias("target_no"), x["k"].cast("int").alias("k"))).alias("picks"))
     ends = F.when(F.coalesce(F.try_element_at("picks", F.lit(-1))["k"], F.lit(0)) < n, F.array(F.struct(F.lit(None).cast("int").alias("target_no"), n.alias("k"))))
     each = listed.withColumn("p", F.explode(F.concat("picks", F.coalesce(ends, F.slice("picks", 1, 0)))))

@@ -206,8 +206,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     compared one by one. No pair of a bucket is skipped for its size, and pairs inside a component are never listed.
 
     Empty and null texts have no set and link with nothing. A null id has component null and stays. Rows that repeat an id
-    are one document: each row is compared with its own text, and they share their component.
+    are one document: each row is compared with its own text, and they share their component. Ids are whole numbers; other
+    types raise a TypeError. Only the two named columns are read, so other columns may be called anything. An empty
+    table gives no rows.
     """
+    if not isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} must hold whole numbers")
     rows = staged(signed(df, id_col, text_col, words))
     live = rows.where("n_shingles > 0 AND id IS NOT NULL")
     firsts = [F.first(c).alias(c) for c in ("s0", "s1", "bands")]
@@ -263,6 +267,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """df without the rows whose document isn't the first of its component."""
-    gone = staged(near_duplicates(df, id_col, text_col, words, percent).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct())
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """df with one row of each group of near duplicates: the one with the smallest id, on equal ids any one; null ids come last.
+
+    Every row is a document of its own here, whatever its id: rows that repeat id and text are a group and one of
+    them stays, a repeated id with unlike texts keeps both, rows without an id are grouped like others. Empty and null
+    texts resemble nothing and all stay. Ids may have any type. An empty table stays empty. A column named __row is replaced.
+    """
+    numbered = staged(df.drop("__row").withColumn("__row", F.monotonically_increasing_id()))
+    found = near_duplicates(numbered, "__row", text_col, words, percent)
+    grouped = staged(found.select("__row", "component_id").join(numbered.select("__row", F.col(id_col).alias("id")), "__row"))
+    order = F.struct(F.col("id").isNull(), "id", "__row")
+    first = staged(grouped.groupBy("component_id").agg(F.min(order)["__row"].alias("first"), F.count("*").alias("n")).where("n > 1"))
+    gone = grouped.join(first, "component_id").where("__row <> first").select("__row")
+    return numbered.join(gone, "__row", "left_anti").drop("__row")

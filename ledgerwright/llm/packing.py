@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .scratch import staged
 from .tokens import default_path, id_and_text, slices
 
 #: Pieces in one block, on average.
@@ -105,11 +106,12 @@ def pack_block(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
 def pack_pieces(pieces: DataFrame, n_blocks: int, keys: list[str], length_col: str = "length", capacity: int = 2048) -> DataFrame:
     """Adds sequence_id long (unique numbers with gaps) and offset long (gapless from 0 within a sequence).
 
-    `keys` name a piece; they deal pieces to `n_blocks` blocks and break ties of length. Equal rows simply take
-    places side by side. All other columns pass through (keep heavy ones out: they'd be shuffled). A null
+    `keys` name a piece; with a number of each row they deal pieces to `n_blocks` blocks, so that equal rows (null ids, one
+    repeated id) spread too, and they break ties of length. Equal rows of a block simply take places side by side.
+    `pieces` should be a written table, so that a task that is repeated numbers its rows alike. All other columns pass through (keep heavy ones out: they'd be shuffled). A null
     length, one under 1 or one over `capacity` raises an error in the task: no piece is dropped.
     """
-    block = F.pmod(F.xxhash64(*keys, length_col), F.lit(max(1, n_blocks))).cast("int")
+    block = F.pmod(F.xxhash64(*keys, length_col, F.monotonically_increasing_id()), F.lit(max(1, n_blocks))).cast("int")
     dealt = pieces.withColumn("__block", block)
     names = pieces.columns
 
@@ -133,7 +135,11 @@ def blocks_for(df: DataFrame, text_col: str = "text", capacity: int = 2048, bloc
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048) -> DataFrame:
-    """token_pieces() with crc32 instead of the ids, packed: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
+    """token_pieces() with crc32 instead of the ids, packed: id_col, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one piece with the end id alone. Rows that repeat an id, or have none, give pieces each. An empty
+    table gives no rows. Only the two named columns are read, so other columns may be called anything.
+    """
     pieces = token_pieces(df, id_col, text_col, tokenizer, capacity)
     light = pieces.select(id_col, "piece", "start", "length", F.crc32("token_bytes").alias("ids_crc32"))
-    return pack_pieces(light, blocks_for(df, text_col, capacity), [id_col, "piece"], "length", capacity)
+    return pack_pieces(staged(light), blocks_for(df, text_col, capacity), [id_col, "piece"], "length", capacity)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import staged
+from .scratch import cleared, staged
 
 #: Low bits of a row's 64-bit key that differ between equal rows; the others come from the key columns alone.
 SALT_BITS = 24
@@ -60,7 +60,7 @@ def assign_shards(df: DataFrame, bits_col: str, bytes_col: str, limit: int) -> D
             break
         depth = to
     buckets = staged(reduce(DataFrame.unionByName, directory))
-    # the smallest key of a bucket finds it: of all buckets, the one with the largest first key not over a row's key
+    # a row's bucket is the only one whose prefix its key has: it is looked up at each depth that occurs
     used = [r[0] for r in buckets.select("d").distinct().collect()] or [0]  # depths, at most 65; any for an empty table
     found = F.array(*[F.struct(F.lit(d).alias("d"), prefix(F.col(bits_col), d).alias("p")) for d in sorted(used)])
     probes = rows.withColumn("__x", F.explode(found)).withColumns({"d": F.col("__x.d"), "p": F.col("__x.p")}).drop("__x")
@@ -71,7 +71,11 @@ def assign_shards(df: DataFrame, bits_col: str, bytes_col: str, limit: int) -> D
 
 
 def shard_documents(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes long, depth, shard, shard_bytes for every row; sizes are UTF-8 bytes, a null text has 0."""
+    """id_col, n_bytes long, depth, shard, shard_bytes for every row; sizes are UTF-8 bytes, a null text has 0.
+
+    Null and repeated ids are rows like others. A text larger than the limit has a shard of its own. An empty table gives
+    no rows. Only the two named columns are read, so other columns may be called anything.
+    """
     light = df.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), row_bits(id_col, text_col).alias("__bits"))
     return assign_shards(staged(light), "__bits", "n_bytes", limit).drop("__bits")
 
@@ -82,7 +86,8 @@ def write_shards(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", t
     Rows are staged with a number of their own and meet their shards by it, so null and repeated ids are written once
     each. Columns of df named shard or __row are replaced.
     """
-    rows = staged(df.drop("shard", "__row").withColumn("__row", F.monotonically_increasing_id()))
-    light = rows.select("__row", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("__bytes"), row_bits(id_col, text_col).alias("__bits"))
-    assigned = assign_shards(staged(light), "__bits", "__bytes", limit).select("__row", "shard")
-    rows.join(assigned, "__row").drop("__row").repartition("shard").write.partitionBy("shard").format(format).save(path)
+    with cleared(df.sparkSession):
+        rows = staged(df.drop("shard", "__row").withColumn("__row", F.monotonically_increasing_id()))
+        light = rows.select("__row", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("__bytes"), row_bits(id_col, text_col).alias("__bits"))
+        assigned = assign_shards(staged(light), "__bits", "__bytes", limit).select("__row", "shard")
+        rows.join(assigned, "__row").drop("__row").repartition("shard").write.partitionBy("shard").format(format).save(path)
