@@ -1,9 +1,13 @@
-"""Near-duplicate vectors by randomised-rotation binary codes with correction factors.
+"""Near-duplicate vectors by randomised-rotation binary codes with stored correction factors.
 
-A vector's code is the sign pattern of its rotated direction; the code's own inner product with the direction is
-stored as correction factor. For a query q and a coded vector o, <code, q> / <code, o> estimates <o, q> without bias,
-and its error is bounded, at a chosen confidence, by sqrt(1 - f*f) / f / sqrt(d - 1) with the correction factor f.
-Only pairs whose upper confidence bound reaches the threshold are computed exactly, in double precision.
+A vector's code is the sign pattern of its rotated direction, packed to one bit a dimension; the code's inner product
+with the direction is stored beside it as correction factor f. For a query q and a coded vector o, <code, q> / f estimates
+c = <o, q> without bias; its standard error is sqrt(1 - c*c) * sqrt(1 - f*f) / f / sqrt(d - 1), which for pairs of a cosine
+over the threshold is largest at the threshold. The query is the
+other vector's rotated direction in one signed byte a dimension, whose rounding is bounded exactly and added to the
+bound. Codes, factors and bytes are computed once, written, and all that travels to the buckets. A pair is
+estimated from both sides; only if both upper bounds reach the threshold are the two whole vectors fetched and
+their cosine computed, in double precision. SIGMAS standard errors wide, a bound fails with probability 1e-9.
 
 Which pairs are looked at comes from the same kind of bits: several tables, each keyed by some bits of
 independently rotated codes. The number of bits grows with the logarithm of the table size, the number of tables
@@ -58,11 +62,25 @@ def unit_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(ok), m[ok] / norm[ok, None]
 
 
-def coded(vectors: DataFrame, bits: int, tables: int, dim_col: str, seed: int) -> DataFrame:
-    """vectors (cid, size, v) with keys array<long>: one key a table, from fresh rotations as more bits are needed."""
+def key_type(bits: int) -> type:
+    """The smallest unsigned integer that holds a table's key."""
+    return np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
+
+
+def codes(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(packed sign bits, correction factors, rotated directions in signed bytes, size of one byte step) of unit vectors."""
+    dim = unit.shape[1]
+    turned = unit @ rotation(dim, seed)
+    factor = np.abs(turned).sum(axis=1) / math.sqrt(dim)
+    step = np.abs(turned).max(axis=1) / 127
+    return np.packbits(turned > 0, axis=1), factor, np.rint(turned / step[:, None]).astype(np.int8), step
+
+
+def coded(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+    """vectors (cid, dim, v) as cid, dim, code, factor, query, step, keys (binary, `tables` keys from fresh rotations)."""
     def run(batches):
         for batch in batches:
-            cids, sizes, vs, dims = batch.column(0), batch.column(1), batch.column(2), batch.column(3).to_numpy()
+            cids, dims, vs = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
             for dim in np.unique(dims):
                 pick = pa.array(np.flatnonzero(dims == dim))
                 own = vs.take(pick)
@@ -72,54 +90,92 @@ def coded(vectors: DataFrame, bits: int, tables: int, dim_col: str, seed: int) -
                     drawn.append(unit @ rotation(dim, seed + 1 + k) > 0)
                     k += 1
                 flags = np.concatenate(drawn, axis=1)[:, :need].reshape(len(own), tables, bits)
-                keys = (flags * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * tables), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([cids.take(pick), sizes.take(pick), own, pa.array(np.full(len(own), dim, np.int32)), lists], ["cid", "size", "v", "dim", "keys"])
-
-    kinds = [("cid", T.LongType()), ("size", T.LongType()), ("v", T.BinaryType()), ("dim", T.IntegerType()), ("keys", T.ArrayType(T.LongType()))]
-    return vectors.select("cid", "size", "v", dim_col).mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
-
-
-def linked(one: np.ndarray, two: np.ndarray, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) with cosine of one[i] and two[j] at least the threshold; codes rule out most, the rest is exact."""
-    dim = one.shape[1]
-    a, b = one @ turn, two @ turn
-    code = np.where(a > 0, 1.0, -1.0).astype(np.float32) / np.float32(math.sqrt(dim))
-    factor = np.abs(a).sum(axis=1) / math.sqrt(dim)
-    estimate = (code @ b.astype(np.float32).T) / factor[:, None]
-    error = SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, dim - 1))
-    i, j = np.nonzero(estimate + error[:, None] >= threshold - 1e-4)
-    keep = []
-    for at in range(0, len(i), 65_536):
-        x, y = i[at : at + 65_536], j[at : at + 65_536]
-        keep.append(np.einsum("ij,ij->i", one[x], two[y]) >= threshold)
-    keep = np.concatenate(keep) if keep else np.empty(0, bool)
-    return i[keep], j[keep]
-
-
-def bucket_links(cells: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """cid, n long (vectors linked, found here first), low long (smallest cid reached here) for each block pair of a bucket.
-
-    A pair is counted in the first table where its keys agree, so sums over cells count each pair once.
+                keys = (flags * (1 << np.arange(bits, dtype=np.uint64))).sum(axis=2).astype(key_type(bits))
+                code, factor, query, step = codes(unit, seed)
+                yield pa.RecordBatch.from_arrays(
+                    [cids.take(pick), pa.array(np.full(len(own), dim, np.int32)), rows_of(code), pa.array(factor), rows_of(query), pa.array(step), rows_of(keys)],
+                    ["cid", "dim", "code", "factor", "query", "step", "keys"])
+
+    kinds = [("cid", T.LongType()), ("dim", T.IntegerType()), ("code", T.BinaryType()), ("factor", T.DoubleType()), ("query", T.BinaryType()), ("step", T.DoubleType()), ("keys", T.BinaryType())]
+    return vectors.select("cid", "dim", "v").mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
+
+
+def rows_of(matrix: np.ndarray) -> pa.Array:
+    """A matrix as one binary value a row."""
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(matrix)], pa.binary())
+
+
+def matrix_of(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Inverse of rows_of."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def upper_bounds(code: np.ndarray, factor: np.ndarray, query: np.ndarray, step: np.ndarray, dim: int, least: float = 0.0) -> np.ndarray:
+    """Upper confidence bounds, for pairs with inner product `least` or more, of coded vectors (rows) and queries (columns).
+
+    A pair whose bound is under `least` has a smaller inner product than that.
+    """
+    signs = (2 * np.unpackbits(code, axis=1, count=dim).astype(np.float32) - 1) / np.float32(math.sqrt(dim))
+    got = signs @ (query.astype(np.float32) * step[:, None].astype(np.float32)).T
+    # a unit code moves by at most the length of the rounding error, half a step in each dimension
+    rounding = math.sqrt(dim) / 2 * step[None, :]
+    spread = SIGMAS * math.sqrt(1 - least**2) * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, dim - 1))
+    return (got + rounding) / factor[:, None] + spread[:, None]
+
+
+def candidates(cells: DataFrame, threshold: float, bits: int) -> DataFrame:
+    """The members of each block pair of a bucket that the codes can't rule out: cell, side, cid, dim, mates.
+
+    Side 0 are members of the left block; mates has a bit for each member of side 1, in order of cid, that the member may
+    link with. A pair belongs to the first table where its keys agree.
     """
     def run(batches):
         for own in runs(batches):
-            dim, left, right, t = (own.column(c)[0].as_py() for c in ("dim", "lo", "hi", "t"))
-            block = own.column("block").to_numpy()
-            cid, size = own.column("cid").to_numpy(), own.column("size").to_numpy()
-            unit = np.frombuffer(b"".join(own.column("v").to_pylist()), np.float64).reshape(-1, dim)
-            keys = own.column("keys").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
-            a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-            i, j = linked(unit[a], unit[b], rotation(dim, seed), threshold)
-            i, j = a[i], b[j]
-            fresh = ~(keys[i, :t] == keys[j, :t]).any(axis=1)
+            cell, dim, left, right, t = (own.column(c)[0].as_py() for c in ("cell", "dim", "lo", "hi", "t"))
+            block, cid = own.column("block").to_numpy(), own.column("cid").to_numpy()
+            order = np.argsort(cid, kind="stable")
+            a, b = order[block[order] == left], order[block[order] == right]
+            code, query, keys = matrix_of(own.column("code"), np.uint8), matrix_of(own.column("query"), np.int8), matrix_of(own.column("keys"), key_type(bits))
+            factor, step = own.column("factor").to_numpy(), own.column("step").to_numpy()
+            bound = np.minimum(upper_bounds(code[a], factor[a], query[b], step[b], dim, threshold), upper_bounds(code[b], factor[b], query[a], step[a], dim, threshold).T)
+            open_ = bound >= threshold - 1e-4
             if left == right:
-                fresh &= cid[i] < cid[j]
-            i, j = i[fresh], j[fresh]
+                open_ &= cid[a][:, None] < cid[b][None, :]
+            for k in range(t):
+                open_ &= keys[a, k][:, None] != keys[b, k][None, :]
+            rows, columns = open_.any(axis=1), open_.any(axis=0)
+            n, m = int(rows.sum()), int(columns.sum())
+            if not n:
+                continue
+            mates = [*(x.tobytes() for x in np.packbits(open_[rows][:, columns], axis=1)), *[None] * m]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n + m, cell)), pa.array(np.r_[np.zeros(n, np.int32), np.ones(m, np.int32)]), pa.array(np.r_[cid[a][rows], cid[b][columns]]), pa.array(np.full(n + m, dim, np.int32)), pa.array(mates, pa.binary())],
+                ["cell", "side", "cid", "dim", "mates"])
+
+    kinds = [("cell", T.LongType()), ("side", T.IntegerType()), ("cid", T.LongType()), ("dim", T.IntegerType()), ("mates", T.BinaryType())]
+    return cells.mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
+
+
+def exact_links(cells: DataFrame, threshold: float) -> DataFrame:
+    """cid, n long (vectors linked), low long (smallest cid reached here) for candidates with their vectors v and class sizes."""
+    def run(batches):
+        for own in runs(batches):
+            side, cid, size = (own.column(c).to_numpy() for c in ("side", "cid", "size"))
+            unit = matrix_of(own.column("v"), np.float64)
+            a, b = (np.flatnonzero(side == k) for k in (0, 1))
+            a, b = a[np.argsort(cid[a], kind="stable")], b[np.argsort(cid[b], kind="stable")]
+            i, j = np.nonzero(np.unpackbits(matrix_of(own.column("mates").take(pa.array(a)), np.uint8), axis=1, count=len(b)))
+            i, j = a[i], b[j]
+            keep = np.concatenate([np.einsum("ij,ij->i", unit[i[at : at + 65_536]], unit[j[at : at + 65_536]]) >= threshold for at in range(0, len(i), 65_536)])
+            i, j = i[keep], j[keep]
             if not len(i):
                 continue
-            n = np.bincount(i, size[j], len(cid)) + np.bincount(j, size[i], len(cid))
-            low = cid.copy()
+            # a class may stand on both sides of its cell
+            known, at = np.unique(cid, return_inverse=True)
+            i, j, of = at[i], at[j], np.empty(len(known), np.int64)
+            of[at] = size
+            n = np.bincount(i, of[j], len(known)) + np.bincount(j, of[i], len(known))
+            low = known.copy()
             while True:  # smallest cid along the links of this cell
                 was = low.copy()
                 np.minimum.at(low, i, low[j])
@@ -127,7 +183,7 @@ def bucket_links(cells: DataFrame, threshold: float, seed: int) -> DataFrame:
                 if np.array_equal(was, low):
                     break
             hit = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(n[hit].astype(np.int64)), pa.array(low[hit])], ["cid", "n", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(known[hit]), pa.array(n[hit].astype(np.int64)), pa.array(low[hit])], ["cid", "n", "low"])
 
     kinds = [("cid", T.LongType()), ("n", T.LongType()), ("low", T.LongType())]
     return cells.mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
@@ -140,10 +196,11 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     A pair at the threshold is missed with probability MISS, closer ones more rarely. Null vectors, zero vectors and
     vectors with null or non-finite components link with nothing. Vectors of equal direction bits (exact
     copies) form one class that goes on once, with its size. A null id gets component null and is kept. Ids are
-    numbers; rows that repeat an id count as vectors of their own and share a component.
+    numbers; rows that repeat an id count as vectors of their own and share a component. Only the two named columns are
+    read, so other columns may be called anything. An empty table gives no rows.
 
-    Large buckets are split into blocks; each pair of blocks is one small task unit, links are counted there and
-    never listed.
+    Large buckets are split into blocks; each pair of blocks is one small task unit of codes. Its candidates are kept as
+    one bit a pair, links are counted there and never listed.
     """
     v = F.col(vector_col).cast("array<double>")
     usable = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -165,16 +222,20 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     live = units.where("v IS NOT NULL AND id IS NOT NULL")
     classes = staged(live.groupBy("h").agg(F.min("id").alias("cid"), F.count("*").alias("size"), F.first("v").alias("v")))
     bits, tables = layout(classes.count(), threshold)
-    keyed = staged(coded(classes.withColumn("dim", (F.octet_length("v") / 8).cast("int")), bits, tables, "dim", seed))
+    stored = staged(coded(classes.withColumn("dim", (F.octet_length("v") / 8).cast("int")), bits, tables, seed))
 
-    entries = keyed.select("*", F.posexplode("keys").alias("t", "key"))
-    counts = staged(keyed.select("dim", F.posexplode("keys").alias("t", "key")).groupBy("t", "key", "dim").agg(F.count("*").alias("c")).where("c > 1"))
+    # the key of table t is a slice of `keys`; bytes of equal keys are equal, so they serve as the key itself
+    wide = np.dtype(key_type(bits)).itemsize
+    keyed = stored.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("key", F.substring("keys", wide * F.col("t") + 1, F.lit(wide)))
+    counts = staged(keyed.groupBy("t", "key", "dim").agg(F.count("*").alias("c")).where("c > 1"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    entries = entries.join(counts, ["t", "key", "dim"]).withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    earlier = F.substring("keys", F.lit(1), wide * F.col("t")).alias("keys")
+    entries = keyed.select("t", "key", "cid", "dim", "code", "factor", "query", "step", earlier).join(counts, ["t", "key", "dim"]).withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi")))
-    cells = entries.withColumn("o", F.explode(others)).select("t", "key", "dim", "o.lo", "o.hi", "block", "cid", "size", "v", "keys")
-    cells = cells.select(F.xxhash64("t", "key", "dim", "lo", "hi").alias("cell"), "*").drop("key")
-    found = staged(bucket_links(cells.repartition("cell").sortWithinPartitions("cell"), threshold, seed))
+    cells = entries.withColumn("o", F.explode(others)).select(F.xxhash64("t", "key", "dim", "o.lo", "o.hi").alias("cell"), "t", "dim", "o.lo", "o.hi", "block", "cid", "code", "factor", "query", "step", "keys")
+    open_ = staged(candidates(cells.repartition("cell").sortWithinPartitions("cell"), threshold, bits))
+    fetched = open_.join(classes.select("cid", "size", "v"), "cid").select("cell", "side", "cid", "mates", "size", "v")
+    found = staged(exact_links(fetched.repartition("cell").sortWithinPartitions("cell"), threshold))
 
     roots = components(found.select(F.col("cid").alias("a"), F.col("low").alias("b")))
     n = found.groupBy("cid").agg(F.sum("n").alias("n"))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import components, embedding_dedup, line_dedup, minhash
+from ledgerwright.llm import scratch, components, embedding_dedup, line_dedup, minhash
 
 
 def roots(nodes, links):
@@ -142,12 +143,43 @@ def test_estimate_is_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     turn = embedding_dedup.rotation(64, 1)
     assert np.allclose(turn @ turn.T, np.eye(64))
-    a, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 4000, 64)))
+    a, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 600, 64)))
     q = a * 0.6 + q * 0.8
     q /= np.linalg.norm(q, axis=1, keepdims=True)
-    x, y = a @ turn, q @ turn
-    code = np.where(x > 0, 1, -1) / 8
-    factor = np.abs(x).sum(axis=1) / 8
-    off = (code * y).sum(axis=1) / factor - (a * q).sum(axis=1)
-    assert abs(off.mean()) < 0.01
-    assert (np.abs(off) <= embedding_dedup.SIGMAS * np.sqrt(1 - factor**2) / factor / np.sqrt(63)).all()
+    (code, factor, _, _), (_, _, query, step) = embedding_dedup.codes(a, 1), embedding_dedup.codes(q, 1)
+    assert code.shape == (600, 8) and query.dtype == np.int8
+    assert np.abs(query * step[:, None] - q @ turn).max() <= step.max() / 2 + 1e-12
+    true = a @ q.T
+    bound = embedding_dedup.upper_bounds(code, factor, query, step, 64)
+    assert (bound >= true).all()
+    spread = (embedding_dedup.SIGMAS * np.sqrt(1 - factor**2) / factor / np.sqrt(63))[:, None] + np.sqrt(64) / 2 * step[None, :] / factor[:, None]
+    assert abs((bound - spread - true).mean()) < 0.01  # the estimate in the middle of the bounds has no bias
+    near = a + 0.3 / 8 * rng.standard_normal((600, 64))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    close = (a * near).sum(axis=1)
+    _, _, query, step = embedding_dedup.codes(near, 1)
+    for least in (0.9, 0.95):
+        bound = np.diag(embedding_dedup.upper_bounds(code, factor, query, step, 64, least))
+        assert (close >= least).sum() > 100 and (bound[close >= least] >= least).all()
+
+
+def test_near_duplicate_rows_are_documents_of_their_own(spark):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    near = one.replace("a39", "c39")
+    rows = [(5, one), (5, one), (5, two), (3, near), (None, two), (None, near), (7, None), (7, None), (8, ""), (None, "lone words of its own here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect())
+    assert got == Counter([(3, near), (5, two), (7, None), (7, None), (8, ""), (None, "lone words of its own here")])
+    named = df.selectExpr("concat('d', doc_id) AS doc_id", "text", "1 AS __row")
+    assert minhash.drop_near_duplicates(named).count() == 6 and minhash.drop_near_duplicates(df.where("false")).count() == 0
+    with pytest.raises(TypeError, match="whole numbers"):
+        minhash.near_duplicates(named)
+
+
+def test_staged_tables_are_removed_when_asked(spark):
+    folder = scratch.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with scratch.cleared(spark):
+        assert scratch.staged(spark.range(5)).count() == 5
+        assert set(os.listdir(folder)) != before
+    assert set(os.listdir(folder)) == before

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -25,7 +26,9 @@ def test_pseudonyms_keep_format_and_links(spark):
     for k, t in TEXTS.items():
         if t:
             shape = lambda x: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "9", x)))
-            assert shape(got[k].text) == shape(t) or k in (5, 3, 4, 9)
+            loose = lambda x: re.sub(r"9+", "9", re.sub(r"[0-9a-f]{40}", "h", x))
+            # octets and parts of dates may get another number of digits, hexadecimal digits may become letters
+            assert shape(got[k].text) == shape(t) if k not in (3, 4, 5, 9) else loose(shape(loose(got[k].text))) == loose(shape(loose(t)))
     card = re.search(r"card ([\d ]{19})", got[2].text)[1]
     assert luhn(card) and card != "4111 1111 1111 1111" and "4111111111111112" in got[2].text and "000-12-3456" in got[2].text
     assert re.sub(r"\D", "", card) == re.sub(r"\D", "", got[5].text.split()[-1])
@@ -71,12 +74,31 @@ def test_shards_split_only_where_needed(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string"), limit).count() == 0
 
 
+def split(rows, limit, depth=0):
+    """Buckets of extendible hashing by recursion: {prefix: rows}."""
+    if sum(b for _, b in rows) <= limit or len(rows) == 1 or len({k for k, _ in rows}) == 1:
+        return {"".join(f"{rows[0][0] % 2**64:064b}"[:depth]): rows} if rows else {}
+    bit = lambda r: (r[0] % 2**64) >> (63 - depth) & 1
+    return split([r for r in rows if not bit(r)], limit, depth + 1) | split([r for r in rows if bit(r)], limit, depth + 1)
+
+
+def test_shards_equal_a_recursive_split(spark):
+    rnd = random.Random(2)
+    keys = [rnd.getrandbits(64) - 2**63 for _ in range(300)] + [(5 << 58) + k for k in range(40)] + [77] * 20
+    rows = [(k, rnd.randrange(200)) for k in keys]
+    for limit in (100, 1000, 10**6):
+        got = sharding.assign_shards(spark.createDataFrame(rows, "bits long, size long"), "bits", "size", limit).collect()
+        want = Counter((k, b, name) for name, part in split(rows, limit).items() for k, b in part)
+        assert Counter((r.bits, r["size"], r.shard) for r in got) == want
+
+
 def test_pipeline_against_its_stages(spark, tmp_path):
     import corpus_pipeline
 
     prose = [" ".join(f"{w}{(i * 7 + k * 3) % 97}" for k in range(40) for w in ("the", "of")) + f"\nline {i}\nend {i}" for i in range(20)]
     block = "\n".join(f"shared line {k} of a passage that repeats" for k in range(5))
     rows = [(i, t + (f"\n{block}" if i % 4 == 0 else "") + f"\nmail a{i}.b@x{i}.example.com", "en", "s", 1) for i, t in enumerate(prose)] + [(100, None, "en", "s", 0), (101, "too short", "en", "s", 9), (102, prose[3] + "\nmail a3.b@x3.example.com", "de", "t", 5)]
+    rows += [rows[7], rows[7]]  # repeated rows
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -98,3 +120,6 @@ def test_pipeline_against_its_stages(spark, tmp_path):
         want.update((r.doc_id, p, len(whole[at : at + 2048])) for p, at in enumerate(range(0, len(whole), 2048)))
     assert Counter((r.doc_id, r.piece, r.length) for r in got) == want
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+    docs.where("false").write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
