@@ -190,19 +190,29 @@ def data_complete(n_authoritative: Column, order: str = "") -> Column:
 
 
 def order_records(orders: DataFrame, returns: DataFrame, now: str) -> DataFrame:
-    """The deduplicated returns that count, each beside its order `o` (struct) with data_complete; an order without any has one row.
+    """The deduplicated returns that count, each beside its order `o` (struct) with data_complete; an order record has a row without a return.
 
     Once an order is complete and expects returns, only authoritative ones count.
+
+    Both tables are put together and shuffled once: a window picks the current order and one record a return identity, by
+    the rules of current_orders() and dedupe_returns(), and another one hands the order to all of its rows.
     """
-    current = current_orders(schema.completed(orders, schema.ORDER_COLUMNS)).select(*KEY, F.struct(*schema.ORDER_COLUMNS).alias("o"))
-    # hash partitions of the order key also serve the window over return identities
-    known = dedupe_returns(prepared_returns(returns.repartition(*KEY), now))
     added = ["group_key", "identity", "stage", "rank", "bank_confirmed", "credit_confirmed", "bank_conflict", "credit_review"]
-    known = known.select(*KEY, F.struct(*schema.RETURN_COLUMNS, *added).alias("r"))
-    both = current.join(known, KEY, "full_outer")
-    both = both.withColumn("data_complete", data_complete(F.count_if("r.authoritative").over(W.partitionBy(*KEY)), "o."))
+    full = schema.completed(orders, schema.ORDER_COLUMNS)
+    own = full.select(
+        *KEY, F.lit("order").alias("__what"), F.coalesce("detail_scan_complete", F.lit(False)).cast("int").alias("__first"), "last_scanned_at", "record_id",
+        F.struct(*schema.ORDER_COLUMNS).alias("o"))
+    back = prepared_returns(returns, now).withColumns({"group_key": group_key(), "identity": identity_key()}).select(
+        *KEY, F.concat(F.lit("return:"), "identity").alias("__what"), F.col("rank").alias("__first"), "last_scanned_at", "record_id", F.struct(*schema.RETURN_COLUMNS, *added).alias("r"))
+    both = own.unionByName(back, allowMissingColumns=True).repartition(*KEY)
+    best = W.partitionBy(*KEY, "__what").orderBy(F.col("__first").desc(), F.col("last_scanned_at").desc_nulls_last(), "record_id")
+    once = both.withColumn("__n", F.row_number().over(best)).where("__n = 1")
+    whole = W.partitionBy(*KEY)
+    shared = once.withColumns({"o": F.first("o", ignorenulls=True).over(whole), "__authoritative": F.count_if("r.authoritative").over(whole)})
+    shared = shared.withColumn("data_complete", data_complete(F.col("__authoritative"), "o."))
     strict = F.col("data_complete") & (F.coalesce("o.expected_returns", F.lit(0)) > 0)
-    return both.withColumn("r", F.when(~strict | F.coalesce("r.authoritative", F.lit(False)), F.col("r"))).select(*KEY, "o", "data_complete", "r.*")
+    counts = F.when(~strict | F.coalesce("r.authoritative", F.lit(False)), F.col("r")).alias("r")
+    return shared.select(*KEY, "o", "data_complete", counts).select(*KEY, "o", "data_complete", "r.*")
 
 
 def used_returns(orders: DataFrame, returns: DataFrame, now: str) -> DataFrame:
@@ -244,19 +254,20 @@ def described(rolled: DataFrame) -> DataFrame:
     gathered = lambda c: F.flatten(F.transform("gs", lambda g: F.coalesce(g[c], F.array().cast(STRINGS))))
     replaced = F.filter("items", lambda i: i["replacement_stage"].isNotNull())
     least = F.array_min(F.transform("replaced", lambda i: F.struct(schema.ranked(i["replacement_stage"], schema.REPLACEMENT_RANKS), i["pos"], i["item_key"], i["replacement_stage"].alias("stage"))))
-    hits = lambda i: F.filter("gs", lambda g: g["item_key"] == i["item_key"])
-    best = lambda i: F.array_max(F.transform(hits(i), lambda g: g["rank"]))
+    best = lambda i: F.array_max(F.transform(F.filter("gs", lambda g: g["item_key"] == i["item_key"]), lambda g: g["rank"]))
     said = F.concat(F.transform("replaced", lambda i: F.coalesce(filled(i["replacement_status_text"]), replacement_label(i["replacement_stage"]))), gathered("status_texts"))
     bought = distinct_ci(F.transform("items", lambda i: i["item_name"]))
     url = o("order_details_url")
-    x = rolled.withColumns({"replaced": replaced, "bought": bought, "returned_names": distinct_ci(gathered("item_names"))})
+    x = rolled.withColumns({
+        "replaced": replaced, "bought": bought, "returned_names": distinct_ci(gathered("item_names")),
+        "became": F.transform("items", lambda i: F.struct(i["item_name"].alias("name"), best(i).alias("rank")))})
     x = x.withColumns({"order_names": F.when(F.size("bought") > 0, F.col("bought")).otherwise(distinct_ci(o("item_names"))), "said": F.array_join(distinct_ci(said), " · "), "least": least})
     returns_cents, refund = F.col("returns_cents"), o("canonical_refund_cents")
     scanned = F.greatest(o("last_scanned_at"), F.col("returns_scanned_at"))
     return x.select(
         *KEY, "data_complete", F.coalesce(o("terminal_cancelled"), F.lit(False)).alias("cancelled"), filled(o("processing_error")).alias("processing_error"), o("processing_state").alias("processing_state"),
         o("purchase_cents").alias("purchase_cents"), F.coalesce(filled(o("card_last4")), F.get(F.filter(F.transform("gs", lambda g: g["card_last4"]), lambda c: c.isNotNull()), F.lit(0))).alias("card_last4"),
-        "n_groups", "n_unmatched", F.size("items").cast("long").alias("n_items"), F.size(F.filter("items", lambda i: F.size(hits(i)) > 0)).cast("long").alias("n_returned_items"),
+        "n_groups", "n_unmatched", F.size("items").cast("long").alias("n_items"), F.size(F.filter("became", lambda i: i["rank"].isNotNull())).cast("long").alias("n_returned_items"),
         F.size("replaced").cast("long").alias("n_replacements"), F.col("least.stage").alias("replacement_stage"),
         F.coalesce(refund, returns_cents).cast("long").alias("refund_cents"), returns_cents.cast("long").alias("returns_cents"), F.coalesce("flagged_cents", F.lit(0)).cast("long").alias("flagged_cents"),
         F.coalesce(returns_cents > refund + schema.TOLERANCE_CENTS, F.lit(False)).alias("amount_mismatch"), "identity_conflict", "amount_conflict", "bank_conflict", "strong_unmatched",
@@ -266,7 +277,7 @@ def described(rolled: DataFrame) -> DataFrame:
         distinct_ci(F.concat(F.coalesce(o("asins"), F.array().cast(STRINGS)), F.transform("items", lambda i: i["asin"]), gathered("asins"))).alias("asins"),
         F.coalesce(filled(F.col("said")), filled(o("status_text")), filled(o("status")), F.lit("—")).alias("shop_status"), o("status_text").alias("order_status_text"),
         F.coalesce(o("detail_scan_complete"), F.lit(False)).alias("detail_complete"), F.when(url.rlike(DETAIL_ROUTE), url).otherwise("").alias("open_url"),
-        F.transform("items", lambda i: F.concat(i["item_name"], F.lit(" => "), F.coalesce(stage_label(best(i)), F.lit("Not returned")))).alias("product_statuses"))
+        F.transform("became", lambda i: F.concat(i["name"], F.lit(" => "), F.coalesce(stage_label(i["rank"]), F.lit("Not returned")))).alias("product_statuses"))
 
 
 def needs_review(rows: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ SELECT {_ACCOUNT} AS account_id, o_orderkey, l_partkey, {_ID} AS order_id, {{fmt
   CASE l_partkey % 3 WHEN 0 THEN 'item' WHEN 1 THEN 'return' END AS refund_scope,
   {{fmt}}('B%09d', CASE WHEN l_partkey % 5 = 0 THEN l_partkey + 1 ELSE l_partkey END) AS asin,
   CASE WHEN l_partkey % 5 <> 0 THEN p_name || ' ' || p_brand || ' ' || p_type END AS item_name,
-  max(l_linestatus) = 'F' AS authoritative, CAST(max(l_shipdate) AS TIMESTAMP) AS last_scanned_at,
+  min(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = 1 AS authoritative, CAST(max(l_shipdate) AS TIMESTAMP) AS last_scanned_at,
   CASE l_partkey % 7 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'needs_review' END AS bank_status,
   CASE WHEN l_partkey % 29 = 0 THEN 'reconciled' END AS manual_state, l_partkey % 37 = 0 AS identity_conflict,
   CASE WHEN l_partkey % 2 = 0 THEN CAST(max(l_shipdate) AS TIMESTAMP) + INTERVAL 30 DAY END AS expected_credit_at,

