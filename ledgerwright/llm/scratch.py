@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
+from ..sources.shared import fresh_folder
+
 #: Lists of the tables written inside the open `cleared` blocks, the innermost last.
 _open: list[list[str]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder.
-
-    Where the setting is missing, a temporary folder is made and set if the master is local (tests); on a cluster that
-    would scatter a table over the executors' own disks, so it is an error there.
-    """
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-', dir='/tmp')}"
-        spark.conf.set(SETTING, folder)
-    return folder
-
-
 def staged(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage is cut, and a lost executor loses nothing of it."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, "staged")
     if _open:
         _open[-1].append(path)
     df.write.parquet(path)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwright.llm import scratch, components, embedding_dedup, line_dedup, minhash
+from ledgerwright.sources.shared import shared_folder
 
 
 def roots(nodes, links):
@@ -177,7 +178,7 @@ def test_near_duplicate_rows_are_documents_of_their_own(spark):
 
 
 def test_staged_tables_are_removed_when_asked(spark):
-    folder = scratch.shared_folder(spark).removeprefix("file://")
+    folder = shared_folder(spark).removeprefix("file://")
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     with scratch.cleared(spark):
         assert scratch.staged(spark.range(5)).count() == 5
