@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embedding_dedup, line_dedup, minhash, packing, pii, quality, sharding, tokens
+from . import chat, conversation_repair, embedding_dedup, line_dedup, minhash, packing, pii, quality, sharding, tokens
+from .oracle import REPAIR_SQL
 
 #: Largest sum of text bytes in a shard.
 SHARD_BYTES = 4 << 20
@@ -70,8 +71,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "n_windows")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damage(rows), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_prefix_targets, op2_quality, op3_extendible_shards, op4_prefix_bpe, op5_sum_of_squares, op6_pseudonyms, op7_line_windows, op8_rotation_codes, op9_circulant_minhash, op10_token_counts)}
+    known = (
+        op1_prefix_targets, op2_quality, op3_extendible_shards, op4_prefix_bpe, op5_sum_of_squares, op6_pseudonyms, op7_line_windows, op8_rotation_codes,
+        op9_circulant_minhash, op10_token_counts, op11_conversation_repair)
+    return {f.__name__: f for f in known}
 
 
 OP1_SQL = r"""
@@ -145,4 +154,6 @@ FROM sets s JOIN least l ON l.node = s.doc_id
 
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op1_prefix_targets": OP1_SQL, "op7_line_windows": OP7_SQL, "op8_rotation_codes": OP8_SQL, "op9_circulant_minhash": OP9_SQL}
+    return {
+        "op1_prefix_targets": OP1_SQL, "op7_line_windows": OP7_SQL, "op8_rotation_codes": OP8_SQL, "op9_circulant_minhash": OP9_SQL,
+        "op11_conversation_repair": REPAIR_SQL}
