@@ -75,3 +75,33 @@ LEFT JOIN counts n ON o.conv_id IS NOT DISTINCT FROM n.conv_id
 LEFT JOIN best p ON o.conv_id IS NOT DISTINCT FROM p.conv_id
 LEFT JOIN sums h ON o.conv_id IS NOT DISTINCT FROM h.conv_id
 """
+
+PHRASE_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+listed AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+phrases AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(len(ws) - k + 1, 0) + 1), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM listed, (VALUES (1), (2), (3)) AS v(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM phrases GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+halves AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+cuts AS (
+  SELECT h.lang, h.phrase, a, cut, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM halves h JOIN f x ON x.lang = h.lang AND x.phrase = head JOIN f y ON y.lang = h.lang AND y.phrase = tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, f FROM candidates WHERE k = 3),
+dropped AS (
+  SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN longer g ON c.k = 2 AND g.lang = c.lang AND g.phrase = c.phrase AND 100 * g.f >= 50 * c.f),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b ANTI JOIN dropped d ON b.lang = d.lang AND b.phrase = d.phrase)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, conversation_repair, embedding_dedup, line_dedup, minhash, packing, pii, quality, sharding, tokens
-from .oracle import REPAIR_SQL
+from . import chat, conversation_repair, embedding_dedup, line_dedup, minhash, packing, phrases, pii, quality, sharding, tokens
+from .oracle import PHRASE_SQL, REPAIR_SQL
 
 #: Largest sum of text bytes in a shard.
 SHARD_BYTES = 4 << 20
@@ -76,10 +76,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.damage(rows), rows)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     known = (
         op1_prefix_targets, op2_quality, op3_extendible_shards, op4_prefix_bpe, op5_sum_of_squares, op6_pseudonyms, op7_line_windows, op8_rotation_codes,
-        op9_circulant_minhash, op10_token_counts, op11_conversation_repair)
+        op9_circulant_minhash, op10_token_counts, op11_conversation_repair, op13_phrases)
     return {f.__name__: f for f in known}
 
 
@@ -156,4 +160,4 @@ def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force in tests/llm."""
     return {
         "op1_prefix_targets": OP1_SQL, "op7_line_windows": OP7_SQL, "op8_rotation_codes": OP8_SQL, "op9_circulant_minhash": OP9_SQL,
-        "op11_conversation_repair": REPAIR_SQL}
+        "op11_conversation_repair": REPAIR_SQL, "op13_phrases": PHRASE_SQL}
