@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, conversation_repair, embedding_dedup, line_dedup, minhash, packing, phrases, pii, quality, sharding, tokens
+from . import chat, conversation_repair, embedding_dedup, language_id, line_dedup, minhash, packing, phrases, pii, quality, sharding, tokens
 from .oracle import PHRASE_SQL, REPAIR_SQL
 
 #: Largest sum of text bytes in a shard.
@@ -76,6 +76,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.damage(rows), rows)
 
 
+def op12_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents"))
 
@@ -83,7 +87,8 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     known = (
         op1_prefix_targets, op2_quality, op3_extendible_shards, op4_prefix_bpe, op5_sum_of_squares, op6_pseudonyms, op7_line_windows, op8_rotation_codes,
-        op9_circulant_minhash, op10_token_counts, op11_conversation_repair, op13_phrases)
+        op9_circulant_minhash, op10_token_counts, op11_conversation_repair, op12_language_codes,
+        op13_phrases)
     return {f.__name__: f for f in known}
 
 
