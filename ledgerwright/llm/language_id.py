@@ -27,8 +27,8 @@ BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 #: Learning texts on which the bits are weighted; the weights of n-grams come from all learning texts.
 CALIBRATION_ROWS = 5_000
-#: Distinct words scored at once.
-CHUNK = 50_000
+#: Distinct words cut, and rows of a batch judged, at once.
+CHUNK, ROWS = 50_000, 2_000
 #: Below this share of the total weight the best codeword's lead counts as ambiguous.
 AMBIGUOUS = 0.1
 
@@ -57,6 +57,12 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def letter_words(texts: pa.Array) -> pa.ListArray:
     """Runs of letters of each text, lower case."""
     found = [LETTERS.findall((t or "").lower()) for t in texts.to_pylist()]
@@ -91,7 +97,7 @@ def gram_counts(learn: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(met), pa.string()), pa.array(met, pa.int32()), pa.array(sums[met], pa.float64())], ["lang", "bucket", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang in pc.unique(batch.column(0)).to_pylist():
                 coded = letter_words(batch.column(1).filter(pc.equal(batch.column(0), lang))).flatten().dictionary_encode()
                 times = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
@@ -119,9 +125,8 @@ def margins(lists: pa.ListArray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
             sums[at:at + len(part), b] = np.bincount(owners, weights=weights[buckets, b], minlength=len(part))
         sums[at:at + len(part), bits] = np.bincount(owners, minlength=len(part))
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    totals, filled = np.zeros((len(lists), bits + 1)), np.flatnonzero(sizes)
-    if len(filled):
-        totals[filled] = np.add.reduceat(sums[coded.indices.to_numpy(zero_copy_only=False)], (np.cumsum(sizes) - sizes)[filled])
+    of, words = np.repeat(np.arange(len(lists)), sizes), coded.indices.to_numpy(zero_copy_only=False)
+    totals = np.stack([np.bincount(of, weights=sums[words, b], minlength=len(lists)) for b in range(bits + 1)], 1)
     return totals[:, :bits] / np.maximum(totals[:, bits:], 1), totals[:, bits]
 
 
@@ -149,23 +154,33 @@ def fit(learn: DataFrame) -> Model | None:
 
 
 def calibrated(model: Model, learn: DataFrame) -> Model:
-    """The model with each bit's usual score and weight, log((1 - e) / e) of its error e, from CALIBRATION_ROWS texts taken by hash."""
-    sample = learn.orderBy(F.xxhash64("text"), "lang").limit(CALIBRATION_ROWS)
-    weights = model.weights
+    """The model with each bit's usual score and weight, log((1 - e) / e) of its error e.
+
+    Judged are the CALIBRATION_ROWS texts of the least hashes (and copies of the last): only hashes are sorted for that, and
+    what returns are sums for each bit.
+    """
+    hashed = learn.withColumn("h", F.xxhash64("text"))
+    last = hashed.select("h").orderBy("h").limit(CALIBRATION_ROWS).agg(F.max("h")).first()[0]
+    weights, codes, places = model.weights, model.codes, {lang: i for i, lang in enumerate(model.langs)}
+    bits = weights.shape[1]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             found, n = margins(letter_words(batch.column(1)), weights)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.tolist(), pa.list_(pa.float64())), pa.array(n, pa.float64())], ["lang", "m", "n"])
-
-    rows = sample.mapInArrow(score, "lang string, m array<double>, n double").where("n > 0").toPandas()
-    if not len(rows):
-        return Model(model.langs, model.codes, weights, np.ones(weights.shape[1]), np.ones(weights.shape[1]))
-    found = np.stack(rows["m"].to_list())
-    wanted = model.codes[[model.langs.index(x) for x in rows["lang"]]]
-    error = (np.sum(found * wanted <= 0, 0) + 1) / (len(found) + 2)
+            wanted = codes[[places[x] for x in batch.column(0).to_pylist()]]
+            wrong = ((found * wanted <= 0) & (n[:, None] > 0)).sum(0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(bits), pa.int32()), pa.array(wrong, pa.int64()), pa.array(np.abs(found).sum(0), pa.float64()), pa.array(np.full(bits, (n > 0).sum()), pa.int64())],
+                ["bit", "wrong", "size", "n"])
+
+    judged = hashed.where(F.col("h") <= last).select("lang", "text").mapInArrow(judge, "bit int, wrong long, size double, n long") if last is not None else None
+    rows = judged.groupBy("bit").agg(*[F.sum(c).alias(c) for c in ("wrong", "size", "n")]).orderBy("bit").toPandas() if judged is not None else []
+    if not len(rows) or rows["n"].iloc[0] == 0:
+        return Model(model.langs, codes, weights, np.ones(bits), np.ones(bits))
+    n = rows["n"].to_numpy()
+    error = (rows["wrong"].to_numpy() + 1) / (n + 2)
     trust = np.maximum(np.log((1 - error) / error), 0.05)
-    return Model(model.langs, model.codes, weights, np.maximum(np.abs(found).mean(0), 1e-9), trust / trust.sum())
+    return Model(model.langs, codes, weights, np.maximum(rows["size"].to_numpy() / n, 1e-9), trust / trust.sum())
 
 
 def decode(model: Model, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +206,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         names = pa.array([*held.langs, NO_LANG], pa.string())
-        for batch in batches:
+        for batch in slices(batches):
             found, n = margins(letter_words(batch.column(batch.num_columns - 1)), held.weights)
             best, share, close = decode(held, found)
             empty = n == 0
