@@ -113,6 +113,140 @@ def trusted_identity(captures: DataFrame) -> DataFrame:
     return named.join(odd, ID, "left").select(*ID, "item_names", "asins", F.coalesce("__odd", F.lit(False)).alias("identity_conflict"))
 
 
+def held_by_batches(captures: DataFrame) -> DataFrame:
+    """Captures without those that a later batch's authoritative captures of the same (order, token) superseded.
+
+    A batch that captures returns of a token authoritatively removes every other provisional or authoritative return of the token
+    as it was before; what the batch itself and later ones captured of it stays. What is gathered are the batches of
+    a token, one number each.
+    """
+    full = F.coalesce("authoritative", F.lit(False)) & F.col("return_token").isNotNull()
+    key = ["account_id", "order_id", "return_token"]
+    by_record = captures.where("record_type = 'return'").groupBy(*ID).agg(
+        F.max_by("order_id", F.struct("batch_id", "seq")).alias("order_id"), F.max_by("return_token", F.when(F.col("return_token").isNotNull(), F.struct("batch_id", "seq"))).alias("return_token"),
+        F.bool_or(F.coalesce("authoritative", F.lit(False)) | F.coalesce("provisional", F.lit(False))).alias("marked"), F.collect_set(F.when(full, F.col("batch_id"))).alias("own"))
+    by_token = captures.where(full & (F.col("record_type") == "return")).groupBy(*key).agg(F.collect_set("batch_id").alias("all"))
+    since = by_record.where("marked").join(by_token, key).select(*ID, F.array_max(F.array_except("all", "own")).alias("__since"))
+    return captures.join(since, ID, "left").where(F.col("__since").isNull() | (F.col("batch_id") >= F.col("__since"))).drop("__since")
+
+
+def fold_identity(captures: DataFrame) -> DataFrame:
+    """item_names, asins, item_identity_source, identity_conflict and the latest conflict's names, ASINs and source of each record.
+
+    Captures count in order of (batch_id, seq). A capture is bound if the record came by an order's own return link and it has the
+    record's item id: then it changes neither names nor source, nor ASINs once there are any; strong evidence of other ASINs
+    makes it a conflict. Otherwise its lists are added, those of an authoritative return replace what was there.
+    Running marks decide all of this row by row, so no captures are gathered, only distinct values with their first places.
+    """
+    w = W.partitionBy(*ID)
+    order = w.orderBy("batch_id", "seq")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    given = lambda c: F.when(F.trim(c) != "", F.col(c))
+    rows = captures.select(
+        *ID, "batch_id", "seq", "item_names", "asins", given("item_identity_source").alias("source"), given("return_item_id").alias("item"),
+        F.coalesce(F.col("item_identity_source") == schema.TRUSTED_SOURCE, F.lit(False)).alias("linked"), (F.coalesce("authoritative", F.lit(False)) & (F.col("record_type") == "return")).alias("full"),
+        F.coalesce(F.col("item_asin_evidence_source").isin(*schema.STRONG_EVIDENCE), F.lit(False)).alias("strong"), (F.col("record_type") == "return").alias("is_return"))
+    rows = rows.withColumns({"n": F.row_number().over(order), "same": F.coalesce(F.col("item") == F.last("item", True).over(before), F.lit(False)) & F.col("is_return")})
+    trusted = F.when(F.col("linked"), True).when(F.col("source").isNotNull() & ~F.col("same"), False)
+    rows = rows.withColumn("trust", trusted).withColumn("bound", F.coalesce(F.last("trust", True).over(before), F.lit(False)) & F.col("same"))
+    clean_size = F.size(clean_strings(F.col("asins")))
+    blank = F.when(clean_size > 0, False).when(F.col("full") & F.col("asins").isNotNull() & ~F.col("bound"), True)
+    rows = rows.withColumn("blank", blank).withColumn("empty", F.coalesce(F.last("blank", True).over(before), F.lit(True)))
+    rows = rows.withColumns({"take_asins": ~F.col("bound") | F.col("empty"), "source": F.when(F.col("bound"), schema.TRUSTED_SOURCE).otherwise(F.col("source"))})
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    part = lambda c, takes: F.coalesce(F.max(F.when(takes & F.col("full") & F.col(c).isNotNull(), F.col("n"))).over(so_far), F.lit(0))
+    rows = rows.withColumns({"names_part": part("item_names", ~F.col("bound")), "asins_part": part("asins", F.col("take_asins"))})
+    ends = rows.groupBy(*ID).agg(
+        F.max("names_part").alias("names_last"), F.max("asins_part").alias("asins_last"), F.max_by("source", F.when(F.col("source").isNotNull(), F.col("n"))).alias("item_identity_source"))
+
+    def placed(kind: str, c: str, at: str, takes: Column, tests: Column) -> Column:
+        mark = F.struct(F.lit(kind).alias("kind"), F.col(at).alias("part"), takes.alias("takes"), tests.alias("tests"))
+        return F.transform(clean_strings(F.col(c)), lambda x, i: F.struct(mark.alias("m"), x.alias("x"), i.alias("i")))
+
+    tested = F.col("bound") & (F.col("linked") | F.col("strong")) & ~F.col("empty") & (clean_size > 0)
+    each = rows.select(*ID, "n", F.explode(F.concat(placed("names", "item_names", "names_part", ~F.col("bound"), F.lit(False)), placed("asins", "asins", "asins_part", F.col("take_asins"), tested))).alias("e"))
+    each = each.select(*ID, "n", "e.m.*", "e.x", "e.i", F.lower("e.x").alias("low")).where("takes OR tests")
+    first = F.min(F.when(F.col("takes"), F.col("n"))).over(W.partitionBy(*ID, "kind", "part", "low"))
+    each = each.withColumn("first", first)
+    distinct = each.where("takes").groupBy(*ID, "kind", "part", "low").agg(F.min(F.struct("n", "i", "x")).alias("v"))
+    lists = distinct.join(ends.select(*ID, "names_last", "asins_last"), ID).where(F.col("part") == F.when(F.col("kind") == "names", F.col("names_last")).otherwise(F.col("asins_last")))
+    lists = lists.groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("v", "kind"))).alias("all"))
+    pick = lambda k: F.coalesce(F.transform(F.filter("all", lambda e: e["kind"] == k), lambda e: e["v"]["x"]), F.array().cast("array<string>"))
+    odd = each.where("tests").groupBy(*ID, "n").agg(F.bool_or(F.coalesce(F.col("first") < F.col("n"), F.lit(False))).alias("known")).where("NOT known").groupBy(*ID).agg(F.max("n").alias("n"))
+    raw = captures.select(*ID, "item_names", "asins", "item_identity_source", F.row_number().over(order).alias("n"))
+    told = odd.join(raw, [*ID, "n"]).select(*ID, F.struct(distinct_ci(F.col("item_names")).alias("item_names"), distinct_ci(F.col("asins")).alias("asins"), F.col("item_identity_source").alias("source")).alias("identity_conflict_incoming"))
+    out = ends.join(lists, ID, "left").join(told, ID, "left")
+    return out.select(*ID, pick("names").alias("item_names"), pick("asins").alias("asins"), "item_identity_source", F.col("identity_conflict_incoming").isNotNull().alias("identity_conflict"), "identity_conflict_incoming")
+
+
+def ordered_union(captures: DataFrame, columns: list[str]) -> DataFrame:
+    """Each list column of each record: all values of its captures, first ones first, without repeats in another case."""
+    def placed(c: str) -> Column:
+        return F.transform(clean_strings(F.col(c)), lambda x, i: F.struct(F.lit(c).alias("c"), x.alias("x"), i.alias("i")))
+
+    def picked(c: str) -> Column:
+        return F.transform(F.filter("all", lambda e: e["c"] == c), lambda e: e["v"]["x"]).alias(c)
+
+    each = captures.select(*ID, "batch_id", "seq", F.explode(F.concat(*map(placed, columns))).alias("e"))
+    distinct = each.groupBy(*ID, "e.c", F.lower("e.x").alias("low")).agg(F.min(F.struct("batch_id", "seq", "e.i", "e.x")).alias("v"))
+    held = distinct.groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("all"))
+    return held.select(*ID, *map(picked, columns))
+
+
+#: Columns of a capture that decide about others; a table of captures without one holds nulls there.
+EVIDENCE_COLUMNS = {
+    "record_type": "string", "order_id": "string", "return_token": "string", "authoritative": "boolean", "provisional": "boolean", "detail_scan_complete": "boolean", "return_item_id": "string",
+    "item_identity_source": "string", "item_asin_evidence_source": "string", "item_names": "array<string>", "asins": "array<string>", "return_stage": "string", "status": "string", "status_text": "string",
+    "captured_at": "timestamp"}
+#: What a user wrote about a record: no capture touches it.
+BY_HAND = {"manual_state", "note"}
+
+
+def merge_captures(captures: DataFrame, versions: bool = False) -> DataFrame:
+    """The ledger that a set of captures makes: one row a record, whatever order and batches they arrived in.
+
+    Captures count in order of their own (batch_id, seq), which is unique in a record; the same capture twice counts once. Rules:
+
+    * what a later batch superseded is gone (held_by_batches);
+    * a value gives way to the next that isn't null or blank; a return's stage, status and status text only to those of captures
+      whose stage didn't fall, a status only to one of at least its rank;
+    * names, ASINs and identity follow fold_identity, other lists of texts are united in order;
+    * order_items are those of the newest complete order capture that has any, else the first there were;
+    * detail_scan_complete and authoritative stay once true; return_milestones are merged step by step;
+    * first_seen_at is the time of the first capture, last_scanned_at that of the last; manual_state and note are never taken.
+
+    A field merged so keeps the (batch_id, seq) it came from in the struct `versions`, if asked for. Everything is
+    keyed by (account, record): no list of captures is gathered.
+    """
+    rows = schema.completed(captures, {c: k for c, k in EVIDENCE_COLUMNS.items() if c not in captures.columns}).dropDuplicates([*ID, "batch_id", "seq"])
+    rows = held_by_batches(rows)
+    at = F.struct("batch_id", "seq")
+    kinds = dict(rows.dtypes)
+    marked = monotonic_stage(rows).withColumn("accepted", F.col("accepted") | (F.col("record_type") != "return") | F.col("record_type").isNull())
+    lists = [c for c, k in kinds.items() if k == "array<string>" and c not in ("item_names", "asins", "order_items")]
+    apart = {*ID, "batch_id", "seq", "captured_at", "first_seen_at", "last_scanned_at", "item_names", "asins", "item_identity_source", "order_items", "return_milestones", *lists, *BY_HAND}
+    made, seen = [], []
+    for c in [c for c in rows.columns if c not in apart]:
+        if c in ("authoritative", "detail_scan_complete"):
+            made.append(F.bool_or(F.coalesce(c, F.lit(False))).alias(c))
+            continue
+        take = filled(c, kinds[c]) & (F.col("accepted") if c in STAGE_COLUMNS else F.lit(True))
+        ranked = F.struct(schema.ranked(F.col(c), schema.STATUS_RANKS), at) if c == "status" else at
+        made.append(F.max_by(c, F.when(take, ranked)).alias(c))
+        seen.append((F.max(F.when(take, ranked)), c))
+    if "order_items" in kinds:
+        some = F.size("order_items") > 0
+        whole = some & F.coalesce("detail_scan_complete", F.lit(False)) & (F.col("record_type") == "order")
+        made.append(F.coalesce(F.max_by("order_items", F.when(whole, at)), F.min_by("order_items", F.when(some, at))).alias("order_items"))
+    made += [F.min_by("captured_at", at).alias("first_seen_at"), F.max_by("captured_at", at).alias("last_scanned_at")]
+    if versions:
+        made.append(F.struct(*[(v["col2"] if c == "status" else v).alias(c) for v, c in seen]).alias("versions"))
+    out = marked.groupBy(*ID).agg(*made)
+    for part in [fold_identity(rows), *([ordered_union(rows, lists)] if lists else []), *([merge_milestones(rows)] if "return_milestones" in kinds else [])]:
+        out = out.join(part, ID, "left")
+    return out.withColumn("provisional", F.coalesce("provisional", F.lit(False)) & ~F.col("authoritative"))
+
+
 def supersede_provisional(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """Ledger without the returns that the batch's authoritative captures of the same (order, token) replace.
 

@@ -93,6 +93,27 @@ SELECT 'main' AS account_id, {fmt}('R%d', user_id * 10 + event_id % 7) AS record
 FROM {events}
 """
 
+#: Captures with lists, items, flags, links and conflicts; some of a return's batches supersede its neighbours.
+EVIDENCE = """
+SELECT {fmt}('A%d', user_id % 3) AS account_id, {fmt}('O%d', user_id) AS order_id, {fmt}('R%d', user_id * 10 + event_id % 7) AS record_id,
+  CASE WHEN event_id % 7 = 6 THEN 'order' ELSE 'return' END AS record_type, event_id % 6 AS batch_id, event_id AS seq, ts AS captured_at,
+  CASE WHEN event_id % 7 <> 6 THEN {fmt}('T%d', event_id % 7 % 3) END AS return_token,
+  event_id % 7 <> 6 AND event_id % 13 = 0 AS authoritative, event_id % 7 <> 6 AND event_id % 13 <> 0 AND event_id % 7 <> 5 AS provisional,
+  event_id % 3 = 0 AS detail_scan_complete, CASE WHEN event_id % 7 <= 3 AND event_id % 11 <> 0 THEN {fmt}('I%d', event_id % 7) END AS return_item_id,
+  CASE event_id % 8 WHEN 0 THEN 'order-detail-return-link' WHEN 1 THEN 'page' WHEN 2 THEN '' END AS item_identity_source,
+  CASE event_id % 5 WHEN 0 THEN 'return-item-data-asin' WHEN 1 THEN 'return-item-direct-product-anchor' WHEN 2 THEN 'page text' END AS item_asin_evidence_source,
+  CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN {arr}('') WHEN 2 THEN {arr}('Lamp', 'Desk', 'lamp') WHEN 3 THEN {arr}(' LAMP ', 'Chair') ELSE {arr}({fmt}('Item %d', event_id % 4)) END AS item_names,
+  CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN {arr}('', ' ') ELSE {arr}({fmt}('B%d', event_id % 5), {fmt}('b%d', event_id % 3)) END AS asins,
+  CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN {arr}({fmt}('https://shop/%d', event_id % 3)) ELSE {arr}({fmt}('HTTPS://shop/%d', event_id % 4), 'x') END AS return_urls,
+  CASE WHEN event_id % 7 = 6 AND event_id % 4 <> 0 THEN {arr}({fmt}('P%d', event_id % 10)) END AS order_items,
+  CASE event_type WHEN 'view' THEN 'started' WHEN 'click' THEN 'shipped' WHEN 'signup' THEN 'received' WHEN 'purchase' THEN 'refund_issued' ELSE 'unknown' END AS return_stage,
+  CASE event_id % 4 WHEN 0 THEN 'refunded' WHEN 1 THEN 'return_in_progress' WHEN 2 THEN '' ELSE 'returned_pending_refund' END AS status,
+  CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || ' ' || CAST(event_id AS VARCHAR(20)) END AS status_text,
+  CASE WHEN value < 20 THEN NULL ELSE CAST(round(value * 100) AS BIGINT) END AS refund_cents, CASE WHEN event_id % 4 = 0 THEN {fmt}('%04d', event_id % 9000) END AS card_last4,
+  'by hand' AS manual_state
+FROM {events}
+"""
+
 REQUESTS = """
 SELECT {fmt}('A%d', user_id % 3) AS account_id, {fmt}('Q%d', event_id) AS request_id, {fmt}('T%d', event_id % 50) AS return_token,
   CAST(round(value * 100) AS BIGINT) AS expected_cents, {fmt}('%04d', user_id % 3) AS card_last4, ts AS refund_issued_at
@@ -132,19 +153,19 @@ FROM {{orders}}
 """
 
 VIEWS = {
-    "v_orders_once": ORDERS_ONCE, "v_orders": ORDERS, "v_items": ITEMS, "v_returns": RETURNS, "v_captures": CAPTURES, "v_requests": REQUESTS,
+    "v_orders_once": ORDERS_ONCE, "v_orders": ORDERS, "v_items": ITEMS, "v_returns": RETURNS, "v_captures": CAPTURES, "v_evidence": EVIDENCE, "v_requests": REQUESTS,
     "v_transactions": TRANSACTIONS, "v_history_rows": HISTORY_ROWS, "v_event_log": EVENT_LOG, "v_page_text": PAGE_TEXT}
 TABLES = ("orders", "lineitem", "part", "events", "pages")
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name].replace("{fmt}", "format_string").replace("{nl}", r"'\n'")
+    sql = VIEWS[name].replace("{fmt}", "format_string").replace("{arr}", "array").replace("{nl}", r"'\n'")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **used)
 
 
 def duck_view(name: str) -> str:
-    sql = VIEWS[name].replace("{fmt}", "printf").replace("{nl}", "chr(10)")
+    sql = VIEWS[name].replace("{fmt}", "printf").replace("{arr}", "list_value").replace("{nl}", "chr(10)")
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
     return sql
