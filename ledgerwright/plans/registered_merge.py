@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import schema
 from ..operators import merge
+from ..sources import ledger_store
+from ..sources.shared import fresh_folder
 from .adapters import duck_ctes, spark_view
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +51,8 @@ def folded(where: str = "true", name: str = "folded") -> str:
   SELECT DISTINCT record_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS asins, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS item, false AS conflict,
     CAST(NULL AS VARCHAR) AS conflict_asins, CAST(NULL AS VARCHAR) AS return_stage, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS status_text, CAST(NULL AS BIGINT) AS refund_cents,
     CAST(NULL AS VARCHAR) AS card_last4, false AS details, false AS authoritative, false AS provisional, CAST([] AS VARCHAR[]) AS items, CAST([] AS VARCHAR[]) AS urls, CAST(NULL AS TIMESTAMP) AS first_seen_at,
-    CAST(NULL AS TIMESTAMP) AS last_scanned_at, false AS received_done, CAST(NULL AS VARCHAR) AS received_date
+    CAST(NULL AS TIMESTAMP) AS last_scanned_at, false AS received_done, CAST(NULL AS VARCHAR) AS received_date,
+    CAST(NULL AS VARCHAR) AS told, CAST(NULL AS VARCHAR) AS evidence, 0 AS top, CAST(NULL AS VARCHAR) AS d1, CAST(NULL AS VARCHAR) AS d2, CAST(NULL AS VARCHAR) AS d4
   FROM {name}_caps
   UNION ALL
   SELECT record_id, n,
@@ -63,7 +66,10 @@ def folded(where: str = "true", name: str = "folded") -> str:
     o.details OR detail_scan_complete, o.authoritative OR auth, c.provisional,
     CASE WHEN order_items IS NULL THEN o.items WHEN detail_scan_complete OR len(o.items) = 0 THEN order_items ELSE o.items END,
     {_once('list_concat(o.urls, c_urls)')}, coalesce(o.first_seen_at, captured_at), captured_at,
-    o.received_done OR {_STAGES.format('c.return_stage')} >= 3, CASE WHEN {_STAGES.format('c.return_stage')} >= 3 AND c.status_text <> '' THEN c.status_text ELSE o.received_date END
+    o.received_done OR {_STAGES.format('c.return_stage')} >= 3, CASE WHEN {_STAGES.format('c.return_stage')} >= 3 AND c.status_text <> '' THEN c.status_text ELSE o.received_date END,
+    CASE WHEN odd THEN array_to_string({_once('c_names')}, '|') || '/' || array_to_string({_once('c_asins')}, '|') || '/' || coalesce(item_identity_source, '-') ELSE o.told END,
+    coalesce(item_asin_evidence_source, o.evidence), greatest(o.top, {_STAGES.format('c.return_stage')}),
+    {', '.join(f"CASE WHEN {_STAGES.format('c.return_stage')} >= {k} AND c.status_text <> '' THEN c.status_text ELSE o.d{k} END" for k in (1, 2, 4))}
   FROM (
     SELECT *, bound AND (item_identity_source = 'order-detail-return-link' OR item_asin_evidence_source LIKE 'return-item%') IS TRUE AND len(o.asins) > 0 AND len(c_asins) > 0
       AND NOT list_has_any(list_transform(o.asins, lambda x: upper(x)), list_transform(c_asins, lambda x: upper(x))) AS odd
@@ -107,3 +113,46 @@ _ALL = f"WITH RECURSIVE {duck_ctes('v_evidence')},{folded()}"
 @query(f"{_ALL}\nSELECT {_SHOWN} FROM folded")
 def merge_captures(s, d):
     return shown(merge.merge_captures(evidence(s, d)))
+
+
+def _stored(s: SparkSession, d: str, feed: bool) -> str:
+    """A stored ledger of v_evidence: its batches arrive in three parts, the last ones first, and are compacted in between."""
+    path, rows = fresh_folder(s, "ledger"), evidence(s, d)
+    for epoch in range(3):
+        part = rows.where(F.floor(F.col("batch_id") / 2) == (epoch if feed else 2 - epoch))
+        ledger_store.append_captures(part, path, epoch, buckets=4, feed=feed)
+        if epoch == 1:
+            ledger_store.compact_ledger(s, path)
+    return path
+
+
+@query(f"{_ALL}\nSELECT {_SHOWN} FROM folded")
+def stored_ledger(s, d):
+    return shown(ledger_store.read_ledger_store(s, _stored(s, d, feed=False)))
+
+
+_SAID = """order_id, return_stage, status, status_text, refund_cents, card_last4, list_sort(names) AS names, list_sort(asins) AS asins, source, told, details, authoritative,
+  provisional AND NOT authoritative AS provisional, items, list_sort(urls) AS urls, received_date, evidence, top, d1, d2, d4"""
+
+
+def _changes(epoch: int) -> str:
+    return f"""
+SELECT CAST({epoch} AS INTEGER) AS epoch, coalesce(a.record_id, b.record_id) AS record_id,
+  CASE WHEN b.record_id IS NULL THEN 'inserted' WHEN a.record_id IS NULL THEN 'removed' WHEN a.said IS NOT DISTINCT FROM b.said THEN 'unchanged' ELSE 'updated' END AS change,
+  CASE WHEN a.said IS DISTINCT FROM b.said OR whole THEN captured_at END AS scanned_at
+FROM (SELECT * FROM s{epoch}) a FULL JOIN ({f"SELECT * FROM s{epoch - 1}" if epoch else "SELECT * FROM s0 WHERE false"}) b ON a.record_id = b.record_id
+LEFT JOIN (SELECT record_id, max(captured_at) AS captured_at, bool_or(detail_scan_complete) AS whole FROM v_evidence WHERE floor(batch_id / 2) = {epoch} GROUP BY record_id) n
+  ON n.record_id = coalesce(a.record_id, b.record_id)
+WHERE coalesce(a.order_id, b.order_id) IN (SELECT order_id FROM v_evidence WHERE floor(batch_id / 2) = {epoch})"""
+
+
+_FEED = (
+    f"WITH RECURSIVE {duck_ctes('v_evidence')},\norders_of AS (SELECT DISTINCT record_id, order_id FROM v_evidence),"
+    + ",".join(folded(f"batch_id < {2 * k + 2}", f"f{k}") for k in range(3))
+    + "".join(f",\ns{k} AS (SELECT f.record_id, o.order_id, f AS said FROM (SELECT record_id, {_SAID.replace('order_id, ', '')} FROM f{k}) f JOIN orders_of o ON o.record_id = f.record_id)" for k in range(3))
+    + " UNION ALL ".join(_changes(k) for k in range(3)))
+
+
+@query(_FEED)
+def ledger_changes(s, d):
+    return ledger_store.read_changes(s, _stored(s, d, feed=True)).select(F.col("epoch").cast("int").alias("epoch"), "record_id", "change", "scanned_at")

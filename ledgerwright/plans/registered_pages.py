@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import returns as R, schema, text as X
 from ..functions.arrays import normalize_order_items
 from ..operators import merge, pages, rows as B
-from ..sources import html, io
+from ..sources import html, io, ledger_store
 from ..sources.shared import fresh_folder
 from ..streaming import ledger as streaming
 from . import registered
@@ -483,12 +483,12 @@ def bank_result_files(s, d):
     return io.read_bank_results(s, path, "q1")[0].select("account_id", "return_record_id", "status", "matched_amount")
 
 
-@query(chain(registered._MERGED, **registered._CAP))
+@query(f"SELECT * EXCLUDE captured_at FROM ({chain(registered._MERGED, **registered._CAP)})")
 def stream_ledger(s, d):
     """The captures arrive in three files, a batch each, and end as one merge of them all would."""
-    source, path, c = fresh_folder(s, "arriving"), fresh_folder(s, "ledger"), spark_view(s, d, "v_captures").withColumn("order_id", F.col("record_id"))
+    source, path, c = fresh_folder(s, "arriving"), fresh_folder(s, "ledger"), spark_view(s, d, "v_captures").withColumns({"order_id": F.col("record_id"), "record_type": F.lit("return")})
     for k in range(3):
         c.where(F.floor(F.col("batch_id") / 2) == k).coalesce(1).write.mode("append").parquet(source)
     stream = s.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(source)
     streaming.stream_ledger(stream, path, fresh_folder(s, "checkpoint"), buckets=4).awaitTermination()
-    return io.read_buckets(s, path).select(*registered._MERGED_COLUMNS)
+    return ledger_store.read_ledger_store(s, path).select(*registered._MERGED_COLUMNS[:-1])

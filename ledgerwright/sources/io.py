@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -29,7 +28,7 @@ def write_ledger(df: DataFrame, path: str, before: DataFrame | None = None, buck
 
     Versions are folders `v=<millis>`; readers take the newest complete one, so a failed write is never seen. `tasks`
     (all shuffle partitions by default) spread over the buckets, so a bucket may have several files and the number of
-    buckets bounds nothing. A ledger keeps its number of buckets: update_buckets() needs it. drop_old_versions() removes old ones.
+    buckets bounds nothing. drop_old_versions() removes old ones.
     """
     if before is not None and diff_ledger(before, df).where("change <> 'unchanged'").isEmpty():
         return False
@@ -39,49 +38,6 @@ def write_ledger(df: DataFrame, path: str, before: DataFrame | None = None, buck
     return True
 
 
-def update_buckets(spark: SparkSession, path: str, captures: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], epoch: int, buckets: int = 64) -> None:
-    """Merges a batch into the buckets it touches and writes these alone; every other bucket's files stay as they are.
-
-    Each bucket has versions of its own, `bucket=<k>/v=<epoch>-<millis>`; readers take its newest. A version becomes visible
-    whole, when its folder is renamed into place, and only then the older ones go; so a batch that breaks off loses
-    nothing, and when it is repeated it merges the same captures again, which changes nothing. There is one writer.
-    Only the numbers of the touched buckets (at most `buckets`) reach the driver.
-    """
-    fs, root = _hadoop(spark, path)
-    at = lambda *parts: spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([str(root), *map(str, parts)]))
-    placed = bucketed(captures, buckets)
-    touched = sorted(r[0] for r in placed.select("bucket").distinct().collect())
-    if not touched:
-        return
-    held = read_buckets(spark, path, touched)
-    made = bucketed(merge(placed.drop("bucket"), held), buckets)
-    version = f"{epoch:012d}-{int(time.time() * 1000)}"
-    new = f"_writing-{version}"
-    made.repartition("bucket").write.partitionBy("bucket").parquet(str(at(new)))
-    for k in touched:
-        target = at(f"bucket={k}", f"v={version}")
-        fs.mkdirs(target.getParent())
-        if not fs.rename(at(new, f"bucket={k}"), target):
-            raise OSError(f"bucket {k} could not be put in place")
-        for old in fs.listStatus(target.getParent()):
-            if old.getPath().getName() != target.getName():
-                fs.delete(old.getPath(), True)
-    fs.delete(at(new), True)
-
-
-def read_buckets(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame | None:
-    """The ledger that update_buckets() keeps, or those buckets of it; None if there is nothing yet."""
-    fs, root = _hadoop(spark, path)
-    if not fs.exists(root):
-        return None
-    found = []
-    for bucket in fs.listStatus(root):
-        name = bucket.getPath().getName()
-        if name.startswith("bucket=") and (only is None or int(name[7:]) in only):
-            found += [max(str(v.getPath()) for v in fs.listStatus(bucket.getPath()))]
-    return spark.read.parquet(*found) if found else None
-
-
 def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Removes all but the newest `keep` complete versions of a ledger, and failed writes older than these; how many went.
 

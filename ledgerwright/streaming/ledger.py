@@ -10,21 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import schema
-from ..operators.merge import merge_latest
-from ..sources import io
+from ..sources import ledger_store
 
 
 def stream_ledger(captures: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
-    """Upserts each micro-batch of a capture stream by merge_latest into the ledger at `path`, bucket by bucket.
+    """Adds each micro-batch of a capture stream to the stored ledger at `path` (sources.ledger_store).
 
-    Only the buckets that a batch touches are read, merged and written (io.update_buckets), so a batch costs what its
-    orders cost and not what the ledger does. A repeated epoch merges the same captures again, which changes nothing.
-    Late captures with a lower stage never move a return back. io.read_buckets() gives the ledger.
+    A batch writes its captures and what they changed, whatever the ledger's size. Captures are ordered by their own
+    (batch_id, seq), so late, repeated and differently cut batches give the same ledger, and a repeated epoch is left as it is.
+    ledger_store.read_ledger_store() gives the ledger, read_changes() the feed; ledger_store.compact_ledger() folds the deltas from time to time.
     """
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        io.update_buckets(batch.sparkSession, path, batch, merge_latest, epoch, buckets)
-
-    return captures.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def add(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            ledger_store.append_captures(batch, path, epoch, buckets)
+        finally:
+            batch.unpersist()
+
+    return captures.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stage_stream(captures: DataFrame, idle: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerwright.functions import schema, text
 from ledgerwright.operators import merge, pages
 from ledgerwright.plans import adapters
-from ledgerwright.sources import html, io
+from ledgerwright.sources import html, io, ledger_store
 from ledgerwright.streaming import ledger as streaming
 
 O1, O2 = "112-1234567-7654321", "113-7654321-1234567"
@@ -100,12 +100,12 @@ def test_files(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    c = adapters.spark_view(spark, "/root/testdata/sf0.001", "v_captures").withColumns({"batch_id": F.lit(0).cast("long"), "order_id": F.col("record_id")})
+    c = adapters.spark_view(spark, "/root/testdata/sf0.001", "v_captures").withColumns({"batch_id": F.lit(0).cast("long"), "order_id": F.col("record_id"), "record_type": F.lit("return")})
     for k in range(3):  # files arrive out of order
         c.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     streaming.stream_ledger(source, f"{tmp_path}/led", f"{tmp_path}/cp", buckets=5).awaitTermination(120)
-    got, want = io.read_buckets(spark, f"{tmp_path}/led"), merge.merge_latest(c)
+    got, want = ledger_store.read_ledger_store(spark, f"{tmp_path}/led"), merge.merge_latest(c)
     rank = lambda df: {(r.record_id, r.k) for r in df.select("record_id", schema.stage_rank(F.col("return_stage")).alias("k")).collect()}
     assert rank(got) == rank(want) and got.count() == want.count()
     q = streaming.stage_stream(source).writeStream.format("memory").queryName("stages").outputMode("update").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
@@ -114,23 +114,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.record_id, r.k) for r in kept.collect()} == rank(want) and kept.agg(F.sum("n")).first()[0] == c.count()
 
 
-def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
-    kind = "account_id string, order_id string, record_id string, batch_id long, seq long, return_stage string, status string, status_text string, note string"
-    rows = lambda n, stage, seq: spark.createDataFrame([("a", f"o{k}", f"r{k}", 0, seq, stage, None, None, f"n{seq}") for k in range(n)], kind)
-    path = f"{tmp_path}/led"
-    files = lambda: {str(p.parent.relative_to(path)) for p in (tmp_path / "led").rglob("*.parquet")}
-    io.update_buckets(spark, path, rows(40, "received", 1), merge.merge_latest, 0, 8)
-    before = files()
-    io.update_buckets(spark, path, rows(1, "started", 2), merge.merge_latest, 1, 8)
-    after = files()
-    assert len(before) == len(after) == 8 and len(before - after) == 1
-    io.update_buckets(spark, path, rows(1, "started", 2), merge.merge_latest, 1, 8)  # the batch again
-    got = {r.record_id: (r.return_stage, r.note) for r in io.read_buckets(spark, path).collect()}
-    assert len(got) == 40 and got["r0"] == ("received", "n2") and got["r5"] == ("received", "n1")
-    io.update_buckets(spark, path, rows(0, "started", 3), merge.merge_latest, 2, 8)
-    assert len(files()) == 8 and io.read_buckets(spark, f"{tmp_path}/none") is None
-
-
 def test_advertisements(spark):
     page = """<body><div id="rhf"><a href="/dp/B000000001">In the foot</a></div><div><div><div><div><div><a href="/dp/B000000002">Far from the words</a></div></div></div></div></div>
     <div><p>Products related to your return</p><div><a href="/dp/B000000003">Near the words</a></div></div><section data-a-carousel-options="{}"><a href="/dp/B000000004">Turning</a></section>
