@@ -195,10 +195,12 @@ class TextEncoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.text_of = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.from_bytes = {ord(c): b for b, c in byte_alphabet().items()}
+        self.to_symbols = byte_alphabet()
         self.memo = Memo(of_word or self.library_word)
 
     def library_word(self, word: str) -> list[int]:
-        return self.library.encode(word, add_special_tokens=False).ids
+        """Ids of a word by the library's model alone: its text is normalised, and doing so twice may reorder marks."""
+        return [t.id for t in self.library.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_symbols))]
 
     def chunk(self, chunk: str) -> bytes:
         if self.plain(chunk):

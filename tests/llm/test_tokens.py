@@ -31,6 +31,18 @@ def test_prefix_table_equals_library_on_random_words():
         assert [i for w in (same,) for i in own.encode_word(w)] == lib.encode(same, add_special_tokens=False).ids or same.isdigit()
 
 
+def test_both_encoders_equal_the_library_on_odd_texts():
+    """Capital I with dot, marks in either order, other scripts, digits of them, special strings: whatever is normalised once must not be again."""
+    rnd = random.Random(11)
+    odd = ["\u0130", "\u0327", "\u0338", "\u0316", "\u0307", "i", "I", "\u00e9", "e\u0301", "\u00df", "\u1e9e", "\u03a3", "\u03c2", "\u0660", "\u00bd", "\u2167", "\u4e2d", "\ud55c", "\u1112\u1161", "\U0001f389", "\u200d", "\u00a0", "\u2028", "\x00",
+           "<|endoftext|>", "<|", "'s", "'", "a", "b1", " ", "  ", "\n", "\t", ".", "_"]
+    kinds = {kind: wordbpe.TextEncoder(PATH, wordbpe.PrefixBpe(PATH).encode_word if kind == "prefix" else None) for kind in ("prefix", "library")}
+    texts = ["".join(rnd.choices(odd, k=rnd.randint(1, 9))) for _ in range(20_000)] + ["\u0130\u0327", "\u0130\u0338", "a \u0130\u0316b"]
+    for text, want in zip(texts, library().encode_batch(texts, add_special_tokens=False)):
+        for kind, own in kinds.items():
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == want.ids, (kind, text)
+
+
 def test_memo_that_overflows_gives_the_same(monkeypatch):
     monkeypatch.setattr(wordbpe, "MAX_WORDS", 3)
     monkeypatch.setattr(wordbpe, "MAX_PAIRS", 2)
