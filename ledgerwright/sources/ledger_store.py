@@ -18,7 +18,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators.merge import ID, diff_ledger, merge_captures
+from ..operators.merge import ID, fingerprint, merge_captures
 
 ORDER = ["account_id", "order_id"]
 
@@ -134,10 +134,15 @@ def batch_changes(folder: Folder, epoch: int) -> DataFrame:
     every = _evidence(folder, epochs).join(orders, ORDER, "left_semi")
     fresh = new.select(*ID, "batch_id", "seq").distinct()
     earlier = every.join(fresh, [*ID, "batch_id", "seq"], "left_anti")
-    before, after = (merge_captures(x.drop("bucket")).drop("last_scanned_at") for x in (earlier, every))
+    # one merge of both states, kept apart by a mark before the account
+    mark = lambda df, side: df.drop("bucket").withColumn("account_id", F.concat(F.lit(side), "account_id"))
+    both = fingerprint(merge_captures(mark(earlier, "0").unionByName(mark(every, "1"))).drop("last_scanned_at"))
+    state = lambda side: F.max(F.when(F.substring("account_id", 1, 1) == side, F.col("__fp")))
+    found = both.groupBy(F.expr("substring(account_id, 2)").alias("account_id"), "record_id").agg(state("0").alias("old"), state("1").alias("new"))
+    change = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")
     whole = F.max(F.coalesce(F.col("detail_scan_complete"), F.lit(False))) if "detail_scan_complete" in new.columns else F.lit(False)
     scans = new.groupBy(*ID).agg(F.max("captured_at").alias("at"), whole.alias("whole"))
-    changes = diff_ledger(before, after).join(scans, ID, "left")
+    changes = found.select(*ID, change.alias("change")).join(scans, ID, "left")
     return changes.select(*ID, "change", F.when((F.col("change") != "unchanged") | F.col("whole"), F.col("at")).alias("scanned_at"))
 
 
