@@ -58,6 +58,7 @@ def test_phrases_by_brute_force(spark):
 def test_phrases_over_many_vocabularies_and_tries(spark, monkeypatch):
     docs = sample(60, 4)
     monkeypatch.setattr(phrases, "PART", 7)
+    monkeypatch.setattr(phrases, "TRIE_PART", 9)
     monkeypatch.setattr(phrases, "HELD", 50)
     assert sorted(tuple(r) for r in phrases.mine_phrases(spark_docs(spark, docs), least=4).collect()) == brute(docs, 4, 2000)
 
