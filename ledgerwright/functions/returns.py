@@ -41,6 +41,13 @@ def parse_loose_date(value: Column, ref_year: int) -> Column:
     return F.coalesce(day, value.try_cast("timestamp"))
 
 
+def with_issue_date(returns: DataFrame, ref_year: int) -> DataFrame:
+    """Adds refund_issued_at from the milestones, where there is none: the date of the issued step, as parse_loose_date reads it."""
+    said = parse_loose_date(F.col("return_milestones.refund_issued.date"), ref_year)
+    known = F.col("refund_issued_at").cast("timestamp") if "refund_issued_at" in returns.columns else F.lit(None).cast("timestamp")
+    return returns.withColumn("refund_issued_at", F.coalesce(known, said))
+
+
 def bank_columns(df: DataFrame) -> DataFrame:
     """Adds bank_confirmed, credit_confirmed, bank_conflict from rank, bank_status, manual_state.
 

@@ -39,7 +39,7 @@ CAPTURE = T.StructType([T.StructField(n, k) for n, k in [
     ("batch_id", T.LongType()), ("seq", T.LongType()), ("captured_at", T.TimestampType()), ("status", T.StringType()),
     ("return_stage", T.StringType()), ("status_text", T.StringType()), ("refund_cents", T.LongType()), ("card_last4", T.StringType())]])
 BANK_RESULTS = T.StructType([
-    T.StructField("schema", T.StringType()), T.StructField("requestId", T.StringType()), T.StructField("accountId", T.StringType()), T.StructField("_corrupt_record", T.StringType()),
+    T.StructField("schema", T.StringType()), T.StructField("requestId", T.StringType()), T.StructField("accountId", T.StringType()), T.StructField("checkedAt", T.StringType()), T.StructField("generatedAt", T.StringType()), T.StructField("_corrupt_record", T.StringType()),
     T.StructField("matches", T.ArrayType(T.StructType([T.StructField(n, k) for n, k in [
         ("returnRecordId", T.StringType()), ("status", T.StringType()), ("outcome", T.StringType()), ("matchedAmount", T.DoubleType()),
         ("postedDate", T.StringType()), ("accountLast4", T.StringType()), ("accountName", T.StringType()), ("merchantName", T.StringType()),
@@ -57,7 +57,7 @@ RETURN_COLUMNS = {
     "asins": "array<string>", "item_identity_source": "string", "identity_conflict": "boolean", "refund_cents": "bigint",
     "refund_subtotal_cents": "bigint", "refund_scope": "string", "group_refund_cents": "bigint", "return_stage": "string", "status": "string",
     "status_text": "string", "card_last4": "string", "authoritative": "boolean", "bank_status": "string", "manual_state": "string",
-    "expected_credit_at": "timestamp", "last_scanned_at": "timestamp"}
+    "expected_credit_at": "timestamp", "refund_issued_at": "timestamp", "last_scanned_at": "timestamp"}
 ITEM_COLUMNS = {
     "pos": "int", "item_key": "string", "asin": "string", "item_name": "string", "quantity": "int", "item_amount_cents": "bigint",
     "fulfillment_status": "string", "replacement_stage": "string", "replacement_status_text": "string"}

@@ -8,6 +8,11 @@ from ..functions import schema
 from ..functions.arrays import array_union_ci
 from .rows import KEY, filled
 
+#: What a result tells beside status, amount and time, and all columns that an applied result fills.
+RESULT_COLUMNS = {
+    "posted_date": "date", "account_last4": "string", "account_name": "string", "merchant_name": "string", "confidence": "string", "reason": "string", "request_id": "string"}
+BANK_COLUMNS = {
+    "bank_status": "string", "bank_cents": "bigint", "bank_verified_at": "timestamp", "bank_checked_at": "timestamp"} | {f"bank_{c}": t for c, t in RESULT_COLUMNS.items()}
 STATUSES = ["confirmed", "pending", "not_found", "ambiguous", "needs_review"]
 
 
@@ -34,7 +39,7 @@ def validate_bank_results(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     The last four characters of the account, and texts cut at fixed lengths, are kept. Columns that matches lacks
     (account_id among them) are null.
     """
-    texts = ["account_id", "return_record_id", "status", "outcome", "posted_date", "account_last4", "account_name", "merchant_name", "confidence", "reason"]
+    texts = ["account_id", "return_record_id", "status", "outcome", "posted_date", "account_last4", "account_name", "merchant_name", "confidence", "reason", "request_id"]
     full = schema.completed(matches, {c: "string" for c in texts} | {"matched_amount": "double", "checked_at": "timestamp"})
     status, amount = F.lower(F.coalesce(filled(F.col("status")), F.col("outcome"))), F.col("matched_amount")
     problem = (
@@ -43,7 +48,7 @@ def validate_bank_results(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = full.select(
         "account_id", "return_record_id", status.alias("status"), F.when(~F.isnan(amount) & (F.abs(amount) < 1e13), F.round(amount * 100).cast("long")).alias("matched_cents"),
         F.try_to_date("posted_date", "yyyy-MM-dd").alias("posted_date"), F.right(filled(F.col("account_last4")), F.lit(4)).alias("account_last4"),
-        *[F.substring(c, 1, n).alias(c) for c, n in (("account_name", 120), ("merchant_name", 160), ("confidence", 40), ("reason", 500))], "checked_at", problem.alias("problem"))
+        *[F.substring(c, 1, n).alias(c) for c, n in (("account_name", 120), ("merchant_name", 160), ("confidence", 40), ("reason", 500))], "checked_at", "request_id", problem.alias("problem"))
     return out.where("problem IS NULL").drop("problem"), out.where("problem IS NOT NULL")
 
 
@@ -52,7 +57,8 @@ def apply_bank_results(returns: DataFrame, results: DataFrame) -> tuple[DataFram
 
     A result belongs to the record of its account and record id. Rejected: a record that the ledger lacks, and a confirmed
     amount further than the tolerance from the expected one (refund, else subtotal; an unknown one is not checked). Of
-    several results of a record counts the one with the newest checked_at, then the first by status and amount.
+    several results of a record counts the one with the newest checked_at, then the first by status and amount. A record
+    with a result takes all of it, in columns that begin with bank_; all other records keep what they had.
     """
     key = ["account_id", "return_record_id"]
     w = W.partitionBy(*key).orderBy(F.col("checked_at").desc_nulls_last(), "status", "matched_cents")
@@ -63,9 +69,12 @@ def apply_bank_results(returns: DataFrame, results: DataFrame) -> tuple[DataFram
     off = F.coalesce((F.col("status") == "confirmed") & (F.abs(F.col("matched_cents") - F.col("__expected")) > schema.TOLERANCE_CENTS), F.lit(False))
     judged = seen.withColumn("problem", F.when(F.col("__known").isNull(), "missing").when(off, "amount"))
     good = judged.where("problem IS NULL").select(
-        "account_id", F.col("return_record_id").alias("record_id"), F.col("status").alias("__status"), F.col("matched_cents").alias("__cents"), F.when(F.col("status") == "confirmed", F.col("checked_at")).alias("__at"))
-    laid = {"bank_status": F.coalesce("__status", "bank_status"), "bank_cents": F.col("__cents"), "bank_verified_at": F.col("__at")}
-    applied = returns.join(good, ["account_id", "record_id"], "left").withColumns(laid).drop("__status", "__cents", "__at")
+        "account_id", F.col("return_record_id").alias("record_id"), F.struct(
+            F.col("status").alias("bank_status"), F.col("matched_cents").alias("bank_cents"), F.when(F.col("status") == "confirmed", F.col("checked_at")).alias("bank_verified_at"),
+            F.col("checked_at").alias("bank_checked_at"), *[(F.col(c) if c in results.columns else F.lit(None).cast(t)).alias(f"bank_{c}") for c, t in RESULT_COLUMNS.items()]).alias("__bank"))
+    held = schema.completed(returns, BANK_COLUMNS)
+    laid = {c: F.when(F.col("__bank").isNotNull(), F.col(f"__bank.{c}")).otherwise(F.col(c)) for c in BANK_COLUMNS}
+    applied = held.join(good, ["account_id", "record_id"], "left").withColumns(laid).drop("__bank")
     return applied, judged.where("problem IS NOT NULL").select(*key, "status", "matched_cents", "problem")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import schema
-from .rows import KEY, replacement_label, stage_label
+from ..functions.arrays import clean_strings
+from .rows import KEY, current_orders, replacement_label, stage_label
 
 SORTS = {
     "newest": [F.desc_nulls_last, "sort_at"], "oldest": [F.asc_nulls_first, "sort_at"],
@@ -50,7 +51,8 @@ def card_options(rows: DataFrame) -> DataFrame:
 
 def money_text(c: Column) -> Column:
     """Cents as the shortest number of units: 12, 12.5, 12.05; null stays null."""
-    return F.when(c.isNotNull(), F.regexp_replace(F.format_string("%d.%02d", (c / 100).cast("long"), c % 100), r"\.?0+$", ""))
+    size = F.regexp_replace(F.format_string("%d.%02d", F.floor(F.abs(c) / 100), F.abs(c) % 100), r"\.?0+$", "")
+    return F.when(c.isNotNull(), F.concat(F.when(c < 0, "-").otherwise(""), size))
 
 
 def search(rows: DataFrame, query: str) -> DataFrame:
@@ -108,18 +110,29 @@ def summary_delta(before: DataFrame, after: DataFrame, counters: tuple[str, ...]
 
 
 def compact_summary(orders: DataFrame, returns: DataFrame) -> DataFrame:
-    """Counts and money over all orders, complete or not; refunds once a token, else once an (amount, item)."""
-    o = orders.groupBy(*KEY).agg(F.max("purchase_cents").alias("purchase_cents"))
-    once = F.coalesce(F.col("return_token"), F.concat_ws(":", F.col("refund_cents").cast("string"), "asin", "item_name"))
-    # an amount with its items is one refund
-    r = returns.groupBy(*KEY, once.alias("k")).agg(F.max("refund_cents").alias("refund_cents"), F.bool_or("credit_review").alias("review"))
-    by = r.groupBy(*KEY).agg(F.sum("refund_cents").alias("refund_cents"), F.bool_or("review").alias("review"))
+    """Counts and money over all orders, complete or not: one row.
+
+    An order's amounts are those of its current record. Money returned is the order's canonical total, else the sum of its refunds; an order
+    is under review if a return waits for its credit and none was reconciled by hand, with the refunds of the returns that wait. A
+    refund is an amount, else its subtotal, counted once a token, else once an amount with the same ASINs and names; the
+    newest record counts.
+    """
+    full = schema.completed(orders, {"canonical_refund_cents": "bigint", "purchase_cents": "bigint"})
+    o = current_orders(full).select(*KEY, "purchase_cents", "canonical_refund_cents")
+    r = schema.completed(returns, schema.RETURN_COLUMNS).withColumn("amount", F.coalesce("refund_cents", "refund_subtotal_cents"))
+    items = F.array_join(F.transform(F.concat(clean_strings(F.col("asins")), clean_strings(F.col("item_names"))), F.lower), "|")
+    once = F.coalesce(F.when(F.col("return_token") != "", F.concat(F.lit("t:"), "return_token")), F.concat_ws(":", F.col("amount").cast("string"), items))
+    newest, waits = F.struct("last_scanned_at", "record_id"), F.coalesce("credit_review", F.lit(False))
+    first = lambda cond: F.max_by("amount", F.when(cond & F.col("amount").isNotNull(), newest))
+    r = r.groupBy(*KEY, once.alias("k")).agg(
+        first(F.lit(True)).alias("refund"), first(waits).alias("waiting"), F.bool_or(waits).alias("review"), F.bool_or(F.coalesce(F.col("manual_state") == "reconciled", F.lit(False))).alias("by_hand"))
+    by = r.groupBy(*KEY).agg(F.sum("refund").alias("refund"), F.sum("waiting").alias("waiting"), F.bool_or("review").alias("review"), F.bool_or("by_hand").alias("by_hand"))
     j = o.join(by.withColumn("has_return", F.lit(True)), KEY, "full_outer")
-    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long")
-    has, rev = F.coalesce("has_return", F.lit(False)), F.coalesce("review", F.lit(False))
+    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0)).cast("long")
+    has, review = F.coalesce("has_return", F.lit(False)), F.coalesce(F.col("review") & ~F.col("by_hand"), F.lit(False))
     return j.agg(
-        F.count("*").alias("n_all"), total("purchase_cents", F.lit(True)).alias("all_cents"), F.count_if(has).alias("n_returns"),
-        total("refund_cents", has).alias("return_cents"), F.count_if(rev).alias("n_review"), total("refund_cents", rev).alias("review_cents"))
+        F.count("*").alias("n_all"), total(F.col("purchase_cents"), F.lit(True)).alias("all_cents"), F.count_if(has).alias("n_returns"),
+        total(F.coalesce("canonical_refund_cents", "refund"), has).alias("return_cents"), F.count_if(review).alias("n_review"), total(F.col("waiting"), review).alias("review_cents"))
 
 
 def product_status_table(states: DataFrame) -> DataFrame:

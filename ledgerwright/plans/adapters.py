@@ -72,7 +72,7 @@ _STAGE = (
     "WHEN {k} = 3 THEN 'received' WHEN {k} = 4 THEN 'refund_issued' ELSE 'credited' END AS return_stage")
 _RETURN_COLUMNS = """SELECT account_id, o_orderkey, l_partkey, order_id, return_token, {record} AS record_id, {stage}, refund_cents, refund_subtotal_cents,
   group_refund_cents, refund_scope, asin, item_name, authoritative, NOT authoritative AS provisional, {at} AS last_scanned_at, bank_status, manual_state,
-  identity_conflict, expected_credit_at, item_identity_source, status, status_text, card_last4"""
+  identity_conflict, expected_credit_at, item_identity_source, status, status_text, card_last4, CASE WHEN l_partkey % 2 = 1 THEN {at} END AS refund_issued_at"""
 
 
 def _returns(record: str, k: str, at: str) -> str:

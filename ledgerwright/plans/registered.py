@@ -227,9 +227,9 @@ def filter_status(s, d):
     return Views(s, d).rows.select("order_id", F.explode(held).alias("value")).where("value IS NOT NULL").select("value", "order_id")
 
 
-@query(chain(f"SELECT {_KEYS} FROM orows WHERE order_year = 1998 AND card_last4 = '0770'"))
+@query(chain(f"SELECT {_KEYS} FROM orows WHERE order_year = 1995 AND card_last4 = '0004'"))
 def filter_year_card(s, d):
-    return short(Q.filter_year_card(Views(s, d).rows, 1998, "0770"))
+    return short(Q.filter_year_card(Views(s, d).rows, 1995, "0004"))
 
 
 @query(chain("SELECT DISTINCT order_year FROM orows WHERE order_year IS NOT NULL"))
@@ -367,11 +367,19 @@ def summary_delta(s, d):
 
 @query(chain("""
 SELECT count(*) AS n_all, CAST(coalesce(sum(purchase_cents), 0) AS BIGINT) AS all_cents, count(has) AS n_returns,
-  CAST(coalesce(sum(c) FILTER (has), 0) AS BIGINT) AS return_cents, count(*) FILTER (review) AS n_review, CAST(coalesce(sum(c) FILTER (review), 0) AS BIGINT) AS review_cents
-FROM (SELECT order_id, max(purchase_cents) AS purchase_cents FROM v_orders GROUP BY order_id) o
+  CAST(coalesce(sum(coalesce(canonical_refund_cents, total)) FILTER (has), 0) AS BIGINT) AS return_cents,
+  count(*) FILTER (review AND NOT by_hand) AS n_review, CAST(coalesce(sum(waiting) FILTER (review AND NOT by_hand), 0) AS BIGINT) AS review_cents
+FROM (
+  SELECT account_id, order_id, purchase_cents, canonical_refund_cents FROM v_orders
+  QUALIFY row_number() OVER (PARTITION BY account_id, order_id ORDER BY detail_scan_complete DESC, last_scanned_at DESC, record_id) = 1) o
 FULL OUTER JOIN (
-  SELECT order_id, true AS has, sum(c) AS c, bool_or(review) AS review FROM (
-    SELECT order_id, return_token, max(refund_cents) AS c, bool_or(credit_review) AS review FROM prep GROUP BY order_id, return_token) q GROUP BY order_id) r ON o.order_id = r.order_id"""))
+  SELECT f.account_id, f.order_id, true AS has, bool_or(credit_review) AS review, bool_or(coalesce(manual_state = 'reconciled', false)) AS by_hand,
+    sum(amount) FILTER (nth = 1) AS total, sum(amount) FILTER (credit_review AND flagged_nth = 1) AS waiting
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY account_id, order_id, return_token ORDER BY amount IS NULL, last_scanned_at DESC, record_id DESC) AS nth,
+      row_number() OVER (PARTITION BY account_id, order_id, return_token, credit_review ORDER BY amount IS NULL, last_scanned_at DESC, record_id DESC) AS flagged_nth
+    FROM (SELECT *, coalesce(refund_cents, refund_subtotal_cents) AS amount FROM prep) p) f
+  GROUP BY f.account_id, f.order_id) r ON o.account_id = r.account_id AND o.order_id = r.order_id"""))
 def compact_summary(s, d):
     v = Views(s, d)
     return Q.compact_summary(v.orders, v.prepared)
@@ -533,13 +541,13 @@ def candidate_credits(s, d):
 
 
 @query(chain("""
-SELECT u.account_id, record_id AS return_record_id, u.order_id, coalesce(u.refund_cents, refund_subtotal_cents) AS expected_cents, coalesce(u.card_last4, o.card_last4) AS card_last4,
+SELECT u.account_id, record_id AS return_record_id, u.order_id, u.refund_issued_at, coalesce(u.refund_cents, refund_subtotal_cents) AS expected_cents, coalesce(u.card_last4, o.card_last4) AS card_last4,
   stage, coalesce(u.status_text, u.status) AS shop_status, expected_credit_at
 FROM used u JOIN orows o ON u.order_id = o.order_id WHERE rank >= 4 AND NOT bank_confirmed AND o.data_complete"""))
 def bank_request(s, d):
     v = Views(s, d)
     r = bank.bank_request(v.used, v.rows)
-    return r.select("account_id", "return_record_id", "order_id", "expected_cents", "card_last4", "stage", "shop_status", "expected_credit_at")
+    return r.select("account_id", "return_record_id", "order_id", "expected_cents", "card_last4", "stage", "shop_status", "expected_credit_at", "refund_issued_at")
 
 
 _RESULTS = """

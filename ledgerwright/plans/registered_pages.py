@@ -467,9 +467,10 @@ def bank_request_files(s, d):
     """Requests written as documents of at most 40 returns, and read back."""
     path = fresh_folder(s, "requests")
     io.write_bank_requests(spark_view(s, d, "v_requests").withColumn("return_record_id", F.col("request_id")), path, "q1", most=40)
-    item = "array<struct<request_id:string,expected_cents:long,card_last4:string>>"
+    item = "array<struct<request_id:string,expectedRefund:double,paymentCardLast4:string>>"
     doc = s.read.schema(f"accountId string, requestId string, returns {item}").json(path).where("requestId = 'q1'")
-    return doc.select(F.col("accountId").alias("account_id"), F.explode("returns").alias("r")).select("account_id", "r.*")
+    return doc.select(F.col("accountId").alias("account_id"), F.explode("returns").alias("r")).select(
+        "account_id", "r.request_id", F.round(F.col("r.expectedRefund") * 100).cast("long").alias("expected_cents"), F.col("r.paymentCardLast4").alias("card_last4"))
 
 
 @query(chain("SELECT account_id, request_id AS return_record_id, 'pending' AS status, expected_cents / 100 AS matched_amount FROM v_requests WHERE account_id <> 'A2'"))

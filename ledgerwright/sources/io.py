@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import schema
 from ..operators.coverage import newest_keys
@@ -73,31 +73,44 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def read_bank_results(spark: SparkSession, path: str, request_id: str, tag: str = "bank-reconciliation-result/1", account_id: str = "main") -> tuple[DataFrame, DataFrame]:
     """(matches, rejects) of JSON documents; documents that are malformed, of another schema or request, or without an array are rejected.
 
-    A document names its account in accountId, as the request does; one that names none belongs to `account_id`.
+    A document names its account in accountId, as the request does; one that names none belongs to `account_id`. All its matches were
+    checked at its checkedAt, else its generatedAt, else their own.
     """
     docs = spark.read.schema(schema.BANK_RESULTS).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     problem = (
         F.when(F.col("_corrupt_record").isNotNull(), "malformed").when(~F.col("schema").eqNullSafe(tag), "schema")
         .when(~F.col("requestId").eqNullSafe(request_id), "request").when(F.col("matches").isNull(), "matches"))
     judged = docs.withColumn("problem", problem)
-    m = judged.where("problem IS NULL").select("requestId", F.coalesce("accountId", F.lit(account_id)).alias("account_id"), F.explode("matches").alias("m"))
+    m = judged.where("problem IS NULL").select("requestId", F.coalesce("accountId", F.lit(account_id)).alias("account_id"), F.coalesce("checkedAt", "generatedAt").alias("at"), F.explode("matches").alias("m"))
     matches = m.select(
         "account_id", F.col("requestId").alias("request_id"), F.col("m.returnRecordId").alias("return_record_id"), "m.status", "m.outcome", F.col("m.matchedAmount").alias("matched_amount"), F.col("m.postedDate").alias("posted_date"),
-        F.col("m.accountLast4").alias("account_last4"), F.col("m.accountName").alias("account_name"), F.col("m.merchantName").alias("merchant_name"), "m.confidence", "m.reason", F.to_timestamp("m.checkedAt").alias("checked_at"))
+        F.col("m.accountLast4").alias("account_last4"), F.col("m.accountName").alias("account_name"), F.col("m.merchantName").alias("merchant_name"), "m.confidence", "m.reason", F.coalesce("at", "m.checkedAt").try_cast("timestamp").alias("checked_at"))
     return matches, judged.where("problem IS NOT NULL").select("schema", "requestId", "problem")
 
 
-def write_bank_requests(requests: DataFrame, path: str, request_id: str, tag: str = "bank-reconciliation-request/1", most: int = 10_000) -> None:
+# Names of a request's fields.
+REQUEST_FIELDS = {
+    "return_record_id": "returnRecordId", "return_token": "returnToken", "order_id": "orderId", "item_names": "itemNames", "expected_cents": "expectedRefund", "card_last4": "paymentCardLast4",
+    "refund_issued_at": "refundIssuedDate", "expected_credit_at": "expectedCreditDate", "stage": "stage", "shop_status": "shopStatus"}
+
+
+def _request_field(c: str) -> Column:
+    """A column as the document shows it: money in units, times as dates."""
+    return F.col(c) / 100 if c == "expected_cents" else F.date_format(c, "yyyy-MM-dd") if c in ("refund_issued_at", "expected_credit_at") else F.col(c)
+
+
+def write_bank_requests(requests: DataFrame, path: str, request_id: str, tag: str = "bank-reconciliation-request/1", most: int = 10_000, generated_at: str | None = None) -> None:
     """JSON documents of policy and returns to look for: one an account, more where an account has over `most` returns.
 
     So no document, and no row that a task holds, grows with an account; all of an account's documents share the request id.
     """
-    policy = F.struct(F.lit(schema.TOLERANCE_CENTS).alias("toleranceCents"), F.lit(True).alias("postedOnlyConfirms"), F.lit(True).alias("oneCreditOneRefund"))
-    own = F.struct(*[c for c in requests.columns if c != "account_id"])
+    policy = F.struct(F.lit(schema.TOLERANCE_CENTS).alias("toleranceCents"), F.lit(True).alias("postedOnlyConfirms"), F.lit(True).alias("oneCreditOneRefund"), F.lit(True).alias("preferSameCardLast4"), F.lit(True).alias("preferMerchantEvidence"))
+    at = F.date_format(F.lit(generated_at).cast("timestamp") if generated_at else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    own = F.struct(*[_request_field(c).alias(REQUEST_FIELDS.get(c, c)) for c in requests.columns if c != "account_id"])
     parts = F.ceil(F.count("*").over(W.partitionBy("account_id")) / most)
     dealt = requests.withColumn("__part", F.pmod(F.xxhash64("return_record_id"), parts))
     doc = dealt.groupBy("account_id", "__part").agg(F.array_sort(F.collect_list(own)).alias("returns"))
-    doc.select(F.lit(tag).alias("schema"), F.lit(request_id).alias("requestId"), policy.alias("policy"), F.col("account_id").alias("accountId"), "returns").write.json(path)
+    doc.select(F.lit(tag).alias("schema"), F.lit(request_id).alias("requestId"), at.alias("generatedAt"), policy.alias("policy"), F.col("account_id").alias("accountId"), "returns").write.json(path)
 
 
 # Columns of the export, in order.

@@ -218,3 +218,46 @@ def test_queries_have_names_and_sql():
     for known in (registered, registered_pages):
         assert set(known.SQL) == set(known.SPARK)
     assert not set(registered.SPARK) & set(registered_pages.SPARK) and len(registered.SQL) + len(registered_pages.SQL) > 110
+
+
+def test_compact_summary_by_hand(spark):
+    orders = spark.createDataFrame(
+        [("a", "o1", "1", 1000, None, True, "2024-01-01"), ("a", "o1", "2", 5, None, False, "2024-02-01"), ("b", "o1", "1", 300, 4000, True, "2024-01-01"), ("a", "o2", "1", 200, 4000, False, "2024-01-01")],
+        "account_id string, order_id string, record_id string, purchase_cents long, canonical_refund_cents long, detail_scan_complete boolean, t string").withColumn("last_scanned_at", F.col("t").cast("timestamp"))
+    kind = "account_id string, order_id string, record_id string, return_token string, refund_cents long, refund_subtotal_cents long, manual_state string, credit_review boolean, asins array<string>, item_names array<string>, t string"
+    rows = [
+        ("a", "o1", "r1", "T1", None, 777, None, True, ["B1"], ["Lamp"], "2024-01-01"), ("a", "o1", "r2", "T2", 500, 1, None, False, [], [], "2024-01-01"), ("a", "o1", "r3", "T2", 400, None, None, True, [], [], "2024-01-03"),
+        ("b", "o1", "r1", "T1", 50, None, "reconciled", False, [], [], "2024-01-01"), ("b", "o1", "r2", "T2", 60, None, None, True, [], [], "2024-01-01"),
+        ("c", "o9", "r1", None, 10, None, None, True, ["B1"], [" Lamp"], "2024-01-01"), ("c", "o9", "r2", "", 10, None, None, True, ["b1 "], ["lamp"], "2024-01-02"), ("c", "o9", "r3", None, None, None, None, True, [], [], "2024-01-02")]
+    returns = spark.createDataFrame(rows, kind).withColumn("last_scanned_at", F.col("t").cast("timestamp"))
+    got = Q.compact_summary(orders, returns).first().asDict()
+    # o1 of a: 777 + the newer 400; o1 of b: its canonical total, and nothing under review; o9: one refund, whose order isn't known
+    assert got == {"n_all": 4, "all_cents": 1500, "n_returns": 3, "return_cents": 777 + 400 + 4000 + 10, "n_review": 2, "review_cents": 777 + 400 + 10}
+
+
+def test_money_text_of_any_sign(spark):
+    cents = [0, 5, 10, 1250, 1200, -50, -1250, -1200, -5, None]
+    df = spark.createDataFrame([(c,) for c in cents], "c long")
+    assert [r[0] for r in df.select(Q.money_text(F.col("c"))).collect()] == ["0", "0.05", "0.1", "12.5", "12", "-0.5", "-12.5", "-12", "-0.05", None]
+
+
+def test_results_leave_other_records_alone_and_keep_all_they_say(spark, tmp_path):
+    from ledgerwright.functions import returns as R
+    from ledgerwright.sources import io
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text(
+        '{"schema": "bank-reconciliation-result/1", "requestId": "q", "accountId": "a", "checkedAt": "2026-09-04T10:00:00Z", "matches": [{"returnRecordId": "r2", "status": "confirmed", "matchedAmount": 7.0, "postedDate": "2026-09-03", "accountLast4": "xx3172", "merchantName": "Shop", "reason": "exact"}]}')
+    matches, _ = io.read_bank_results(spark, str(tmp_path / "in"), "q")
+    good, _ = bank.validate_bank_results(matches)
+    ledger = spark.sql("SELECT 'a' AS account_id, 'r1' AS record_id, 500L AS refund_cents, 'confirmed' AS bank_status, 500L AS bank_cents, TIMESTAMP '2026-01-01' AS bank_verified_at UNION ALL SELECT 'a', 'r2', 700L, NULL, NULL, NULL")
+    got = {r.record_id: r for r in bank.apply_bank_results(ledger, good)[0].collect()}
+    assert (got["r1"].bank_status, got["r1"].bank_cents, str(got["r1"].bank_verified_at)) == ("confirmed", 500, "2026-01-01 00:00:00")
+    r = got["r2"]
+    assert (r.bank_cents, str(r.bank_verified_at), str(r.bank_posted_date), r.bank_account_last4, r.bank_merchant_name, r.bank_reason, r.bank_request_id) == (700, "2026-09-04 10:00:00", "2026-09-03", "3172", "Shop", "exact", "q")
+    # the issue date comes from the milestones and reaches the request file
+    m = spark.sql("SELECT 'r' AS record_id, named_struct('refund_issued', named_struct('done', true, 'date', 'Sep 7, 2026')) AS return_milestones, 'a' AS account_id, 1250L AS expected_cents")
+    dated = R.with_issue_date(m, 2026)
+    io.write_bank_requests(dated.select("account_id", F.col("record_id").alias("return_record_id"), "expected_cents", "refund_issued_at"), f"{tmp_path}/out", "q2", generated_at="2026-09-08 00:00:00")
+    doc = spark.read.json(f"{tmp_path}/out").first()
+    assert tuple(doc.returns[0].asDict()[k] for k in ("returnRecordId", "expectedRefund", "refundIssuedDate")) == ("r", 12.5, "2026-09-07") and doc.generatedAt.startswith("2026-09-08") and doc.policy.preferSameCardLast4
