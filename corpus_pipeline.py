@@ -35,8 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that lie in a window seen before; a document that loses all its lines goes.
 
-    A repeated row counts as a later occurrence and loses its windows like any other. Null and empty texts hold no window
-    and stay as they are.
+    Rows with one id and one text count as one and keep the same lines; the next stage drops all but one of them. Another id with
+    the same text is a later occurrence and loses its windows. Null and empty texts hold no window and stay as they are.
     """
     shorter = line_dedup.dedup_lines(docs)
     return _columns(docs, shorter.where("NOT (n_removed_lines > 0 AND text = '')"))
