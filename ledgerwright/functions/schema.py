@@ -57,7 +57,7 @@ RETURN_COLUMNS = {
     "asins": "array<string>", "item_identity_source": "string", "identity_conflict": "boolean", "refund_cents": "bigint",
     "refund_subtotal_cents": "bigint", "refund_scope": "string", "group_refund_cents": "bigint", "return_stage": "string", "status": "string",
     "status_text": "string", "card_last4": "string", "authoritative": "boolean", "bank_status": "string", "manual_state": "string",
-    "expected_credit_at": "timestamp", "refund_issued_at": "timestamp", "last_scanned_at": "timestamp"}
+    "expected_credit_at": "timestamp", "refund_issued_at": "timestamp", "step_dates": "array<string>", "last_scanned_at": "timestamp"}
 ITEM_COLUMNS = {
     "pos": "int", "item_key": "string", "asin": "string", "item_name": "string", "quantity": "int", "item_amount_cents": "bigint",
     "fulfillment_status": "string", "replacement_stage": "string", "replacement_status_text": "string"}

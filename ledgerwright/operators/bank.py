@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import schema
 from ..functions.arrays import array_union_ci
+from ..sources.shared import fresh_folder
 from .rows import KEY, filled
 
 #: What a result tells beside status, amount and time, and all columns that an applied result fills.
@@ -101,6 +102,14 @@ def candidate_credits(requests: DataFrame, transactions: DataFrame) -> DataFrame
     return j.select("account_id", "request_id", "txn_id", F.col("__c").alias("amount_cents"), "posted_at", "txn_state", score.alias("score"))
 
 
+def _mutual(c: DataFrame) -> DataFrame:
+    """Candidate pairs with n_candidates of the request, and mutual: whether each of both is the other's only best."""
+    by_request, by_credit = W.partitionBy("account_id", "request_id"), W.partitionBy("account_id", "txn_id")
+    c = c.withColumns({"r_best": F.max("score").over(by_request), "t_best": F.max("score").over(by_credit), "n_candidates": F.count("*").over(by_request)})
+    c = c.withColumns({"r_ties": F.count(F.when(F.col("score") == F.col("r_best"), 1)).over(by_request), "t_ties": F.count(F.when(F.col("score") == F.col("t_best"), 1)).over(by_credit)})
+    return c.withColumn("mutual", (F.col("score") == F.col("r_best")) & (F.col("r_ties") == 1) & (F.col("score") == F.col("t_best")) & (F.col("t_ties") == 1))
+
+
 def reconcile_credits(requests: DataFrame, transactions: DataFrame) -> DataFrame:
     """One row a request: status, txn_id, n_candidates.
 
@@ -108,17 +117,46 @@ def reconcile_credits(requests: DataFrame, transactions: DataFrame) -> DataFrame
     credits tie, or whose best credit prefers another request, is ambiguous; without candidates it is not found. Only a
     posted credit confirms; a pending one gives pending. A credit thus serves one request at most.
     """
-    c = candidate_credits(requests, transactions)
-    by_request, by_credit = W.partitionBy("account_id", "request_id"), W.partitionBy("account_id", "txn_id")
-    c = c.withColumns({"r_best": F.max("score").over(by_request), "t_best": F.max("score").over(by_credit), "n_candidates": F.count("*").over(by_request)})
-    c = c.withColumns({"r_ties": F.count(F.when(F.col("score") == F.col("r_best"), 1)).over(by_request), "t_ties": F.count(F.when(F.col("score") == F.col("t_best"), 1)).over(by_credit)})
-    mutual = (F.col("score") == F.col("r_best")) & (F.col("r_ties") == 1) & (F.col("score") == F.col("t_best")) & (F.col("t_ties") == 1)
-    best = c.groupBy("account_id", "request_id").agg(F.max("n_candidates").alias("n_candidates"), F.max(F.when(mutual, F.struct("txn_id", "txn_state"))).alias("hit"))
+    c = _mutual(candidate_credits(requests, transactions))
+    best = c.groupBy("account_id", "request_id").agg(F.max("n_candidates").alias("n_candidates"), F.max(F.when(F.col("mutual"), F.struct("txn_id", "txn_state"))).alias("hit"))
     out = requests.select("account_id", "request_id").join(best, ["account_id", "request_id"], "left")
     status = F.when(F.col("n_candidates").isNull(), "not_found").when(F.col("hit").isNull(), "ambiguous").when(F.col("hit.txn_state") == "posted", "confirmed").otherwise("pending")
     return out.select("account_id", "request_id", status.alias("status"), F.col("hit.txn_id").alias("txn_id"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
+def reconcile_rounds(requests: DataFrame, transactions: DataFrame) -> DataFrame:
+    """reconcile_credits() again and again among the requests and credits that are left, until no pair is each other's only best.
+
+    A request whose best credit went to another one can so take its next. What is left with candidates ties: ambiguous. A
+    request whose candidates all went to others, or that had none, is not found. n_candidates counts what it had at first.
+    Each round is written to the shared folder and holds fewer pairs than the one before; only whether a round matched
+    anything reaches the driver. Null accounts and amounts have no candidates.
+    """
+    spark, at = requests.sparkSession, fresh_folder(requests.sparkSession, "rounds")
+    by_request, by_credit = W.partitionBy("account_id", "request_id"), W.partitionBy("account_id", "txn_id")
+
+    def stored(df: DataFrame, n: int) -> DataFrame:
+        df.write.parquet(f"{at}/round={n}")
+        return spark.read.parquet(f"{at}/round={n}")
+
+    first = stored(candidate_credits(requests, transactions).select("account_id", "request_id", "txn_id", "txn_state", "score", F.lit(False).alias("won")), 0)
+    left, n = first, 0
+    while True:
+        n += 1
+        c = left.where("NOT won").transform(_mutual).withColumn("won", F.col("mutual"))
+        gone = c.withColumn("credit_gone", F.bool_or("won").over(by_credit)).withColumn("request_gone", F.bool_or("won").over(by_request))
+        left = stored(gone.where("won OR NOT (credit_gone OR request_gone)").select(*first.columns), n)
+        if left.where("won").isEmpty():
+            break
+    won = spark.read.option("basePath", at).parquet(*[f"{at}/round={k}" for k in range(1, n + 1)]).where("won")
+    outcome = first.groupBy("account_id", "request_id").agg(F.count("*").alias("n_candidates"))
+    outcome = outcome.join(won.select("account_id", "request_id", F.struct("txn_id", "txn_state").alias("hit")), ["account_id", "request_id"], "left")
+    outcome = outcome.join(left.select("account_id", "request_id", F.lit(True).alias("open")).distinct(), ["account_id", "request_id"], "left")
+    out = requests.select("account_id", "request_id").join(outcome, ["account_id", "request_id"], "left")
+    status = F.when(F.col("hit.txn_state") == "posted", "confirmed").when(F.col("hit").isNotNull(), "pending").when(F.col("open"), "ambiguous").otherwise("not_found")
+    return out.select("account_id", "request_id", status.alias("status"), F.col("hit.txn_id").alias("txn_id"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+
+
 def reconcile_grouped(requests: DataFrame, transactions: DataFrame, first: DataFrame) -> DataFrame:
     """A second pass: requests left over by `first` that share a return token are matched as one with the sum of their amounts."""
     left = requests.join(first.where("status IN ('not_found', 'ambiguous')").select("account_id", "request_id"), ["account_id", "request_id"], "left_semi").where("return_token IS NOT NULL")

@@ -251,11 +251,19 @@ def supersede_provisional(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """Ledger without the returns that the batch's authoritative captures of the same (order, token) replace.
 
     Only provisional or authoritative returns go, and only if the batch didn't capture them again.
+
+    Both tables are put together and shuffled twice, by token and by record; a token's rows are those of one order, so no group grows.
     """
-    fresh = batch.where("authoritative AND return_token IS NOT NULL").select("account_id", "order_id", "return_token").distinct()
-    again = batch.select(*ID).distinct()
-    gone = ledger.where("(provisional OR authoritative) AND record_type = 'return'").join(fresh, ["account_id", "order_id", "return_token"], "left_semi").join(again, ID, "left_anti").select(*ID)
-    return ledger.join(gone, ID, "left_anti")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    token = ["account_id", "order_id", "return_token"]
+    marks = lambda row, may_go, new, fresh: [*ID, *token[1:], row.alias("__row"), may_go.alias("__may_go"), new.alias("__new"), fresh.alias("__fresh")]
+    row = F.struct(*[F.col(f"`{c}`") for c in ledger.columns])
+    old = ledger.select(*marks(row, yes(F.expr("(provisional OR authoritative) AND record_type = 'return'")), F.lit(False), F.lit(False)))
+    new = batch.select(*marks(F.lit(None).cast(old.schema["__row"].dataType), F.lit(False), F.lit(True), yes(F.col("authoritative"))))
+    named = F.col("order_id").isNotNull() & F.col("return_token").isNotNull() & F.col("account_id").isNotNull() & F.col("record_id").isNotNull()
+    both = old.unionByName(new).withColumn("__gone", named & F.col("__may_go") & F.max("__fresh").over(W.partitionBy(*token)))
+    both = both.withColumn("__gone", F.max("__gone").over(W.partitionBy(*ID)) & ~F.max("__new").over(W.partitionBy(*ID)))
+    return both.where("__row IS NOT NULL AND NOT __gone").select("__row.*")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -37,7 +37,9 @@ def identity_key() -> Column:
 
 
 def prepared_returns(returns: DataFrame, now: str) -> DataFrame:
-    """Returns with all columns of a return record, stage, rank, bank columns and the review rule as of `now`."""
+    """Returns with all columns of a return record, stage, rank, bank columns and the review rule as of `now`; step_dates come from milestones."""
+    if "return_milestones" in returns.columns and "step_dates" not in returns.columns:
+        returns = returns.withColumn("step_dates", F.array(*[filled(F.col(f"return_milestones.{n}.date")) for n in schema.STAGE_NAMES[1:]]))
     return R.needs_credit_review(R.bank_columns(R.with_stage(schema.completed(returns, schema.RETURN_COLUMNS))), now)
 
 
@@ -51,7 +53,7 @@ def dedupe_returns(returns: DataFrame) -> DataFrame:
 def group_returns(deduped: DataFrame, *carry: str) -> DataFrame:
     """One row a return group of an order, from prepared and deduplicated returns; `carry` names columns that an order's rows share.
 
-    Names and ASINs come from trusted records if the group has any. The representative has the furthest stage, then is
+    Names and ASINs come from trusted records if the group has any; seen_asins are those of all its records. The representative has the furthest stage, then is
     newest. amount_cents: the newest group amount (its own column, or the refund of a record that covers the whole return;
     amount_conflict if there are several), else the sum of the items' amounts, else the newest amount, else null; a
     refund falls back to its subtotal. flagged_cents is the same over the records that need a credit review.
@@ -66,7 +68,7 @@ def group_returns(deduped: DataFrame, *carry: str) -> DataFrame:
         newest = lambda v: F.max_by(v, F.when(only & v.isNotNull(), when))
         return F.coalesce(newest(explicit), F.sum(F.when(only, of_item)), newest(refund)).cast("long")
 
-    lead = F.struct("rank", "last_scanned_at", "record_id", "stage", "bank_status", "manual_state", "expected_credit_at")
+    lead = F.struct("rank", "last_scanned_at", "record_id", "stage", "bank_status", "manual_state", "expected_credit_at", "step_dates")
     held = F.struct("record_id", "item_names", "asins", trusted.alias("trusted"), "status_text", "card_last4")
     g = deduped.groupBy(*KEY, "group_key").agg(
         F.count("record_id").alias("n_records"), F.max(lead).alias("lead"), F.array_sort(F.collect_list(held)).alias("held"),
@@ -77,10 +79,10 @@ def group_returns(deduped: DataFrame, *carry: str) -> DataFrame:
         F.bool_and("credit_confirmed").alias("all_confirmed"), F.bool_and("bank_confirmed").alias("all_bank_confirmed"),
         *[F.first(c).alias(c) for c in carry])
     use = F.when(F.exists("held", lambda x: x["trusted"]), F.filter("held", lambda x: x["trusted"])).otherwise(F.col("held"))
-    listed = lambda c: distinct_ci(F.flatten(F.transform(use, lambda x: F.coalesce(x[c], F.array().cast(STRINGS)))))
+    listed = lambda c, of=use: distinct_ci(F.flatten(F.transform(of, lambda x: F.coalesce(x[c], F.array().cast(STRINGS)))))
     return g.select(
-        *KEY, "group_key", "n_records", *[F.col(f"lead.{c}").alias(c) for c in ("record_id", "stage", "rank", "bank_status", "manual_state", "expected_credit_at")],
-        listed("item_names").alias("item_names"), listed("asins").alias("asins"), "amount_cents", "amount_conflict", "flagged_cents",
+        *KEY, "group_key", "n_records", *[F.col(f"lead.{c}").alias(c) for c in ("record_id", "stage", "rank", "bank_status", "manual_state", "expected_credit_at", "step_dates")],
+        listed("item_names").alias("item_names"), listed("asins").alias("asins"), listed("asins", F.col("held")).alias("seen_asins"), "amount_cents", "amount_conflict", "flagged_cents",
         "identity_conflict", "bank_conflict", "credit_review", "reconciled", "all_confirmed", "all_bank_confirmed", "authoritative", "low_rank", "ranks", "last_scanned_at",
         F.transform("held", lambda x: x["status_text"]).alias("status_texts"), F.get(F.filter(F.transform("held", lambda x: x["card_last4"]), lambda c: filled(c).isNotNull()), F.lit(0)).alias("card_last4"), *carry)
 
@@ -234,7 +236,7 @@ def order_rows(orders: DataFrame, returns: DataFrame, items: DataFrame, now: str
     placed = placed.withColumn("m", F.when(real, best_item(F.col("items"), F.col("asins"), F.col("item_names"))))
     only = lambda c: F.when(real, F.col(c))
     lost = real & F.col("m.item_key").isNull()
-    each = F.struct("group_key", "item_names", "asins", "status_texts", "card_last4", F.col("m.item_key").alias("item_key"), "rank")
+    each = F.struct("group_key", "item_names", "seen_asins", "status_texts", "card_last4", F.col("m.item_key").alias("item_key"), "rank")
     some = lambda c: F.coalesce(F.bool_or(only(c)), F.lit(False)).alias(c)
     all_ = lambda c: F.coalesce(F.bool_and(F.when(real, c)), F.lit(False))
     rolled = placed.groupBy(*KEY).agg(
@@ -274,7 +276,7 @@ def described(rolled: DataFrame) -> DataFrame:
         "any_review", "all_issued", "all_credited", "all_bank_confirmed", "reconciled", "low_rank", "high_rank", "ranks",
         F.year(o("order_date")).alias("order_year"), F.coalesce(o("order_date").cast("timestamp"), scanned).alias("sort_at"), scanned.alias("last_scanned_at"),
         F.when(F.size("order_names") > 0, F.col("order_names")).otherwise(F.col("returned_names")).alias("item_names"), "returned_names", distinct_ci(F.concat("order_names", "returned_names")).alias("search_names"),
-        distinct_ci(F.concat(F.coalesce(o("asins"), F.array().cast(STRINGS)), F.transform("items", lambda i: i["asin"]), gathered("asins"))).alias("asins"),
+        distinct_ci(F.concat(F.coalesce(o("asins"), F.array().cast(STRINGS)), F.transform("items", lambda i: i["asin"]), gathered("seen_asins"))).alias("asins"),
         F.coalesce(filled(F.col("said")), filled(o("status_text")), filled(o("status")), F.lit("—")).alias("shop_status"), o("status_text").alias("order_status_text"),
         F.coalesce(o("detail_scan_complete"), F.lit(False)).alias("detail_complete"), F.when(url.rlike(DETAIL_ROUTE), url).otherwise("").alias("open_url"),
         F.transform("became", lambda i: F.concat(i["name"], F.lit(" => "), F.coalesce(stage_label(i["rank"]), F.lit("Not returned")))).alias("product_statuses"))
@@ -322,12 +324,16 @@ def row_descriptors(rows: DataFrame) -> DataFrame:
 
 
 def lifecycle_steps(groups: DataFrame) -> DataFrame:
-    """Five rows a group: step number, name, label, whether done; the expected date on the last one while it's open."""
+    """Five rows a group: step number, name, label, whether done, and the date its representative's milestones give (text as the page has it).
+
+    The last one, while it's open, has the expected date and names it in its label.
+    """
     # Names of the steps.
     names = ["Initiated", "Dropped off", "Return received", "Refund issued", "Refund credited"]
     steps = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(n).alias("name"), F.lit(names[k - 1]).alias("label")) for k, n in enumerate(schema.STAGE_NAMES) if k])
-    x = groups.select(*KEY, "group_key", "rank", "expected_credit_at", "bank_status", F.explode(steps).alias("s"))
-    open_last = (F.col("s.step") == 5) & (F.col("rank") < 5)
+    x = groups.select(*KEY, "group_key", "rank", "expected_credit_at", "bank_status", "step_dates", F.explode(steps).alias("s"))
+    eta = F.when((F.col("s.step") == 5) & (F.col("rank") < 5), F.col("expected_credit_at"))
     return x.select(
-        *KEY, "group_key", F.col("s.step").alias("step"), F.col("s.name").alias("name"), F.col("s.label").alias("label"), (F.col("s.step") <= F.col("rank")).alias("done"),
-        F.when(open_last, F.col("expected_credit_at")).alias("expected_at"), F.when(F.col("s.step") == 5, F.col("bank_status")).alias("bank_status"))
+        *KEY, "group_key", F.col("s.step").alias("step"), F.col("s.name").alias("name"), (F.col("s.step") <= F.col("rank")).alias("done"),
+        F.when(eta.isNotNull(), F.concat(F.lit("Expected "), F.date_format(eta, "yyyy-MM-dd"))).otherwise(F.col("s.label")).alias("label"), filled(F.get("step_dates", F.col("s.step") - 1)).alias("date"),
+        eta.alias("expected_at"), F.when(F.col("s.step") == 5, F.col("bank_status")).alias("bank_status"))

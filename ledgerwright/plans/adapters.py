@@ -72,11 +72,13 @@ _STAGE = (
     "WHEN {k} = 3 THEN 'received' WHEN {k} = 4 THEN 'refund_issued' ELSE 'credited' END AS return_stage")
 _RETURN_COLUMNS = """SELECT account_id, o_orderkey, l_partkey, order_id, return_token, {record} AS record_id, {stage}, refund_cents, refund_subtotal_cents,
   group_refund_cents, refund_scope, asin, item_name, authoritative, NOT authoritative AS provisional, {at} AS last_scanned_at, bank_status, manual_state,
-  identity_conflict, expected_credit_at, item_identity_source, status, status_text, card_last4, CASE WHEN l_partkey % 2 = 1 THEN {at} END AS refund_issued_at"""
+  identity_conflict, expected_credit_at, item_identity_source, status, status_text, card_last4, CASE WHEN l_partkey % 2 = 1 THEN {at} END AS refund_issued_at,
+  {arr}(CASE WHEN l_partkey % 3 = 0 THEN 'June ' || CAST(l_partkey % 28 + 1 AS VARCHAR(2)) END, CASE WHEN {k} > 1 THEN 'July ' || CAST(l_partkey % 28 + 1 AS VARCHAR(2)) END, '', NULL,
+    CASE WHEN {k} > 4 THEN 'Aug 1' END) AS step_dates"""
 
 
 def _returns(record: str, k: str, at: str) -> str:
-    return _RETURN_COLUMNS.replace("{record}", record).replace("{stage}", _STAGE.replace("{k}", k)).replace("{at}", at)
+    return _RETURN_COLUMNS.replace("{record}", record).replace("{stage}", _STAGE).replace("{k}", k).replace("{at}", at)
 
 
 #: Every eighth part's returns have a second, newer capture one stage behind.
@@ -119,12 +121,22 @@ SELECT {fmt}('A%d', user_id % 3) AS account_id, {fmt}('Q%d', event_id) AS reques
   CAST(round(value * 100) AS BIGINT) AS expected_cents, {fmt}('%04d', user_id % 3) AS card_last4, ts AS refund_issued_at
 FROM {events} WHERE event_type = 'error'
 """
+#: The same with tokens that few requests share.
+REQUESTS_BY_TOKEN = REQUESTS.replace("event_id % 50", "CAST(floor(event_id / 20) AS BIGINT)")
 TRANSACTIONS = """
 SELECT {fmt}('A%d', user_id % 3) AS account_id, event_id AS txn_id, ts AS posted_at, CASE WHEN event_id % 10 = 0 THEN 'pending' ELSE 'posted' END AS txn_state,
   CAST(round(value * 100) AS BIGINT) AS amount_cents, {fmt}('%04d', event_id % 3) AS txn_last4, event_id % 2 = 0 AS merchant_match
 FROM {events} WHERE event_type = 'purchase'
 """
 
+#: Beside the transactions, a credit for the sum of each token's requests.
+CREDITS = f"""
+SELECT * FROM ({TRANSACTIONS}) t
+UNION ALL
+SELECT account_id, 1000000000000 + CAST(sum(CAST(substr(request_id, 2) AS BIGINT)) AS BIGINT), max(refund_issued_at) + INTERVAL 1 DAY, 'posted', CAST(sum(expected_cents) AS BIGINT), max(card_last4), TRUE
+FROM ({REQUESTS_BY_TOKEN}) r GROUP BY account_id, return_token
+"""
+
 _NUMBERED = f"""
 SELECT {_ACCOUNT} AS account_id, {_ID} AS order_id, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderdate AS placed_at,
   CAST(row_number() OVER (PARTITION BY floor(o_custkey / 10), year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS n
@@ -153,7 +165,8 @@ FROM {{orders}}
 """
 
 VIEWS = {
-    "v_orders_once": ORDERS_ONCE, "v_orders": ORDERS, "v_items": ITEMS, "v_returns": RETURNS, "v_captures": CAPTURES, "v_evidence": EVIDENCE, "v_requests": REQUESTS,
+    "v_orders_once": ORDERS_ONCE, "v_orders": ORDERS, "v_items": ITEMS, "v_returns": RETURNS, "v_captures": CAPTURES, "v_evidence": EVIDENCE, "v_requests": REQUESTS, "v_requests_by_token": REQUESTS_BY_TOKEN,
+    "v_credits": CREDITS,
     "v_transactions": TRANSACTIONS, "v_history_rows": HISTORY_ROWS, "v_event_log": EVENT_LOG, "v_page_text": PAGE_TEXT}
 TABLES = ("orders", "lineitem", "part", "events", "pages")
 

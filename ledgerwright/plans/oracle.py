@@ -43,7 +43,7 @@ def groups(source: str) -> str:
     return f"""
   SELECT account_id, order_id, group_key, count(*) AS n_records, arg_max(record_id, front) AS record_id, arg_max(stage, front) AS stage, max(rank) AS rank,
     max(CASE WHEN front = foremost THEN bank_status END) AS bank_status, max(CASE WHEN front = foremost THEN manual_state END) AS manual_state,
-    max(CASE WHEN front = foremost THEN expected_credit_at END) AS expected_credit_at, coalesce(any_value(names), []) AS item_names, coalesce(any_value(name_titles), []) AS titles,
+    max(CASE WHEN front = foremost THEN expected_credit_at END) AS expected_credit_at, arg_max(step_dates, front) AS step_dates, coalesce(any_value(names), []) AS item_names, coalesce(any_value(name_titles), []) AS titles,
     any_value(found_asins) AS asins, {amount('true')} AS amount_cents, count(DISTINCT explicit) > 1 AS amount_conflict, {amount('credit_review')} AS flagged_cents,
     bool_or(identity_conflict) AS identity_conflict, bool_or(bank_conflict) AS bank_conflict, bool_or(credit_review) AS credit_review,
     bool_or(coalesce(manual_state = 'reconciled', false)) AS reconciled, bool_and(credit_confirmed) AS all_confirmed, bool_and(bank_confirmed) AS all_bank_confirmed,
@@ -148,7 +148,7 @@ OWN = {
     string_agg(item_name || ' => ' || coalesce({label('best_rank')}, 'Not returned'), '|' ORDER BY item_key) AS product_statuses
   FROM states GROUP BY order_id""",
     "item_list": listed(ITEM_NAMES, "|"), "returned_list": listed(RETURN_NAMES, "|"), "search_list": listed(f"{ITEM_NAMES} UNION ALL {RETURN_NAMES}", "|"),
-    "asin_list": listed("SELECT order_id, upper(asin) AS value, '1' || item_key AS place FROM v_items UNION ALL SELECT order_id, asin, '2' || group_key || record_id FROM used_believed", "|"),
+    "asin_list": listed("SELECT order_id, upper(asin) AS value, '1' || item_key AS place FROM v_items UNION ALL SELECT order_id, asin, '2' || group_key || record_id FROM used", "|"),
     "status_list": listed(
         f"SELECT order_id, coalesce(replacement_status_text, {replacement_label('replacement_stage')}) AS value, '1' || item_key AS place FROM v_items "
         "UNION ALL SELECT order_id, status_text, '2' || group_key || record_id FROM used", " · "),

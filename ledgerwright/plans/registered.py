@@ -178,8 +178,8 @@ def refund_rollup(s, d):
 
 
 @query(chain("""
-SELECT order_id, group_key, step, CASE step WHEN 1 THEN 'started' WHEN 2 THEN 'shipped' WHEN 3 THEN 'received' WHEN 4 THEN 'refund_issued' ELSE 'credited' END AS name,
-  CASE step WHEN 1 THEN 'Initiated' WHEN 2 THEN 'Dropped off' WHEN 3 THEN 'Return received' WHEN 4 THEN 'Refund issued' ELSE 'Refund credited' END AS label, step <= rank AS done,
+SELECT order_id, group_key, step, CASE step WHEN 1 THEN 'started' WHEN 2 THEN 'shipped' WHEN 3 THEN 'received' WHEN 4 THEN 'refund_issued' ELSE 'credited' END AS name, nullif(trim(step_dates[step]), '') AS date,
+  CASE WHEN step = 5 AND rank < 5 AND expected_credit_at IS NOT NULL THEN strftime(expected_credit_at, 'Expected %Y-%m-%d') WHEN step = 1 THEN 'Initiated' WHEN step = 2 THEN 'Dropped off' WHEN step = 3 THEN 'Return received' WHEN step = 4 THEN 'Refund issued' ELSE 'Refund credited' END AS label, step <= rank AS done,
   CASE WHEN step = 5 AND rank < 5 THEN expected_credit_at END AS expected_at, CASE WHEN step = 5 THEN bank_status END AS bank_status
 FROM dgrp, (VALUES (1), (2), (3), (4), (5)) AS t(step)"""))
 def lifecycle_steps(s, d):
@@ -540,6 +540,50 @@ def candidate_credits(s, d):
     return bank.candidate_credits(spark_view(s, d, "v_requests"), spark_view(s, d, "v_transactions")).select("account_id", "request_id", "txn_id", "score")
 
 
+def _in_rounds(requests: str, credits: str, c: str, select: str, **more: str) -> str:
+    """SQL that takes the pairs c of two views apart round by round, recursively: `done` has each request's outcome."""
+    views = chain("SELECT * FROM c", c=c.replace("v_requests", requests).replace("v_transactions", credits)).rsplit("\n", 1)[0]
+    own = {"rounds": """
+  SELECT 0 AS k, account_id, request_id, txn_id, txn_state, score, false AS won FROM c
+  UNION ALL
+  SELECT k + 1, account_id, request_id, txn_id, txn_state, score, mutual FROM (
+    SELECT *, bool_or(mutual) OVER (PARTITION BY account_id, request_id) OR bool_or(mutual) OVER (PARTITION BY account_id, txn_id) AS used, bool_or(mutual) OVER () AS any_won
+    FROM (
+      SELECT *, score = rb AND score = tb AND count(*) FILTER (score = rb) OVER (PARTITION BY account_id, request_id) = 1 AND count(*) FILTER (score = tb) OVER (PARTITION BY account_id, txn_id) = 1 AS mutual
+      FROM (SELECT *, max(score) OVER (PARTITION BY account_id, request_id) AS rb, max(score) OVER (PARTITION BY account_id, txn_id) AS tb FROM rounds WHERE NOT won) x) y) z
+  WHERE any_won AND (mutual OR NOT used)""",
+        "done": f"""
+  SELECT r.account_id, r.request_id, CASE w.txn_state WHEN 'posted' THEN 'confirmed' WHEN 'pending' THEN 'pending' ELSE CASE WHEN o.request_id IS NULL THEN 'not_found' ELSE 'ambiguous' END END AS status,
+    w.txn_id, coalesce(n, 0) AS n_candidates
+  FROM {requests} r LEFT JOIN (SELECT account_id, request_id, count(*) AS n FROM c GROUP BY ALL) n ON r.account_id = n.account_id AND r.request_id = n.request_id
+    LEFT JOIN (SELECT * FROM rounds WHERE won) w ON r.account_id = w.account_id AND r.request_id = w.request_id
+    LEFT JOIN (SELECT DISTINCT account_id, request_id FROM rounds WHERE NOT won AND k = (SELECT max(k) FROM rounds)) o ON r.account_id = o.account_id AND r.request_id = o.request_id"""} | more
+    return views.replace("WITH ", "WITH RECURSIVE ", 1) + "".join(f",\n{n} AS ({q})" for n, q in own.items()) + "\n" + select
+
+
+@query(_in_rounds("v_requests", "v_transactions", _BANK["c"], "SELECT * FROM done"))
+def reconcile_rounds(s, d):
+    return bank.reconcile_rounds(spark_view(s, d, "v_requests"), spark_view(s, d, "v_transactions"))
+
+
+@query(_in_rounds("v_requests_by_token", "v_credits", _BANK["c"], """
+SELECT d.account_id, d.request_id, coalesce(g.status, d.status) AS status, coalesce(g.txn_id, d.txn_id) AS txn_id, n_candidates
+FROM done d LEFT JOIN open_requests o ON d.account_id = o.account_id AND d.request_id = o.request_id LEFT JOIN whole g ON o.account_id = g.account_id AND o.return_token = g.return_token""",
+    open_requests="SELECT r.* FROM v_requests_by_token r JOIN done d ON r.account_id = d.account_id AND r.request_id = d.request_id WHERE status IN ('not_found', 'ambiguous')",
+    sums="""SELECT account_id, return_token, sum(expected_cents) AS cents, max(refund_issued_at) AS since, max(card_last4) AS card FROM open_requests GROUP BY account_id, return_token
+  HAVING count(*) > 1 AND count(expected_cents) = count(*)""",
+    gc="""
+  SELECT s.account_id, return_token, t.txn_id, txn_state, 4 * CAST(card = txn_last4 AS INTEGER) + 2 * CAST(merchant_match AS INTEGER) + CAST(txn_state = 'posted' AS INTEGER) AS score
+  FROM sums s JOIN v_credits t ON s.account_id = t.account_id AND abs(cents - amount_cents) <= 1 AND posted_at >= since
+  LEFT JOIN done d ON t.account_id = d.account_id AND t.txn_id = d.txn_id WHERE d.txn_id IS NULL""",
+    gb="SELECT *, max(score) OVER (PARTITION BY account_id, return_token) AS rb, max(score) OVER (PARTITION BY account_id, txn_id) AS tb FROM gc",
+    gm="SELECT *, count(*) FILTER (score = rb) OVER (PARTITION BY account_id, return_token) AS rt, count(*) FILTER (score = tb) OVER (PARTITION BY account_id, txn_id) AS tt FROM gb",
+    whole="SELECT account_id, return_token, txn_id, CASE txn_state WHEN 'posted' THEN 'confirmed' ELSE 'pending' END AS status FROM gm WHERE score = rb AND rt = 1 AND score = tb AND tt = 1"))
+def reconcile_grouped(s, d):
+    requests, credits = spark_view(s, d, "v_requests_by_token"), spark_view(s, d, "v_credits")
+    return bank.reconcile_grouped(requests, credits, bank.reconcile_rounds(requests, credits))
+
+
 @query(chain("""
 SELECT u.account_id, record_id AS return_record_id, u.order_id, u.refund_issued_at, coalesce(u.refund_cents, refund_subtotal_cents) AS expected_cents, coalesce(u.card_last4, o.card_last4) AS card_last4,
   stage, coalesce(u.status_text, u.status) AS shop_status, expected_credit_at
