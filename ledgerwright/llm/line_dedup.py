@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import staged
+from .scratch import staged, unused
 
 WINDOW = 3
 
@@ -51,7 +51,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     is (id with null last, hash of the text, position); the first stays. Blank windows don't count. Texts with
     fewer than three lines never change, null texts stay null (0 lines), a text that loses all lines
     becomes "". Rows that repeat both id and text are one document: they lose the same lines. Columns named
-    n_lines or n_removed_lines are replaced.
+    n_lines or n_removed_lines are replaced, all others stay whatever their names.
 
     Two shuffles carry windows (about 40 bytes each, repeated ones only in the join), one carries the texts.
     Copies are counted in each task before they are shuffled. Neither side of the join on windows is an
@@ -62,13 +62,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     repeated = staged(repeated_windows(windows))
     f = F.col("first")
     later = windows.join(repeated, ["h1", "h2"]).where(~(F.col("__id").eqNullSafe(f["__id"]) & (F.col("__th") == f["__th"]) & (F.col("pos") == f["pos"])))
-    hits = later.groupBy("__id", "__th").agg(F.sort_array(F.collect_set("pos")).alias("__starts"))
-    keyed = df.withColumn("__key", F.xxhash64(text_col))
-    joined = keyed.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
+    of, th, key, starts, cut = unused(df, "__of", "__th", "__key", "__starts", "__cut")
+    hits = later.groupBy(F.col("__id").alias(of), F.col("__th").alias(th)).agg(F.sort_array(F.collect_set("pos")).alias(starts))
+    keyed = df.withColumn(key, F.xxhash64(text_col))
+    joined = keyed.join(hits, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(key) == F.col(th)), "left")
     ls = F.transform(F.array(lines_of(F.col(text_col))), lambda x: F.struct(
-        F.size(x).alias("n"), F.when(F.col("__starts").isNotNull(), drop_positions(x, F.col("__starts"))).alias("kept")))[0]
-    out = joined.withColumn("__l", ls)
-    n, kept = F.col("__l.n"), F.col("__l.kept")
-    text = F.when(F.col("__starts").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    made = {text_col: text, "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n), "n_removed_lines": F.when(F.col("__starts").isNull(), 0).otherwise(n - F.size(kept))}
+        F.size(x).alias("n"), F.when(F.col(starts).isNotNull(), drop_positions(x, F.col(starts))).alias("kept")))[0]
+    out = joined.withColumn(cut, ls)
+    n, kept = F.col(f"{cut}.n"), F.col(f"{cut}.kept")
+    text = F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    made = {text_col: text, "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n), "n_removed_lines": F.when(F.col(starts).isNull(), 0).otherwise(n - F.size(kept))}
     return out.select(*[(made[c] if c in made else F.col(f"`{c}`")).alias(c) for c in [*df.columns, "n_lines", "n_removed_lines"]])

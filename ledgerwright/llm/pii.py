@@ -11,6 +11,8 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import unused
+
 ROUNDS = 8
 #: Formats that are looked for. Kinds earlier in the list win at the same place.
 EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
@@ -264,7 +266,7 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     single spaces or hyphens are one found value, in which every run of whole blocks may be a card. Values that fail validation
     (octets over 255, a wrong check digit, 30 February) stay. Null texts stay null, empty ones empty (0 found).
     Equal dates stay equal whatever format they're written in, and stay readable in one way only. Needs no shuffle. Columns named n_found or
-    n_changed are replaced.
+    n_changed are replaced, all others stay whatever their names.
     """
     df = df.drop("n_found", "n_changed")
     text = F.col(text_col)
@@ -275,6 +277,7 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
             F.size(found).alias("n"), F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)).alias("m")))[0]
 
     got = F.transform(F.array(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), lambda found: F.when(F.size(found) > 0, replaced(found)))[0]
-    out = df.withColumn("__new", got)
-    made = {text_col: F.coalesce(F.col("__new.text"), text), "n_found": F.coalesce(F.col("__new.n"), F.lit(0)), "n_changed": F.coalesce(F.col("__new.m"), F.lit(0))}
+    (new,) = unused(df, "__new")
+    out = df.withColumn(new, got)
+    made = {text_col: F.coalesce(F.col(f"{new}.text"), text), "n_found": F.coalesce(F.col(f"{new}.n"), F.lit(0)), "n_changed": F.coalesce(F.col(f"{new}.m"), F.lit(0))}
     return out.select(*[(made[c] if c in made else F.col(f"`{c}`")).alias(c) for c in [*df.columns, "n_found", "n_changed"]])

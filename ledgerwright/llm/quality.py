@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import unused
+
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 #: Buckets of hashed n-grams unless the caller passes another number; the two count vectors and the weights have this size.
@@ -70,22 +72,23 @@ def bucket(gram_hash: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(gram_hash, F.lit(buckets)).cast("int")
 
 
-def text_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the base statistics and __h1, __h2 (hashes of words and of pairs) to all columns of df; a null text counts as empty.
+def text_rules(df: DataFrame, text_col: str = "text", h1: str = "__h1", h2: str = "__h2") -> DataFrame:
+    """Adds the base statistics and the columns h1, h2 (hashes of words and of pairs) to all columns of df; a null text counts as empty.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed boolean.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    split = df.withColumn("__words", words(text)).select(
+    (ws,) = unused(df, "__words")
+    split = df.withColumn(ws, words(text)).select(
         *[F.col(f"`{c}`") for c in df.columns],
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.size(ws).cast("long").alias("n_words"),
+        F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        word_hashes(F.col("__words")).alias("__h1"),
+        word_hashes(F.col(ws)).alias(h1),
     )
-    out = split.withColumn("__h2", doubled(F.col("__h1"), 1)).withColumn("n_repeat_words", repeated_words(F.col("__h2"), F.size("__h2")))
+    out = split.withColumn(h2, doubled(F.col(h1), 1)).withColumn("n_repeat_words", repeated_words(F.col(h2), F.size(h2)))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -132,19 +135,20 @@ def score_documents(df: DataFrame, labels: DataFrame, text_col: str = "text", id
     bucket between all documents labelled with quality 1 and all documents. kept is false if base_failed, else ratio >= min_ratio.
     Null and empty texts have ratio 0 and fail the base rules. Without any trusted row (no labels, or none that
     meets a document) both models would be empty, so ratio is 0 and only the base rules decide. Repeated
-    rows are scored alike. Columns of df named like an added one are replaced.
+    rows are scored alike. Columns of df named like an added one are replaced, all others stay whatever their names.
     """
-    own = ["__h1", "__h2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
     df = df.drop(*own)
     ids = trusted_ids(labels)
     # the labels grow with the corpus, so they are never broadcast
     trusted = df.select(F.col(id_col).alias("__id"), F.col(text_col)).join(ids.hint("merge"), F.col("__id") == F.col("__trusted"), "left_semi")
     weights = ratio_weights(df.select(text_col), trusted.select(text_col), text_col, buckets)
-    ruled = text_rules(df, text_col)
-    n_grams = F.greatest(2 * F.size("__h1") - 1, F.lit(1))
+    h1, h2 = unused(df, "__h1", "__h2")
+    ruled = text_rules(df, text_col, h1, h2)
+    n_grams = F.greatest(2 * F.size(h1) - 1, F.lit(1))
     summed = lambda hashes, first: F.aggregate(hashes, first, lambda acc, h: acc + F.get(weights, bucket(h, buckets)))
-    total = summed(whole_pairs(F.col("__h2")), summed(F.col("__h1"), F.lit(0.0))) / n_grams
+    total = summed(whole_pairs(F.col(h2)), summed(F.col(h1), F.lit(0.0))) / n_grams
     scored = ruled.withColumn("ratio", F.coalesce(F.round(total, 9), F.lit(0.0)))
     # a generator of one row: a later filter on `kept` stays above it, instead of computing all scores a second time
     verdict = F.struct(F.col("ratio"), (~F.col("base_failed") & (F.col("ratio") >= min_ratio)).alias("kept"))
-    return scored.select(*[F.col(f"`{c}`") for c in ruled.columns if not c.startswith("__h")], F.inline(F.array(verdict)))
+    return scored.select(*[F.col(f"`{c}`") for c in ruled.columns if c not in (h1, h2)], F.inline(F.array(verdict)))
