@@ -1,7 +1,8 @@
-"""The fast way through plain pages gives what HTMLParser gives."""
+"""The fast way through plain pages gives what HTMLParser gives; structure opens up only blocks that hold links."""
 
 import random
 
+from ledgerwright.operators import pages
 from ledgerwright.sources import html
 
 PARTS = [
@@ -33,3 +34,9 @@ def test_anchors_alone(spark):
     found = html.page_nodes(raw, kinds=("anchor",)).collect()
     assert [(r.page_id, r.node.kind, r.node.text, r.node.block_id) for r in found] == [(1, "anchor", "link", 0)]
     assert html.page_nodes(raw).where("node.kind = 'anchor'").collect() == found
+
+
+def test_blocks_around_links_only(spark):
+    blocks = spark.createDataFrame([(1, 0, []), (1, 1, [0]), (1, 2, [0, 1]), (1, 3, [0])], "page_id long, block_id int, ancestors array<int>")
+    rows = pages.above(spark.createDataFrame([(1, 2, "x")], "page_id long, leaf int, v string"), blocks)
+    assert sorted((r.block_id, r.v) for r in rows.collect()) == [(0, "x"), (1, "x"), (2, "x")]
