@@ -202,7 +202,7 @@ EVIDENCE_COLUMNS = {
 BY_HAND = {"manual_state", "note"}
 
 
-def merge_captures(captures: DataFrame, versions: bool = False) -> DataFrame:
+def merge_captures(captures: DataFrame, versions: bool = False, staged: str | None = None) -> DataFrame:
     """The ledger that a set of captures makes: one row a record, whatever order and batches they arrived in.
 
     Captures count in order of their own (batch_id, seq), which is unique in a record; the same capture twice counts once. Rules:
@@ -217,9 +217,19 @@ def merge_captures(captures: DataFrame, versions: bool = False) -> DataFrame:
 
     A field merged so keeps the (batch_id, seq) it came from in the struct `versions`, if asked for. Everything is
     keyed by (account, record): no list of captures is gathered.
+
+    Several steps read the captures. With `staged`, a new folder's path, those that count are written there at once and read from it
+    by every step, so that what `captures` costs is paid once; the folder must stay until the result is used.
     """
     rows = schema.completed(captures, {c: k for c, k in EVIDENCE_COLUMNS.items() if c not in captures.columns}).dropDuplicates([*ID, "batch_id", "seq"])
-    rows = held_by_batches(rows)
+    if staged is not None:
+        spark = rows.sparkSession
+        rows.write.parquet(f"{staged}/all")
+        rows = spark.read.schema(rows.schema).parquet(f"{staged}/all")
+        held_by_batches(rows).write.parquet(f"{staged}/held")
+        rows = spark.read.schema(rows.schema).parquet(f"{staged}/held")
+    else:
+        rows = held_by_batches(rows)
     at = F.struct("batch_id", "seq")
     kinds = dict(rows.dtypes)
     marked = monotonic_stage(rows).withColumn("accepted", F.col("accepted") | (F.col("record_type") != "return") | F.col("record_type").isNull())

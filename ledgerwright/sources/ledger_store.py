@@ -19,6 +19,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.merge import ID, fingerprint, merge_captures
+from .shared import fresh_folder
 
 ORDER = ["account_id", "order_id"]
 
@@ -136,7 +137,7 @@ def batch_changes(folder: Folder, epoch: int) -> DataFrame:
     earlier = every.join(fresh, [*ID, "batch_id", "seq"], "left_anti")
     # one merge of both states, kept apart by a mark before the account
     mark = lambda df, side: df.drop("bucket").withColumn("account_id", F.concat(F.lit(side), "account_id"))
-    both = fingerprint(merge_captures(mark(earlier, "0").unionByName(mark(every, "1"))).drop("last_scanned_at"))
+    both = fingerprint(merge_captures(mark(earlier, "0").unionByName(mark(every, "1")), staged=fresh_folder(folder.spark, "merging")).drop("last_scanned_at"))
     state = lambda side: F.max(F.when(F.substring("account_id", 1, 1) == side, F.col("__fp")))
     found = both.groupBy(F.expr("substring(account_id, 2)").alias("account_id"), "record_id").agg(state("0").alias("old"), state("1").alias("new"))
     change = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")
@@ -165,7 +166,7 @@ def read_ledger_store(spark: SparkSession, path: str) -> DataFrame | None:
     if not epochs:
         return folded
     new = _captures(folder, epochs)
-    made = merge_captures(_evidence(folder, epochs).drop("bucket"))
+    made = merge_captures(_evidence(folder, epochs).drop("bucket"), staged=fresh_folder(spark, "merging"))
     kept = [e for e in folder.numbers("changes", "e") if e in set(epochs)]
     if kept:
         scans = spark.read.parquet(*[folder.at("changes", f"e={_named(e)}") for e in kept]).groupBy(*ID).agg(F.max("scanned_at").alias("__scan"))
