@@ -68,4 +68,6 @@ def changed_pages_stream(s, d):
     once = spark_view(s, d, "v_page_text").select("account_id", "page_id", "url", "captured_at", "text").withColumn("v", F.explode(F.array(*map(F.lit, range(2)))))
     tail = F.when(F.col("page_id") * (F.col("v") + 1) % 4 == 0, "\nReturn closed").otherwise("")
     rows = once.withColumns({"text": F.concat("text", tail), "captured_at": F.col("captured_at").cast("timestamp") + F.make_dt_interval(F.col("v"))})
-    return finished(s, page_streams.changed_pages(arriving(s, rows, F.col("v"), 2))).select("page_id", "captured_at", "changed")
+    path = fresh_folder(s, "changes")
+    page_streams.stream_changed_pages(arriving(s, rows, F.col("v"), 2), path, fresh_folder(s, "checkpoint")).awaitTermination()
+    return page_streams.read_changed_pages(s, path).select("page_id", "captured_at", "changed")
