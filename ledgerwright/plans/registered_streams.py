@@ -68,6 +68,9 @@ def changed_pages_stream(s, d):
     once = spark_view(s, d, "v_page_text").select("account_id", "page_id", "url", "captured_at", "text").withColumn("v", F.explode(F.array(*map(F.lit, range(2)))))
     tail = F.when(F.col("page_id") * (F.col("v") + 1) % 4 == 0, "\nReturn closed").otherwise("")
     rows = once.withColumns({"text": F.concat("text", tail), "captured_at": F.col("captured_at").cast("timestamp") + F.make_dt_interval(F.col("v"))})
-    path = fresh_folder(s, "changes")
-    page_streams.stream_changed_pages(arriving(s, rows, F.col("v"), 2), path, fresh_folder(s, "checkpoint")).awaitTermination()
+    source, path, checkpoint = (fresh_folder(s, x) for x in ("arriving", "changes", "checkpoint"))
+    # what has arrived when the stream goes on is one micro-batch, of as many files as it took tasks to write
+    for k in range(2):
+        rows.where(F.col("v") == k).write.mode("append").parquet(source)
+        page_streams.stream_changed_pages(s.readStream.schema(rows.schema).parquet(source), path, checkpoint).awaitTermination()
     return page_streams.read_changed_pages(s, path).select("page_id", "captured_at", "changed")
