@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import schema
@@ -102,12 +104,66 @@ def candidate_credits(requests: DataFrame, transactions: DataFrame) -> DataFrame
     return j.select("account_id", "request_id", "txn_id", F.col("__c").alias("amount_cents"), "posted_at", "txn_state", score.alias("score"))
 
 
-def _mutual(c: DataFrame) -> DataFrame:
-    """Candidate pairs with n_candidates of the request, and mutual: whether each of both is the other's only best."""
-    by_request, by_credit = W.partitionBy("account_id", "request_id"), W.partitionBy("account_id", "txn_id")
-    c = c.withColumns({"r_best": F.max("score").over(by_request), "t_best": F.max("score").over(by_credit), "n_candidates": F.count("*").over(by_request)})
-    c = c.withColumns({"r_ties": F.count(F.when(F.col("score") == F.col("r_best"), 1)).over(by_request), "t_ties": F.count(F.when(F.col("score") == F.col("t_best"), 1)).over(by_credit)})
-    return c.withColumn("mutual", (F.col("score") == F.col("r_best")) & (F.col("r_ties") == 1) & (F.col("score") == F.col("t_best")) & (F.col("t_ties") == 1))
+#: What a row of _places() stands for: a request or a credit; the other's id is null.
+ENTITY = ["account_id", "credit", "request_id", "txn_id"]
+
+
+def _places(requests: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Requests at their amount and its neighbours, and credits at theirs, as one table of places (account, cents).
+
+    worth is a credit's score without the card. Null accounts and amounts have no place.
+    """
+    near = F.array(*[F.lit(d) for d in range(-schema.TOLERANCE_CENTS, schema.TOLERANCE_CENTS + 1)])
+    worth = 2 * F.coalesce(F.col("merchant_match").cast("int"), F.lit(0)) + (F.col("txn_state") == "posted").cast("int")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    r = requests.where("account_id IS NOT NULL AND expected_cents IS NOT NULL").select(
+        "account_id", F.explode(F.transform(near, lambda d: F.col("expected_cents") + d)).alias("cents"), F.lit(False).alias("credit"), "request_id", none(transactions, "txn_id"),
+        F.col("refund_issued_at").alias("at"), F.col("card_last4").alias("card"), F.lit(None).cast("int").alias("worth"))
+    t = transactions.where("account_id IS NOT NULL AND amount_cents IS NOT NULL AND posted_at IS NOT NULL").select(
+        "account_id", F.col("amount_cents").alias("cents"), F.lit(True).alias("credit"), none(requests, "request_id"), "txn_id", F.col("posted_at").alias("at"), F.col("txn_last4").alias("card"), worth.alias("worth"))
+    return r.unionByName(t)
+
+
+def _only_bests(places: DataFrame) -> DataFrame:
+    """Requests and credits that have candidates, each with its only best one: account_id, credit, request_id, txn_id, sole, posted, n_candidates.
+
+    Unless sole, the other's id means nothing. n_candidates is that of requests. No pair is formed, so this grows with the rows: in a place, running counts of
+    the credits from a request's time on, and of the requests up to a credit's time, tell how many candidates have each score.
+    The card outweighs all else, so counts within a card and over all cards suffice. A credit of unknown state is a candidate, never a best.
+    """
+    from_then = [F.col("at").desc_nulls_last(), F.col("credit").desc()]
+    until_then = [F.col("at").asc_nulls_first(), F.col("credit").asc()]
+    counts = {}
+    for name, by in (("all", ["account_id", "cents"]), ("own", ["account_id", "cents", "card"])):
+        later, sooner = (W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow) for order in (from_then, until_then))
+        for k in range(4):
+            such = F.col("worth") == k
+            counts |= {f"n_{name}_{k}": F.count(F.when(such, 1)).over(later), f"id_{name}_{k}": F.max(F.when(such, F.col("txn_id"))).over(later)}
+        counts |= {f"n_{name}": F.count(F.when(~F.col("credit"), 1)).over(sooner), f"id_{name}": F.max("request_id").over(sooner)}
+        if name == "all":
+            counts["n_credits"] = F.count(F.when(F.col("credit"), 1)).over(later)
+    x = places.withColumns(counts)
+    carded = F.col("card").isNotNull()
+    found = lambda cond, score, n, r, t: F.when(cond & (F.col(n) > 0), F.struct(score.cast("int").alias("score"), F.col(n).alias("n"), F.col(r).alias("r"), F.col(t).alias("t")))
+    of_request = [found(cond, F.lit(top + k), f"n_{name}_{k}", "request_id", f"id_{name}_{k}") for name, top, cond in (("own", 4, carded), ("all", 0, F.lit(True))) for k in (3, 2, 1, 0)]
+    of_credit = [found(cond & F.col("worth").isNotNull(), F.col("worth") + top, f"n_{name}", f"id_{name}", "txn_id") for name, top, cond in (("own", 4, carded), ("all", 0, F.lit(True)))]
+    x = x.where(F.when(F.col("credit"), F.col("n_all")).otherwise(F.col("n_credits")) > 0)
+    x = x.select(*ENTITY, F.when(F.col("credit"), F.coalesce(*of_credit)).otherwise(F.coalesce(*of_request)).alias("b"), "n_credits")
+    ties = [F.sum(F.when(F.col("b.score") == k, F.col("b.n"))).alias(f"t{k}") for k in range(8)]
+    g = x.groupBy(*ENTITY).agg(F.max(F.struct("b.score", "b.r", "b.t")).alias("top"), F.sum("n_credits").alias("n"), *ties)
+    sole = F.coalesce(F.get(F.array(*[f"t{k}" for k in range(8)]), F.col("top.score")) == 1, F.lit(False))
+    return g.select(
+        "account_id", "credit", F.when(F.col("credit"), F.col("top.r")).otherwise(F.col("request_id")).alias("request_id"), F.when(F.col("credit"), F.col("txn_id")).otherwise(F.col("top.t")).alias("txn_id"),
+        sole.alias("sole"), (F.col("top.score") % 2 == 1).alias("posted"), F.when(~F.col("credit"), F.col("n")).alias("n_candidates"))
+
+
+def _matched(places: DataFrame) -> DataFrame:
+    """Requests with candidates: account_id, request_id, n_candidates, won (whether a credit and it are each other's only best), and that credit's txn_id, posted."""
+    views = _only_bests(places).where("sole OR NOT credit").withColumns({c: F.when(F.col("sole"), F.col(c)) for c in ("txn_id", "posted")})
+    both = views.groupBy("account_id", "request_id", "txn_id", "sole").agg(F.max("n_candidates").alias("n_candidates"), F.count("*").alias("views"), F.bool_or("posted").alias("posted"))
+    won = F.col("sole") & (F.col("views") == 2)
+    return both.where("n_candidates IS NOT NULL").select(
+        "account_id", "request_id", F.when(won, F.col("txn_id")).alias("txn_id"), F.when(won, F.col("posted")).alias("posted"), won.alias("won"), "n_candidates")
 
 
 def reconcile_credits(requests: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -117,11 +173,9 @@ def reconcile_credits(requests: DataFrame, transactions: DataFrame) -> DataFrame
     credits tie, or whose best credit prefers another request, is ambiguous; without candidates it is not found. Only a
     posted credit confirms; a pending one gives pending. A credit thus serves one request at most.
     """
-    c = _mutual(candidate_credits(requests, transactions))
-    best = c.groupBy("account_id", "request_id").agg(F.max("n_candidates").alias("n_candidates"), F.max(F.when(F.col("mutual"), F.struct("txn_id", "txn_state"))).alias("hit"))
-    out = requests.select("account_id", "request_id").join(best, ["account_id", "request_id"], "left")
-    status = F.when(F.col("n_candidates").isNull(), "not_found").when(F.col("hit").isNull(), "ambiguous").when(F.col("hit.txn_state") == "posted", "confirmed").otherwise("pending")
-    return out.select("account_id", "request_id", status.alias("status"), F.col("hit.txn_id").alias("txn_id"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+    out = requests.select("account_id", "request_id").join(_matched(_places(requests, transactions)), ["account_id", "request_id"], "left")
+    status = F.when(F.col("n_candidates").isNull(), "not_found").when(~F.col("won"), "ambiguous").when(F.col("posted"), "confirmed").otherwise("pending")
+    return out.select("account_id", "request_id", status.alias("status"), "txn_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
 def reconcile_rounds(requests: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -129,32 +183,31 @@ def reconcile_rounds(requests: DataFrame, transactions: DataFrame) -> DataFrame:
 
     A request whose best credit went to another one can so take its next. What is left with candidates ties: ambiguous. A
     request whose candidates all went to others, or that had none, is not found. n_candidates counts what it had at first.
-    Each round is written to the shared folder and holds fewer pairs than the one before; only whether a round matched
+    Each round writes its outcome and the requests and credits that are left to the shared folder; only whether a round matched
     anything reaches the driver. Null accounts and amounts have no candidates.
     """
     spark, at = requests.sparkSession, fresh_folder(requests.sparkSession, "rounds")
-    by_request, by_credit = W.partitionBy("account_id", "request_id"), W.partitionBy("account_id", "txn_id")
 
-    def stored(df: DataFrame, n: int) -> DataFrame:
-        df.write.parquet(f"{at}/round={n}")
-        return spark.read.parquet(f"{at}/round={n}")
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
 
-    first = stored(candidate_credits(requests, transactions).select("account_id", "request_id", "txn_id", "txn_state", "score", F.lit(False).alias("won")), 0)
-    left, n = first, 0
+    left, n, rounds = stored(_places(requests, transactions), "left-0"), 0, []
     while True:
         n += 1
-        c = left.where("NOT won").transform(_mutual).withColumn("won", F.col("mutual"))
-        gone = c.withColumn("credit_gone", F.bool_or("won").over(by_credit)).withColumn("request_gone", F.bool_or("won").over(by_request))
-        left = stored(gone.where("won OR NOT (credit_gone OR request_gone)").select(*first.columns), n)
-        if left.where("won").isEmpty():
+        rounds.append(stored(_matched(left), f"round-{n}"))
+        won = rounds[-1].where("won")
+        if won.isEmpty():
             break
-    won = spark.read.option("basePath", at).parquet(*[f"{at}/round={k}" for k in range(1, n + 1)]).where("won")
-    outcome = first.groupBy("account_id", "request_id").agg(F.count("*").alias("n_candidates"))
-    outcome = outcome.join(won.select("account_id", "request_id", F.struct("txn_id", "txn_state").alias("hit")), ["account_id", "request_id"], "left")
-    outcome = outcome.join(left.select("account_id", "request_id", F.lit(True).alias("open")).distinct(), ["account_id", "request_id"], "left")
-    out = requests.select("account_id", "request_id").join(outcome, ["account_id", "request_id"], "left")
-    status = F.when(F.col("hit.txn_state") == "posted", "confirmed").when(F.col("hit").isNotNull(), "pending").when(F.col("open"), "ambiguous").otherwise("not_found")
-    return out.select("account_id", "request_id", status.alias("status"), F.col("hit.txn_id").alias("txn_id"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+        ids = F.array(F.struct(F.lit(False).alias("credit"), "request_id", F.lit(None).cast(left.schema["txn_id"].dataType).alias("txn_id")), F.struct(F.lit(True).alias("credit"), F.lit(None).cast(left.schema["request_id"].dataType).alias("request_id"), "txn_id"))
+        gone = won.select("account_id", F.explode(ids).alias("e")).select("account_id", "e.*").alias("g")
+        left = stored(left.alias("l").join(gone, [F.col(f"l.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ENTITY], "left_anti"), f"left-{n}")
+    key = ["account_id", "request_id"]
+    hits = reduce(DataFrame.unionByName, [x.where("won").select(*key, "txn_id", "posted") for x in rounds]).withColumn("won", F.lit(True))
+    outcome = rounds[0].select(*key, "n_candidates").join(hits, key, "left").join(rounds[-1].select(*key, F.lit(True).alias("open")), key, "left")
+    out = requests.select(*key).join(outcome, key, "left")
+    status = F.when(F.col("won") & F.col("posted"), "confirmed").when(F.col("won"), "pending").when(F.col("open"), "ambiguous").otherwise("not_found")
+    return out.select(*key, status.alias("status"), "txn_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
 def reconcile_grouped(requests: DataFrame, transactions: DataFrame, first: DataFrame) -> DataFrame:
