@@ -100,3 +100,17 @@ def test_ids_that_a_carriage_return_breaks(spark):
     texts = ["x 112-1234567-7654321 112-1234567-7654321", "112-12345\r67-7654321", "9112-1234567-7654321", "112-1234567-76543210", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.order_ids(F.col("t")).alias("ids")).collect()
     assert [r.ids for r in got] == [["112-1234567-7654321"]] * 2 + [[], [], []]
+
+
+def test_line_items_take_all_links_and_the_strongest_replacement(spark):
+    """An item's second link has its longer name, its amount and the stronger replacement; items behind the thirtieth product count too."""
+    order = "112-1234567-7654321"
+    two = """<div><a href='/dp/B000000001'>Lamp</a><p>Qty: 2</p><p>Replacement shipped</p><p>There is no need to return the item</p></div><div><a href='/dp/B000000001'>Lamp, blue</a><p>Qty: 5</p><p>$3.00</p><p>Replacement ordered</p></div>"""
+    more = "".join(f"<div><a href='/dp/B1000000{k:02d}'>Thing {k}</a><p>Replacement requested</p></div>" for k in range(35))
+    page = f"<div class='card'><p>Order placed June 2</p><p>Total $3</p><p>{order}</p>{two}{more}</div>"
+    nodes = html.page_nodes(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    found = {r.asin: r for r in pages.page_structure(html.page_blocks(nodes), html.page_anchors(nodes))["line_items"].collect()}
+    first = found["B000000001"]
+    assert (first.item_name, first.quantity, first.item_amount_cents) == ("Lamp, blue", 2, 300)
+    assert (first.replacement_stage, first.replacement_status_text, first.replacement_no_return_required) == ("shipped", "Replacement shipped", True)
+    assert len(found) == 36 and found["B100000034"].replacement_stage == "requested" and found["B100000034"].replacement_source == "order-details-product-block"
