@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import schema, text
 from ..functions.arrays import clean_strings, distinct_ci
+from ..sources.shared import brief_shuffles, removed
 
 ID = ["account_id", "record_id"]
 STAGE_COLUMNS = ("status", "return_stage", "status_text")
@@ -224,9 +225,11 @@ def merge_captures(captures: DataFrame, versions: bool = False, staged: str | No
     rows = schema.completed(captures, {c: k for c, k in EVIDENCE_COLUMNS.items() if c not in captures.columns}).dropDuplicates([*ID, "batch_id", "seq"])
     if staged is not None:
         spark = rows.sparkSession
-        rows.write.parquet(f"{staged}/all")
-        rows = spark.read.schema(rows.schema).parquet(f"{staged}/all")
-        held_by_batches(rows).write.parquet(f"{staged}/held")
+        with brief_shuffles(spark):
+            rows.write.parquet(f"{staged}/all")
+            rows = spark.read.schema(rows.schema).parquet(f"{staged}/all")
+            held_by_batches(rows).write.parquet(f"{staged}/held")
+        removed(spark, f"{staged}/all")
         rows = spark.read.schema(rows.schema).parquet(f"{staged}/held")
     else:
         rows = held_by_batches(rows)

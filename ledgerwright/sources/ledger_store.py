@@ -15,11 +15,13 @@ that readers who have planned on that one can end.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.merge import ID, fingerprint, merge_captures
-from .shared import fresh_folder
+from .shared import brief_shuffles, fresh_folder, removed
 
 ORDER = ["account_id", "order_id"]
 
@@ -116,18 +118,32 @@ def append_captures(captures: DataFrame, path: str, epoch: int, buckets: int = 6
     if base is not None and epoch <= base:
         return
     if not folder.exists("deltas", name):
-        _placed(captures, n).write.partitionBy("bucket").parquet(folder.at(f"_writing-{name}"))
+        with brief_shuffles(folder.spark):
+            _placed(captures, n).write.partitionBy("bucket").parquet(folder.at(f"_writing-{name}"))
         if not any(x.startswith("bucket=") for x in folder.names(f"_writing-{name}")):
             captures.limit(0).withColumn("bucket", F.lit(0)).write.mode("overwrite").parquet(folder.at(f"_writing-{name}"))
         folder.place(f"_writing-{name}", "deltas", name)
     if feed and not folder.exists("changes", name):
-        batch_changes(folder, epoch).write.parquet(folder.at(f"_writing-c{name}"))
+        with _merging(folder.spark) as staged, brief_shuffles(folder.spark):
+            batch_changes(folder, epoch, staged).write.parquet(folder.at(f"_writing-c{name}"))
         folder.place(f"_writing-c{name}", "changes", name)
 
 
-def batch_changes(folder: Folder, epoch: int) -> DataFrame:
+@contextmanager
+def _merging(spark: SparkSession) -> Iterator[str]:
+    """A folder for the captures of a merge, there until what they make is written."""
+    path = fresh_folder(spark, "merging")
+    try:
+        yield path
+    finally:
+        removed(spark, path)
+
+
+def batch_changes(folder: Folder, epoch: int, staged: str) -> DataFrame:
     """account_id, record_id, change (inserted, updated, unchanged, removed), scanned_at: what the epoch's captures did to the records of
-    their orders. scanned_at is null where a record stays as it was, unless a complete detail capture confirmed it."""
+    their orders. scanned_at is null where a record stays as it was, unless a complete detail capture confirmed it.
+
+    The new folder `staged` takes the captures and must stay until the result is written."""
     base = _base(folder)
     epochs = [e for e in folder.numbers("deltas", "e") if (base is None or e > base) and e <= epoch]
     new = _captures(folder, [epoch])
@@ -137,7 +153,7 @@ def batch_changes(folder: Folder, epoch: int) -> DataFrame:
     earlier = every.join(fresh, [*ID, "batch_id", "seq"], "left_anti")
     # one merge of both states, kept apart by a mark before the account
     mark = lambda df, side: df.drop("bucket").withColumn("account_id", F.concat(F.lit(side), "account_id"))
-    both = fingerprint(merge_captures(mark(earlier, "0").unionByName(mark(every, "1")), staged=fresh_folder(folder.spark, "merging")).drop("last_scanned_at"))
+    both = fingerprint(merge_captures(mark(earlier, "0").unionByName(mark(every, "1")), staged=staged).drop("last_scanned_at"))
     state = lambda side: F.max(F.when(F.substring("account_id", 1, 1) == side, F.col("__fp")))
     found = both.groupBy(F.expr("substring(account_id, 2)").alias("account_id"), "record_id").agg(state("0").alias("old"), state("1").alias("new"))
     change = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")
@@ -154,9 +170,11 @@ def read_changes(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.option("basePath", folder.at("changes")).parquet(*[folder.at("changes", f"e={_named(e)}") for e in found]).withColumnRenamed("e", "epoch") if found else None
 
 
-def read_ledger_store(spark: SparkSession, path: str) -> DataFrame | None:
+def read_ledger_store(spark: SparkSession, path: str, staged: str | None = None) -> DataFrame | None:
     """The ledger of all captures; None if there is none. Orders without new captures are read as they were folded last.
 
+    `staged` names a new folder for the captures that are merged, which must stay until the result is used; by default one that stays for good.
+
     With a change feed, last_scanned_at is the time of the last batch that changed a record or saw its details completely.
     """
     folder = Folder(spark, path)
@@ -166,7 +184,7 @@ def read_ledger_store(spark: SparkSession, path: str) -> DataFrame | None:
     if not epochs:
         return folded
     new = _captures(folder, epochs)
-    made = merge_captures(_evidence(folder, epochs).drop("bucket"), staged=fresh_folder(spark, "merging"))
+    made = merge_captures(_evidence(folder, epochs).drop("bucket"), staged=staged or fresh_folder(spark, "merging"))
     kept = [e for e in folder.numbers("changes", "e") if e in set(epochs)]
     if kept:
         scans = spark.read.parquet(*[folder.at("changes", f"e={_named(e)}") for e in kept]).groupBy(*ID).agg(F.max("scanned_at").alias("__scan"))
@@ -207,8 +225,9 @@ def compact_ledger(spark: SparkSession, path: str) -> int | None:
     if base is not None:
         every = spark.read.parquet(folder.at("base", f"v={_named(base)}", "evidence")).unionByName(every, allowMissingColumns=True)
     unique = every.drop("bucket").dropDuplicates([*ID, "batch_id", "seq"])
-    _placed(thinned(unique) if "record_type" in unique.columns else unique, n).write.partitionBy("bucket").parquet(folder.at(f"_writing-{name}", "evidence"))
-    _placed(read_ledger_store(spark, path), n).write.partitionBy("bucket").parquet(folder.at(f"_writing-{name}", "folded"))
+    with _merging(spark) as staged, brief_shuffles(spark):
+        _placed(thinned(unique) if "record_type" in unique.columns else unique, n).write.partitionBy("bucket").parquet(folder.at(f"_writing-{name}", "evidence"))
+        _placed(read_ledger_store(spark, path, staged), n).write.partitionBy("bucket").parquet(folder.at(f"_writing-{name}", "folded"))
     folder.place(f"_writing-{name}", "base", name)
     for old in folder.numbers("base", "v"):
         if base is not None and old < base:
